@@ -67,11 +67,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     first[1:] = ~inside[:-1]
     last = np.empty(n, bool)
     last[-1] = True
-    last[:-1] = first[1:]
+    last[:-1] = ~inside[1:]
     edges = offsets[(offsets > 0) & (offsets < n)]
     first[edges] = True
     last[edges - 1] = True
-    last[:-1] |= ~inside[1:]
     starts = np.flatnonzero(inside & first)
     ends = np.flatnonzero(inside & last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
