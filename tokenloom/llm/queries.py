@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
+from . import media, pii
 from .common import table
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that would give it away."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an 8-bit audio file, read back and analysed."""
     return media.digest(media.store(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_audio_features,)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features)}
 
 
 def oracle_sql() -> dict:
