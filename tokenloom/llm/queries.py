@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, pii
+from . import media, pii, toxicity
 from .common import table
 
 
@@ -18,8 +19,19 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(table(spark, sf_dir, "documents")))
 
 
+def _held_out() -> Column:
+    """Whether crc32 of doc_id's text leaves 0 modulo 5."""
+    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated toxicity score for every document."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", _held_out(), "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op6_toxicity)}
 
 
 def oracle_sql() -> dict:
