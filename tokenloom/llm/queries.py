@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, pii, toxicity
+from . import langid, media, pii, toxicity
 from .common import table
 
 
@@ -30,8 +30,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), "score", "predicted")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labelled ones outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs.select("doc_id", "lang", "text")))
+    return found.select("doc_id", _held_out(), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op6_toxicity)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op6_toxicity, op10_language)}
 
 
 def oracle_sql() -> dict:
