@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, pii, toxicity
+from . import htmlmain, langid, media, pii, toxicity
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), "score", "predicted")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the labelled ones outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
@@ -38,7 +43,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op6_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op6_toxicity, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict:
