@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmlmain, langid, media, pii, toxicity
+from . import htmlmain, langid, media, pii, sstable, toxicity
 from .common import table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, and the terms that would give it away."""
     return pii.report(table(spark, sf_dir, "documents"))
@@ -19,6 +26,11 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(table(spark, sf_dir, "documents")))
 
 
+def op4_sstable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to sorted-string-table shards and read back."""
+    return sstable.digest(sstable.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
 def _held_out() -> Column:
     """Whether crc32 of doc_id's text leaves 0 modulo 5."""
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
@@ -43,7 +55,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op6_toxicity, op9_main_text, op10_language)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op4_sstable_ids, op6_toxicity, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict:
