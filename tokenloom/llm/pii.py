@@ -29,6 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW = 12
 SUPPORT = 3
 GENERALISE = 0.6
+#: Parts over which the rows of one text are spread while its terms are looked up.
+SALTS = 32
 REMOVE = 0.9
 #: Bits of the fixed-size filter that holds the candidate terms while all documents are counted.
 FILTER_BITS = 1 << 25
@@ -212,8 +214,12 @@ def analyse(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> D
         .groupBy("digest")
         .agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("d") >= REMOVE, "remove").otherwise("generalise").alias("kind"), "s", "e"))).alias("terms"))
     )
+    # rows without a span have nothing to look up; copies of one text are spread over SALTS parts
     empty = F.array().cast("array<struct<kind:string,s:int,e:int>>")
-    return detected.join(found, "digest", "left").withColumn("terms", F.coalesce("terms", empty)).select(*keep, "text", "spans", "terms")
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = detected.filter(F.col("digest").isNotNull()).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    looked_up = rows.join(salted, ["digest", "salt"], "left").withColumn("terms", F.coalesce("terms", empty)).select(*keep, "text", "spans", "terms")
+    return looked_up.unionByName(detected.filter(F.col("digest").isNull()).select(*keep, "text", "spans", empty.alias("terms")))
 
 
 def word_class(word: str) -> str:
