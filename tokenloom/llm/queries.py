@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmlmain, langid, media, piecesampling, pii, sstable, toxicity
+from . import htmlmain, langid, media, ngramjoin, piecesampling, pii, sstable, toxicity
 from .common import table
 
 
@@ -42,6 +42,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), "score", "predicted")
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return ngramjoin.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sampled, reproducible segmentation of every document, decoded again."""
     return piecesampling.digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -60,7 +65,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op4_sstable_ids, op6_toxicity, op8_sampled_pieces, op9_main_text, op10_language)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op4_sstable_ids, op6_toxicity, op7_shingle_join, op8_sampled_pieces, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict:
