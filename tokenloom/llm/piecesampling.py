@@ -337,8 +337,8 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0) -> DataFrame:
-    """Per text: pieces, a checksum of their ids as little-endian 32-bit integers, and what decoding them gives back."""
+def training_rows(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0) -> DataFrame:
+    """Per text: piece ids, their number, a checksum of them as little-endian 32-bit integers, and what decoding them gives back."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -351,7 +351,13 @@ def digest(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 text = raw[back_at[k] : back_at[k + 1]]
                 rows.append((int(piece_at[k + 1] - piece_at[k]), zlib.crc32(packed[4 * piece_at[k] : 4 * piece_at[k + 1]]), hashlib.sha256(text).hexdigest(), text == source[at[k] : at[k + 1]]))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([names] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=[id_col, "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
+            lists = pa.ListArray.from_arrays(pa.array(piece_at.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([names, lists] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=[id_col, "ids", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+
+
+def digest(docs: DataFrame, model: str, **options) -> DataFrame:
+    """`training_rows` without the ids themselves."""
+    return training_rows(docs, model, **options).drop("ids")

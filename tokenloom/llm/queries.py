@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmlmain, langid, media, ngramjoin, piecesampling, pii, sstable, toxicity
+from . import decontam, htmlmain, langid, media, ngramjoin, piecesampling, pii, sstable, toxicity
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op4_sstable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(sstable.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the overlaps."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _held_out() -> Column:
     """Whether crc32 of doc_id's text leaves 0 modulo 5."""
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")
@@ -65,7 +70,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op4_sstable_ids, op6_toxicity, op7_shingle_join, op8_sampled_pieces, op9_main_text, op10_language)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op4_sstable_ids, op5_benchmark_leaks, op6_toxicity, op7_shingle_join, op8_sampled_pieces, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict:
