@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_path, small_batches, utf8
-from .hashing import prefix_hash, span_hash, word_spans
+from .hashing import prefix_hash, span_hash
 
 MAGIC = b"TLSST001"
 BLOCK_BYTES = 64 << 10
@@ -43,8 +43,8 @@ END_ID = 1
 _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<B8sQIIIQ")
 _FOOTER = struct.Struct("<QIQIQQBI8s")
-#: Words whose ids a task keeps at most.
-CACHE_WORDS = 400_000
+#: Parts of words whose ids a Python worker keeps at most.
+CACHE_WORDS = 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -170,10 +170,20 @@ def open_shard(uri: str) -> ShardReader:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in '.,;:!?()"%$&#*']] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 class WordEncoder:
-    """Encodes texts word by word with the tokenizers library; the tokenizer never joins across ASCII white space."""
+    """Encodes texts part by part with the tokenizers library, each distinct part once.
+
+    Parts end at ASCII white space and between an ASCII letter and one of a few signs: there the vocabulary's own first
+    split always cuts, so the parts' ids are the text's ids. It lower-cases too, so parts are told apart in lower case,
+    unless the text holds the beginning of a special token, which is matched before that.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -184,44 +194,79 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.pool = np.zeros(1 << 16, f"<u{self.width}")
-        self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
-
-    def _learn(self, words: list[str], hashes: list[int]) -> None:
-        for lo in range(0, len(words), 4096):
-            encoded = self.model.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False)
-            for h, e in zip(hashes[lo : lo + 4096], encoded, strict=True):
-                ids = e.ids
-                if self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), self.pool.dtype)))
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.place[h] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(ids))
-                self.used += len(ids)
+        self.keys = np.zeros(0, np.uint64)
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, f"<u{self.width}")
+
+    def _ids(self, parts: list[bytes]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(parts)
+        tokenize, rest = self.model.model.tokenize, []
+        for k, part in enumerate(parts):
+            # the steps before the model leave lower-case ASCII letters as they are
+            if part.isalpha() and part.islower():
+                out[k] = [t.id for t in tokenize(part.decode())]
+            else:
+                rest.append(k)
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo : lo + 4096]
+            for k, e in zip(some, self.model.encode_batch_fast([parts[k].decode("utf-8", "replace") for k in some], add_special_tokens=False), strict=True):
+                out[k] = e.ids
+        return out
+
+    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
+        if len(self.keys) + len(keys) > CACHE_WORDS:
+            self._clear()
+        ids = self._ids(parts)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        starts = len(self.pool) + np.cumsum(sizes) - sizes
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.sizes = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+        self.pool = np.concatenate((self.pool, np.fromiter((x for row in ids for x in row), self.pool.dtype, int(sizes.sum()))))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and the rows' offsets in them."""
-        starts, ends, first = word_spans(data, offsets, _SPACE)
-        if not len(starts):
+        if not len(data):
             return self.pool[:0], np.zeros(len(offsets), np.int64)
-        if len(self.place) > CACHE_WORDS:
-            self._clear()
-        hashes, example, inverse = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        known = hashes.tolist()
-        new = [k for k, h in enumerate(known) if h not in self.place]
         raw = data.tobytes()
-        self._learn([raw[starts[example[k]] : ends[example[k]]].decode("utf-8", "replace") for k in new], [known[k] for k in new])
-        place = np.fromiter((self.place[h] for h in known), np.int64, len(known))[inverse]
-        size, start = np.array(self.sizes)[place], np.array(self.starts)[place]
+        if b"<|" not in raw:
+            data = _LOWER[data]
+            raw = data.tobytes()
+        letter, sign, inside = _LETTER[data], _SIGN[data], ~_SPACE[data]
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = ~inside[:-1] | ~inside[1:] | (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+        cut[offsets] = True
+        edges = np.flatnonzero(cut)
+        starts, ends = edges[:-1], edges[1:]
+        filled = inside[starts]
+        starts, ends = starts[filled], ends[filled]
+        first = np.searchsorted(starts, offsets)
+        if not len(starts):
+            return self.pool[:0], first
+        keys, example, inverse = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+        for _ in range(2):  # a second time if the cache was emptied on the way
+            at = np.searchsorted(self.keys, keys)
+            new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+            if not len(new):
+                break
+            self._learn(keys[new], [raw[i:j] for i, j in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
+        at = np.searchsorted(self.keys, keys)[inverse]
+        size = self.sizes[at]
         before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
+        ids = self.pool[np.repeat(self.starts[at] - before[:-1], size) + np.arange(before[-1])]
         return ids, before[first]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so that what one task has learned serves the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 _MANIFEST = "path string, part int, roll int, docs long, ids long"
 
 
@@ -241,7 +286,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         fs.create_dir(base, recursive=True)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
-        encoder, writer, roll, done = WordEncoder(tokenizer), None, 0, []
+        encoder, writer, roll, done = _encoder(tokenizer), None, 0, []
 
         def finish():
             writer.close()
