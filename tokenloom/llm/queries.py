@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, media, ngramjoin, piecesampling, pii, sstable, toxicity
+from . import decontam, htmlmain, langid, media, ngramjoin, piecesampling, pii, sstable, suffixdedup, toxicity
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(table(spark, sf_dir, "documents")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that start in an earlier one."""
+    return suffixdedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_sstable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written to sorted-string-table shards and read back."""
     return sstable.digest(sstable.write(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
@@ -70,7 +75,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op4_sstable_ids, op5_benchmark_leaks, op6_toxicity, op7_shingle_join, op8_sampled_pieces, op9_main_text, op10_language)}
+    return {f.__name__: f for f in (op1_pii_spans, op2_audio_features, op3_suffix_dedup, op4_sstable_ids, op5_benchmark_leaks, op6_toxicity, op7_shingle_join, op8_sampled_pieces, op9_main_text, op10_language)}
 
 
 def oracle_sql() -> dict:
