@@ -26,32 +26,26 @@ input. Names and grouped windows are 64-bit keys; the bytes of grouped windows a
 
 from __future__ import annotations
 
-import io
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, scratch_path, small_batches, utf8
+from .common import blocks, materialise, scratch_path, small_batches
 from .hashing import prefix_hash, span_hash
+from .runs import NOBODY, columns, cut_runs, groups, pack, pack_sorted, part_of, read_file, rows_of, slices, unpack, unpack_sorted, write_file
 
 LENGTH = 50
 K = 32
-RUN_BYTES = 24 << 20
+RUN_BYTES = 16 << 20
 #: Most windows of one stretch; longer ones, as in periodic text, are cut.
 STRETCH = 64
 #: Bits of a name that travel in step 2. Names that only seem equal cost a suffix's journey, no more.
 NAME_BITS = 48
 #: Bytes of a run's names that a part receives, about.
-PART_BYTES = 8 << 20
-NOBODY = np.iinfo(np.int64).max
+PART_BYTES = 4 << 20
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,67 +85,10 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return start, size, least[start]
 
 
-# ---- runs in the shared folder
-
-
-def _write(folder: str, name: str, table: pa.Table) -> None:
-    """A file that appears whole: another attempt of the same task puts an equal one in its place."""
-    fs, base = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(base, recursive=True)
-    part = f"{base}/.{name}-{TaskContext.get().taskAttemptId()}"
-    with fs.open_output_stream(part) as sink:
-        pq.write_table(table, sink, compression="zstd", use_dictionary=False)
-    fs.move(part, f"{base}/{name}")
-
-
-def _read(folder: str, name: str) -> pa.Table:
-    fs, base = pafs.FileSystem.from_uri(folder)
-    with fs.open_input_file(f"{base}/{name}") as source:
-        return pq.read_table(source)
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    sink = io.BytesIO()
-    for a in arrays:
-        np.save(sink, a, allow_pickle=False)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
-
-
-def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
-    source = io.BytesIO(zstandard.ZstdDecompressor().decompress(blob))
-    return [np.load(source, allow_pickle=False) for _ in range(n)]
-
-
-def _pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending integers as gaps, byte plane by byte plane."""
-    gaps = np.diff(values, prepend=values.dtype.type(0)).astype("<u8")
-    planes = gaps.view(np.uint8).reshape(-1, 8).T
-    return np.int64(len(gaps)).tobytes() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[:7]).tobytes())
-
-
-def _unpack_sorted(blob: bytes) -> np.ndarray:
-    n = int(np.frombuffer(blob[:8], np.int64)[0])
-    planes = np.zeros((8, n), np.uint8)
-    planes[:7] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), np.uint8).reshape(7, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.uint64), dtype=np.uint64)
-
-
 def _short(names: np.ndarray) -> np.ndarray:
     return names >> np.uint64(64 - NAME_BITS)
 
 
-def _part_of(short: np.ndarray, parts: int) -> np.ndarray:
-    """Parts by ranges of the name, so that sorted names stay sorted by part."""
-    return ((short >> np.uint64(NAME_BITS - 24)).astype(np.int64) * parts) >> 24
-
-
-def _slices(sorted_parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(part, from, to) of ascending part numbers."""
-    heads = np.flatnonzero(np.diff(sorted_parts, prepend=-1))
-    for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(sorted_parts)).tolist(), strict=True):
-        yield int(sorted_parts[lo]), lo, hi
-
-
 # ---- 1, 2: runs and their names
 
 
@@ -176,51 +113,20 @@ def _run_names(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[
     return names[heads], np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
 
 
-def _cut_runs(batches, folder: str, parts: int):
-    """Write runs; (part, run, names, many) with the run's names of each part."""
-    part_id, number = TaskContext.get().partitionId(), 0
-    waiting: list[pa.RecordBatch] = []
-    size = 0
-
-    def finish():
-        nonlocal number, waiting, size
-        run = f"{part_id:07d}-{number:04d}"
-        number += 1
-        table = pa.Table.from_batches(waiting).combine_chunks()
-        _write(folder, f"{run}.parquet", table)
-        ids, data, offsets = _columns(table)
-        waiting, size = [], 0
-        names, many = _run_names(ids, data, offsets)
-        rows = [(p, run, _pack_sorted(names[lo:hi]), np.packbits(many[lo:hi]).tobytes()) for p, lo, hi in _slices(_part_of(names, parts))]
-        return [(-1, run, b"", b""), *rows]
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["part", "run", "names", "many"])
-
-    for b in batches:
-        data, offsets = utf8(b.column(1))
-        lo = 0
-        while lo < b.num_rows:
-            hi = min(b.num_rows, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + RUN_BYTES - size, "right")) - 1))
-            waiting.append(b.slice(lo, hi - lo))
-            size += int(offsets[hi] - offsets[lo])
-            lo = hi
-            if size >= RUN_BYTES or lo < b.num_rows:
-                yield out(finish())
-    if waiting:
-        yield out(finish())
-
-
-def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = table.column(0).combine_chunks() if table.column(0).num_chunks != 1 else table.column(0).chunk(0)
-    text = table.column(1).combine_chunks() if table.column(1).num_chunks != 1 else table.column(1).chunk(0)
-    return (np.array([NOBODY if i is None else i for i in ids.to_pylist()], np.int64), *utf8(text))
+def _names_by_part(parts: int):
+    def names(run: str, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        """One row for the run itself, and one for each part with the run's names there."""
+        found, many = _run_names(ids, data, offsets)
+        rows = [(p, run, pack_sorted(found[lo:hi]), np.packbits(many[lo:hi]).tobytes()) for p, lo, hi in slices(part_of(found, NAME_BITS, parts))]
+        return rows_of([(-1, run, b"", b""), *rows], {"part": pa.int32(), "run": pa.string(), "names": pa.binary(), "many": pa.binary()})
+
+    return names
 
 
 def _repeated_names(batches):
     """Per part: the names that two documents have, back to the runs that hold them."""
-    for _, rows in _groups(batches, 1):
-        names = [_unpack_sorted(blob) for _, blob, _ in rows]
+    for _, rows in groups(batches, 1):
+        names = [unpack_sorted(blob) for _, blob, _ in rows]
         many = [np.unpackbits(np.frombuffer(bits, np.uint8))[: len(x)].astype(bool) for x, (_, _, bits) in zip(names, rows, strict=True)]
         every = np.sort(np.concatenate(names))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
@@ -230,15 +136,8 @@ def _repeated_names(batches):
             at = np.minimum(np.searchsorted(twice, own), max(0, len(twice) - 1))
             shared = alone | (twice[at] == own) if len(twice) else alone
             if shared.any():
-                out.append((run, _pack_sorted(own[shared])))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["run", "names"])
-
-
-def _groups(batches, columns: int):
-    """(key, rows) of a stream sorted by its leading columns; rows are tuples of the others."""
-    rows = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
-    for key, group in itertools.groupby(rows, key=lambda r: r[:columns]):
-        yield key, [r[columns:] for r in group]
+                out.append((run, pack_sorted(own[shared])))
+        yield rows_of(out, {"run": pa.string(), "names": pa.binary()})
 
 
 # ---- 3: sorted, front-coded suffixes
@@ -263,9 +162,9 @@ def front_code(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
 
 def _suffix_runs(batches, folder: str, parts: int):
     """(part, run, blob): each run's suffixes that may repeat; where they stand is written beside the run."""
-    for (run,), rows in _groups(batches, 1):
-        wanted = np.sort(np.concatenate([_unpack_sorted(blob) for (blob,) in rows]))
-        ids, data, offsets = _columns(_read(folder, f"{run}.parquet"))
+    for (run,), rows in groups(batches, 1):
+        wanted = np.sort(np.concatenate([unpack_sorted(blob) for (blob,) in rows]))
+        ids, data, offsets = columns(read_file(folder, f"{run}.parquet"))
         starts, sizes, shorts, docs = [], [], [], []
         for lo, hi in blocks(offsets):
             at = offsets[lo : hi + 1] - offsets[lo]
@@ -279,22 +178,28 @@ def _suffix_runs(batches, folder: str, parts: int):
             shorts.append(short[keep])
             docs.append(doc[keep])
         start, size, short, doc = (np.concatenate(x) for x in (starts, sizes, shorts, docs))
-        part = _part_of(short, parts)
+        order = np.argsort(short, kind="stable")
+        start, size, doc, part = start[order], size[order], doc[order], part_of(short[order], NAME_BITS, parts)
+        del short, order
         raw = data.tobytes()
-        suffix = [raw[i : i + n + LENGTH - 1] for i, n in zip(start.tolist(), size.tolist(), strict=True)]
-        order = sorted(range(len(suffix)), key=lambda k: (part[k], suffix[k]))
-        order = np.array(order, np.int64)
-        fresh = np.array([k == 0 or suffix[i] != suffix[order[k - 1]] or part[i] != part[order[k - 1]] for k, i in enumerate(order.tolist())], bool)
-        number = np.cumsum(fresh) - 1  # of each occurrence's distinct suffix
-        heads = np.flatnonzero(fresh)
-        owner = ids[doc[order]]
-        low, high = (np.minimum.reduceat(owner, heads), np.maximum.reduceat(owner, heads)) if len(heads) else (owner, owner)
-        _write(folder, f"{run}.places", pa.table({"number": number.astype(np.int32), "start": start[order], "doc": doc[order].astype(np.int32)}))
-        out = []
-        for p, lo, hi in _slices(part[order[heads]]):
-            shared, rest, tail = front_code([suffix[i] for i in order[heads[lo:hi]].tolist()])
-            out.append((p, run, _pack(np.array([lo]), shared, rest, np.frombuffer(tail, np.uint8), low[lo:hi], high[lo:hi])))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.binary()))], names=["part", "run", "suffixes"])
+        del data
+        numbers, places, holders, done = [], [], [], 0
+        for p, lo, hi in slices(part):
+            suffix = [raw[i : i + n + LENGTH - 1] for i, n in zip(start[lo:hi].tolist(), size[lo:hi].tolist(), strict=True)]
+            inner = sorted(range(hi - lo), key=suffix.__getitem__)
+            fresh = np.array([k == 0 or suffix[i] != suffix[inner[k - 1]] for k, i in enumerate(inner)], bool)
+            heads = np.flatnonzero(fresh)
+            distinct = [suffix[inner[k]] for k in heads.tolist()]
+            inner = np.array(inner, np.int64) + lo
+            owner = ids[doc[inner]]
+            shared, rest, tail = front_code(distinct)
+            blob = pack(np.array([done]), shared, rest, np.frombuffer(tail, np.uint8), np.minimum.reduceat(owner, heads), np.maximum.reduceat(owner, heads))
+            numbers.append((done + np.cumsum(fresh) - 1).astype(np.int32))
+            places.append(start[inner])
+            holders.append(doc[inner].astype(np.int32))
+            done += len(heads)
+            yield rows_of([(p, run, blob)], {"part": pa.int32(), "run": pa.string(), "suffixes": pa.binary()})
+        write_file(folder, f"{run}.places", pa.table({n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in (("number", numbers), ("start", places), ("doc", holders))}))
 
 
 # ---- 4: the merge
@@ -393,7 +298,14 @@ def _window_minima(data: np.ndarray, start: np.ndarray, windows: np.ndarray, low
         return np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(start)), windows)
     at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    keys = span_hash(prefix_hash(data), at, at + LENGTH)
+    edges = np.append(start, len(data))
+    keys = np.empty(len(at), np.uint64)
+    done = 0
+    for lo, hi in blocks(edges):
+        n = int(windows[lo:hi].sum())
+        here = at[done : done + n] - edges[lo]
+        keys[done : done + n] = span_hash(prefix_hash(data[edges[lo] : edges[hi]]), here, here + LENGTH)
+        done += n
     order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
     head = np.ones(len(order), bool)
@@ -423,9 +335,9 @@ def _window_minima(data: np.ndarray, start: np.ndarray, windows: np.ndarray, low
 
 def _repeats(batches):
     """(run, blob): for each run its suffix numbers with a range of windows and the least document that has them."""
-    for _, rows in _groups(batches, 1):
+    for _, rows in groups(batches, 1):
         names = [run for run, _ in rows]
-        parts = [_unpack(blob, 6) for _, blob in rows]
+        parts = [unpack(blob, 6) for _, blob in rows]
         distinct: list[bytes] = []
         low: list[int] = []
         holders: list[tuple[int, int, int]] = []  # distinct suffix, run, number in this part's list of the run
@@ -459,8 +371,8 @@ def _repeats(batches):
             head[1:] = (owner[1:] != owner[:-1]) | (nth[1:] != nth[:-1] + 1) | (value[1:] != value[:-1])
             heads = np.flatnonzero(head)
             last = np.append(heads[1:], len(owner)) - 1
-            out.append((names[r], _pack((base + number[mine])[owner[heads]].astype(np.int32), nth[heads].astype(np.uint8), nth[last].astype(np.uint8), value[heads])))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["run", "told"])
+            out.append((names[r], pack((base + number[mine])[owner[heads]].astype(np.int32), nth[heads].astype(np.uint8), nth[last].astype(np.uint8), value[heads])))
+        yield rows_of(out, {"run": pa.string(), "told": pa.binary()})
 
 
 # ---- 6: cutting
@@ -468,12 +380,12 @@ def _repeats(batches):
 
 def _cut(batches, folder: str):
     """Per run: (doc_id, kept bytes, bytes, removed bytes, removed runs) of its documents."""
-    for (run,), rows in _groups(batches, 1):
-        ids, data, offsets = _columns(_read(folder, f"{run}.parquet"))
+    for (run,), rows in groups(batches, 1):
+        ids, data, offsets = columns(read_file(folder, f"{run}.parquet"))
         marks = np.zeros(len(data) + 1, np.int32)
-        told = [_unpack(blob, 4) for (blob,) in rows if blob]
+        told = [unpack(blob, 4) for (blob,) in rows if blob]
         if told:
-            places = _read(folder, f"{run}.places")
+            places = read_file(folder, f"{run}.places")
             number, start, doc = (places.column(c).to_numpy() for c in ("number", "start", "doc"))
             suffix, lo, hi, least = (np.concatenate([t[k] for t in told]) for k in range(4))
             begin, end = np.searchsorted(number, suffix), np.searchsorted(number, suffix, "right")
@@ -483,19 +395,18 @@ def _cut(batches, folder: str):
             owner, at = owner[later], at[later]
             np.add.at(marks, start[at] + lo[owner], 1)
             np.add.at(marks, start[at] + hi[owner] + LENGTH, -1)
-        gone = np.cumsum(marks[:-1]) > 0
-        edge = gone.copy()
-        edge[1:] &= ~gone[:-1]
-        inner = offsets[:-1][(offsets[:-1] < len(data)) & (np.diff(offsets) > 0)]
-        edge[inner] = gone[inner]
-        removed = np.concatenate(([0], np.cumsum(gone)))[offsets]
-        spans = np.concatenate(([0], np.cumsum(edge)))[offsets]
-        kept = data[~gone].tobytes()
-        kept_at = offsets - removed
-        for a in range(0, len(ids), 500):
-            b = min(a + 500, len(ids))
-            texts = [kept[i:j] for i, j in zip(kept_at[a:b].tolist(), kept_at[a + 1 : b + 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([None if i == NOBODY else i for i in ids[a:b].tolist()], pa.int64()), pa.array(texts, pa.binary()), pa.array(np.diff(offsets[a : b + 1])), pa.array(np.diff(removed[a : b + 1])), pa.array(np.diff(spans[a : b + 1]))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        np.cumsum(marks, out=marks)
+        gone = marks[:-1] > 0
+        del marks
+        for a in range(0, len(ids), 250):
+            b = min(a + 250, len(ids))
+            rows = []
+            for k in range(a, b):
+                i, j = int(offsets[k]), int(offsets[k + 1])
+                mine = gone[i:j]
+                spans = int(np.count_nonzero(mine[1:] & ~mine[:-1])) + int(j > i and mine[0])
+                rows.append((None if ids[k] == NOBODY else int(ids[k]), data[i:j][~mine].tobytes(), j - i, int(np.count_nonzero(mine)), spans))
+            yield rows_of(rows, {"doc_id": pa.int64(), "kept": pa.binary(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64()})
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -507,7 +418,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a part gets the names of about a tenth of the bytes, at some 4 bytes each
     parts = max(2 * spark.sparkContext.defaultParallelism, size // (PART_BYTES * 2) + 1)
-    named = materialise(rows.mapInArrow(lambda b: _cut_runs(b, folder, parts), "part int, run string, names binary, many binary"), "suffix-names")
+    named = materialise(rows.mapInArrow(lambda b: cut_runs(b, folder, RUN_BYTES, _names_by_part(parts)), "part int, run string, names binary, many binary"), "suffix-names")
     by_part = named.filter("part >= 0").repartition("part").sortWithinPartitions("part", "run")
     repeated = by_part.mapInArrow(_repeated_names, "run string, names binary")
     suffixes = repeated.repartition("run").sortWithinPartitions("run").mapInArrow(lambda b: _suffix_runs(b, folder, parts), "part int, run string, suffixes binary")
