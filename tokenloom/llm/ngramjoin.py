@@ -1,21 +1,26 @@
 """Exact Jaccard self-join of word-shingle sets by prefix trees, and its connected components.
 
-1. Each text becomes a set of 64-bit keys of its 5-word shingles; texts of equal sets are one class, whose member of
-   smallest doc_id stands for it.
-2. All sets are ordered alike: keys that many documents hold come last, else by value. Two sets that reach the threshold
-   share a key among the first (1 - t) n + 1 of each. Those prefixes are dealt by key; the smallest document under a key
-   is its centre, and each document is paired with the centres of its prefix keys. All documents that share a prefix
-   key with each other thus meet under one centre.
-3. Under each centre the sets go into a prefix tree; every set walks the tree, paths that sets share are compared once,
-   and subtrees are left as soon as the keys that remain cannot reach the needed overlap. Sets that are already linked
-   are not compared again, so a group of copies costs no more than its size.
-   A centre with more than GROUP members is split into blocks, each with the centre itself; what the blocks and the
-   components leave unlinked is then compared block against block.
-4. Links go through connected components. Nothing but counts comes to the driver.
+1. Each text becomes a set of 64-bit keys of its 5-word shingles. Runs of documents are written to the shared folder and
+   tell each part of the key space their distinct keys; parts tell the runs which keys other sets have too, in classes
+   of how many. Copies within a run count once.
+2. All sets are ordered alike: keys of one set alone first, then by class, then by value. Two sets that reach the
+   threshold t share a key among the first (1 - t) n + 1 of each. A set with that many keys of its own links with
+   nothing, which leaves near copies and little else. Sets that are equal are one class from here on.
+3. The prefixes are dealt by key; the smallest document under a key is its centre, and each document belongs to the
+   centres of its prefix keys. Documents that share a prefix key with each other thus meet under one centre.
+4. First each document goes to one centre, the one it shares most prefix keys with. There the sets go into a prefix
+   tree; every set walks the tree, what sets share at their beginning is compared once, and subtrees are left as soon
+   as the keys that remain cannot reach the needed overlap. Sets that are already linked are not compared again. A
+   centre of more than GROUP members is split into blocks, each with the centre itself.
+5. Links go through connected components. Centres whose members are now one component are done; in the others, members
+   outside the centre's component are compared with all its members, block against block. So all pairs that share a
+   prefix key are compared or already connected.
+
+Only counts and row numbers come to the driver.
 
 Null and empty texts and texts without a word have the empty set and link with nothing. A text of fewer words than a
 shingle is one shingle. Rows without a doc_id have a set but link with nothing and have no component. Rows of one doc_id
-share a component. Equality of shingles is that of 64-bit keys.
+share a component. Equality of shingles is that of 62-bit keys.
 """
 
 from __future__ import annotations
@@ -24,20 +29,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, drop, materialise, small_batches, utf8
+from .common import blocks, materialise, scratch_path, small_batches
 from .components import components
 from .hashing import counter, mix, prefix_hash, span_hash, word_spans
+from .runs import NOBODY, columns, cut_runs, groups, pack_sorted, part_of, read_file, rows_of, slices, unpack_sorted
 
 SHINGLE = 5
 PERCENT = 75
 #: Members of a centre that one task compares at most.
 GROUP = 1000
-#: Frequent keys that the order puts last, at most, and the share of a batch's rows from which a key counts as frequent.
-FREQUENT, FREQUENT_SHARE = 1 << 16, 0.01
-FILTER_BITS = 1 << 25
+#: Bits of a key that travel in step 1. Keys that only seem equal make an order a little worse, no more.
+NAME_BITS = 48
+RUN_BYTES = 16 << 20
+PART_BYTES = 16 << 20
+#: A key is in class 1, 2 or 3 if at least so many sets have it, about.
+CLASS_FROM = np.array([2, 8, 64])
 #: Parts over which the rows of one text are spread while they look up their class.
 SALTS = 8
 
@@ -46,11 +56,10 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLACES = counter(SHINGLE, 77) | np.uint64(1)
-_LAST = np.uint64(1 << 63)
 
 
 def shingle_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys (below 2^63) of every row end to end, and the rows' offsets in them."""
+    """Sorted distinct keys (below 2^62) of every row end to end, and the rows' offsets in them."""
     starts, ends, first = word_spans(_LOWER[data], offsets, _SPACE)
     words = span_hash(prefix_hash(_LOWER[data]), starts, ends)
     counts = np.diff(first)
@@ -65,7 +74,7 @@ def shingle_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         for k in range(SHINGLE):
             part = padded[at + k]
             keys += np.where(short & (k >= counts[row]), np.uint64(0), part) * _PLACES[k]
-        keys = mix(keys + np.where(short, counts[row], SHINGLE).astype(np.uint64)) >> np.uint64(1)
+        keys = mix(keys + np.where(short, counts[row], SHINGLE).astype(np.uint64)) >> np.uint64(2)
     order = np.lexsort((keys, row))
     keys, row = keys[order], row[order]
     fresh = np.ones(len(keys), bool)
@@ -74,59 +83,90 @@ def shingle_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return keys, np.searchsorted(row, np.arange(len(counts) + 1))
 
 
-def _parts(batches, text_at: int):
-    """(batch slice, keys, offsets) of about a MB of text each."""
-    for b in batches:
-        data, offsets = utf8(b.column(text_at))
-        for lo, hi in blocks(offsets):
-            keys, at = shingle_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield b.slice(lo, hi - lo), keys, at
+def _blocks(data: np.ndarray, offsets: np.ndarray):
+    """(first row, end row, keys, offsets) of about a MB of text each."""
+    for lo, hi in blocks(offsets):
+        yield lo, hi, *shingle_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
 def _digest(keys: np.ndarray) -> bytes:
     return hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
 
 
-def summarise(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, digest, key, rows): a row per document, and rows with only `key` and `rows` for keys frequent in a batch."""
-
-    def run(batches):
-        for b in batches:
-            seen: list[np.ndarray] = []
-            for part, keys, at in _parts([b], 1):
-                n = np.diff(at)
-                digests = [_digest(keys[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                nothing = pa.nulls(len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(digests, pa.binary()), nothing, nothing], names=["doc_id", "n", "digest", "key", "rows"])
-                seen.append(keys)
-            keys = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
-            least = max(4, int(FREQUENT_SHARE * b.num_rows))
-            if len(keys) >= least:
-                runs = np.flatnonzero(keys[least - 1 :] == keys[: len(keys) - least + 1])
-                often = np.unique(keys[runs])
-                count = np.searchsorted(keys, often, "right") - np.searchsorted(keys, often)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.binary()), pa.array(often.astype(np.int64)), pa.array(count.astype(np.int64))], names=["doc_id", "n", "digest", "key", "rows"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n long, digest binary, key long, rows long")
-
-
-def _frequent(summary: DataFrame) -> np.ndarray:
-    """The FREQUENT most frequent keys. They only shape the order: any choice gives the same links."""
-    top = summary.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("rows").alias("rows")).orderBy(F.desc("rows"), "key").limit(FREQUENT)
-    return np.sort(top.select("key").toPandas()["key"].to_numpy(np.uint64))
-
-
-def _ordered(keys: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Each row's keys with frequent ones marked by the top bit, ascending."""
-    if not len(frequent) or not len(keys):
-        return keys
-    place = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
-    hot = frequent[place] == keys
-    if not hot.any():
-        return keys
-    marked = np.where(hot, keys | _LAST, keys)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    return marked[np.lexsort((marked, row))]
+def _short(keys: np.ndarray) -> np.ndarray:
+    return keys >> np.uint64(62 - NAME_BITS)
+
+
+def _tell_keys(parts: int):
+    def tell(run: str, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        """A row for each document, and one for each part with the run's keys there and how many of its sets have them."""
+        rows, seen, found = [], set(), []
+        for lo, _, keys, at in _blocks(data, offsets):
+            fresh = np.zeros(len(keys), bool)
+            for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                d = _digest(keys[i:j])
+                rows.append((None if ids[lo + k] == NOBODY else int(ids[lo + k]), j - i, d, None, run, None, None))
+                fresh[i:j] = d not in seen
+                seen.add(d)
+            found.append(_short(keys[fresh]))
+        names = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        head = np.ones(len(names), bool)
+        head[1:] = names[1:] != names[:-1]
+        heads = np.flatnonzero(head)
+        count = np.minimum(np.diff(np.append(heads, len(names))), 255).astype(np.uint8)
+        names = names[heads]
+        for p, lo, hi in slices(part_of(names, NAME_BITS, parts)):
+            rows.append((None, None, None, p, run, pack_sorted(names[lo:hi]), zstandard.ZstdCompressor(level=1).compress(count[lo:hi].tobytes())))
+        return rows_of(rows, {"doc_id": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "part": pa.int32(), "run": pa.string(), "names": pa.binary(), "counts": pa.binary()})
+
+    return tell
+
+
+def _classify(batches):
+    """Per part: the keys that more than one set has, with their classes, back to the runs that hold them."""
+    for _, rows in groups(batches, 1):
+        names = [unpack_sorted(blob) for _, blob, _ in rows]
+        counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.uint8) for _, _, c in rows]
+        every = np.concatenate(names)
+        order = np.argsort(every, kind="stable")
+        every, count = every[order], np.concatenate(counts)[order].astype(np.int64)
+        heads = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        total = np.add.reduceat(count, heads) if len(heads) else count
+        shared, total = every[heads][total > 1], total[total > 1]
+        del every, count, order
+        out = []
+        for (run, _, _), own in zip(rows, names, strict=True):
+            at = np.minimum(np.searchsorted(shared, own), max(0, len(shared) - 1))
+            hit = shared[at] == own if len(shared) else np.zeros(len(own), bool)
+            if hit.any():
+                kind = np.searchsorted(CLASS_FROM, total[at[hit]], "right").astype(np.uint8)
+                out.append((run, pack_sorted(own[hit]), zstandard.ZstdCompressor(level=1).compress(kind.tobytes())))
+        yield rows_of(out, {"run": pa.string(), "names": pa.binary(), "kinds": pa.binary()})
+
+
+def _candidates(batches, folder: str):
+    """(digest, rep, n, keys): each run's sets that may link, once each, with their shared keys in the common order."""
+    for (run,), rows in groups(batches, 1):
+        parts = sorted(((unpack_sorted(n), np.frombuffer(zstandard.ZstdDecompressor().decompress(k), np.uint8)) for n, k in rows), key=lambda x: int(x[0][0]))
+        shared, kinds = np.concatenate([n for n, _ in parts]), np.concatenate([k for _, k in parts]).astype(np.uint64)
+        ids, data, offsets = columns(read_file(folder, f"{run}.parquet"))
+        found: dict[bytes, tuple[int, int, bytes]] = {}
+        for lo, _, keys, at in _blocks(data, offsets):
+            short = _short(keys)
+            place = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
+            hit = shared[place] == short
+            before = np.concatenate(([0], np.cumsum(hit)))[at]
+            n, m = np.diff(at), np.diff(before)
+            marked = keys[hit] | (kinds[place[hit]] << np.uint64(62))
+            for k in np.flatnonzero((n > 0) & (n - m < prefix_length(n)) & (ids[lo : lo + len(n)] != NOBODY)).tolist():
+                d, rep = _digest(keys[at[k] : at[k + 1]]), int(ids[lo + k])
+                if d in found:
+                    found[d] = (min(found[d][0], rep), *found[d][1:])
+                else:
+                    found[d] = (rep, int(n[k]), np.sort(marked[before[k] : before[k + 1]]).tobytes())
+        items = [(d, *x) for d, x in found.items()]
+        for k in range(0, len(items), 500):
+            yield rows_of(items[k : k + 500], {"digest": pa.binary(), "rep": pa.int64(), "n": pa.int64(), "keys": pa.binary()})
 
 
 def prefix_length(n: np.ndarray | int):
@@ -139,106 +179,72 @@ def needed(a: int, b: int) -> int:
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
-def _prefixes(docs: DataFrame, frequent, id_col: str, text_col: str) -> DataFrame:
-    """(digest, rep, n, prefix) per class of equal sets."""
-
-    def run(batches):
-        for b in batches:
-            seen: dict[bytes, list] = {}
-            for part, keys, at in _parts([b], 1):
-                ordered = _ordered(keys, at, frequent.value)
-                for i, lo, hi in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    if i is None or lo == hi:
-                        continue
-                    d = _digest(keys[lo:hi])
-                    if d in seen:
-                        seen[d][0] = min(seen[d][0], i)
-                    else:
-                        seen[d] = [i, ordered[lo : lo + prefix_length(hi - lo)].astype(np.int64)]
-            sizes = np.array([len(x[1]) for x in seen.values()], np.int64)
-            flat = np.concatenate([x[1] for x in seen.values()]) if seen else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([x[0] for x in seen.values()], pa.int64()), lists], names=["digest", "rep", "prefix"])
-
-    made = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "digest binary, rep long, prefix array<long>")
-    return made.groupBy("digest").agg(F.min("rep").alias("rep"), F.first("prefix").alias("prefix"))
-
-
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS of the ids, put together on the executors; it spares most documents a second shuffle."""
-    at = F.pmod(F.xxhash64("u"), F.lit(FILTER_BITS))
-    words = ids.select((at / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(u), {FILTER_BITS}), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
-
-
-def _sets(docs: DataFrame, bits, frequent, id_col: str, text_col: str) -> DataFrame:
-    """(u, keys) of the documents whose id passes the filter."""
-
-    def run(batches):
-        for b in batches:
-            place = b.column(2).to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(((bits.value[place >> 6].view(np.uint64) >> (place & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)))
-            for part, keys, at in _parts([b], 1):
-                ordered = _ordered(keys, at, frequent.value)
-                raw = [ordered[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["u", "keys"])
-
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("u"), F.col(text_col).alias("text"))
-    return rows.withColumn("place", F.pmod(F.xxhash64("u"), F.lit(FILTER_BITS))).mapInArrow(run, "u long, keys binary").filter(F.length("keys") > 0).distinct()
+def _prefixes(batches):
+    """(u, key) of the shared keys in each set's prefix."""
+    for b in batches:
+        us, keys = [], []
+        for u, n, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            mine = np.frombuffer(raw, np.uint64)
+            mine = mine[: max(0, prefix_length(n) - (n - len(mine)))]
+            us.append(np.full(len(mine), u))
+            keys.append(mine.astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us) if us else [], pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["u", "key"])
 
 
 class PrefixTree:
-    """Ordered key sets as a path-compressed tree; a walk compares what sets share once and leaves hopeless subtrees."""
+    """Ordered key sets as a path-compressed tree; a walk compares what sets share once and leaves hopeless subtrees.
+
+    A set is its size n and those of its keys that other sets have; the rest of its n keys meet nothing.
+    """
 
     def __init__(self) -> None:
-        # node: [keys of its path piece, children by first key, members that end here, least and most keys of sets below, components below]
-        self.root = [np.zeros(0, np.uint64), {}, [], 1 << 60, 0]
+        # a node: keys of its piece of the path, children by first key, members that end here as (name, n), and of the
+        # sets below it the least n, the greatest n and the most keys
+        self.root: list = [np.zeros(0, np.uint64), {}, [], 1 << 60, 0, 0]
 
-    def add(self, name: int, keys: np.ndarray) -> None:
-        node, at, n = self.root, 0, len(keys)
+    def add(self, name: int, n: int, keys: np.ndarray) -> None:
+        node, at, size = self.root, 0, len(keys)
         while True:
-            node[3], node[4] = min(node[3], n), max(node[4], n)
-            if at == n:
-                node[2].append(name)
+            node[3], node[4], node[5] = min(node[3], n), max(node[4], n), max(node[5], size)
+            if at == size:
+                node[2].append((name, n))
                 return
             child = node[1].get(int(keys[at]))
             if child is None:
-                node[1][int(keys[at])] = [keys[at:], {}, [name], n, n]
+                node[1][int(keys[at])] = [keys[at:], {}, [(name, n)], n, n, size]
                 return
             piece = child[0]
-            m = min(len(piece), n - at)
+            m = min(len(piece), size - at)
             differ = np.flatnonzero(piece[:m] != keys[at : at + m])
             same = int(differ[0]) if len(differ) else m
             if same < len(piece):
-                below = [piece[same:], child[1], child[2], child[3], child[4]]
+                below = [piece[same:], *child[1:]]
                 child[0], child[1], child[2] = piece[:same], {int(piece[same]): below}, []
             node, at = child, at + same
 
-    def partners(self, keys: np.ndarray, skip) -> list[int]:
-        """Members whose sets reach the threshold with keys; those for which skip(name) holds are passed over."""
-        n, out = len(keys), []
+    def partners(self, n: int, keys: np.ndarray, skip) -> list[int]:
+        """Members whose sets reach the threshold with the walker's; those for which skip(name) holds are passed over."""
+        size, out = len(keys), []
+        if not size:
+            return out
         stack = [(child, 0, 0, 0) for child in self.root[1].values()]
         while stack:
             node, mine, depth, overlap = stack.pop()
-            piece = node[0]
-            if not node[1] and all(skip(x) for x in node[2]):
+            piece, children, members, least_n, most_n, most_keys = node
+            if not children and all(skip(x) for x, _ in members):
                 continue
-            # mine: keys of the walker below this piece; the piece and all below it lie after them in the order
-            least = needed(n, max(node[3], -(-PERCENT * n // 100)))
-            if 100 * node[3] * PERCENT > 100 * 100 * n or 100 * node[4] < PERCENT * n:
+            # sizes further apart than the threshold allows, or too few keys left on either side of this place
+            if PERCENT * least_n > 100 * n or 100 * most_n < PERCENT * n:
                 continue
-            if overlap + min(n - mine, node[4] - depth) < least:
+            least = needed(n, max(least_n, -(-PERCENT * n // 100)))
+            if overlap + min(size - mine, most_keys - depth) < least:
                 continue
             place = np.searchsorted(keys, piece)
-            overlap += int((keys[np.minimum(place, n - 1)] == piece).sum())
+            overlap += int((keys[np.minimum(place, size - 1)] == piece).sum())
             mine, depth = int(np.searchsorted(keys, piece[-1], "right")), depth + len(piece)
-            if node[2]:
-                if overlap >= needed(n, depth):
-                    out += [x for x in node[2] if not skip(x)]
-            if node[1] and overlap + min(n - mine, node[4] - depth) >= least:
-                stack += [(child, mine, depth, overlap) for child in node[1].values()]
+            out += [x for x, other in members if overlap >= needed(n, other) and not skip(x)]
+            if overlap + min(size - mine, most_keys - depth) >= least:
+                stack += [(child, mine, depth, overlap) for child in children.values()]
         return out
 
 
@@ -261,51 +267,39 @@ class _Union:
         return a != b
 
 
-def link(members: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndarray]] | None = None, same=None) -> list[tuple[int, int]]:
+Member = tuple[int, int, np.ndarray]
+
+
+def link(members: list[Member], others: list[Member] | None = None, same: dict | None = None) -> list[tuple[int, int]]:
     """Links that connect the members (or members with others) as all pairs within the threshold would; same: names already connected."""
     union, tree, out = _Union(), PrefixTree(), []
     for group in (same or {}).values():
         for x in group[1:]:
             union.join(group[0], x)
 
-    def meet(name: int, keys: np.ndarray) -> None:
-        for x in tree.partners(keys, lambda y: union.find(y) == union.find(name)):
+    def meet(name: int, n: int, keys: np.ndarray) -> None:
+        for x in tree.partners(n, keys, lambda y: union.find(y) == union.find(name)):
             if union.join(name, x):
                 out.append((name, x))
 
-    for name, keys in members:
+    for member in members:
         if others is None:
-            meet(name, keys)
-        tree.add(name, keys)
-    for name, keys in others or []:
-        meet(name, keys)
+            meet(*member)
+        tree.add(*member)
+    for member in others or []:
+        meet(*member)
     return out
 
 
-def _runs(batches, columns: int):
-    """Rows of equal leading columns, as lists, from a stream sorted by them."""
-    now, rows = None, []
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if row[:columns] != now:
-                if rows:
-                    yield now, rows
-                now, rows = row[:columns], []
-            rows.append(row[columns:])
-    if rows:
-        yield now, rows
-
-
 def _pairs_out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["u", "v"])
+    return rows_of(pairs, {"u": pa.int64(), "v": pa.int64()})
 
 
 def _link_blocks(batches):
-    """(centre, block), u, keys -> links."""
+    """(centre, block), u, n, keys -> links."""
     found = []
-    for _, rows in _runs(batches, 2):
-        members = {u: np.frombuffer(k, np.uint64) for u, k in rows}
-        found += link(sorted(members.items(), key=lambda x: (len(x[1]), x[0])))
+    for _, rows in groups(batches, 2):
+        found += link(sorted({u: (u, n, np.frombuffer(k, np.uint64)) for u, n, k in rows}.values(), key=lambda x: (x[1], x[0])))
         if len(found) > 50_000:
             yield _pairs_out(found)
             found = []
@@ -313,63 +307,71 @@ def _link_blocks(batches):
 
 
 def _link_across(batches):
-    """(centre, left, right), side, component, u, keys -> links between the sides."""
+    """(centre, left, right), side, component, u, n, keys -> links between the sides."""
     found = []
-    for _, rows in _runs(batches, 3):
-        sides: dict[int, dict[int, np.ndarray]] = {0: {}, 1: {}}
+    for _, rows in groups(batches, 3):
+        sides: tuple[dict, dict] = ({}, {})
         same: dict[int, list[int]] = {}
-        for side, component, u, k in rows:
-            sides[side][u] = np.frombuffer(k, np.uint64)
+        for side, component, u, n, k in rows:
+            sides[side][u] = (u, n, np.frombuffer(k, np.uint64))
             same.setdefault(component, []).append(u)
-        found += link(sorted(sides[0].items()), sorted(sides[1].items()), same)
+        found += link(list(sides[0].values()), list(sides[1].values()), same)
     yield _pairs_out(found)
 
 
+def _linked(dealt: DataFrame, sets: DataFrame, keys: list[str], how) -> DataFrame:
+    """Links of the sets that stand together under the keys."""
+    return dealt.join(sets.select("u", "n", "keys"), "u").select(*keys, *[c for c in dealt.columns if c not in (*keys, "u")], "u", "n", "keys").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(how, "u long, v long")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    summary = materialise(summarise(docs, id_col, text_col), "shingle-summary")
-    frequent = spark.sparkContext.broadcast(_frequent(summary))
-    reps = materialise(_prefixes(docs, frequent, id_col, text_col), "shingle-prefixes")
-    keyed = reps.select("rep", F.explode("prefix").alias("key")).repartition("key")
-    under = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    pairs = materialise(keyed.join(under, "key").filter("rep <> centre").select("centre", F.col("rep").alias("u")).distinct(), "shingle-pairs")
-
-    members = pairs.unionByName(pairs.select("centre", F.col("centre").alias("u")).distinct())
-    bits = spark.sparkContext.broadcast(_id_filter(members.select("u").distinct()))
-    sets = materialise(_sets(docs, bits, frequent, id_col, text_col), "shingle-sets")
-    sized = pairs.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
+    folder = scratch_path(spark, "shingle-runs")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2 * spark.sparkContext.defaultParallelism, size // PART_BYTES + 1)
+    told = materialise(rows.mapInArrow(lambda b: cut_runs(b, folder, RUN_BYTES, _tell_keys(parts)), "doc_id long, n long, digest binary, part int, run string, names binary, counts binary"), "shingle-keys")
+    shared = told.filter("part is not null").select("part", "run", "names", "counts").repartition("part").sortWithinPartitions("part", "run").mapInArrow(_classify, "run string, names binary, kinds binary")
+    single = shared.repartition("run").sortWithinPartitions("run").mapInArrow(lambda b: _candidates(b, folder), "digest binary, rep long, n long, keys binary")
+    sets = materialise(single.groupBy("digest").agg(F.min("rep").alias("u"), F.first("n").alias("n"), F.first("keys").alias("keys")), "shingle-sets")
+
+    keyed = sets.select("u", "n", "keys").mapInArrow(_prefixes, "u long, key long").repartition("key")
+    under = keyed.groupBy("key").agg(F.min("u").alias("centre"), F.count("*").alias("sets")).filter("sets > 1")
+    met = materialise(keyed.join(under, "key").filter("u <> centre").groupBy("centre", "u").agg(F.count("*").alias("common")), "shingle-centres")
+
+    best = met.groupBy("u").agg(F.max_by("centre", F.struct("common", -F.col("centre"))).alias("centre"))
+    sized = best.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("u"), F.col("blocks").cast("long")).cast("int")
-    dealt = pairs.join(sized, "centre").select("centre", block.alias("block"), "u")
-    centres = sized.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("centre").alias("u"))
-    filled = dealt.unionByName(centres).join(sets, "u").select("centre", "block", "u", "keys")
-    links = materialise(filled.repartition("centre", "block").sortWithinPartitions("centre", "block").mapInArrow(_link_blocks, "u long, v long"), "shingle-links")
-
-    # split centres: members that the first round left outside their centre's component meet all of its blocks
-    split = sized.filter("blocks > 1")
-    if not split.isEmpty():
-        split = materialise(split, "shingle-split")
-        found = components(links)
-        inside = materialise(dealt.join(split.select("centre"), "centre", "left_semi").join(found, "u", "left").select("centre", "block", "u", F.coalesce("component", "u").alias("component")), "shingle-inside")
-        home = found.select(F.col("u").alias("centre"), F.col("component").alias("home"))
-        outside = inside.join(home, "centre", "left").filter(F.col("component") != F.coalesce("home", "centre")).select("centre", "block", "u", "component")
-        blocks_of = outside.groupBy("centre").agg(F.count("*").alias("n")).select("centre", F.ceil(F.col("n") / F.lit(GROUP)).cast("int").alias("parts"))
-        left = outside.join(blocks_of, "centre").join(split, "centre").select("centre", F.pmod(F.xxhash64("u", F.lit(1)), F.col("parts").cast("long")).cast("int").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"), F.lit(0).alias("side"), "component", "u")
-        right = inside.join(blocks_of, "centre").select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("left"), F.col("block").alias("right"), F.lit(1).alias("side"), "component", "u")
-        across = left.unionByName(right).join(sets, "u").select("centre", "left", "right", "side", "component", "u", "keys")
-        more = across.repartition("centre", "left", "right").sortWithinPartitions("centre", "left", "right").mapInArrow(_link_across, "u long, v long")
-        links = materialise(links.unionByName(more), "shingle-links")
-
+    dealt = best.join(sized, "centre").select("centre", block.alias("block"), "u").unionByName(sized.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("centre").alias("u")))
+    links = materialise(_linked(dealt, sets, ["centre", "block"], _link_blocks), "shingle-links")
     found = components(links)
-    labelled = materialise(reps.select("digest", "rep").join(found.withColumnRenamed("u", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "shingle-classes")
-    drop(reps, sets, pairs)
-    rows = summary.filter(F.col("digest").isNotNull())
-    empty = rows.filter((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    # copies of one text are spread over SALTS parts while they look up their class
-    salted = labelled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    kept = rows.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return kept.join(salted, ["digest", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(empty)
+
+    # members outside their centre's component meet all members of the centre
+    members = met.select("centre", "u").unionByName(met.select("centre", F.col("centre").alias("u")).distinct())
+    inside = materialise(members.join(found, "u", "left").select("centre", "u", F.coalesce("component", "u").alias("component")), "shingle-members")
+    home = inside.filter("u = centre").select("centre", F.col("component").alias("home"))
+    outside = inside.join(home, "centre").filter("component <> home").select("centre", "u", "component")
+    left_parts = outside.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("lefts"))
+    right_parts = inside.join(left_parts, "centre").groupBy("centre", "lefts").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("rights"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pick = lambda n, seed: F.pmod(F.xxhash64("u", F.lit(seed)), F.col(n).cast("long")).cast("int")
+    left = outside.join(right_parts, "centre").select("centre", pick("lefts", 1).alias("left"), spread("rights").alias("right"), F.lit(0).alias("side"), "component", "u")
+    right = inside.join(right_parts, "centre").select("centre", spread("lefts").alias("left"), pick("rights", 2).alias("right"), F.lit(1).alias("side"), "component", "u")
+    more = materialise(_linked(left.unionByName(right), sets, ["centre", "left", "right"], _link_across), "shingle-links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+
+    # every row finds its class: equal sets by their digest, linked ones by their component
+    summary = told.filter("digest is not null").select("doc_id", "n", "digest")
+    filled = summary.filter("n > 0 and doc_id is not null")
+    linked = sets.select("digest", "u").join(found, "u").select("digest", "component")
+    equal = filled.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(linked, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = filled.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
+    rest = summary.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
