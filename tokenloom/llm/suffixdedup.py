@@ -45,7 +45,7 @@ STRETCH = 64
 #: Bits of a name that travel in step 2. Names that only seem equal cost a suffix's journey, no more.
 NAME_BITS = 48
 #: Bytes of a run's names that a part receives, about.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
