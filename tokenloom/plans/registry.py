@@ -2,12 +2,324 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenloom import model as m
+from tokenloom.functions.text import key_order, pixels
+from tokenloom.operators import extract, infer, reconcile
+from tokenloom.operators.extract import provenance
+from tokenloom.plans import requests, synth
+from tokenloom.plans.oracles import ORACLES
+from tokenloom.session import table
+from tokenloom.sources import rest
+from tokenloom.streaming.watch import latest_valid
+
 FLAGSHIP = "reconcile_tokens"
+TRUTH = "figma"
+_QUERIES: dict = {}
+
+
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _files(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return synth.made(spark, d, getattr(synth, kind)("spark"))
+
+
+def _bar(c: str) -> Column:
+    return F.array_join(c, "|")
+
+
+# ---- extraction
+
+
+@query
+def css_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return extract.css_tokens(_files(spark, d, "css_files")).select("file", "name", "value")
+
+
+@query
+def css_token_lines(spark: SparkSession, d: str) -> DataFrame:
+    return extract.css_tokens(_files(spark, d, "css_files")).select("file", "name", "line")
+
+
+@query
+def css_alias_skip(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.matches(_files(spark, d, "css_files"), m.CSS_VARIABLE)
+    return found.groupBy("file").agg(F.count_if(F.col("value").rlike(m.ALIAS)).alias("n_alias"), F.count("*").alias("n_all"))
+
+
+@query
+def ts_color_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return extract.ts_color_tokens(_files(spark, d, "ts_files")).select("file", "name", "value", "line")
+
+
+@query
+def categorize_css(spark: SparkSession, d: str) -> DataFrame:
+    return extract.css_tokens(_files(spark, d, "css_files")).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
+
+
+@query
+def px_values(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.css_tokens(_files(spark, d, "css_files"))
+    return found.select("name", "value", pixels(F.col("value")).alias("px")).filter("px is not null")
+
+
+@query
+def css_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    won = extract.codebase_tokens(_files(spark, d, "css_files"))
+    return won.select("category", "name", "value", F.col("source.file").alias("file"), F.col("source.line").alias("line"), F.col("ord.b").alias("first_file"))
+
+
+@query
+def ts_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    return extract.codebase_tokens(_files(spark, d, "ts_files")).select("category", "name", "value", F.col("source.file").alias("file"), F.col("source.line").alias("line"))
+
+
+@query
+def distinct_radius(spark: SparkSession, d: str) -> DataFrame:
+    found = extract.css_tokens(_files(spark, d, "css_files")).filter("category = 'borderRadius'")
+    return found.groupBy("file").agg(F.count_distinct("value").alias("n_values"), F.array_join(F.array_sort(F.collect_set("value")), "|").alias("radius_values"))
+
+
+@query
+def component_names(spark: SparkSession, d: str) -> DataFrame:
+    return extract.component_names(_files(spark, d, "tsx_files")).select("file", "name", "line")
+
+
+@query
+def component_props(spark: SparkSession, d: str) -> DataFrame:
+    found = _files(spark, d, "tsx_files").select("file", F.explode(extract.props(F.col("content"))).alias("prop", "p"))
+    return found.select("file", "prop", F.col("p.type").alias("kind"), F.col("p.required").alias("required"))
+
+
+# ---- design tool and catalogue
+
+
+@query
+def figma_hex(spark: SparkSession, d: str) -> DataFrame:
+    return rest.figma_variables(_files(spark, d, "variable_documents")).filter("category = 'colors'").select("id", "value")
+
+
+@query
+def figma_names(spark: SparkSession, d: str) -> DataFrame:
+    return rest.figma_variables(_files(spark, d, "variable_documents")).select("id", "name", "category")
+
+
+@query
+def figma_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return rest.figma_tokens(_files(spark, d, "variable_documents")).select("category", "name", "value", F.col("source.metadata.variableId").alias("variable_id"), F.col("source.metadata.collectionName").alias("collection"))
+
+
+@query
+def figma_components(spark: SparkSession, d: str) -> DataFrame:
+    return rest.figma_components(_files(spark, d, "component_documents")).select("name", F.col("source.metadata.nodeId").alias("node_id"), F.col("source.metadata.componentKey").alias("component_key"))
+
+
+@query
+def story_groups(spark: SparkSession, d: str) -> DataFrame:
+    return rest.story_groups(_files(spark, d, "manifest_documents")).select("title", "name", _bar("variants").alias("variants"), _bar("storyIds").alias("story_ids"), "file")
+
+
+@query
+def story_components(spark: SparkSession, d: str) -> DataFrame:
+    return rest.storybook_components(_files(spark, d, "manifest_documents")).select("name", F.col("source.metadata.title").alias("title"), F.col("source.file").alias("file"), _bar("variants").alias("variants"))
+
+
+# ---- reconciliation
+
+
+def _place() -> Column:
+    return F.struct(F.lit(0).alias("a"), F.lit("").alias("b"), F.col("first").cast("int").alias("c"))
+
+
+def _adapters(build) -> Column:
+    """A source struct by source_ord, in the order of the adapters."""
+    chosen = None
+    for k, name in enumerate(m.ADAPTERS):
+        chosen = F.when(F.col("source_ord") == k, build(name)) if chosen is None else chosen.when(F.col("source_ord") == k, build(name))
+    return chosen
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    made = synth.made(spark, d, synth.SOURCE_TOKENS)
+    names = F.element_at(F.array(*map(F.lit, m.ADAPTERS)), F.col("source_ord") + 1)
+    return made.select("category", "name", "value", _adapters(provenance).alias("source"), _place().alias("ord"), names.alias("source_name"), "source_ord")
+
+
+def _components(spark: SparkSession, d: str) -> DataFrame:
+    made = synth.made(spark, d, synth.SOURCE_COMPONENTS)
+    names = F.element_at(F.array(*map(F.lit, m.ADAPTERS)), F.col("source_ord") + 1)
+    source = _adapters(lambda name: provenance(name, F.col("file")))
+    return made.select("name", source.alias("source"), F.lit(None).cast("array<string>").alias("variants"), F.create_map().cast(m.PROPS).alias("props"), _place().alias("ord"), names.alias("source_name"), "source_ord")
+
+
+@query
+def reconcile_tokens(spark: SparkSession, d: str) -> DataFrame:
+    merged = reconcile.merge_tokens(_tokens(spark, d), TRUTH)
+    return merged.select("category", "name", "value", F.col("source_name").alias("source"), "n_sources", F.col("conflict").isNotNull().alias("conflict"))
+
+
+def _conflicts(spark: SparkSession, d: str) -> DataFrame:
+    tokens = reconcile.token_conflicts(reconcile.merge_tokens(_tokens(spark, d), TRUTH), TRUTH)
+    return tokens.unionByName(reconcile.component_conflicts(_components(spark, d), TRUTH))
+
+
+def _entry(s: Column) -> Column:
+    return F.concat(s["source"]["adapter"], F.lit("="), s["value"])
+
+
+@query
+def token_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    found = reconcile.token_conflicts(reconcile.merge_tokens(_tokens(spark, d), TRUTH), TRUTH)
+    return found.select("name", F.array_join(F.transform("sources", _entry), "|").alias("entries"), "actionable")
+
+
+@query
+def fix_messages(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.token_conflicts(reconcile.merge_tokens(_tokens(spark, d), TRUTH), TRUTH).select("name", F.col("suggestedFix").alias("fix"))
+
+
+@query
+def reconcile_components(spark: SparkSession, d: str) -> DataFrame:
+    return reconcile.merge_components(_components(spark, d), TRUTH).select("name", F.col("source.adapter").alias("adapter"), F.col("source.file").alias("file"), "n_sources")
+
+
+@query
+def component_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    found = reconcile.component_conflicts(_components(spark, d), TRUTH)
+    return found.select("name", _entry(F.element_at("sources", 1)).alias("held"), _entry(F.element_at("sources", 2)).alias("new"), "actionable")
+
+
+# ---- inference
+
+
+def _project_tokens(spark: SparkSession, d: str) -> DataFrame:
+    made = synth.made(spark, d, synth.PROJECT_TOKENS)
+    return made.withColumn("at", F.struct(reconcile.category_order(F.col("category"), F.lit(0)).alias("c"), key_order(F.col("name"), F.col("first")).alias("n")))
+
+
+def _project_components(spark: SparkSession, d: str) -> DataFrame:
+    made = synth.made(spark, d, synth.PROJECT_COMPONENTS)
+    entry = lambda prop: F.when(F.col(f"has_{prop}"), F.struct(F.lit(prop).alias("key"), F.struct(F.lit("x").alias("type"), F.lit(True).alias("required")).alias("value")))
+    props = F.map_from_entries(F.array_compact(F.array(*map(entry, ("variant", "size", "disabled")))))
+    return made.select("project", "name", props.alias("props"), F.col("first").alias("at"))
+
+
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    return infer.infer_rules(_project_tokens(spark, d), _project_components(spark, d), ("project",))
+
+
+@query
+def rule_spacing(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d).filter("category = 'spacing'").select("project", "id", "confidence", "rule", _bar("evidence").alias("evidence"))
+
+
+@query
+def rule_linear(spark: SparkSession, d: str) -> DataFrame:
+    """Values and distinct steps between sorted neighbours, from the facts that the rule reads."""
+    facts = infer.token_facts(_project_tokens(spark, d), ("project",)).filter("size(spacing_px) > 0")
+    steps = F.array_distinct(F.zip_with(F.slice("spacing_px", 2, F.size("spacing_px")), F.slice("spacing_px", 1, F.size("spacing_px") - 1), lambda a, b: a - b))
+    return facts.select("project", F.size("spacing_px").cast("long").alias("n"), F.size(steps).cast("long").alias("n_steps"))
+
+
+@query
+def rule_color(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d).filter("category = 'color'").select("project", "id", "confidence", _bar("evidence").alias("evidence"))
+
+
+@query
+def rule_radius(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d).filter("category = 'border-radius'").select("project", "id", "rule", _bar("evidence").alias("evidence"))
+
+
+@query
+def rule_typography(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d).filter("category = 'typography'").select("project", "id", _bar("evidence").alias("evidence"))
+
+
+@query
+def rule_naming(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d).filter("id in ('naming-kebab-case', 'naming-camel-case')").select("project", "id", _bar("evidence").alias("evidence"))
+
+
+@query
+def rule_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d).filter("id = 'naming-category-prefix'").select("project", "id", _bar("evidence").alias("evidence"))
+
+
+@query
+def rule_components(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d).filter("category = 'components'").select("project", "id", _bar("evidence").alias("evidence"))
+
+
+@query
+def inferred_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d).select("project", "id", "category")
+
+
+@query
+def rules_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _rules(spark, d).filter(F.col("category") == "color").select("project", "id")
+
+
+# ---- requests
+
+
+@query
+def category_counts(spark: SparkSession, d: str) -> DataFrame:
+    return requests.category_counts(reconcile.merge_tokens(_tokens(spark, d), TRUTH))
+
+
+@query
+def summary_counts(spark: SparkSession, d: str) -> DataFrame:
+    tokens = reconcile.merge_tokens(_tokens(spark, d), TRUTH).agg(F.count("*").alias("n_tokens"), F.count("conflict").alias("n_token_conflicts"))
+    components = reconcile.merge_components(_components(spark, d), TRUTH).agg(F.count("*").alias("n_components"))
+    conflicts = reconcile.component_conflicts(_components(spark, d), TRUTH).agg(F.count("*").alias("n_component_conflicts"))
+    one = lambda df: df.withColumn("k", F.lit(1))
+    return one(tokens).join(one(components), "k").join(one(conflicts), "k").select("n_tokens", "n_components", "n_token_conflicts", "n_component_conflicts")
+
+
+@query
+def token_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return requests.find_token(reconcile.in_order(reconcile.merge_tokens(_tokens(spark, d), TRUTH)), "blue-0").select("category", "name", "value")
+
+
+@query
+def component_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return requests.find_component(reconcile_components(spark, d), "BlueBolt0")
+
+
+@query
+def conflict_filter(spark: SparkSession, d: str) -> DataFrame:
+    return requests.filter_conflicts(_conflicts(spark, d), "component", "pending").select("type", "name", "actionable")
+
+
+@query
+def conflict_counts(spark: SparkSession, d: str) -> DataFrame:
+    return requests.conflict_counts(_conflicts(spark, d))
+
+
+@query
+def staleness(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("generated_at"))
+    return requests.staleness(orders, "1998-08-02 00:00:00").select("o_orderkey", "age_hours", "warning")
+
+
+@query
+def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The newest valid version of each user's document, as the watcher keeps it."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    versions = table(spark, d, "events").select("user_id", "event_id", "props", F.when(k % 7 != 0, k).alias("parsed"))
+    return latest_valid(versions, "user_id", "event_id", "props", "parsed")
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
