@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, materialise, scratch_path, small_batches
-from .hashing import prefix_hash, span_hash
+from .hashing import mix, prefix_hash, span_hash
 from .runs import NOBODY, columns, cut_runs, groups, pack, pack_sorted, part_of, read_file, rows_of, slices, unpack, unpack_sorted, write_file
 
 LENGTH = 50
@@ -82,7 +82,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         owner = np.repeat(np.arange(len(size)), parts)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         start, size = start[owner] + nth * STRETCH, np.minimum(STRETCH, size[owner] - nth * STRETCH)
-    return start, size, least[start]
+    # least values crowd at the low end: spread them, so that ranges of names are even parts
+    return start, size, mix(least[start])
 
 
 def _short(names: np.ndarray) -> np.ndarray:
