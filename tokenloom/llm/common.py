@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -82,6 +83,11 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         lo = min(hi, n)
 
 
-def clashless(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra or clashing ones never reach an operator."""
-    return docs.select(*names)
+def look_up(rows: DataFrame, found: DataFrame, key: str, spread_by: str, how: str = "inner", parts: int = 32) -> DataFrame:
+    """rows joined with `found`, which has one row for a key; a key that many rows have is spread over so many parts.
+
+    `found` is repeated in each part, the rows are dealt to them by a hash of spread_by.
+    """
+    salted = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int"))
+    return dealt.join(salted, [key, "__salt"], how).drop("__salt")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, scratch_path, small_batches
+from .common import blocks, look_up, materialise, scratch_path, small_batches
 from .components import components
 from .hashing import counter, mix, prefix_hash, span_hash, word_spans
 from .runs import NOBODY, columns, cut_runs, groups, pack_sorted, part_of, read_file, rows_of, slices, unpack_sorted
@@ -48,8 +48,6 @@ RUN_BYTES = 16 << 20
 PART_BYTES = 16 << 20
 #: A key is in class 1, 2 or 3 if at least so many sets have it, about.
 CLASS_FROM = np.array([2, 8, 64])
-#: Parts over which the rows of one text are spread while they look up their class.
-SALTS = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -344,7 +342,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     best = met.groupBy("u").agg(F.max_by("centre", F.struct("common", -F.col("centre"))).alias("centre"))
     sized = best.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("u"), F.col("blocks").cast("long")).cast("int")
-    dealt = best.join(sized, "centre").select("centre", block.alias("block"), "u").unionByName(sized.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("centre").alias("u")))
+    dealt = look_up(best, sized, "centre", "u").select("centre", block.alias("block"), "u").unionByName(sized.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("centre").alias("u")))
     links = materialise(_linked(dealt, sets, ["centre", "block"], _link_blocks), "shingle-links")
     found = components(links)
 
@@ -352,24 +350,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     members = met.select("centre", "u").unionByName(met.select("centre", F.col("centre").alias("u")).distinct())
     inside = materialise(members.join(found, "u", "left").select("centre", "u", F.coalesce("component", "u").alias("component")), "shingle-members")
     home = inside.filter("u = centre").select("centre", F.col("component").alias("home"))
-    outside = inside.join(home, "centre").filter("component <> home").select("centre", "u", "component")
+    outside = look_up(inside, home, "centre", "u").filter("component <> home").select("centre", "u", "component")
     left_parts = outside.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("lefts"))
-    right_parts = inside.join(left_parts, "centre").groupBy("centre", "lefts").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("rights"))
+    right_parts = look_up(inside, left_parts, "centre", "u").groupBy("centre", "lefts").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("rights"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pick = lambda n, seed: F.pmod(F.xxhash64("u", F.lit(seed)), F.col(n).cast("long")).cast("int")
-    left = outside.join(right_parts, "centre").select("centre", pick("lefts", 1).alias("left"), spread("rights").alias("right"), F.lit(0).alias("side"), "component", "u")
-    right = inside.join(right_parts, "centre").select("centre", spread("lefts").alias("left"), pick("rights", 2).alias("right"), F.lit(1).alias("side"), "component", "u")
+    left = look_up(outside, right_parts, "centre", "u").select("centre", pick("lefts", 1).alias("left"), spread("rights").alias("right"), F.lit(0).alias("side"), "component", "u")
+    right = look_up(inside, right_parts, "centre", "u").select("centre", spread("lefts").alias("left"), pick("rights", 2).alias("right"), F.lit(1).alias("side"), "component", "u")
     more = materialise(_linked(left.unionByName(right), sets, ["centre", "left", "right"], _link_across), "shingle-links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        found = components(found.select("u", F.col("component").alias("v")).unionByName(more))
 
     # every row finds its class: equal sets by their digest, linked ones by their component
     summary = told.filter("digest is not null").select("doc_id", "n", "digest")
     filled = summary.filter("n > 0 and doc_id is not null")
     linked = sets.select("digest", "u").join(found, "u").select("digest", "component")
     equal = filled.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(linked, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    salted = equal.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = filled.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"])
+    named = look_up(filled, equal, "digest", "doc_id")
     rest = summary.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
