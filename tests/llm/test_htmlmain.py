@@ -18,6 +18,16 @@ def test_article_among_everything_else():
     assert hm.main_text(page) == f"Head & line\n\n{PARA}\n\nShort one. Next line\n\n{PARA} with a link."
 
 
+@pytest.mark.parametrize("name", ["comments", "post-comments", "comment-body", "articleComments", "related-content", "newsletter-text", "main-menu", "ad", "cookie-content"])
+def test_boilerplate_by_name_within_an_article(name):
+    assert hm.main_text(f"<article><h1>Title</h1><p>{PARA}</p><div class='{name}'><p>{PARA} {PARA}</p></div><p>End.</p></article>") == f"Title\n\n{PARA}\n\nEnd."
+
+
+@pytest.mark.parametrize("name", ["article-header", "entry-header", "story-body", "content", "lead"])
+def test_article_parts_by_name(name):
+    assert hm.main_text(f"<article><div class='{name}'><h1>Title</h1><p>{PARA}</p></div><p>End.</p></article>") == f"Title\n\n{PARA}\n\nEnd."
+
+
 def test_without_article_element():
     page = f"<div id=wrap><div class=menu><a href=1>One</a> <a href=2>Two</a></div><div class=content><p>{PARA}</p><p>Yes.</p><p>{PARA}</p></div><div class=comments><p>{PARA}</p></div></div>"
     assert hm.main_text(page) == f"{PARA}\n\nYes.\n\n{PARA}"

@@ -39,6 +39,8 @@ NEGATIVE = frozenset(
     "popup modal overlay related recommended recommendations share sharing social sidebar rail skip subscribe subscription paywall widget "
     "notice notification disclaimer login signin signup search toolbar tagcloud tags trending outbrain taboola".split()
 )
+#: Of these, the ones that an article's own parts may have in their names too.
+AMBIGUOUS = frozenset("header masthead banner tags trending rail search toolbar".split())
 POSITIVE = frozenset("article story post entry content main body text prose".split())
 TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 dd figcaption li td".split())
 SMOOTH, SIBLING = 1.2, 0.6
@@ -109,9 +111,10 @@ class _Blocks(HTMLParser):
         if tag in ("html", "body", "article", "main"):
             return 0
         tokens = {t.lower() for t in _TOKEN.findall(f"{given.get('class', '')} {given.get('id', '')}")}
-        if not tokens & NEGATIVE:
+        found = tokens & NEGATIVE
+        if not found:
             return 0
-        return -1 if tokens & POSITIVE or (in_article and tokens & NEGATIVE <= {"header", "text"}) else -2
+        return -1 if found <= AMBIGUOUS and (in_article or tokens & POSITIVE) else -2
 
     def handle_endtag(self, tag):
         for k in range(len(self.stack) - 1, -1, -1):
