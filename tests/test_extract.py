@@ -57,3 +57,9 @@ def test_css_and_typescript_on_one_name(spark, writes, value):
 
 def test_empty(spark):
     assert extract.codebase_tokens(files(spark, ("a.css", ""), ("b.ts", ""))).count() == 0
+
+
+def test_white_space_is_more_than_ascii(spark):
+    odd = "  ﻿　"
+    got = [(r.name, r.value) for r in extract.css_tokens(files(spark, ("a.css", f"--a:{odd}4px{odd};--b: x;"))).orderBy("number").collect()]
+    assert got == [("a", "4px"), ("b", "x")]

@@ -26,7 +26,7 @@ def build(config_path: str | None = None) -> dict:
     parts = contracts.build(sources, config.sourceOfTruth)
     document = contracts.assemble(parts, [n for n, _, _ in sources], os.path.dirname(path), path)
     contracts.save(document, config.outputPath)
-    print(contracts.report(document, failed))
+    print(contracts.report(document, failed, contracts.source_counts(sources)))
     return document
 
 

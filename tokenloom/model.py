@@ -52,7 +52,7 @@ PROP = r"(\w+)(\?)?\s*:\s*([^;\n]+)"
 PIXELS = r"^(\d+(\.\d+)?)px$"
 
 #: What the patterns' white space means where they come from: more than Java's default.
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def java(pattern: str) -> str:

@@ -114,5 +114,6 @@ def category_order(category: Column, first: Column) -> Column:
 
 def in_order(merged: DataFrame) -> DataFrame:
     """Merged tokens with `at`, a sort key in the order of the document: category, then member order."""
+    # one row a category: its measured size lets the join be a broadcast at run time, and nothing here forces it
     new = merged.groupBy("category").agg(F.min("first").alias("category_first"))
-    return merged.join(F.broadcast(new), "category").withColumn("at", F.struct(category_order(F.col("category"), F.col("category_first")).alias("c"), key_order(F.col("name"), F.col("first")).alias("n"))).drop("category_first")
+    return merged.join(new, "category").withColumn("at", F.struct(category_order(F.col("category"), F.col("category_first")).alias("c"), key_order(F.col("name"), F.col("first")).alias("n"))).drop("category_first")

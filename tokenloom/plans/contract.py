@@ -103,9 +103,14 @@ def load(path: str, previous: dict | None = None) -> dict | None:
         return previous
 
 
-def report(contract: dict, failed: list[str] = ()) -> str:
-    """What a build found, for a terminal."""
-    lines = [f"failed: {f}" for f in failed]
+def source_counts(sources: list[tuple[str, DataFrame, DataFrame]]) -> list[tuple[str, int, int]]:
+    """(name, tokens, components) of each scanned source."""
+    return [(name, tokens.count(), components.count()) for name, tokens, components in sources]
+
+
+def report(contract: dict, failed: list[str] = (), counts: list[tuple[str, int, int]] = ()) -> str:
+    """What a build found, for a terminal: by source, the conflicts, and in all."""
+    lines = [f"{name}: {n} tokens, {k} components" for name, n, k in counts] + [f"failed: {f}" for f in failed]
     for c in contract["conflicts"]:
         lines.append(f"conflict: {c['type']} {c['name']}")
         lines += [f"  {s['source']['adapter']}{' (' + s['source']['file'] + ')' if s['source'].get('file') else ''}: {s['value']}" for s in c["sources"]]
