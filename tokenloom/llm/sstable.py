@@ -362,9 +362,20 @@ def digest(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, ids) of the wanted identifiers: each shard's filter, index and one block answer for it.
 
-    Identifiers are dealt to shards by key range on the executors; those that no shard's range holds are left out.
+    The shards' key ranges, a row a shard, are searched for each identifier on the executors; what a shard may hold is
+    then looked up together. Identifiers that no range holds, and null, are left out.
     """
-    ranged = manifest.select("path", "start").mapInArrow(_ranges, "path string, lo long, hi long")
+    ranges = sorted(manifest.select("path").mapInArrow(_ranges, "path string, lo long, hi long").collect(), key=lambda r: r.path)
+    paths = [r.path for r in ranges]
+    low, high = (np.array([r[k] for r in ranges], np.int64) for k in ("lo", "hi"))
+
+    def deal(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            # shards are in key order, so those that may hold an identifier stand side by side
+            first, last = np.searchsorted(high, ids), np.searchsorted(low, ids, "right")
+            out = [(int(i), paths[k]) for i, f, e in zip(ids, first.tolist(), last.tolist(), strict=True) for k in range(f, e)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([p for _, p in out], pa.string())], names=["id", "path"])
 
     def run(batches):
         open_path, reader = None, None
@@ -376,9 +387,8 @@ def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> Da
                 out += [(i, ids.astype(np.int32).tolist()) for ids in reader.get(i)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([v for _, v in out], pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    keys = wanted.select(F.col(id_col).cast("long").alias("id")).distinct()
-    dealt = keys.join(ranged, (F.col("id") >= F.col("lo")) & (F.col("id") <= F.col("hi")))
-    return dealt.select("id", "path").sortWithinPartitions("path").mapInArrow(run, f"`{id_col}` long, ids array<int>")
+    keys = wanted.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+    return keys.mapInArrow(deal, "id long, path string").repartition("path").sortWithinPartitions("path", "id").mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
 
 def _ranges(batches):
