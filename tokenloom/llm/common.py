@@ -86,8 +86,9 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
 def look_up(rows: DataFrame, found: DataFrame, key: str, spread_by: str, how: str = "inner", parts: int = 32) -> DataFrame:
     """rows joined with `found`, which has one row for a key; a key that many rows have is spread over so many parts.
 
-    `found` is repeated in each part, the rows are dealt to them by a hash of spread_by.
+    `found` is repeated in each part, the rows are dealt to them by a hash of spread_by. The join is by sorting: the
+    repeated table's size is not what its estimate says, so it must not be broadcast on that.
     """
     salted = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int"))
-    return dealt.join(salted, [key, "__salt"], how).drop("__salt")
+    return dealt.join(salted.hint("merge"), [key, "__salt"], how).drop("__salt")

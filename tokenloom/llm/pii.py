@@ -218,7 +218,7 @@ def analyse(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> D
     empty = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = detected.filter(F.col("digest").isNotNull()).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    looked_up = rows.join(salted, ["digest", "salt"], "left").withColumn("terms", F.coalesce("terms", empty)).select(*keep, "text", "spans", "terms")
+    looked_up = rows.join(salted.hint("merge"), ["digest", "salt"], "left").withColumn("terms", F.coalesce("terms", empty)).select(*keep, "text", "spans", "terms")
     return looked_up.unionByName(detected.filter(F.col("digest").isNull()).select(*keep, "text", "spans", empty.alias("terms")))
 
 
