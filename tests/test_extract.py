@@ -37,14 +37,6 @@ def test_component_from_file_name(spark, file, name):
     assert got == ([(name, 1)] if name else [])
 
 
-def css(v):
-    return ("css", f"--x-color: {v};")
-
-
-def ts(v):
-    return ("ts", f"x: '{v}'")
-
-
 @pytest.mark.parametrize(
     ("writes", "value"),
     [(["#c1", "#c2"], "#c2"), (["t111", "t222"], "#111"), (["#c1", "t222"], "#c1"), (["t111", "#c2"], "#c2"), (["t111", "#c2", "t333"], "#c2")],
