@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +63,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def releasing(run: Callable) -> Callable:
+    """A function of Arrow batches that gives its memory back to the system when the task ends: workers are used again."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, memory stays
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import blocks, small_batches, texts
+from .common import blocks, releasing, small_batches, texts
 from .hashing import prefix_hash, span_hash, word_spans
 
 THRESHOLD = 0.5
@@ -255,7 +255,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     item_type = to_arrow_type(items.schema[item_col].dataType)
     for index in _indexes(items, item_col, item_text):
         shared = spark.sparkContext.broadcast(index)
-        result = result.unionByName(docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(scan(shared), schema))
+        result = result.unionByName(docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(releasing(scan(shared)), schema))
     return result
 
 
@@ -277,5 +277,5 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
         return run
 
     for index in _indexes(items, item_col, item_text):
-        kept = kept.mapInArrow(scan(spark.sparkContext.broadcast(index)), kept.schema)
+        kept = kept.mapInArrow(releasing(scan(spark.sparkContext.broadcast(index))), kept.schema)
     return kept.toDF(*names)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, look_up, materialise, scratch_path, small_batches
+from .common import blocks, look_up, materialise, releasing, scratch_path, small_batches
 from .components import components
 from .hashing import counter, mix, prefix_hash, span_hash, word_spans
 from .runs import NOBODY, columns, cut_runs, groups, pack_sorted, part_of, read_file, rows_of, slices, unpack_sorted
@@ -319,7 +319,7 @@ def _link_across(batches):
 
 def _linked(dealt: DataFrame, sets: DataFrame, keys: list[str], how) -> DataFrame:
     """Links of the sets that stand together under the keys."""
-    return dealt.join(sets.select("u", "n", "keys"), "u").select(*keys, *[c for c in dealt.columns if c not in (*keys, "u")], "u", "n", "keys").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(how, "u long, v long")
+    return dealt.join(sets.select("u", "n", "keys"), "u").select(*keys, *[c for c in dealt.columns if c not in (*keys, "u")], "u", "n", "keys").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(how), "u long, v long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,12 +330,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(2 * spark.sparkContext.defaultParallelism, size // PART_BYTES + 1)
-    told = materialise(rows.mapInArrow(lambda b: cut_runs(b, folder, RUN_BYTES, _tell_keys(parts)), "doc_id long, n long, digest binary, part int, run string, names binary, counts binary"), "shingle-keys")
-    shared = told.filter("part is not null").select("part", "run", "names", "counts").repartition("part").sortWithinPartitions("part", "run").mapInArrow(_classify, "run string, names binary, kinds binary")
-    single = shared.repartition("run").sortWithinPartitions("run").mapInArrow(lambda b: _candidates(b, folder), "digest binary, rep long, n long, keys binary")
+    told = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _tell_keys(parts))), "doc_id long, n long, digest binary, part int, run string, names binary, counts binary"), "shingle-keys")
+    shared = told.filter("part is not null").select("part", "run", "names", "counts").repartition("part").sortWithinPartitions("part", "run").mapInArrow(releasing(_classify), "run string, names binary, kinds binary")
+    single = shared.repartition("run").sortWithinPartitions("run").mapInArrow(releasing(lambda b: _candidates(b, folder)), "digest binary, rep long, n long, keys binary")
     sets = materialise(single.groupBy("digest").agg(F.min("rep").alias("u"), F.first("n").alias("n"), F.first("keys").alias("keys")), "shingle-sets")
 
-    keyed = sets.select("u", "n", "keys").mapInArrow(_prefixes, "u long, key long").repartition("key")
+    keyed = sets.select("u", "n", "keys").mapInArrow(releasing(_prefixes), "u long, key long").repartition("key")
     under = keyed.groupBy("key").agg(F.min("u").alias("centre"), F.count("*").alias("sets")).filter("sets > 1")
     met = materialise(keyed.join(under, "key").filter("u <> centre").groupBy("centre", "u").agg(F.count("*").alias("common")), "shingle-centres")
 

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import releasing, small_batches, utf8
 from .hashing import mix, prefix_hash, span_hash
 
 SHIFT = 10.0
 BYTE_LOSS = 12.0
 #: Distinct words whose lattices a task keeps at most, and how many are built at once.
-CACHE_WORDS, BUILD_WORDS = 200_000, 20_000
-BATCH_BYTES = 4 << 20
+CACHE_WORDS, BUILD_WORDS = 100_000, 10_000
+BATCH_BYTES = 1 << 20
 
 
 def _segments(sizes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -315,7 +315,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=[id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return _keyed(docs, id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
@@ -334,7 +334,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return encoded.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(releasing(run), f"`{id_col}` {kind}, text string")
 
 
 def training_rows(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0) -> DataFrame:
@@ -355,7 +355,7 @@ def training_rows(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([names, lists] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=[id_col, "ids", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _keyed(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return _keyed(docs, id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
 
 
 def digest(docs: DataFrame, model: str, **options) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, texts
+from .common import materialise, releasing, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 12
@@ -133,7 +133,7 @@ def detect(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "spans", "entities", "context", "digest"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [_DETECTED])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(releasing(run), schema)
 
 
 def _bits(terms: list[str]) -> np.ndarray:
@@ -148,7 +148,7 @@ def _term_filter(candidates: DataFrame) -> np.ndarray:
             at = _bits(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
 
-    words = candidates.select("term").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = candidates.select("term").mapInArrow(releasing(run), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out
@@ -176,7 +176,7 @@ def _term_counts(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataF
                         counts[w] = counts.get(w, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
-    counted = docs.select(text_col).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = docs.select(text_col).mapInArrow(releasing(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return counted.join(candidates, "term", "left_semi")
 
 
@@ -264,7 +264,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
             columns[safe.index(at)] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=safe)
 
-    return found.select(*safe, "__found", "spans", "terms").mapInArrow(run, renamed.schema).toDF(*keep)
+    return found.select(*safe, "__found", "spans", "terms").mapInArrow(releasing(run), renamed.schema).toDF(*keep)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

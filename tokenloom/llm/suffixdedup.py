@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop, materialise, scratch_path, small_batches
+from .common import blocks, drop, materialise, releasing, scratch_path, small_batches
 from .hashing import mix, prefix_hash, span_hash
 from .runs import NOBODY, columns, cut_runs, groups, pack, pack_sorted, part_of, read_file, rows_of, slices, unpack, unpack_sorted, write_file
 
@@ -419,14 +419,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a part gets the names of about a tenth of the bytes, at some 4 bytes each
     parts = max(2 * spark.sparkContext.defaultParallelism, size // (PART_BYTES * 2) + 1)
-    named = materialise(rows.mapInArrow(lambda b: cut_runs(b, folder, RUN_BYTES, _names_by_part(parts)), "part int, run string, names binary, many binary"), "suffix-names")
+    named = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _names_by_part(parts))), "part int, run string, names binary, many binary"), "suffix-names")
     every = materialise(named.filter("part < 0").select("run", F.lit(None).cast("binary").alias("told")), "suffix-runs-list")
     by_part = named.filter("part >= 0").repartition("part").sortWithinPartitions("part", "run")
-    repeated = materialise(by_part.mapInArrow(_repeated_names, "run string, names binary"), "suffix-repeated")
+    repeated = materialise(by_part.mapInArrow(releasing(_repeated_names), "run string, names binary"), "suffix-repeated")
     drop(named)
-    suffixes = repeated.repartition("run").sortWithinPartitions("run").mapInArrow(lambda b: _suffix_runs(b, folder, parts), "part int, run string, suffixes binary")
-    told = suffixes.repartition("part").sortWithinPartitions("part", "run").mapInArrow(_repeats, "run string, told binary")
-    return told.unionByName(every).repartition("run").sortWithinPartitions("run").mapInArrow(lambda b: _cut(b, folder), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    suffixes = repeated.repartition("run").sortWithinPartitions("run").mapInArrow(releasing(lambda b: _suffix_runs(b, folder, parts)), "part int, run string, suffixes binary")
+    told = suffixes.repartition("part").sortWithinPartitions("part", "run").mapInArrow(releasing(_repeats), "run string, told binary")
+    return told.unionByName(every).repartition("run").sortWithinPartitions("run").mapInArrow(releasing(lambda b: _cut(b, folder)), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

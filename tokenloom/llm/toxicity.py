@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Isotonic, Trees
-from .common import drop, materialise, small_batches, texts
+from .common import drop, materialise, releasing, small_batches, texts
 
 #: Labelled rows that the model is fitted on, at most (the cut by hash holds it to within a few hundredths).
 SAMPLE = 20_000
@@ -156,7 +156,7 @@ def lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], dic
                     counts.setdefault(k, [0, 0, 0, 0])[at] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string())] + [pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(4)], names=["key", "c0", "t0", "c1", "t1"])
 
-    counted = sample.select("doc_id", "text", "toxic").mapInArrow(count, "key string, c0 long, t0 long, c1 long, t1 long")
+    counted = sample.select("doc_id", "text", "toxic").mapInArrow(releasing(count), "key string, c0 long, t0 long, c1 long, t1 long")
     summed = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
     # at most KEYS rows come back: the keys in the most toxic documents for their documents, and the totals under the empty key
     lean = (F.col("t0") + F.col("t1")) / F.sqrt(F.col("c0") + F.col("c1") + F.col("t0") + F.col("t1"))
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str
             rows = [features(t, by_half[1 - half(i)]) for i, t in zip(ids, texts(b, "text"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2).cast(pa.int32()), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "toxic", "features"])
 
-    rows = known.select("doc_id", "text", "toxic").mapInArrow(featurise, "doc_id string, toxic int, features array<float>").toPandas()
+    rows = known.select("doc_id", "text", "toxic").mapInArrow(releasing(featurise), "doc_id string, toxic int, features array<float>").toPandas()
     drop(known)
     rows = rows.sort_values("doc_id", kind="stable")
     y = (rows["toxic"].to_numpy(float) > 0).astype(float)
@@ -221,7 +221,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double", "predicted int"])
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(releasing(run), schema)
 
 
 def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
@@ -237,4 +237,4 @@ def reject(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFr
             yield b.filter(pa.array(p < 0.5))
 
     renamed = docs.toDF(*[f"__{k}" for k in range(len(names))])
-    return renamed.mapInArrow(run, renamed.schema).toDF(*names)
+    return renamed.mapInArrow(releasing(run), renamed.schema).toDF(*names)
