@@ -59,6 +59,16 @@ def test_terms_that_stand_only_beside_an_entity_are_disclosing(spark):
     assert cleaned[0] == "note 0 from [REMOVED] office write [EMAIL] about topic 0 please" and cleaned[20] == texts[20]
 
 
+def test_terms_of_rare_entities_and_of_their_parts_are_rated(spark):
+    shared = [f"call Quux about topic {k} at user{k}@acme.example please" for k in range(6)]
+    twice = [f"the Zanzibar file {k} of +1 (974) 555-3436 please" for k in range(2)]
+    noise = [f"plain text {k} call about topic at please the file of nothing else" for k in range(200)]
+    got = {r.doc_id: r.text for r in pii.sanitise(helpers.docs(spark, shared + twice + noise)).collect()}
+    assert [got[k] for k in range(6)] == [f"call [REMOVED] about topic {k} at [EMAIL] please" for k in range(6)]
+    assert [got[6 + k] for k in range(2)] == [f"the [NAME] file {k} of [PHONE] please" for k in range(2)]
+    assert [got[8 + k] for k in range(200)] == noise
+
+
 def test_awkward_documents(spark):
     df = helpers.awkward(spark)
     out = pii.sanitise(df)

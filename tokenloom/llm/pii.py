@@ -4,10 +4,14 @@ Base detectors find addresses, IPs, card and phone numbers. A corpus pass then m
 protected entity away although the entity itself is masked: for an entity e and a term t that stands within WINDOW
 words of it, the disclosure of e by t is PMI(t; e) / IC(e), with document frequencies over the whole corpus. It is 1
 where t occurs only where e does, and 0 where the two are independent. Terms at REMOVE or more are removed, terms at
-GENERALISE or more are replaced by their word class, in the documents that hold the entity. Pairs seen in fewer than
-SUPPORT different texts prove nothing and are left alone.
+GENERALISE or more are replaced by their word class, in the documents that hold the entity.
 
-Null texts count as empty and have no spans. Repeated rows are counted as rows for frequencies, but once for support.
+Every pair is rated; none is cut off for being rare. A pair that stands in k different texts has the share 1 - 2^-k of
+its disclosure, since each further text halves the odds that it is chance. What many entities share is protected like an
+entity (`protected`): the domain of an address, the first numbers of an IP, the issuer of a card, the block of a phone
+number. So a term can also be told by entities that stand in one text each.
+
+Null texts count as empty and have no spans. Repeated rows are counted as rows for frequencies, but as one text.
 Rows are judged by their text alone, so ties and extra columns do not matter; an empty table gives an empty result.
 """
 
@@ -27,7 +31,6 @@ from .common import materialise, releasing, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 12
-SUPPORT = 3
 GENERALISE = 0.6
 #: Parts over which the rows of one text are spread while its terms are looked up.
 SALTS = 32
@@ -89,8 +92,24 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _NOT_DIGIT.sub('', value)}"
 
 
+def protected(kind: str, value: str) -> list[str]:
+    """The entity and its parts that other entities may share."""
+    name = entity(kind, value)
+    core = name.partition(":")[2]
+    if kind == "email":
+        parts = [("domain", core.rpartition("@")[2])]
+    elif kind == "ip":
+        numbers = core.split(".")
+        parts = [("net", ".".join(numbers[:3])), ("net", ".".join(numbers[:2]))]
+    elif kind == "card":
+        parts = [("issuer", core[:6])]
+    else:
+        parts = [("block", core[:-4]), ("block", core[:-7])]
+    return [name, *[f"{k}:{p}" for k, p in parts if p]]
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within WINDOW words of each base span, outside all base spans."""
+    """(entity, term, start, end) of the words within WINDOW words of each base span, outside all base spans; for the entity and its parts."""
     covered = sorted((s, e) for _, s, e in spans)
     words, k = [], 0
     for m in _WORD.finditer(text):
@@ -101,9 +120,10 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, st
     starts = np.array([s for s, _ in words], np.int64)
     out = {}
     for kind, s, e in spans:
-        name, at = entity(kind, text[s:e]), int(np.searchsorted(starts, s))
+        names, at = protected(kind, text[s:e]), int(np.searchsorted(starts, s))
         for a, b in words[max(0, at - WINDOW) : at + WINDOW]:
-            out[name, a] = (name, text[a:b].lower(), a, b)
+            for name in names:
+                out[name, a] = (name, text[a:b].lower(), a, b)
     return list(out.values())
 
 
@@ -126,7 +146,7 @@ def detect(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> Da
             columns = [b.column(k) for k in range(len(keep))] + [
                 pa.array([t if h else None for t, h in zip(rows, hit, strict=True)], pa.string()),
                 pa.array([[{"kind": k, "s": s, "e": e} for k, s, e in x] for x in spans], span_t),
-                pa.array([sorted({entity(k, t[s:e]) for k, s, e in x}) for t, x in zip(rows, spans, strict=True)], pa.list_(pa.string())),
+                pa.array([sorted({n for k, s, e in x for n in protected(k, t[s:e])}) for t, x in zip(rows, spans, strict=True)], pa.list_(pa.string())),
                 pa.array([[{"entity": n, "term": w, "s": s, "e": e} for n, w, s, e in x] for x in ctx], ctx_t),
                 pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if h else None for t, h in zip(rows, hit, strict=True)], pa.binary()),
             ]
@@ -185,16 +205,14 @@ def disclosing_terms(docs: DataFrame, detected: DataFrame, text_col: str = "text
     total = docs.count()
     with_spans = detected.filter(F.size("entities") > 0)
     entities = with_spans.select(F.explode("entities").alias("entity"), "digest")
-    supported = entities.distinct().groupBy("entity").count().filter(F.col("count") >= SUPPORT).select("entity")
-    entity_n = entities.groupBy("entity").agg(F.count("*").alias("n_entity")).join(supported, "entity", "left_semi")
+    entity_n = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = with_spans.select(F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c.entity.alias("entity"), c.term.alias("term"))))).alias("p"), "digest").select("p.*", "digest")
-    pairs = pairs.join(supported, "entity", "left_semi")
-    joint = pairs.groupBy("entity", "term", "digest").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
+    joint = pairs.groupBy("entity", "term", "digest").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("texts"))
     joint = materialise(joint, "pii-joint")
     term_n = _term_counts(docs, joint.select("term").distinct(), text_col)
     pmi = F.log(F.col("n_joint") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.greatest("n", "n_joint")))
     ic = F.log(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    rated = joint.join(entity_n, "entity").join(term_n, "term").select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)).alias("disclosure"))
+    rated = joint.join(entity_n, "entity").join(term_n, "term").select("entity", "term", F.when(ic > 0, pmi / ic * (1 - F.pow(F.lit(0.5), "texts"))).otherwise(F.lit(0.0)).alias("disclosure"))
     return rated.filter(F.col("disclosure") >= GENERALISE)
 
 
