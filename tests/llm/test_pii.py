@@ -69,6 +69,15 @@ def test_terms_of_rare_entities_and_of_their_parts_are_rated(spark):
     assert [got[8 + k] for k in range(200)] == noise
 
 
+def test_disclosing_terms_go_however_far_they_stand(spark):
+    gap = " ".join(["note"] * 40)
+    far = [f"Zanzibar {gap} Zanzibar {k} {gap} ann.lee@corp.org {gap} {gap} zanzibar" for k in range(6)]
+    noise = [f"note {k} of nothing" for k in range(80)]
+    got = {r.doc_id: r.text for r in pii.sanitise(helpers.docs(spark, far + noise)).collect()}
+    assert [got[k] for k in range(6)] == [f"[REMOVED] {gap} [REMOVED] {k} {gap} [EMAIL] {gap} {gap} [REMOVED]" for k in range(6)]
+    assert [got[6 + k] for k in range(80)] == noise
+
+
 def test_awkward_documents(spark):
     df = helpers.awkward(spark)
     out = pii.sanitise(df)

@@ -1,10 +1,10 @@
 """Information-theoretic removal of personal data.
 
 Base detectors find addresses, IPs, card and phone numbers. A corpus pass then measures which ordinary terms give a
-protected entity away although the entity itself is masked: for an entity e and a term t that stands within WINDOW
-words of it, the disclosure of e by t is PMI(t; e) / IC(e), with document frequencies over the whole corpus. It is 1
-where t occurs only where e does, and 0 where the two are independent. Terms at REMOVE or more are removed, terms at
-GENERALISE or more are replaced by their word class, in the documents that hold the entity.
+protected entity away although the entity itself is masked: for an entity e and a term t of the same document, however
+far apart, the disclosure of e by t is PMI(t; e) / IC(e), with document frequencies over the whole corpus. It is 1 where
+t occurs only where e does, and 0 where the two are independent. Terms at REMOVE or more are removed, terms at GENERALISE
+or more are replaced by their word class, wherever they stand in the documents that hold the entity.
 
 Every pair is rated; none is cut off for being rare. A pair that stands in k different texts has the share 1 - 2^-k of
 its disclosure, since each further text halves the odds that it is chance. What many entities share is protected like an
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import materialise, releasing, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 12
 GENERALISE = 0.6
 #: Parts over which the rows of one text are spread while its terms are looked up.
 SALTS = 32
@@ -108,49 +107,40 @@ def protected(kind: str, value: str) -> list[str]:
     return [name, *[f"{k}:{p}" for k, p in parts if p]]
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within WINDOW words of each base span, outside all base spans; for the entity and its parts."""
+def _words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words outside all base spans."""
     covered = sorted((s, e) for _, s, e in spans)
-    words, k = [], 0
+    k = end = 0
     for m in _WORD.finditer(text):
-        while k < len(covered) and covered[k][1] <= m.start():
-            k += 1
-        if k == len(covered) or m.end() <= covered[k][0]:
-            words.append((m.start(), m.end()))
-    starts = np.array([s for s, _ in words], np.int64)
-    out = {}
-    for kind, s, e in spans:
-        names, at = protected(kind, text[s:e]), int(np.searchsorted(starts, s))
-        for a, b in words[max(0, at - WINDOW) : at + WINDOW]:
-            for name in names:
-                out[name, a] = (name, text[a:b].lower(), a, b)
-    return list(out.values())
+        # spans may lie in each other: what counts is how far those that began reach
+        while k < len(covered) and covered[k][0] < m.end():
+            end, k = max(end, covered[k][1]), k + 1
+        if m.start() >= end:
+            yield m.group().lower(), m.start(), m.end()
 
 
-_DETECTED = "text string, spans array<struct<kind:string,s:int,e:int>>, entities array<string>, context array<struct<entity:string,term:string,s:int,e:int>>, digest binary"
+_DETECTED = "text string, spans array<struct<kind:string,s:int,e:int>>, entities array<string>, words array<string>, digest binary"
 
 
 def detect(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """The kept columns with base spans; text, entities and their contexts only where there is a span."""
+    """The kept columns with base spans; text, entities and the distinct terms only where there is a span."""
     small_batches(docs.sparkSession)
     fields = [docs.schema[c] for c in keep]
     span_t = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
-    ctx_t = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batches):
         for b in batches:
             rows = texts(b, "__text")
             spans = [base_spans(t) for t in rows]
             hit = [bool(s) for s in spans]
-            ctx = [contexts(t, s) if s else [] for t, s in zip(rows, spans, strict=True)]
             columns = [b.column(k) for k in range(len(keep))] + [
                 pa.array([t if h else None for t, h in zip(rows, hit, strict=True)], pa.string()),
                 pa.array([[{"kind": k, "s": s, "e": e} for k, s, e in x] for x in spans], span_t),
                 pa.array([sorted({n for k, s, e in x for n in protected(k, t[s:e])}) for t, x in zip(rows, spans, strict=True)], pa.list_(pa.string())),
-                pa.array([[{"entity": n, "term": w, "s": s, "e": e} for n, w, s, e in x] for x in ctx], ctx_t),
+                pa.array([sorted({w for w, _, _ in _words(t, x)}) if x else [] for t, x in zip(rows, spans, strict=True)], pa.list_(pa.string())),
                 pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if h else None for t, h in zip(rows, hit, strict=True)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "spans", "entities", "context", "digest"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "spans", "entities", "words", "digest"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [_DETECTED])
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(releasing(run), schema)
@@ -201,43 +191,59 @@ def _term_counts(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataF
 
 
 def disclosing_terms(docs: DataFrame, detected: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the pairs at GENERALISE or more."""
+    """(digest, term, disclosure): for each text with an entity, its terms at GENERALISE or more."""
     total = docs.count()
-    with_spans = detected.filter(F.size("entities") > 0)
-    entities = with_spans.select(F.explode("entities").alias("entity"), "digest")
-    entity_n = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = with_spans.select(F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c.entity.alias("entity"), c.term.alias("term"))))).alias("p"), "digest").select("p.*", "digest")
-    joint = pairs.groupBy("entity", "term", "digest").agg(F.count("*").alias("rows")).groupBy("entity", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("texts"))
-    joint = materialise(joint, "pii-joint")
-    term_n = _term_counts(docs, joint.select("term").distinct(), text_col)
+    distinct = materialise(detected.filter(F.size("entities") > 0).groupBy("digest").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"), F.first("words").alias("words")), "pii-texts")
+    entities = distinct.select(F.explode("entities").alias("entity"), "digest", "rows")
+    entity_n = materialise(entities.groupBy("entity").agg(F.sum("rows").alias("n_entity")), "pii-entities")
+    terms = distinct.select(F.explode("words").alias("term"), "digest", "rows")
+    # PMI is at most log(total / n) and the share of the evidence at most 1 - 2^-n: terms beyond reach of the most
+    # frequent entity, and then pairs beyond reach, are left out before they are counted
+    most = entity_n.agg(F.max("n_entity")).first()[0] or 1
+    reach = lambda n_entity: F.log(F.lit(float(max(total, 1))) / F.col("n")) * (1 - F.pow(F.lit(0.5), "n")) >= (GENERALISE - 1e-9) * F.log(F.lit(float(max(total, 2))) / n_entity)
+    term_n = materialise(_term_counts(docs, terms.select("term").distinct(), text_col).filter(reach(F.lit(float(most)))), "pii-terms")
+    # the entities, far fewer than the terms, take their counts along, so pairs are not shuffled for them
+    counted = entities.drop("rows").join(entity_n.hint("merge"), "entity")
+    pairs = terms.join(term_n.hint("merge"), "term").join(counted.hint("merge"), "digest").filter(reach(F.col("n_entity")))
+    pairs = materialise(pairs.select("entity", "term", "digest", "rows", "n", "n_entity"), "pii-pairs")
+    joint = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("texts"), F.first("n").alias("n"), F.first("n_entity").alias("n_entity"))
     pmi = F.log(F.col("n_joint") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.greatest("n", "n_joint")))
     ic = F.log(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    rated = joint.join(entity_n, "entity").join(term_n, "term").select("entity", "term", F.when(ic > 0, pmi / ic * (1 - F.pow(F.lit(0.5), "texts"))).otherwise(F.lit(0.0)).alias("disclosure"))
-    return rated.filter(F.col("disclosure") >= GENERALISE)
+    rated = joint.select("entity", "term", F.when(ic > 0, pmi / ic * (1 - F.pow(F.lit(0.5), "texts"))).otherwise(F.lit(0.0)).alias("disclosure"))
+    risky = rated.filter(F.col("disclosure") >= GENERALISE)
+    return pairs.select("entity", "term", "digest").join(risky.hint("merge"), ["entity", "term"]).groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def _located(names: list[str]):
+    """Every place of a text's disclosing terms: `risky` becomes `terms`."""
+
+    def run(batches):
+        span_t = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
+        for b in batches:
+            at = len(names)
+            out = []
+            for text, spans, risky in zip(*[b.column(k).to_pylist() for k in range(at, at + 3)], strict=True):
+                kinds = {x["term"]: x["kind"] for x in risky or []}
+                base = [(x["kind"], x["s"], x["e"]) for x in spans]
+                out.append([{"kind": kinds[w], "s": s, "e": e} for w, s, e in _words(text, base) if w in kinds] if kinds else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[: at + 2], pa.array(out, span_t)], names=[*names, "text", "spans", "terms"])
+
+    return releasing(run)
 
 
 def analyse(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """The kept columns with `text` (where there is a base span), `spans` and `terms`: the spans that the method adds."""
     detected = materialise(detect(docs, keep, text_col), "pii-detected")
-    risky = disclosing_terms(docs, detected, text_col)
-    found = (
-        detected.filter(F.size("context") > 0)
-        .groupBy("digest")
-        .agg(F.first("context").alias("context"))
-        .select("digest", F.explode("context").alias("c"))
-        .select("digest", F.col("c.entity").alias("entity"), F.col("c.term").alias("term"), F.col("c.s").alias("s"), F.col("c.e").alias("e"))
-        .join(risky, ["entity", "term"])
-        .groupBy("digest", "s", "e")
-        .agg(F.max("disclosure").alias("d"))
-        .groupBy("digest")
-        .agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("d") >= REMOVE, "remove").otherwise("generalise").alias("kind"), "s", "e"))).alias("terms"))
-    )
+    kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    found = disclosing_terms(docs, detected, text_col).groupBy("digest").agg(F.collect_list(F.struct("term", kind.alias("kind"))).alias("risky"))
     # rows without a span have nothing to look up; copies of one text are spread over SALTS parts
     empty = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = detected.filter(F.col("digest").isNotNull()).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    looked_up = rows.join(salted.hint("merge"), ["digest", "salt"], "left").withColumn("terms", F.coalesce("terms", empty)).select(*keep, "text", "spans", "terms")
-    return looked_up.unionByName(detected.filter(F.col("digest").isNull()).select(*keep, "text", "spans", empty.alias("terms")))
+    looked_up = rows.join(salted.hint("merge"), ["digest", "salt"], "left").select(*keep, "text", "spans", "risky")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in detected.select(*keep).schema.fields] + ["text string, spans array<struct<kind:string,s:int,e:int>>, terms array<struct<kind:string,s:int,e:int>>"])
+    located = looked_up.mapInArrow(_located(list(keep)), schema)
+    return located.unionByName(detected.filter(F.col("digest").isNull()).select(*keep, "text", "spans", empty.alias("terms")))
 
 
 def word_class(word: str) -> str:
