@@ -70,3 +70,22 @@ def test_documents(spark):
 
     assert media.tensor_array(pa.array([r.log_mel for r in cut], pa.list_(pa.float32()))).to_numpy_ndarray().shape == (len(cut), media.FRAMES, media.MELS)
     assert media.digest(media.store(helpers.empty(spark))).count() == 0
+
+
+def test_the_digest_reads_stored_tensors(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    stored = media.store(helpers.awkward(spark))
+    folder = f"file://{tmp_path}/tensors"
+    rows = media.digest(stored, folder=folder).collect()
+    tables = [pq.read_table(f) for f in sorted((tmp_path / "tensors").glob("*.parquet"))]
+    assert tables and all(t.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float32(), (media.FRAMES, media.MELS)) for t in tables)
+    cut = sorted((str(r.doc_id), r.window, r.start_s, r.end_s, tuple(r.log_mel)) for r in media.windows(stored).collect())
+    kept = sorted((str(i), w, s, e, tuple(x.ravel().tolist())) for t in tables for i, w, s, e, x in zip(*[t.column(c).to_pylist() for c in ("doc_id", "window", "start_s", "end_s")], t.column("log_mel").combine_chunks().to_numpy_ndarray(), strict=True))
+    assert kept == cut and len(kept) == sum(int(r.feature.split("windows=")[1].split(";")[0]) for r in rows)
+    for r in stored.collect():
+        mel, active, hop_s = media.analyse(bytes(r.media))
+        mean = ",".join(f"{x:.3f}" for x in mel.mean(axis=0, dtype=float))
+        start = f"frames={len(mel)};windows={-(-len(mel) // media.FRAMES)};segments={len(active)};active_s={sum(e - s for s, e in active) * hop_s:.3f};"
+        assert all(x.feature.startswith(start) and f";mean={mean};" in x.feature for x in rows if x.doc_id == r.doc_id)

@@ -1,7 +1,8 @@
 """Audio features of stored 8-bit media.
 
-`store` turns payload bytes into WAV files (8-bit PCM, one channel), `features` reads the stored files back and
-computes, window by window, log-mel energies and the active segments. Per file:
+`store` turns payload bytes into WAV files (8-bit PCM, one channel), `save_windows` reads the stored files back and
+computes log-mel energies, which it writes as windows to tensor files in the shared folder; `digest` reads these and
+computes the features and the active segments. Per file:
 
 * polyphase resampling by 1/2: only every second output of a low-pass filter is computed, from its two phases;
 * overlapped frames (256 samples, hop 128), power spectra, triangular mel filters, logarithm;
@@ -22,9 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import materialise, small_batches, utf8
+from .common import materialise, releasing, scratch_path, small_batches, utf8
+from .runs import groups, read_file, rows_of, write_file
 
 BLOCK = 64
 RATE = 8000
@@ -34,6 +37,8 @@ TAPS = 32
 HIGH, LOW = 0.5, -0.25
 SILENCE = -100.0
 HEADER = 44
+#: Windows in a tensor file, about, or those of one longer document.
+FILE_WINDOWS = 2048
 
 
 def payload(text: bytes) -> bytes:
@@ -177,23 +182,85 @@ def windows(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return media.select(id_col, "media").mapInArrow(cut, f"`{id_col}` {kind}, window int, start_s double, end_s double, log_mel array<float>")
 
 
-def digest(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per stored file: sizes and checksums of what is read back, and the features in short."""
+def _described(kind: pa.DataType, id_col: str) -> dict[str, pa.DataType]:
+    """What is known of a stored file before its windows are read back."""
+    return {id_col: kind, "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+
+
+_DESCRIBED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def save_windows(media: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
+    """Write the windows of every stored file to tensor files in `folder`; per stored file its place there and checksums.
+
+    A tensor file is Parquet with id, window, start_s, end_s and log_mel, an Arrow fixed-shape tensor of FRAMES x MELS.
+    The windows of one stored file stand together in one tensor file, `windows` rows from row `first` on.
+    """
+
+    def save(batches):
+        part, number, held = TaskContext.get().partitionId(), 0, 0
+        waiting: list[pa.RecordBatch] = []
+        index: list[tuple] = []
+
+        def finish() -> pa.RecordBatch:
+            nonlocal number, held, waiting, index
+            write_file(folder, f"{part:07d}-{number:04d}.parquet", pa.Table.from_batches(waiting))
+            rows = rows_of(index, {"tensors": pa.string(), "first": pa.int64(), "windows": pa.int64()} | _described(kind, id_col))
+            number, held, waiting, index = number + 1, 0, [], []
+            return rows
 
-    def check(batches):
         for b in batches:
-            out = []
+            kind = b.column(0).type
             for i, n, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 file = file.as_py()
                 raw, _ = samples(file)
-                mel, active, hop_s = analyse(file)
-                mean, spread = mel.mean(axis=0, dtype=np.float64), mel.std(axis=0, dtype=np.float64)
-                spans = hashlib.sha256(",".join(f"{s}:{e}" for s, e in active).encode()).hexdigest()[:16]
-                feature = f"frames={len(mel)};windows={-(-len(mel) // FRAMES)};segments={len(active)};active_s={sum(e - s for s, e in active) * hop_s:.3f};spans={spans};mean=" + ",".join(f"{x:.3f}" for x in mean) + ";std=" + ",".join(f"{x:.3f}" for x in spread)
-                out.append((i, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), feature))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            types = [b.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                mel, _, hop_s = analyse(file)
+                starts, ends, parts = zip(*tensors(mel, hop_s), strict=True)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([w.ravel() for w in parts])), FRAMES * MELS)
+                columns = [pa.array([i] * len(parts), kind), pa.array(range(len(parts)), pa.int32()), pa.array(starts), pa.array(ends), pa.ExtensionArray.from_storage(TENSOR, flat)]
+                waiting.append(pa.RecordBatch.from_arrays(columns, names=[id_col, "window", "start_s", "end_s", "log_mel"]))
+                index.append((f"{part:07d}-{number:04d}.parquet", held, len(parts), i, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest()))
+                held += len(parts)
+                if held >= FILE_WINDOWS:
+                    yield finish()
+        if waiting:
+            yield finish()
+
+    kind = media.schema[id_col].dataType.simpleString()
+    saved = media.select(id_col, "n_bytes", "media").mapInArrow(releasing(save), f"tensors string, first long, windows long, `{id_col}` {kind}, {_DESCRIBED}")
+    return materialise(saved, "media-windows")
+
+
+def feature(start_s: np.ndarray, end_s: np.ndarray, windows: np.ndarray) -> str:
+    """The features in short of the windows of one file, from their tensors and time spans."""
+    hop_s = HOP / (RATE / 2)
+    frames = np.rint((end_s - start_s) / hop_s).astype(np.int64)
+    mel = np.concatenate([w[:n] for w, n in zip(windows, frames.tolist(), strict=True)])
+    active = segments(mel.mean(axis=1))
+    mean, spread = mel.mean(axis=0, dtype=np.float64), mel.std(axis=0, dtype=np.float64)
+    spans = hashlib.sha256(",".join(f"{s}:{e}" for s, e in active).encode()).hexdigest()[:16]
+    return f"frames={len(mel)};windows={len(windows)};segments={len(active)};active_s={sum(e - s for s, e in active) * hop_s:.3f};spans={spans};mean=" + ",".join(f"{x:.3f}" for x in mean) + ";std=" + ",".join(f"{x:.3f}" for x in spread)
+
+
+def digest(media: DataFrame, id_col: str = "doc_id", folder: str | None = None) -> DataFrame:
+    """One row per stored file: sizes and checksums of what is read back, and the features of its stored windows in short."""
+    folder = folder or scratch_path(media.sparkSession, "media-tensors")
+    saved = save_windows(media, folder, id_col)
+
+    def read(batches):
+        for (name,), rows in groups(batches, 1):
+            table = read_file(folder, name).combine_chunks()
+            ids, number = table.column(0).to_pylist(), table.column(1).to_numpy()
+            start_s, end_s = table.column(2).to_numpy(), table.column(3).to_numpy()
+            values = table.column(4).chunk(0).to_numpy_ndarray()
+            out = []
+            for first, n, *known in rows:
+                here = slice(first, first + n)
+                if len(number[here]) != n or (number[here] != np.arange(n)).any() or any(i != known[0] for i in ids[here]):
+                    raise ValueError(f"{name} does not hold the windows of {known[0]}")
+                out.append((*known, feature(start_s[here], end_s[here], values[here])))
+            yield rows_of(out, _described(table.schema.field(0).type, id_col) | {"feature": pa.string()})
 
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(id_col, "n_bytes", "media").mapInArrow(check, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    dealt = saved.repartition("tensors").sortWithinPartitions("tensors", "first")
+    return dealt.mapInArrow(releasing(read), f"`{id_col}` {kind}, {_DESCRIBED}, feature string")
