@@ -23,3 +23,17 @@ def empty(spark):
 
 def docs(spark, texts, first=0):
     return spark.createDataFrame([(first + k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+
+
+def thue_morse(n, zero="a", one="b"):
+    """Two words of n letters that any polynomial modulo 2^64 takes for one another when n is 1,024 or more."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join((zero, one)[b] for b in bits), "".join((one, zero)[b] for b in bits)
+
+
+def colliding():
+    """Texts that differ in one long word only, or only in how often a pattern repeats."""
+    out = []
+    for n in (1024, 2048, 4096):
+        out += [f"{w} w x y z" for w in thue_morse(n)]
+    return out + [f"{'ab' * k} w x y z" for k in (32, 33, 500, 501)] + [f"{'a' * k} w x y z" for k in (63, 64, 65, 66, 1000)] + ["\x00 w x y z", "\x00\x00 w x y z"]

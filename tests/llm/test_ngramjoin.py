@@ -114,3 +114,8 @@ def test_awkward_documents(spark):
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "3", "4", "None", "7", "8", "9", "10"])
     assert nj.classes(helpers.empty(spark)).count() == 0
+
+
+def test_words_that_are_hard_to_tell_apart(spark):
+    texts = helpers.colliding()
+    assert result(helpers.docs(spark, texts)) == plain(list(enumerate(texts)))

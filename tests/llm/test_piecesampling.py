@@ -4,6 +4,7 @@ import zlib
 import helpers
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenloom.llm import piecesampling as ps
@@ -104,3 +105,15 @@ def test_documents(spark):
     back = {r.doc_id: r.text for r in ps.decode(ps.encode(df, PATH), PATH).collect()}
     assert all(back[i] == (t or "") for i, t, *_ in helpers.ROWS)
     assert ps.digest(helpers.empty(spark), PATH).count() == 0
+
+
+def test_words_that_are_hard_to_tell_apart(model):
+    texts, sampler = helpers.colliding(), ps.Sampler(model)
+    for t, ids in zip(texts, encode(sampler, texts, range(len(texts))), strict=True):
+        assert sampler.decode(np.array(ids, np.int64), np.array([0, len(ids)]))[0].tobytes().decode() == t
+
+
+def test_a_text_that_does_not_come_back_ends_the_job(monkeypatch):
+    monkeypatch.setattr(ps, "distinct_words", lambda data, starts, ends: (np.zeros(1, np.int64), np.zeros(len(starts), np.int64)))
+    with pytest.raises(Exception, match="does not come back"):
+        list(ps._rows_of_batches([pa.RecordBatch.from_pydict({"id": [1], "text": ["one two"], "key": [5]})], PATH, 0, 1.0, "id"))

@@ -83,3 +83,19 @@ def test_documents(spark):
     found = sstable.lookup(manifest, spark.createDataFrame([(9,), (5,), (77,)], "doc_id long")).collect()
     assert sorted(r.doc_id for r in found) == [5, 5, 9] and next(r.ids for r in found if r.doc_id == 9) == dict(expected)[9]
     assert sstable.digest(sstable.write(helpers.empty(spark), PATH)).count() == 0
+
+
+def test_words_that_are_hard_to_tell_apart(spark):
+    texts, reference = helpers.colliding(), Tokenizer.from_file(PATH)
+    got = {r.doc_id: r.ids_crc32 for r in sstable.digest(sstable.write(helpers.docs(spark, texts), PATH)).collect()}
+    assert got == {k: zlib.crc32(np.array([*reference.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for k, t in enumerate(texts)}
+
+
+def test_other_vocabularies_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, reference = sstable.WordEncoder(path), Tokenizer.from_file(path)
+    assert not encoder.by_parts and sstable.WordEncoder(PATH).by_parts
+    texts = ["One two,  three\n\n x", "", " lead and trail "]
+    parts = [t.encode() for t in texts]
+    ids, at = encoder.encode(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts]))))
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(3)] == [reference.encode(t, add_special_tokens=False).ids for t in texts]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _STEP = 0x9E3779B97F4A7C15
@@ -50,7 +52,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each data[start:end]; equal bytes have equal keys wherever they stand."""
+    """A 64-bit key of each data[start:end]; equal bytes have equal keys wherever they stand.
+
+    Different bytes may have equal keys, some texts of 1,024 bytes and more (Thue-Morse words) surely: where a key decides
+    a result, the bytes are compared too. Words take `word_keys`.
+    """
     _, down = _powers(len(prefix))
     with np.errstate(over="ignore"):
         return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_STEP))
@@ -74,3 +80,62 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     starts = np.flatnonzero(inside & first)
     ends = np.flatnonzero(inside & last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+#: Words of more bytes get their key from a cryptographic hash, one by one; the others in steps of 8 bytes.
+LONG = 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; behind the end stand zeros."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word. Words of equal length up to 8 bytes never share a key; longer ones are chained by 8 bytes."""
+    size = ends - starts
+    eights = _eights(data)
+    with np.errstate(over="ignore"):
+        keys = mix(size.astype(np.uint64) * np.uint64(_STEP))
+        alive = np.flatnonzero(size <= LONG)
+        for p in range(0, LONG, 8):
+            alive = alive[size[alive] > p]
+            if not len(alive):
+                break
+            keys[alive] = mix(keys[alive] + (eights[starts[alive] + p] & _LOW_BYTES[np.minimum(size[alive] - p, 8)]))
+    for k in np.flatnonzero(size > LONG).tolist():
+        keys[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return keys
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a+size] equals data[b:b+size], for each k."""
+    eights = _eights(data)
+    same = np.ones(len(a), bool)
+    alive = np.flatnonzero((size > 0) & (a != b))
+    p = 0
+    while len(alive) and p < LONG:
+        same[alive] = ((eights[a[alive] + p] ^ eights[b[alive] + p]) & _LOW_BYTES[np.minimum(size[alive] - p, 8)]) == 0
+        p += 8
+        alive = alive[same[alive] & (size[alive] > p)]
+    for k in alive.tolist():
+        same[k] = np.array_equal(data[a[k] + p : a[k] + size[k]], data[b[k] + p : b[k] + size[k]])
+    return same
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an occurrence of each distinct word, the distinct word of each occurrence); words are told apart by their bytes."""
+    keys, example, inverse = np.unique(word_keys(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    wrong = size != size[example[inverse]]
+    wrong[~wrong] = ~same_bytes(data, starts[~wrong], starts[example[inverse[~wrong]]], size[~wrong])
+    extra: dict[bytes, int] = {}
+    more = []
+    for k in np.flatnonzero(wrong).tolist():
+        word = data[starts[k] : ends[k]].tobytes()
+        if word not in extra:
+            extra[word] = len(keys) + len(more)
+            more.append(k)
+        inverse[k] = extra[word]
+    return np.append(example, np.array(more, np.int64)), inverse

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, look_up, materialise, releasing, scratch_path, small_batches
 from .components import components
-from .hashing import counter, mix, prefix_hash, span_hash, word_spans
+from .hashing import counter, mix, word_keys, word_spans
 from .runs import NOBODY, columns, cut_runs, groups, pack_sorted, part_of, read_file, rows_of, slices, unpack_sorted
 
 SHINGLE = 5
@@ -58,8 +58,9 @@ _PLACES = counter(SHINGLE, 77) | np.uint64(1)
 
 def shingle_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys (below 2^62) of every row end to end, and the rows' offsets in them."""
-    starts, ends, first = word_spans(_LOWER[data], offsets, _SPACE)
-    words = span_hash(prefix_hash(_LOWER[data]), starts, ends)
+    data = _LOWER[data]
+    starts, ends, first = word_spans(data, offsets, _SPACE)
+    words = word_keys(data, starts, ends)
     counts = np.diff(first)
     sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
     row = np.repeat(np.arange(len(counts)), sizes)

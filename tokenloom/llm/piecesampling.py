@@ -1,15 +1,16 @@
 """Sampled subword segmentations by forward filtering and backward sampling over the piece lattice.
 
 A text, with the model's leading space, is cut into words: a run of spaces with the letters after it, or a line break.
-No piece crosses such a cut, so a word's lattice stands alone and is built once per distinct word: every piece that
-matches at a place is an edge, and bytes of characters that have no piece of their own are byte-fallback edges.
-Forward filtering sums the weights of all segmentations up to each place; backward sampling walks from a word's end,
+No piece of the model may cross such a cut (a model with one is refused), so a word's lattice stands alone and is built
+once per distinct word, words being told apart by their bytes: every piece that matches at a place is an edge, and bytes
+of characters that have no piece of their own are byte-fallback edges. Forward filtering sums the weights of all segmentations up to each place; backward sampling walks from a word's end,
 drawing each edge with its share of that sum. Draws are a hash of (seed, row key, word number, step), so a row's
 segmentation depends on nothing else, wherever and however often it is computed. Decoding joins the pieces' bytes.
 
 A model with log-probabilities (unigram) uses them; a merge-rank model gets log p = -log(rank + SHIFT) up to a constant.
 Null and empty texts have no pieces. Texts need not be valid in any way: bytes without a piece fall back. A null row key
-counts as 0. Equal rows get equal segmentations.
+counts as 0. Equal rows get equal segmentations. Every text is decoded again; one that did not come back would end the
+job. Texts of any length are segmented whole; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import releasing, small_batches, utf8
-from .hashing import mix, prefix_hash, span_hash
+from .hashing import distinct_words, mix
 
 SHIFT = 10.0
 BYTE_LOSS = 12.0
-#: Distinct words whose lattices a task keeps at most, and how many are built at once.
-CACHE_WORDS, BUILD_WORDS = 100_000, 10_000
+#: Distinct words whose lattices a task keeps, and their bytes, at most; and how many are built at once.
+CACHE_WORDS, CACHE_BYTES, BUILD_WORDS = 100_000, 2 << 20, 10_000
 BATCH_BYTES = 1 << 20
 
 
@@ -43,6 +44,14 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(total)
 
 
+def _cuts(text: np.ndarray) -> np.ndarray:
+    """Whether a word begins at each byte but the first: at a space behind another byte, and around a line break."""
+    space, line = text == 32, text == 10
+    cut = np.zeros(len(text), bool)
+    cut[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    return cut
+
+
 class PieceModel:
     """Pieces, their log-weights and a byte trie, from a SentencePiece model file."""
 
@@ -72,6 +81,9 @@ class PieceModel:
         self.size = np.array([len(p) for p in pieces])
         self.start, _ = _segments(self.size)
         self.longest = int(self.size.max(initial=1))
+        crossing = [i for i in plain if _cuts(np.frombuffer(pieces[i], np.uint8)).any()]
+        if crossing:
+            raise ValueError(f"{len(crossing)} pieces of the model stand across word cuts, such as {pieces[crossing[0]]!r}")
         self._build_trie([(pieces[i], i) for i in plain])
 
     def _build_trie(self, pieces: list[tuple[bytes, int]]) -> None:
@@ -118,9 +130,7 @@ class PieceModel:
         start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, found))
         size = np.where(data < 0x80, 1, np.where(data >= 0xF0, 4, np.where(data >= 0xE0, 3, np.where(data >= 0xC0, 2, 0))))
         whole = end - start == size[start]
-        covered = np.zeros(len(data) + 1, np.int32)
-        np.add.at(covered, start[whole], 1)
-        np.add.at(covered, end[whole], -1)
+        covered = np.bincount(start[whole], minlength=len(data) + 1) - np.bincount(end[whole], minlength=len(data) + 1)
         bare = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
         return np.concatenate((start, bare)), np.concatenate((end, bare + 1)), np.concatenate((piece, self.byte_id[data[bare]]))
 
@@ -133,7 +143,8 @@ class Sampler:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
+        self.held = 0
         self.word_end: list[np.ndarray] = []  # each word's last node
         self.word_first: list[np.ndarray] = []
         self.first_edge: list[np.ndarray] = []  # by node
@@ -143,13 +154,14 @@ class Sampler:
         self.nodes = self.edge_count = 0
         self._joined: tuple | None = None
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: list[int]) -> None:
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[bytes]) -> None:
         for lo in range(0, len(starts), BUILD_WORDS):
             sizes = ends[lo : lo + BUILD_WORDS] - starts[lo : lo + BUILD_WORDS]
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             self._filter_forward(data[ragged(starts[lo : lo + BUILD_WORDS], sizes)], offsets)
-        for h in hashes:
-            self.place[h] = len(self.place)
+        for w in words:
+            self.place[w] = len(self.place)
+            self.held += len(w)
         self._joined = None
 
     def _filter_forward(self, data: np.ndarray, offsets: np.ndarray) -> None:
@@ -215,21 +227,20 @@ class Sampler:
         at = offsets + shift
         if not len(text):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        space, line = text == 32, text == 10
-        cut = np.zeros(len(text), bool)
-        cut[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+        cut = _cuts(text)
         cut[at[:-1][size > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(text))
         first = np.searchsorted(starts, at)
-        if len(self.place) > CACHE_WORDS:
+        if len(self.place) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._clear()
-        hashes, example, inverse = np.unique(span_hash(prefix_hash(text), starts, ends), return_index=True, return_inverse=True)
-        known = hashes.tolist()
-        new = [k for k, h in enumerate(known) if h not in self.place]
+        example, inverse = distinct_words(text, starts, ends)
+        raw = text.tobytes()
+        known = [raw[i:j] for i, j in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
+        new = [k for k, w in enumerate(known) if w not in self.place]
         if new:
             self._learn(text, starts[example[new]], ends[example[new]], [known[k] for k in new])
-        word = np.fromiter((self.place[h] for h in known), np.int64, len(known))[inverse]
+        word = np.fromiter((self.place[w] for w in known), np.int64, len(known))[inverse]
         return self._sample_back(word, first, keys)
 
     def _sample_back(self, word: np.ndarray, first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,25 +348,32 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(id_col, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(releasing(run), f"`{id_col}` {kind}, text string")
 
 
-def training_rows(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0) -> DataFrame:
-    """Per text: piece ids, their number, a checksum of them as little-endian 32-bit integers, and what decoding them gives back."""
-    small_batches(docs.sparkSession)
+def _rows_of_batches(batches, model: str, seed: int, temperature: float, id_col: str):
+    """`training_rows` of batches (id, text, key)."""
+    for names, data, at, ids, piece_at, sampler in _encoded(batches, model, seed, temperature):
+        back, back_at = sampler.decode(ids, piece_at)
+        raw, source = back.tobytes(), data.tobytes()
+        packed = ids.astype("<u4").tobytes()
+        rows = []
+        for k in range(len(at) - 1):
+            text = raw[back_at[k] : back_at[k + 1]]
+            if text != source[at[k] : at[k + 1]]:
+                raise ValueError(f"row {names[k].as_py()} does not come back from its pieces")
+            rows.append((int(piece_at[k + 1] - piece_at[k]), zlib.crc32(packed[4 * piece_at[k] : 4 * piece_at[k + 1]]), hashlib.sha256(text).hexdigest(), True))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        lists = pa.ListArray.from_arrays(pa.array(piece_at.astype(np.int32)), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([names, lists] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=[id_col, "ids", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
-    def run(batches):
-        for names, data, at, ids, piece_at, sampler in _encoded(batches, model, seed, temperature):
-            back, back_at = sampler.decode(ids, piece_at)
-            raw, source = back.tobytes(), data.tobytes()
-            packed = ids.astype("<u4").tobytes()
-            rows = []
-            for k in range(len(at) - 1):
-                text = raw[back_at[k] : back_at[k + 1]]
-                rows.append((int(piece_at[k + 1] - piece_at[k]), zlib.crc32(packed[4 * piece_at[k] : 4 * piece_at[k + 1]]), hashlib.sha256(text).hexdigest(), text == source[at[k] : at[k + 1]]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            lists = pa.ListArray.from_arrays(pa.array(piece_at.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([names, lists] + [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=[id_col, "ids", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
+def training_rows(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, temperature: float = 1.0) -> DataFrame:
+    """Per text: piece ids, their number, a checksum of them as little-endian 32-bit integers, and what decoding them gives back.
+
+    A text that decoding doesn't give back ends the job with an error.
+    """
+    small_batches(docs.sparkSession)
+    run = releasing(lambda batches: _rows_of_batches(batches, model, seed, temperature, id_col))
     kind = docs.schema[id_col].dataType.simpleString()
-    return _keyed(docs, id_col, text_col).mapInArrow(releasing(run), f"`{id_col}` {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string, lossless boolean")
 
 
 def digest(docs: DataFrame, model: str, **options) -> DataFrame:

@@ -18,6 +18,7 @@ empty key, which sorts first. Repeated identifiers are kept side by side, in the
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import struct
 import zlib
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_path, small_batches, utf8
-from .hashing import prefix_hash, span_hash
+from .hashing import distinct_words
 
 MAGIC = b"TLSST001"
 BLOCK_BYTES = 64 << 10
@@ -43,8 +44,8 @@ END_ID = 1
 _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<B8sQIIIQ")
 _FOOTER = struct.Struct("<QIQIQQBI8s")
-#: Parts of words whose ids a Python worker keeps at most.
-CACHE_WORDS = 1_000_000
+#: Distinct parts of words whose ids a Python worker keeps, and their bytes, at most.
+CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -177,12 +178,25 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Normaliser and first split of a vocabulary for which texts may be encoded part by part (fixed values).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_FIRST_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def splittable(config: dict) -> bool:
+    """Whether a text's ids are its parts' ids: known steps before the model, and special tokens that begin with <|."""
+    steps = config.get("normalizer") == _NORMALIZER and config.get("pre_tokenizer") == {"type": "Sequence", "pretokenizers": [_FIRST_SPLIT, _BYTE_LEVEL]}
+    return steps and not config.get("truncation") and config["model"]["type"] == "BPE" and not config["model"].get("dropout") and all(t["content"].startswith("<|") for t in config.get("added_tokens", []))
+
+
 class WordEncoder:
     """Encodes texts part by part with the tokenizers library, each distinct part once.
 
     Parts end at ASCII white space and between an ASCII letter and one of a few signs: there the vocabulary's own first
     split always cuts, so the parts' ids are the text's ids. It lower-cases too, so parts are told apart in lower case,
-    unless the text holds the beginning of a special token, which is matched before that.
+    unless the text holds the beginning of a special token, which is matched before that. Parts are told apart by their
+    bytes. A vocabulary with other steps (`splittable`) encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -190,11 +204,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.by_parts = splittable(json.loads(self.model.to_str()))
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.place: dict[bytes, int] = {}
+        self.held = 0
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(0, f"<u{self.width}")
@@ -204,7 +220,7 @@ class WordEncoder:
         tokenize, rest = self.model.model.tokenize, []
         for k, part in enumerate(parts):
             # the steps before the model leave lower-case ASCII letters as they are
-            if part.isalpha() and part.islower():
+            if self.by_parts and part.isalpha() and part.islower():
                 out[k] = [t.id for t in tokenize(part.decode())]
             else:
                 rest.append(k)
@@ -214,21 +230,27 @@ class WordEncoder:
                 out[k] = e.ids
         return out
 
-    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            self._clear()
-        ids = self._ids(parts)
+    def _flat(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self.pool) + np.cumsum(sizes) - sizes
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.starts, self.sizes = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
-        self.pool = np.concatenate((self.pool, np.fromiter((x for row in ids for x in row), self.pool.dtype, int(sizes.sum()))))
+        return sizes, np.fromiter((x for row in ids for x in row), self.pool.dtype, int(sizes.sum()))
+
+    def _learn(self, parts: list[bytes]) -> None:
+        sizes, ids = self._flat(self._ids(parts))
+        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.pool = np.concatenate((self.pool, ids))
+        for part in parts:
+            self.place[part] = len(self.place)
+            self.held += len(part)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and the rows' offsets in them."""
         if not len(data):
             return self.pool[:0], np.zeros(len(offsets), np.int64)
         raw = data.tobytes()
+        if not self.by_parts:
+            sizes, ids = self._flat(self._ids([raw[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]))
+            return ids, np.concatenate(([0], np.cumsum(sizes)))
         if b"<|" not in raw:
             data = _LOWER[data]
             raw = data.tobytes()
@@ -243,14 +265,13 @@ class WordEncoder:
         first = np.searchsorted(starts, offsets)
         if not len(starts):
             return self.pool[:0], first
-        keys, example, inverse = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        for _ in range(2):  # a second time if the cache was emptied on the way
-            at = np.searchsorted(self.keys, keys)
-            new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
-            if not len(new):
-                break
-            self._learn(keys[new], [raw[i:j] for i, j in zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)])
-        at = np.searchsorted(self.keys, keys)[inverse]
+        example, inverse = distinct_words(data, starts, ends)
+        parts = [raw[i:j] for i, j in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
+        if len(self.place) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self._clear()
+        if new := [part for part in parts if part not in self.place]:
+            self._learn(new)
+        at = np.fromiter((self.place[part] for part in parts), np.int64, len(parts))[inverse]
         size = self.sizes[at]
         before = np.concatenate(([0], np.cumsum(size)))
         ids = self.pool[np.repeat(self.starts[at] - before[:-1], size) + np.arange(before[-1])]
