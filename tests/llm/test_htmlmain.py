@@ -1,6 +1,8 @@
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 from tokenloom.llm import htmlmain as hm
 
@@ -38,6 +40,53 @@ def test_broken_pages_do_not_fail(page):
     assert isinstance(hm.main_text(page), str)
 
 
+WRAPPED = f"<article><h1>Title</h1><p>{PARA}</p><p>Short.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='layout has-sidebar'>{WRAPPED}</div>",
+        f"<div class='no-comments'>{WRAPPED}</div>",
+        f"<div class='sidebar-right'><div class=ad>{PARA}</div>{WRAPPED}</div>",
+        f"<form id=aspnetForm><input><label>Find</label>{WRAPPED}<button>Go</button></form>",
+        f"<nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul>{WRAPPED}<footer>Foot</footer>",
+        f"<div class=overlay><aside><p>{PARA}</p></aside>{WRAPPED}</div>",
+        f"<div role=main class=modal><h1>Title</h1><p>{PARA}</p><p>Short.</p></div>",
+        f"{WRAPPED}<div class=comments><article class=comment><p>{PARA}</p></article><article><p>Me too.</p></article></div>",
+        f"<article><form><h1>Title</h1><p>{PARA}</p><p>Short.</p></form></article>",
+    ],
+)
+def test_wrappers_do_not_lose_the_article(page):
+    assert hm.main_text(page) == f"Title\n\n{PARA}\n\nShort."
+
+
+def test_a_form_around_a_page_without_an_article():
+    assert hm.main_text(f"<form><div class=content><p>{PARA}</p><p>{PARA}</p></div></form>") == f"{PARA}\n\n{PARA}"
+
+
+def test_names_that_only_seem_to_be_boilerplate():
+    assert hm.main_text(f"<article><p>{PARA}</p><p class='share-price'>Up by two in the hundred.</p><p class='no-ads'>Yes.</p></article>") == f"{PARA}\n\nUp by two in the hundred.\n\nYes."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x y z", "<ul>" + "<div>" * 30_000 + "<li>x" * 30_000, "<nav>" * 50_000 + f"<article><p>{PARA}", "".join(f"<div><p>{PARA}</p>" for _ in range(5_000)), f"<p>{PARA}</p><p>x</p>" * 8_000, "<b>" * 50_000 + "</i>" * 50_000 + "x"])
+def test_time_is_linear_in_depth_and_length(page):
+    began = time.process_time()
+    hm.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_a_fitted_model_tells_text_from_links(spark):
+    links = "<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div>"
+    rows = [(k, f"{links}<div>Imprint</div><article><h1>A title {k}</h1><p>{PARA}</p><p>{PARA} {PARA}</p></article>{links}<div>All rights</div>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    weights = hm.fit(pages)
+    assert len(weights) == len(hm.FEATURES) and not np.array_equal(weights, hm.FIXED)
+    assert hm.main_text(f"<body>{links}<div><p>{PARA}</p><p>{PARA}</p></div>{links}</body>", weights) == f"{PARA}\n\n{PARA}"
+    assert np.array_equal(hm.fit(pages.repartition(7)), weights) and np.array_equal(hm.fit(pages.limit(0)), hm.FIXED)
+    assert len(hm.fit(pages, most=5)) == len(hm.FEATURES)
+
+
 def test_references():
     assert hm.main_text("<article><p>a &lt; b &#233; &eacute; &amp;amp;</p></article>") == "a < b é é &amp;"
 

@@ -1,28 +1,37 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A small scoring function of each block (words, share of link words, elements around
-it, class names) gives what it costs to call it content or boilerplate; these are the capacities from the source and to
-the sink. Neighbouring blocks are joined by edges that get weaker with their distance in the document tree, and
-neighbouring siblings by further edges, so that a cut between them costs too. The minimum cut separates content from
-boilerplate; the maximum flow is found by blocking flows on level graphs.
+A page becomes a row of text blocks. A logistic model of each block (words, share of link words, marks of a sentence, kind
+of element) says how likely it is content; with what the elements around it say (article, navigation, names of classes)
+this makes what it costs to call it content or boilerplate: the capacities from the source and to the sink. Neighbouring
+blocks are joined by edges that get weaker with their distance in the document tree, and neighbouring siblings by further
+edges, so that a cut between them costs too. The minimum cut separates content from boilerplate; the maximum flow is
+found by blocking flows on level graphs.
+
+The model is fitted (`fit`) on at most FIT_PAGES pages that have an article element, FIT_BLOCKS blocks of each: those
+inside that nothing marks as boilerplate are content. Where there are none, fixed weights take its place.
+
+An element that is boilerplate by its tag or name hands that down, unless it holds the page's main article (its largest
+article or main element that is not a comment) or, without one, WHOLE of the page's words: then it is a wrapper. A form
+that holds most of the article is one too. Comments are never wrappers.
 
 White space within a block becomes one space; blocks are joined by an empty line. Null and empty pages give an empty
-text. Unclosed elements, truncated tags and references are read as far as they go. Repeated rows give equal texts.
+text. Unclosed elements, truncated tags and references are read as far as they go. Repeated rows give equal texts. Pages
+of any length are read whole, in time linear in length and depth; extra columns do not matter.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import deque
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts
+from .common import releasing, small_batches, texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math object iframe canvas audio video select textarea".split())
@@ -31,20 +40,44 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button label".split()
 )
 CLOSES_P = BLOCK - {"button", "label", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
+#: Elements that the next one of their kind ends, unless a list or table has begun between.
+ENDS_ITSELF = frozenset("li dt dd tr td th option a".split())
+LISTS = ("ul", "ol", "dl", "table")
 OUTSIDE = frozenset("nav footer aside form button dialog menu label fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-NEGATIVE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs comment comments "
-    "disqus replies respond cookie cookies consent gdpr footer foot header masthead menu nav navbar navigation pager pagination newsletter "
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+NEGATIVE = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner breadcrumb breadcrumbs "
+    "cookie cookies consent gdpr footer foot header masthead menu nav navbar navigation pager pagination newsletter "
     "popup modal overlay related recommended recommendations share sharing social sidebar rail skip subscribe subscription paywall widget "
     "notice notification disclaimer login signin signup search toolbar tagcloud tags trending outbrain taboola".split()
 )
 #: Of these, the ones that an article's own parts may have in their names too.
 AMBIGUOUS = frozenset("header masthead banner tags trending rail search toolbar".split())
 POSITIVE = frozenset("article story post entry content main body text prose".split())
+#: Before a word of NEGATIVE they say that the page has or lacks such a thing elsewhere.
+MODIFIERS = frozenset("has no with without not hide".split())
+#: Behind a word of NEGATIVE they leave its meaning; any other word makes it doubtful.
+PARTS = POSITIVE | frozenset(
+    "area author avatar bar block body bottom box btn button buttons card col column component container count date desktop feed first fixed form frame "
+    "group head heading holder icon icons image img inner item items label large last left link links list main meta mini mobile module node outer panel "
+    "primary region reply right row secondary section side slot small sticky stream thread title top unit wrap wrapper zone".split()
+)
 TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 dd figcaption li td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SMOOTH, SIBLING = 1.2, 0.6
+#: What a block's place says, in log-odds: in or outside an article, in something that may be or surely is boilerplate.
+ARTICLE, DOUBTFUL, MARKED = 4.0, 2.5, 12.0
+#: The most that the model of a block's text says.
+MOST = 3.0
+#: Share of the words (outside links) that makes a marked element a wrapper: of a page without an article, of an article in a form.
+WHOLE, MOSTLY = 0.8, 0.6
+FIT_PAGES, FIT_BLOCKS = 400, 100
+#: Without pages to learn from: for FEATURES.
+FIXED = np.array([-1.0, 1.1, -3.5, 0.8, 0.0, 0.0])
+FEATURES = ("one", "log_words_unlinked", "linked", "text_tag", "heading", "stops")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_STOPS = re.compile(r"[.,;:!?](?=\s|$)")
 
 
 @dataclass
@@ -52,16 +85,21 @@ class Block:
     text: str
     words: int
     linked: int
-    path: tuple[int, ...]
-    tags: tuple[str, ...]
-    marks: int
+    node: int
+
 
+class _Page(HTMLParser):
+    """The elements, as numbers in order of their start, and the text blocks."""
 
-class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, bool]] = []  # tag, number, mark, silent
-        self.count = 0
+        # by element; 0 stands for the page
+        self.tag, self.parent, self.mark = [""], [0], [0]
+        self.is_comment, self.is_article = [False], [False]
+        self.owner, self.level = [0], [0]  # nearest block element, block elements above and including it
+        self.stack: list[int] = [0]
+        self.open: dict[str, list[int]] = {}  # places on the stack, by tag
+        self.silent = self.links = self.articles = 0
         self.parts: list[str] = []
         self.linked = 0
         self.found: list[Block] = []
@@ -69,66 +107,97 @@ class _Blocks(HTMLParser):
     def flush(self) -> None:
         words = "".join(self.parts).split()
         if words:
-            owners = [x for x in self.stack if x[0] in BLOCK]
-            self.found.append(Block(" ".join(words), len(words), min(self.linked, len(words)), tuple(x[1] for x in owners), tuple(x[0] for x in owners), min((x[2] for x in self.stack), default=0)))
+            self.found.append(Block(" ".join(words), len(words), min(self.linked, len(words)), self.stack[-1]))
         self.parts, self.linked = [], 0
 
+    def _at(self, tag: str) -> int:
+        """The place of the innermost open element of a tag, or 0."""
+        places = self.open.get(tag)
+        return places[-1] if places else 0
+
     def _pop_to(self, k: int) -> None:
-        if any(x[0] in BLOCK for x in self.stack[k:]):
-            self.flush()
-        del self.stack[k:]
+        flushed = False
+        while len(self.stack) > k:
+            node = self.stack[-1]
+            tag = self.tag[node]
+            if tag in BLOCK and not flushed:
+                # all that is popped ends here: its text belongs where it was read
+                self.flush()
+                flushed = True
+            self.stack.pop()
+            self.open[tag].pop()
+            self.silent -= tag in SILENT
+            self.links -= tag == "a"
+            self.articles -= self.is_article[node]
 
     def handle_starttag(self, tag, attrs):
-        inside = [x[0] for x in self.stack]
-        if tag in CLOSES_P and "p" in inside:
-            self._pop_to(len(inside) - 1 - inside[::-1].index("p"))
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option", "a") and tag in inside:
-            k = len(inside) - 1 - inside[::-1].index(tag)
-            if not any(x in ("ul", "ol", "dl", "table") for x in inside[k + 1 :]):
-                self._pop_to(k)
+        if tag in CLOSES_P and (k := self._at("p")):
+            self._pop_to(k)
+        elif tag in ENDS_ITSELF and (k := self._at(tag)) and k > max(map(self._at, LISTS)):
+            self._pop_to(k)
         if tag in BLOCK:
             self.flush()
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        self.count += 1
         given = {k: v or "" for k, v in attrs}
-        self.stack.append((tag, self.count, self._mark(tag, given), tag in SILENT))
+        node, above = len(self.tag), self.stack[-1]
+        self.tag.append(tag)
+        self.parent.append(above)
+        article = tag in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody"
+        mark, comment = self._mark(tag, given, article)
+        self.mark.append(mark)
+        self.is_comment.append(comment)
+        self.is_article.append(article)
+        self.owner.append(node if tag in BLOCK else self.owner[above])
+        self.level.append(self.level[above] + (tag in BLOCK))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
+        self.articles += article
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
-    def _mark(self, tag: str, given: dict[str, str]) -> int:
-        """-2 if the element is surely outside the main text, -1 if it may be, else 0."""
+    def _mark(self, tag: str, given: dict[str, str], article: bool) -> tuple[int, bool]:
+        """2 if the element is boilerplate, 1 if it may be, else 0; and whether it holds readers' comments."""
+        names = [[t.lower() for t in _TOKEN.findall(name)] for name in (*given.get("class", "").split(), given.get("id", ""))]
+        comment = any(COMMENTS.intersection(parts) and not MODIFIERS.intersection(parts) for parts in names)
         if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
-            return -2
+            return 2, comment
         if tag in OUTSIDE or given.get("role", "") in ROLES:
-            return -2
-        in_article = any(x[0] in ("article", "main") for x in self.stack)
+            return 2, comment
         if tag == "header":
-            return 0 if in_article else -2
-        if tag in ("html", "body", "article", "main"):
-            return 0
-        tokens = {t.lower() for t in _TOKEN.findall(f"{given.get('class', '')} {given.get('id', '')}")}
-        found = tokens & NEGATIVE
+            return (0 if self.articles else 2), comment
+        if tag in ("html", "body", "main") or article and not comment:
+            return 0, False
+        positive = any(POSITIVE.intersection(parts) for parts in names)
+        return max((self._by_name(parts, positive) for parts in names), default=0), comment
+
+    def _by_name(self, parts: list[str], positive: bool) -> int:
+        found = NEGATIVE.intersection(parts)
         if not found:
             return 0
-        return -1 if found <= AMBIGUOUS and (in_article or tokens & POSITIVE) else -2
+        first = next(k for k, p in enumerate(parts) if p in NEGATIVE)
+        if MODIFIERS.intersection(parts[:first]):
+            return 0
+        if parts[-1] not in NEGATIVE and parts[-1] not in PARTS:
+            return 1
+        return 1 if found <= AMBIGUOUS and (self.articles or positive) else 2
 
     def handle_endtag(self, tag):
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._pop_to(k)
-                return
-        if tag == "p":
+        if k := self._at(tag):
+            self._pop_to(k)
+        elif tag == "p":
             self.flush()
 
     def handle_data(self, data):
-        if any(x[3] for x in self.stack):
+        if self.silent:
             return
         self.parts.append(data)
-        if any(x[0] == "a" for x in self.stack):
+        if self.links:
             self.linked += len(data.split())
 
     def close(self):
@@ -136,30 +205,108 @@ class _Blocks(HTMLParser):
         self.flush()
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's text blocks in order."""
-    parser = _Blocks()
-    parser.feed(html)
-    parser.close()
-    return parser.found
+def read(html: str) -> _Page:
+    page = _Page()
+    page.feed(html)
+    page.close()
+    return page
+
+
+def places(page: _Page) -> tuple[list[int], list[bool], bool]:
+    """For each element its mark after wrappers are let go, and whether it is in an article; and whether the page has one."""
+    n = len(page.tag)
+    plain = [0] * n  # words outside links below each element
+    for b in page.found:
+        plain[b.node] += b.words - b.linked
+    for k in range(n - 1, 0, -1):
+        plain[page.parent[k]] += plain[k]
+    comment, inside = page.is_comment[:], [False] * n
+    for k in range(1, n):
+        comment[k] = comment[k] or comment[page.parent[k]]
+        inside[k] = page.is_article[k] or inside[page.parent[k]]
+    every = [k for k in range(n) if page.is_article[k] and plain[k]]
+    main = max((k for k in every if not comment[k]), key=lambda k: (plain[k], -k), default=max(every, key=lambda k: (plain[k], -k), default=0))
+    wrapper = [False] * n
+    k = main
+    while k:
+        wrapper[k] = True
+        k = page.parent[k]
+    mark = [0] * n
+    for k in range(1, n):
+        own = page.mark[k]
+        if own and not (comment[k] and k != main):
+            if wrapper[k] or not main and plain[k] >= WHOLE * plain[0] > 0 or main and page.tag[k] in ("form", "fieldset") and inside[k] and plain[k] >= MOSTLY * plain[main]:
+                own = 0
+        mark[k] = max(own, mark[page.parent[k]])
+    return mark, inside, bool(main)
+
+
+def features(page: _Page, block: Block) -> list[float]:
+    """One value for each of FEATURES."""
+    tag = page.tag[page.owner[block.node]]
+    links = block.linked / block.words
+    return [1.0, float(np.log1p(block.words)) * (1 - links), links, float(tag in TEXT_TAGS), float(tag in HEADINGS), min(1.0, 10 * len(_STOPS.findall(block.text)) / block.words)]
 
 
-def score(block: Block, has_article: bool) -> float:
-    """Positive for content, negative for boilerplate, in log-odds."""
-    links = block.linked / block.words
-    z = -1.0 + 1.1 * math.log1p(block.words) * (1 - links) - 3.5 * links
-    if has_article:
-        z += 4.0 if "article" in block.tags or "main" in block.tags else -4.0
-    if block.tags and block.tags[-1] in TEXT_TAGS:
-        z += 0.8
-    return z - {0: 0.0, -1: 2.5, -2: 40.0}[block.marks]
+def regress(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps."""
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def examples(html: str) -> list[tuple[bool, list[float]]]:
+    """(is content, features) of FIT_BLOCKS blocks at most of a page with an article, evenly over the page; else none."""
+    page = read(html)
+    mark, inside, has_article = places(page)
+    if not has_article:
+        return []
+    step = -(-len(page.found) // FIT_BLOCKS)
+    return [(inside[b.node] and not mark[b.node], features(page, b)) for b in page.found[:: max(1, step)]]
 
 
-def _tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    k = 0
-    while k < len(a) and k < len(b) and a[k] == b[k]:
-        k += 1
-    return len(a) + len(b) - 2 * k
+def fit(pages: DataFrame, html_col: str = "html", most: int = FIT_PAGES) -> np.ndarray:
+    """Weights of the text model, from at most about `most` pages with an article; FIXED if content or boilerplate is missing."""
+    html = pages.select(F.col(html_col).alias("__html")).filter(F.col("__html").isNotNull())
+    n = html.count()
+
+    def run(batches):
+        for b in batches:
+            rows = [r for h in texts(b, "__html") for r in examples(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.bool_()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], names=["y", "x"])
+
+    # no more than about `most` pages are read by the tasks, the cut by hash holds their number to within a few hundredths
+    some = html.filter(F.pmod(F.xxhash64("__html"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, most / max(1, n))) + 1) if n > most else html
+    rows = some.mapInArrow(releasing(run), "y boolean, x array<double>").toPandas()
+    y = rows["y"].to_numpy(float) if len(rows) else np.zeros(0)
+    if not 0 < y.sum() < len(y):
+        return FIXED
+    x = np.array(rows["x"].tolist(), float)
+    order = np.lexsort((*x.T, y))  # the same sum whatever the order of the rows
+    return regress(x[order], y[order])
+
+
+def scores(page: _Page, weights: np.ndarray = FIXED) -> list[float]:
+    """Per block: positive for content, negative for boilerplate, in log-odds."""
+    mark, inside, has_article = places(page)
+    text = np.clip(np.array([features(page, b) for b in page.found]).reshape(-1, len(FEATURES)) @ weights, -MOST, MOST).tolist()
+    return [z + ((ARTICLE if inside[b.node] else -ARTICLE) if has_article else 0.0) - (0.0, DOUBTFUL, MARKED)[mark[b.node]] for z, b in zip(text, page.found, strict=True)]
+
+
+def _distance(page: _Page, a: int, b: int) -> int:
+    """Block elements between two elements' nearest common one and them; blocks in page order make this linear over a page."""
+    both = page.level[a] + page.level[b]
+    while a != b:
+        if a > b:  # the later element cannot hold the earlier one
+            a = page.parent[a]
+        else:
+            b = page.parent[b]
+    return both - 2 * page.level[a]
 
 
 class FlowNetwork:
@@ -220,42 +367,41 @@ class FlowNetwork:
         return [x >= 0 for x in level]
 
 
-def label(found: list[Block]) -> list[bool]:
+def label(page: _Page, weights: np.ndarray = FIXED) -> list[bool]:
     """Which blocks are content: the source side of the minimum cut."""
-    has_article = any("article" in b.tags or "main" in b.tags for b in found)
-    n = len(found)
+    n = len(page.found)
     net = FlowNetwork(n + 2)
     whole = lambda x: int(round(x * 1000))
-    last_under: dict[tuple[int, ...], int] = {}
-    for k, block in enumerate(found):
-        z = score(block, has_article)
+    last_under: dict[int, int] = {}
+    for k, (block, z) in enumerate(zip(page.found, scores(page, weights), strict=True)):
         if z > 0:
             net.add(n, k, whole(z))
         else:
             net.add(k, n + 1, whole(-z))
         if k:
-            w = whole(SMOOTH / (1 + _tree_distance(found[k - 1].path, block.path)))
+            w = whole(SMOOTH / (1 + _distance(page, page.found[k - 1].node, block.node)))
             net.add(k - 1, k, w, w)
-        parent = block.path[:-1]
+        parent = page.owner[page.parent[page.owner[block.node]]]
         if (other := last_under.get(parent)) is not None:
             net.add(other, k, whole(SIBLING), whole(SIBLING))
         last_under[parent] = k
     return net.source_side(n, n + 1)[:n]
 
 
-def main_text(html: str) -> str:
-    found = blocks(html)
-    return "\n\n".join(b.text for b, keep in zip(found, label(found), strict=True) if keep) if found else ""
+def main_text(html: str, weights: np.ndarray = FIXED) -> str:
+    page = read(html)
+    return "\n\n".join(b.text for b, keep in zip(page.found, label(page, weights), strict=True) if keep) if page.found else ""
 
 
-def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:
-    """The kept columns, `text` and `n_chars`."""
+def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", weights: np.ndarray | None = None) -> DataFrame:
+    """The kept columns, `text` and `n_chars`; the model is fitted on the pages unless its weights are given."""
     small_batches(pages.sparkSession)
+    known = fit(pages, html_col) if weights is None else weights
 
     def run(batches):
         for b in batches:
-            out = [main_text(h) for h in texts(b, "__html")]
+            out = [main_text(h, known) for h in texts(b, "__html")]
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*keep, "text", "n_chars"])
 
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["text string", "n_chars long"])
-    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(releasing(run), schema)
