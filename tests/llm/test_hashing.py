@@ -12,8 +12,8 @@ def spans(words):
 
 
 def check(words):
-    example, inverse = hashing.distinct_words(*spans(words))
-    assert len(example) == len(set(words)) and all(words[example[inverse[k]]] == w for k, w in enumerate(words))
+    keys, example, inverse = hashing.distinct_words(*spans(words))
+    assert len(keys) == len(example) == len(set(words)) and all(words[example[inverse[k]]] == w for k, w in enumerate(words))
 
 
 def test_words_are_told_apart_by_their_bytes(monkeypatch):

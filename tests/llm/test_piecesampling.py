@@ -114,6 +114,6 @@ def test_words_that_are_hard_to_tell_apart(model):
 
 
 def test_a_text_that_does_not_come_back_ends_the_job(monkeypatch):
-    monkeypatch.setattr(ps, "distinct_words", lambda data, starts, ends: (np.zeros(1, np.int64), np.zeros(len(starts), np.int64)))
+    monkeypatch.setattr(ps, "distinct_words", lambda data, starts, ends: (np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(len(starts), np.int64)))
     with pytest.raises(Exception, match="does not come back"):
         list(ps._rows_of_batches([pa.RecordBatch.from_pydict({"id": [1], "text": ["one two"], "key": [5]})], PATH, 0, 1.0, "id"))

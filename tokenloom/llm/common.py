@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,10 +13,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN_DIR: dict[str, str] = {}
+#: Scratch folders of each application, as they were made.
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, as in local tests."""
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one for a session on one machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="tokenloom-")
@@ -34,7 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tokenloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tokenloom/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the scratch tables and files that were made inside: what is computed from them must be written by then."""
+    made = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    try:
+        yield
+    finally:
+        for path in made[before:]:
+            _delete(spark, path)
+        del made[before:]
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables and files of the application; results that were not written before can't be read any more."""
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -45,15 +77,23 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete scratch tables that no later result reads."""
-    for df in tables:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            jvm = spark._jvm
-            parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if "/tokenloom/" in parent.toString():
-                parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
+def drop(*tables: DataFrame | str) -> None:
+    """Delete scratch tables (or folders, by their paths) that no later result reads."""
+    for table in tables:
+        spark = SparkSession.active()
+        if not isinstance(table, str):
+            files = table.inputFiles()[:1]
+            table = files[0].rpartition("/")[0] if files else ""
+        if "/tokenloom/" in table:
+            _delete(spark, table)
+
+
+def whole_number(df: DataFrame, column: str) -> Column:
+    """The column as a long; an error if it holds anything but whole numbers, since a cast would turn other ids into null."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"{column} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(column).cast("long")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -124,18 +124,19 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
     return same
 
 
-def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(an occurrence of each distinct word, the distinct word of each occurrence); words are told apart by their bytes."""
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct word its key and an occurrence, and the distinct word of each occurrence; bytes tell words apart, not keys."""
     keys, example, inverse = np.unique(word_keys(data, starts, ends), return_index=True, return_inverse=True)
     size = ends - starts
     wrong = size != size[example[inverse]]
     wrong[~wrong] = ~same_bytes(data, starts[~wrong], starts[example[inverse[~wrong]]], size[~wrong])
     extra: dict[bytes, int] = {}
-    more = []
+    more, more_keys = [], []
     for k in np.flatnonzero(wrong).tolist():
         word = data[starts[k] : ends[k]].tobytes()
         if word not in extra:
             extra[word] = len(keys) + len(more)
             more.append(k)
+            more_keys.append(keys[inverse[k]])
         inverse[k] = extra[word]
-    return np.append(example, np.array(more, np.int64)), inverse
+    return np.append(keys, np.array(more_keys, np.uint64)), np.append(example, np.array(more, np.int64)), inverse

@@ -234,7 +234,7 @@ class Sampler:
         first = np.searchsorted(starts, at)
         if len(self.place) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._clear()
-        example, inverse = distinct_words(text, starts, ends)
+        _, example, inverse = distinct_words(text, starts, ends)
         raw = text.tobytes()
         known = [raw[i:j] for i, j in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
         new = [k for k, w in enumerate(known) if w not in self.place]

@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches, utf8
-from .hashing import distinct_words
+from .common import releasing, scratch_path, small_batches, utf8, whole_number
+from .hashing import distinct_words, same_bytes
 
 MAGIC = b"TLSST001"
 BLOCK_BYTES = 64 << 10
@@ -45,7 +45,7 @@ _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<B8sQIIIQ")
 _FOOTER = struct.Struct("<QIQIQQBI8s")
 #: Distinct parts of words whose ids a Python worker keeps, and their bytes, at most.
-CACHE_WORDS, CACHE_BYTES = 400_000, 16 << 20
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 16 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -209,10 +209,10 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.held = 0
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        # known parts by key: their bytes in `text`, their ids in `pool`
+        self.keys = np.zeros(0, np.uint64)
+        self.text_at, self.text_size, self.ids_at, self.ids_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.text = np.zeros(0, np.uint8)
         self.pool = np.zeros(0, f"<u{self.width}")
 
     def _ids(self, parts: list[bytes]) -> list[list[int]]:
@@ -234,14 +234,32 @@ class WordEncoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         return sizes, np.fromiter((x for row in ids for x in row), self.pool.dtype, int(sizes.sum()))
 
-    def _learn(self, parts: list[bytes]) -> None:
-        sizes, ids = self._flat(self._ids(parts))
-        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.pool = np.concatenate((self.pool, ids))
-        for part in parts:
-            self.place[part] = len(self.place)
-            self.held += len(part)
+    def _places(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool each distinct part's ids stand, and how many; unknown parts are encoded."""
+        if len(self.keys) > CACHE_WORDS or len(self.text) > CACHE_BYTES:
+            self._clear()
+        size = ends - starts
+        at, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = (self.keys[place] == keys) & (self.text_size[place] == size) if len(self.keys) else np.zeros(len(keys), bool)
+        known[known] = same_bytes(np.concatenate((data, self.text)), starts[known], len(data) + self.text_at[place[known]], size[known])
+        at[known], n[known] = self.ids_at[place[known]], self.ids_size[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = data.tobytes()
+            n[new], ids = self._flat(self._ids([raw[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
+            at[new] = len(self.pool) + np.cumsum(n[new]) - n[new]
+            self.pool = np.concatenate((self.pool, ids))
+            # a part whose key another one has already is encoded anew each time
+            new = new[np.unique(keys[new], return_index=True)[1]]
+            new = new[self.keys[np.minimum(np.searchsorted(self.keys, keys[new]), len(self.keys) - 1)] != keys[new]] if len(self.keys) else new
+            to = np.searchsorted(self.keys, keys[new])
+            text_at = len(self.text) + np.cumsum(size[new]) - size[new]
+            self.text = np.concatenate([self.text, *(data[i:j] for i, j in zip(starts[new].tolist(), ends[new].tolist(), strict=True))])
+            self.keys = np.insert(self.keys, to, keys[new])
+            self.text_at, self.text_size = np.insert(self.text_at, to, text_at), np.insert(self.text_size, to, size[new])
+            self.ids_at, self.ids_size = np.insert(self.ids_at, to, at[new]), np.insert(self.ids_size, to, n[new])
+        return at, n
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and the rows' offsets in them."""
@@ -265,16 +283,11 @@ class WordEncoder:
         first = np.searchsorted(starts, offsets)
         if not len(starts):
             return self.pool[:0], first
-        example, inverse = distinct_words(data, starts, ends)
-        parts = [raw[i:j] for i, j in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
-        if len(self.place) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self._clear()
-        if new := [part for part in parts if part not in self.place]:
-            self._learn(new)
-        at = np.fromiter((self.place[part] for part in parts), np.int64, len(parts))[inverse]
-        size = self.sizes[at]
+        keys, example, inverse = distinct_words(data, starts, ends)
+        ids_at, n = self._places(data, keys, starts[example], ends[example])
+        size = n[inverse]
         before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.repeat(self.starts[at] - before[:-1], size) + np.arange(before[-1])]
+        ids = self.pool[np.repeat(ids_at[inverse] - before[:-1], size) + np.arange(before[-1])]
         return ids, before[first]
 
 
@@ -319,8 +332,8 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             data, offsets = utf8(b.column(1))
             keys = [key_of(i) for i in b.column(0).to_pylist()]
             lo = 0
-            while lo < len(keys):  # a few MB of text at a time
-                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (4 << 20), "right")) - 1)
+            while lo < len(keys):  # some MB of text at a time
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + (2 << 20), "right")) - 1)
                 ids, at = encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for k in range(lo, hi):
                     if writer is None:
@@ -335,8 +348,8 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["path", "part", "roll", "docs", "ids"])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
-    rows = sorted(ordered.mapInArrow(run, _MANIFEST).collect(), key=lambda r: (r.part, r.roll))
+    ordered = docs.select(whole_number(docs, id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
+    rows = sorted(ordered.mapInArrow(releasing(run), _MANIFEST).collect(), key=lambda r: (r.part, r.roll))
     out, start = [], 0
     for r in rows:
         out.append((*r, start))
@@ -377,7 +390,7 @@ def digest(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         start += len(ids)
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("path", "start").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "start").mapInArrow(releasing(run), f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -408,7 +421,7 @@ def lookup(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> Da
                 out += [(i, ids.astype(np.int32).tolist()) for ids in reader.get(i)]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([v for _, v in out], pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    keys = wanted.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+    keys = wanted.select(whole_number(wanted, id_col).alias("id")).filter("id is not null").distinct()
     return keys.mapInArrow(deal, "id long, path string").repartition("path").sortWithinPartitions("path", "id").mapInArrow(run, f"`{id_col}` long, ids array<int>")
 
 
