@@ -1,4 +1,5 @@
 import os
+import tracemalloc
 import zlib
 
 import helpers
@@ -12,11 +13,23 @@ SF = "/root/testdata/sf0.01"
 
 def test_windows_cover_all_bytes():
     data = np.arange(1000, dtype=np.int64).astype(np.uint8)
-    x, row, length = langid.windows(data, np.array([0, 0, 300, 300, 1000]))
+    offsets = np.array([0, 0, 300, 300, 1000])
+    parts = list(langid.windows(data, offsets, 2))
+    assert [len(p[0]) for p in parts] == [2, 2, 1]
+    x, row, length = (np.concatenate(p) for p in zip(*parts))
     assert row.tolist() == [1, 1, 3, 3, 3] and length.sum() == 1000
     assert np.concatenate([w[:n] for w, n in zip(x, length)]).tolist() == data.tolist() and not x[1, 44:].any()
 
 
+def test_a_very_long_text_takes_little_memory():
+    data = np.zeros(40_000_000, np.uint8)
+    tracemalloc.start()
+    assert sum(len(x) for x, _, _ in langid.windows(data, np.array([0, len(data)]))) == -(-len(data) // langid.WINDOW)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+
+
 def test_joined_tables_give_the_same_responses():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 256, (20, langid.WINDOW), dtype=np.uint8)

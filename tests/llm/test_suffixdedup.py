@@ -70,3 +70,8 @@ def test_awkward_documents(spark):
     df = helpers.awkward(spark)
     assert result(df) == plain([(i, (t or "").encode()) for i, t, *_ in helpers.ROWS])
     assert sd.remove_repeats(helpers.empty(spark)).count() == 0
+
+
+def test_only_short_texts(spark):
+    texts = ["short", "", "short", "also short"]
+    assert result(helpers.docs(spark, texts)) == plain([(k, t.encode()) for k, t in enumerate(texts)])

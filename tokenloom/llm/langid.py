@@ -6,11 +6,13 @@ prediction is the language with the largest sum of log-probabilities over its wi
 
 The network is trained on at most PER_LANGUAGE windows of each language, from labelled documents outside the held-out
 fold (those of smallest hash). Null texts and texts without a letter are `und` with score 0, so are all texts if there
-is no labelled text. Repeated rows get equal predictions; ties go to the first language in alphabetical order.
+is no labelled text. Repeated rows get equal predictions and count once in training; ties go to the first language in
+alphabetical order. Texts of any length are read whole, some windows at a time; extra columns do not matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,18 +130,18 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOC
     return net.for_inference()
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Padded windows (n, WINDOW), the row each belongs to and its bytes."""
+def windows(data: np.ndarray, offsets: np.ndarray, some: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Padded windows (n, WINDOW) of all rows, the row each belongs to and its bytes, `some` windows at a time."""
     size = np.diff(offsets)
-    count = -(-size // WINDOW)
-    row = np.repeat(np.arange(len(size)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = offsets[:-1][row] + nth * WINDOW
-    length = np.minimum(WINDOW, offsets[1:][row] - start)
-    padded = np.concatenate((data, np.zeros(WINDOW, np.uint8)))
-    x = padded[start[:, None] + np.arange(WINDOW)]
-    x[np.arange(WINDOW) >= length[:, None]] = 0
-    return x, row, length
+    before = np.concatenate(([0], np.cumsum(-(-size // WINDOW))))
+    for lo in range(0, int(before[-1]), some):
+        which = np.arange(lo, min(lo + some, int(before[-1])))
+        row = np.searchsorted(before, which, "right") - 1
+        start = offsets[row] + (which - before[row]) * WINDOW
+        length = np.minimum(WINDOW, offsets[row + 1] - start)
+        x = data[np.minimum(start[:, None] + np.arange(WINDOW), len(data) - 1)]
+        x[np.arange(WINDOW) >= length[:, None]] = 0
+        yield x, row, length
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -155,7 +157,8 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[
     span = F.greatest(F.floor(F.octet_length("text") / PER_DOCUMENT), F.lit(WINDOW)).cast("int")
     parts = F.array(*[F.substring(F.col("text").cast("binary"), F.lit(1) + k * span, F.lit(WINDOW)) for k in range(PER_DOCUMENT)])
     languages = sorted(sizes)
-    rows = known.filter(chosen).select("lang", "doc_id", parts.alias("parts")).collect()
+    # rows that share a doc_id count once, so that no more rows come here than documents were drawn
+    rows = known.filter(chosen).groupBy("lang", "doc_id").agg(F.min(parts).alias("parts")).collect()
     rows.sort(key=lambda r: (r[0], str(r[1]), [bytes(p) for p in r[2]]))
     got: list[tuple[bytes, int]] = []
     taken = dict.fromkeys(languages, 0)
@@ -189,11 +192,9 @@ def predict(docs: DataFrame, net: ByteConv | None, keep: tuple[str, ...] = ("doc
             if net is not None and n:
                 total = np.zeros((n, len(net.languages)))
                 weight = np.zeros(n)
-                x, row, length = windows(data, offsets)
-                for lo in range(0, len(x), 256):
-                    part = slice(lo, lo + 256)
-                    np.add.at(total, row[part], net.log_probabilities(x[part]) * length[part, None])
-                    np.add.at(weight, row[part], length[part])
+                for x, row, length in windows(data, offsets):
+                    np.add.at(total, row, net.log_probabilities(x) * length[:, None])
+                    np.add.at(weight, row, length)
                 mean = total / np.maximum(weight, 1)[:, None]
                 best = mean.argmax(axis=1)
                 share = np.exp(mean[np.arange(n), best]) / np.exp(mean).sum(axis=1)

@@ -11,7 +11,8 @@ computes the features and the active segments. Per file:
 * fixed-shape tensors: the frames are cut into windows of FRAMES x MELS, the last one padded with silence, each
   with its time span in seconds.
 
-Null texts count as empty; an empty text is one block of 64 zero bytes. Equal texts have equal results.
+Null texts count as empty; an empty text is one block of 64 zero bytes. Equal texts have equal results. Texts of any length
+are one file each and are read whole, one after another; extra columns do not matter. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import materialise, releasing, scratch_path, small_batches, utf8
+from .common import blocks, materialise, releasing, scratch_path, small_batches, utf8
 from .runs import groups, read_file, rows_of, write_file
 
 BLOCK = 64
@@ -37,6 +38,8 @@ TAPS = 32
 HIGH, LOW = 0.5, -0.25
 SILENCE = -100.0
 HEADER = 44
+#: Bytes of files that are handed on together, about.
+PACK_BYTES = 16 << 20
 #: Windows in a tensor file, about, or those of one longer document.
 FILE_WINDOWS = 2048
 
@@ -154,9 +157,10 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def pack(batches):
         for b in batches:
             data, offsets = utf8(b.column(1))
-            raw = data.tobytes()
-            files = [wav(payload(raw[i:j])) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offsets)), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
+            for lo, hi in blocks(offsets, PACK_BYTES):
+                ends = zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)
+                files = [wav(payload(data[i:j].tobytes())) for i, j in ends]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     packed = docs.select(id_col, text_col).mapInArrow(pack, f"`{id_col}` {kind}, n_bytes long, media binary")

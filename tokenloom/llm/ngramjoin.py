@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, look_up, materialise, releasing, scratch_path, small_batches
+from .common import blocks, look_up, materialise, releasing, scratch_path, small_batches, whole_number
 from .components import components
 from .hashing import counter, mix, word_keys, word_spans
 from .runs import NOBODY, columns, cut_runs, groups, pack_sorted, part_of, read_file, rows_of, slices, unpack_sorted
@@ -328,7 +328,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     folder = scratch_path(spark, "shingle-runs")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(whole_number(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(2 * spark.sparkContext.defaultParallelism, size // PART_BYTES + 1)
     told = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _tell_keys(parts))), "doc_id long, n long, digest binary, part int, run string, names binary, counts binary"), "shingle-keys")
@@ -378,4 +378,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that link with nothing stay, also those without a doc_id. Of rows that share the smallest doc_id all stay.
     """
     found = classes(docs, id_col, text_col).filter(F.col("doc_id").isNotNull() & (F.col("component_id") < F.col("doc_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(found, docs[id_col] == F.col("__gone"), "left_anti")

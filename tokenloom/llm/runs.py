@@ -121,5 +121,7 @@ def part_of(short: np.ndarray, bits: int, parts: int) -> np.ndarray:
 def slices(sorted_parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(part, from, to) of ascending part numbers."""
     heads = np.flatnonzero(np.diff(sorted_parts, prepend=-1))
+    if not len(heads):
+        return
     for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(sorted_parts)).tolist(), strict=True):
         yield int(sorted_parts[lo]), lo, hi

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop, materialise, releasing, scratch_path, small_batches
+from .common import blocks, drop, materialise, releasing, scratch_path, small_batches, whole_number
 from .hashing import mix, prefix_hash, span_hash
 from .runs import NOBODY, columns, cut_runs, groups, pack, pack_sorted, part_of, read_file, rows_of, slices, unpack, unpack_sorted, write_file
 
@@ -415,7 +415,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     folder = scratch_path(spark, "suffix-runs")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(whole_number(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a part gets the names of about a tenth of the bytes, at some 4 bytes each
     parts = max(2 * spark.sparkContext.defaultParallelism, size // (PART_BYTES * 2) + 1)

@@ -9,7 +9,8 @@ held-out fold, crc32(doc_id) mod 5 = 0. The learned lexicon holds words and word
 than clean documents of the sample; the trees see each sampled document through the lexicon of the other half of the
 sample, so they do not trust it beyond what holds on unseen rows. Fold 1 only calibrates. A doc_id with several labels
 has their maximum. Null and empty texts have all features 0 and get the score of that point. Without labels of both
-classes every score is the share of toxic labels, or 0 without labels. Repeated rows get equal scores.
+classes every score is the share of toxic labels, or 0 without labels. Repeated rows get equal scores; of rows that share a
+doc_id the least text is learned from. Texts of any length are read whole, one after another; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ SAMPLE = 20_000
 SHARE, LEAST = 0.004, 3
 #: How far, in log-odds, a learned key leans to toxic documents, after one standard error is taken off.
 LEAN = 1.5
-#: Most keys in the learned lexicon, the strongest first.
-KEYS = 20_000
 STEM = 5
 
 LEXICON = frozenset(
@@ -140,7 +139,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * sample / n))
     # no more than about `sample` rows of two numbers, so each executor may hold them all
     joined = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id")
-    return materialise(joined, "toxicity-sample")
+    # rows that share a doc_id count once, so the sample is no larger than the labels it was drawn from
+    return materialise(joined.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("toxic").alias("toxic")), "toxicity-sample")
 
 
 def lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
@@ -158,9 +158,16 @@ def lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], dic
 
     counted = sample.select("doc_id", "text", "toxic").mapInArrow(releasing(count), "key string, c0 long, t0 long, c1 long, t1 long")
     summed = counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("c0", "t0", "c1", "t1")])
-    # at most KEYS rows come back: the keys in the most toxic documents for their documents, and the totals under the empty key
-    lean = (F.col("t0") + F.col("t1")) / F.sqrt(F.col("c0") + F.col("c1") + F.col("t0") + F.col("t1"))
-    rows = summed.filter((F.col("t0") + F.col("t1") >= LEAST) & (2 * (F.col("t0") + F.col("t1")) >= F.col("c0") + F.col("c1")) | (F.col("key") == "")).orderBy((F.col("key") == "").desc(), lean.desc(), "key").limit(KEYS).toPandas()
+    # only keys that may reach the thresholds in some lexicon come back, and the totals under the empty key; the sample
+    # bounds their number
+    totals = summed.filter("key = ''").first()
+    if totals is None:
+        return {}, {}, {}
+    toxic, clean = F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1")
+    log_odds = lambda t, c: F.log((t + 0.5) / (totals["t0"] + totals["t1"] + 1)) - F.log((c + 0.5) / (totals["c0"] + totals["c1"] + 1))
+    # a half's lean can exceed the whole's, so the cut here is below LEAN
+    near = (toxic >= LEAST) & (2 * toxic >= toxic + clean) & (log_odds(toxic, clean) > 0)
+    rows = summed.filter(near | (F.col("key") == "")).orderBy((F.col("key") == "").desc(), "key").toPandas()
     c = rows[["c0", "t0", "c1", "t1"]].to_numpy(float)
     out = []
     for clean, toxic in ((c[:, 0], c[:, 1]), (c[:, 2], c[:, 3]), (c[:, 0] + c[:, 2], c[:, 1] + c[:, 3])):
