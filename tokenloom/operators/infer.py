@@ -1,25 +1,42 @@
 """Design conventions inferred from merged tokens and components: threshold aggregates with ordered evidence.
 
-All token rules come from one pass over the tokens, all component rules from one over the components. Evidence that is
-shown whole is collected in order; evidence of n examples is the n first by the document's order.
+Counts, and evidence that a rule shows whole, come from one partial aggregate over the tokens and one over the components.
+Evidence of n examples is the n first by the document's order: a ranking that keeps n rows of each kind in every task
+before it shuffles, so no task gathers all that match. All rules of a project are one row's array, taken apart at the end.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom import model as m
 from tokenloom.functions.text import contains_any, number_text, pixels
 
 
-def _listed(shown: Column, at: Column, where: Column, n: int | None = None) -> Column:
-    """The shown texts of the rows that hold, in order; all of them or the first n."""
+#: Stands for the project where there is only one.
+_ONE = "__project"
+#: Examples that any rule shows at most.
+_MOST = 5
+
+
+def _listed(shown: Column, at: Column, where: Column) -> Column:
+    """The shown texts of the rows that hold, in order."""
     rows = F.array_sort(F.collect_list(F.when(where, F.struct(at.alias("at"), shown.alias("shown")))))
-    texts = F.transform(rows, lambda r: r["shown"])
-    return F.slice(texts, 1, n) if n else texts
+    return F.transform(rows, lambda r: r["shown"])
+
+
+def _first(rows: DataFrame, by: tuple[str, ...], kinds: dict[str, tuple[Column, int]]) -> DataFrame:
+    """For each project and kind of rows (a condition, and how many), the first names by `at`, as columns named after the kinds."""
+    found = F.array_compact(F.array(*[F.when(holds, F.lit(kind)) for kind, (holds, _) in kinds.items()]))
+    each = rows.select(*by, F.explode(found).alias("__kind"), "at", "name")
+    place = F.row_number().over(Window.partitionBy(*by, "__kind").orderBy("at", "name"))
+    first = each.withColumn("__place", place).filter(F.col("__place") <= _MOST)
+    return first.groupBy(*by).agg(*[_listed(F.col("name"), F.col("__place"), (F.col("__kind") == kind) & (F.col("__place") <= n)).alias(kind) for kind, (_, n) in kinds.items()])
+
+
+def _one(rows: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, tuple[str, ...]]:
+    return (rows, by) if by else (rows.withColumn(_ONE, F.lit(0)), (_ONE,))
 
 
 def _count(where: Column) -> Column:
@@ -27,7 +44,8 @@ def _count(where: Column) -> Column:
 
 
 def token_facts(tokens: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row, or one for each value of `by`, of everything the token rules ask. tokens: category, name, value, at."""
+    """One row for each project of everything the token rules ask. tokens: category, name, value, at."""
+    tokens, by = _one(tokens, by)
     name, value, category, at = (F.col(c) for c in ("name", "value", "category", "at"))
     lower = F.lower(name)
     px = pixels(value)
@@ -40,46 +58,50 @@ def token_facts(tokens: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     hover, base, dark = color & name.contains("hover"), color & ~contains_any(name, m.STATE_WORDS), color & name.contains("dark")
     prefix = F.element_at(F.split(name, "-"), 1)
     both = F.concat(name, F.lit(": "), value)
-    return tokens.groupBy(*by).agg(
+    counted = tokens.groupBy(*by).agg(
         _count(spacing).alias("spacing_n"),
         F.coalesce(F.bool_and(F.when(spacing, px % 4 == 0)), F.lit(False)).alias("spacing_by4"),
         F.coalesce(F.bool_and(F.when(spacing, px % 8 == 0)), F.lit(False)).alias("spacing_by8"),
         F.array_sort(F.collect_list(F.when(spacing, px))).alias("spacing_px"),
         _listed(both, at, spacing).alias("spacing_all"),
         _count(color).alias("color_n"), _count(semantic).alias("semantic_n"), _count(descriptive).alias("descriptive_n"),
-        _listed(name, at, semantic, 5).alias("semantic_5"),
-        _count(hover).alias("hover_n"), _count(base).alias("base_n"), _listed(name, at, hover, 3).alias("hover_3"),
-        _count(dark).alias("dark_n"), _listed(name, at, dark, 3).alias("dark_3"),
+        _count(hover).alias("hover_n"), _count(base).alias("base_n"),
+        _count(dark).alias("dark_n"),
         _count(radius).alias("radius_n"), F.count_distinct(F.when(radius, value)).alias("radius_values"), F.min(F.when(radius, value)).alias("radius_value"),
         _count(radius & px.isNotNull()).alias("radius_px"), _listed(both, at, radius).alias("radius_all"),
         _count(font).alias("font_n"), F.min(F.when(font, value)).alias("font_value"), _listed(both, at, font).alias("font_all"),
         _count(mono).alias("mono_n"), _listed(both, at, mono).alias("mono_all"),
         F.count("*").alias("total"), _count(name.contains("-")).alias("kebab_n"), _count(name.rlike("[a-z][A-Z]")).alias("camel_n"), _count(name.contains("_")).alias("snake_n"),
-        _listed(name, at, F.lit(True), 4).alias("name_4"),
-        _count(prefix.isin(m.PREFIX_WORDS)).alias("prefix_n"), _listed(name, at, prefix.isin(m.PREFIX_EVIDENCE_WORDS), 4).alias("prefix_4"),
+        _count(prefix.isin(m.PREFIX_WORDS)).alias("prefix_n"),
     )
+    kinds = {"semantic_5": (semantic, 5), "hover_3": (hover, 3), "dark_3": (dark, 3), "name_4": (F.lit(True), 4), "prefix_4": (prefix.isin(m.PREFIX_EVIDENCE_WORDS), 4)}
+    return counted.join(_first(tokens, by, kinds), list(by))
 
 
 def component_facts(components: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row, or one for each value of `by`: components, and for three props how many have them and the first four that do. components: name, props, at."""
-    out = [F.count("*").alias("n")]
-    for prop in ("variant", "size", "disabled"):
-        has = F.coalesce(F.map_contains_key("props", prop), F.lit(False))
-        out += [_count(has).alias(f"{prop}_n"), _listed(F.col("name"), F.col("at"), has, 4).alias(f"{prop}_4")]
-    return components.groupBy(*by).agg(*out)
+    """One row for each project: components, and for three props how many have them and the first four that do. components: name, props, at."""
+    components, by = _one(components, by)
+    has = {prop: F.coalesce(F.map_contains_key("props", prop), F.lit(False)) for prop in ("variant", "size", "disabled")}
+    counted = components.groupBy(*by).agg(F.count("*").alias("n"), *[_count(x).alias(f"{prop}_n") for prop, x in has.items()])
+    return counted.join(_first(components, by, {f"{prop}_4": (x, 4) for prop, x in has.items()}), list(by), "left")
 
 
 def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) == 0, F.lit(None)).otherwise(F.col(part) / F.col(whole))
 
 
-def _rule(facts: DataFrame, by: tuple[str, ...], ord_: int, id_: str, category: str, confidence: str, holds: Column, text: Column, evidence: Column) -> DataFrame:
-    return facts.filter(holds).select(*by, F.lit(ord_).alias("ord"), F.lit(id_).alias("id"), F.lit(category).alias("category"), text.alias("rule"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"))
+def _rule(ord_: int, id_: str, category: str, confidence: str, holds: Column, text: Column, evidence: Column) -> Column:
+    """The rule where it holds, else null."""
+    return F.when(holds, F.struct(F.lit(ord_).alias("ord"), F.lit(id_).alias("id"), F.lit(category).alias("category"), text.alias("rule"), F.lit(confidence).alias("confidence"), evidence.alias("evidence")))
+
+
+def _holding(facts: DataFrame, by: tuple[str, ...], rules: list[Column]) -> DataFrame:
+    """A row for each rule that holds."""
+    return facts.select(*by, F.inline(F.array_compact(F.array(*rules))))
 
 
 def infer_rules(tokens: DataFrame, components: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The rules that hold, in the order in which they are reported; with `by`, for many projects at once."""
-    t, c = token_facts(tokens, by).cache(), component_facts(components, by).cache()
     px = F.col("spacing_px")
     step = F.get(px, F.lit(1)) - F.get(px, F.lit(0))
     even = F.forall(F.sequence(F.lit(2), F.greatest(F.size(px), F.lit(2))), lambda k: F.get(px, k - 1) - F.get(px, k - 2) == step)
@@ -87,22 +109,25 @@ def infer_rules(tokens: DataFrame, components: DataFrame, by: tuple[str, ...] =
     kebab = (col("kebab_n") == F.greatest("kebab_n", "camel_n", "snake_n")) & (_share("kebab_n", "total") > 0.7)
     camel = ~F.coalesce(kebab, lit(False)) & (col("camel_n") == F.greatest("kebab_n", "camel_n", "snake_n")) & (_share("camel_n", "total") > 0.7)
     hover = (col("hover_n") > 0) & F.when(col("base_n") == 0, lit(True)).otherwise(_share("hover_n", "base_n") > 0.3)
-    rules = [
-        _rule(t, by, 1, "spacing-4px-base", "spacing", "high", (col("spacing_n") >= 2) & col("spacing_by4"), lit("All spacing values are multiples of 4px."), col("spacing_all")),
+    of_tokens = [
+        _rule(1, "spacing-4px-base", "spacing", "high", (col("spacing_n") >= 2) & col("spacing_by4"), lit("All spacing values are multiples of 4px."), col("spacing_all")),
         # never holds: multiples of 8 are multiples of 4
-        _rule(t, by, 2, "spacing-8px-base", "spacing", "high", (col("spacing_n") >= 2) & ~col("spacing_by4") & col("spacing_by8"), lit("All spacing values are multiples of 8px."), col("spacing_all")),
-        _rule(t, by, 3, "spacing-linear-scale", "spacing", "medium", (col("spacing_n") >= 3) & F.when(col("spacing_n") >= 3, even), F.concat(lit("Spacing grows evenly, by "), number_text(step), lit("px a step.")), F.transform(px, lambda v: F.concat(number_text(v), lit("px")))),
-        _rule(t, by, 4, "color-semantic-naming", "color", "high", col("semantic_n") > col("descriptive_n"), lit("Colors are named for their role, not for how they look."), col("semantic_5")),
-        _rule(t, by, 5, "color-interactive-variants", "color", "high", hover, lit("Interactive colors have tokens for their hover, active and focus states."), col("hover_3")),
-        _rule(t, by, 6, "color-dark-mode-tokens", "color", "medium", col("dark_n") > 2, lit("Dark mode has color tokens of its own."), col("dark_3")),
-        _rule(t, by, 7, "border-radius-uniform", "border-radius", "high", col("radius_values") == 1, F.concat(lit("There is one border radius: "), col("radius_value"), lit(".")), col("radius_all")),
-        _rule(t, by, 8, "border-radius-scale", "border-radius", "medium", (col("radius_values") > 1) & (col("radius_px") >= 3), F.concat(lit("Border radius has a scale of "), col("radius_n"), lit(" steps.")), col("radius_all")),
-        _rule(t, by, 9, "typography-mono-for-code", "typography", "high", col("mono_n") > 0, lit("Code and data have a monospace font token."), col("mono_all")),
-        _rule(t, by, 10, "typography-single-typeface", "typography", "high", col("font_n") == 1, F.concat(lit("There is one typeface: "), col("font_value"), lit(".")), col("font_all")),
-        _rule(t, by, 11, "naming-kebab-case", "naming", "high", kebab, lit("Token names are in kebab case."), col("name_4")),
-        _rule(t, by, 12, "naming-camel-case", "naming", "high", camel, lit("Token names are in camel case."), col("name_4")),
-        _rule(t, by, 13, "naming-category-prefix", "naming", "high", _share("prefix_n", "total") > 0.6, lit("Token names begin with their category."), col("prefix_4")),
+        _rule(2, "spacing-8px-base", "spacing", "high", (col("spacing_n") >= 2) & ~col("spacing_by4") & col("spacing_by8"), lit("All spacing values are multiples of 8px."), col("spacing_all")),
+        _rule(3, "spacing-linear-scale", "spacing", "medium", (col("spacing_n") >= 3) & F.when(col("spacing_n") >= 3, even), F.concat(lit("Spacing grows evenly, by "), number_text(step), lit("px a step.")), F.transform(px, lambda v: F.concat(number_text(v), lit("px")))),
+        _rule(4, "color-semantic-naming", "color", "high", col("semantic_n") > col("descriptive_n"), lit("Colors are named for their role, not for how they look."), col("semantic_5")),
+        _rule(5, "color-interactive-variants", "color", "high", hover, lit("Interactive colors have tokens for their hover, active and focus states."), col("hover_3")),
+        _rule(6, "color-dark-mode-tokens", "color", "medium", col("dark_n") > 2, lit("Dark mode has color tokens of its own."), col("dark_3")),
+        _rule(7, "border-radius-uniform", "border-radius", "high", col("radius_values") == 1, F.concat(lit("There is one border radius: "), col("radius_value"), lit(".")), col("radius_all")),
+        _rule(8, "border-radius-scale", "border-radius", "medium", (col("radius_values") > 1) & (col("radius_px") >= 3), F.concat(lit("Border radius has a scale of "), col("radius_n"), lit(" steps.")), col("radius_all")),
+        _rule(9, "typography-mono-for-code", "typography", "high", col("mono_n") > 0, lit("Code and data have a monospace font token."), col("mono_all")),
+        _rule(10, "typography-single-typeface", "typography", "high", col("font_n") == 1, F.concat(lit("There is one typeface: "), col("font_value"), lit(".")), col("font_all")),
+        _rule(11, "naming-kebab-case", "naming", "high", kebab, lit("Token names are in kebab case."), col("name_4")),
+        _rule(12, "naming-camel-case", "naming", "high", camel, lit("Token names are in camel case."), col("name_4")),
+        _rule(13, "naming-category-prefix", "naming", "high", _share("prefix_n", "total") > 0.6, lit("Token names begin with their category."), col("prefix_4")),
+    ]
+    props = (("variant", 0.4, "high", "Components vary by a variant prop."), ("size", 0.3, "medium", "Components are sized by a size prop."), ("disabled", 0.5, "high", "Interactive components take a disabled prop."))
+    of_components = [
+        _rule(14 + k, f"components-{prop}-prop", "components", confidence, (col("n") >= 3) & (_share(f"{prop}_n", "n") > least), lit(text), col(f"{prop}_4"))
+        for k, (prop, least, confidence, text) in enumerate(props)
     ]
-    for k, (prop, least, confidence, text) in enumerate((("variant", 0.4, "high", "Components vary by a variant prop."), ("size", 0.3, "medium", "Components are sized by a size prop."), ("disabled", 0.5, "high", "Interactive components take a disabled prop."))):
-        rules.append(_rule(c, by, 14 + k, f"components-{prop}-prop", "components", confidence, (col("n") >= 3) & (_share(f"{prop}_n", "n") > least), lit(text), col(f"{prop}_4")))
-    return reduce(lambda a, b: a.unionByName(b), rules)
+    return _holding(token_facts(tokens, by), by, of_tokens).unionByName(_holding(component_facts(components, by), by, of_components))
