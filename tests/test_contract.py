@@ -1,11 +1,13 @@
 """From a project's files to answers (FIXTURES.md, G10), publishing and following versions, detection, the terminal."""
 
+import io
 import json
 from datetime import UTC, datetime, timedelta
 
 import pytest
 
-from tokenloom import cli, detect
+from tokenloom import cli, detect, server
+from tokenloom.config import load_config
 from tokenloom.plans import contract as contracts
 from tokenloom.plans.requests import Requests
 from tokenloom.streaming.watch import Watcher, publish
@@ -105,3 +107,61 @@ def test_detect_many(spark):
     got = {r.project: r for r in detect.detect_many(spark.createDataFrame(rows, "project string, path string, content string")).collect()}
     assert (got["a"].framework, got["a"].src_root, got["a"].typescript) == ("next", "./src", False)
     assert (got["b"].framework, got["b"].token_file, got["b"].typescript, got["b"].src_root) == ("unknown", True, True, ".")
+
+
+def test_server_speaks_the_tool_protocol(tmp_path):
+    path = str(tmp_path / "c.json")
+    s = server.Server(path)
+    ask = lambda method, params=None, n=1: s.answer(json.dumps({"jsonrpc": "2.0", "id": n, "method": method} | ({"params": params} if params is not None else {})))
+    hello = ask("initialize", {"protocolVersion": "2024-11-05", "capabilities": {}, "clientInfo": {}})["result"]
+    assert hello["protocolVersion"] == "2024-11-05" and "tools" in hello["capabilities"]
+    assert s.answer('{"jsonrpc":"2.0","method":"notifications/initialized"}') is None and ask("ping")["result"] == {}
+    tools = ask("tools/list")["result"]["tools"]
+    assert [t["name"] for t in tools] == list(server.TOOLS) and tools[1]["inputSchema"]["required"] == ["name"]
+    call = lambda tool, /, **given: ask("tools/call", {"name": tool, "arguments": given}, 7)
+    assert call("get_token", name="x")["result"]["isError"]
+    contracts.save(sample(), path)
+    got = call("get_token", name="x", category="spacing")
+    assert got["id"] == 7 and not got["result"]["isError"] and json.loads(got["result"]["content"][0]["text"])["value"] == "4px"
+    assert json.loads(call("get_conflicts")["result"]["content"][0]["text"])["count"] == 2
+    assert all(not call(t, **({"name": "B"} if t == "get_component" else {}))["result"]["isError"] for t in ("get_design_context", "get_component", "get_inferred_rules"))
+    codes = [s.answer("{")["error"]["code"], s.answer("[]")["error"]["code"], ask("nothing")["error"]["code"], call("nothing")["error"]["code"], call("get_token")["error"]["code"]]
+    assert codes == [server.NOT_JSON, server.NOT_A_REQUEST, server.NO_METHOD, server.BAD_PARAMS, server.BAD_PARAMS]
+    out = io.StringIO()
+    s.run(io.StringIO('\n{"id":1,"method":"ping"}\n{"method":"x"}\n'), out)
+    assert out.getvalue() == '{"jsonrpc": "2.0", "id": 1, "result": {}}\n'
+
+
+def test_configuration_reads_the_environment_and_switches(tmp_path, monkeypatch):
+    path = tmp_path / "c.json"
+    given = detect.config_for(detect.detect(str(tmp_path)))
+    path.write_text(json.dumps(given))
+    got = load_config(str(path))
+    assert got.codebase and got.figma is None and got.storybook is None
+    given["sources"]["figma"]["enabled"] = True
+    del given["sources"]["storybook"]["enabled"]
+    path.write_text(json.dumps(given))
+    monkeypatch.delenv("FIGMA_ACCESS_TOKEN", raising=False)
+    with pytest.raises(KeyError, match="FIGMA_ACCESS_TOKEN"):
+        load_config(str(path))
+    monkeypatch.setenv("FIGMA_ACCESS_TOKEN", "secret")
+    got = load_config(str(path))
+    assert got.figma.token == "secret" and got.storybook.url == "http://localhost:6006"
+
+
+def test_detection_of_one_and_of_many_agree(spark, tmp_path):
+    projects = {
+        "plain": {},
+        "next": {"package.json": '{"dependencies":{"next":"1","react":"2"},"devDependencies":{"tailwindcss":"3"}}', "src/a.ts": "", "tsconfig.json": ""},
+        "broken": {"package.json": "{", "tailwind.config.ts": "", ".storybook/main.js": "", "src/tokens.json": "{}"},
+        "unset": {"package.json": '{"dependencies":{"vite":"","react":"2"},"devDependencies":{"typescript":"5","storybook":"8"}}'},
+    }
+    for name, files in projects.items():
+        (tmp_path / name).mkdir()
+        for file, text in files.items():
+            (tmp_path / name / file).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name / file).write_text(text)
+    rows = [(n, f, t) for n, files in projects.items() for f, t in (files or {"readme": ""}).items()]
+    for r in detect.detect_many(spark.createDataFrame(rows, "project string, path string, content string")).collect():
+        one = detect.detect(str(tmp_path / r.project))
+        assert all(getattr(one, c) == r[c] for c in ("framework", "typescript", "tailwind", "token_file", "storybook", "src_root")), r

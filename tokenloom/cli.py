@@ -1,15 +1,14 @@
-"""init, build and serve from a terminal. serve answers one JSON request a line on standard input."""
+"""init, build and serve from a terminal."""
 
 from __future__ import annotations
 
-import json
 import os
 import sys
 
 from tokenloom import detect
 from tokenloom.config import load_config
 from tokenloom.plans import contract as contracts
-from tokenloom.plans.requests import Requests
+from tokenloom.server import Server
 from tokenloom.session import get_spark
 
 USAGE = """usage:
@@ -31,20 +30,9 @@ def build(config_path: str | None = None) -> dict:
 
 
 def serve(config_path: str | None = None) -> None:
+    """Answer the tool protocol over standard input and output until the input ends."""
     config = load_config(config_path)
-    requests, seen = Requests(contracts.load(config.outputPath), config.outputPath), None
-    methods = {"get_design_context": ("category", "tokenCategory"), "get_token": ("name", "category"), "get_component": ("name",), "get_conflicts": ("type", "status"), "get_inferred_rules": ("category",)}
-    calls = {"get_design_context": requests.design_context, "get_token": requests.token, "get_component": requests.component, "get_conflicts": requests.conflicts, "get_inferred_rules": requests.inferred_rules}
-    for line in sys.stdin:
-        stamp = os.stat(config.outputPath).st_mtime_ns if os.path.exists(config.outputPath) else None
-        if stamp != seen:
-            requests.contract, seen = contracts.load(config.outputPath, requests.contract), stamp
-        try:
-            given = json.loads(line)
-            answer = calls[given["method"]](*[given.get("params", {}).get(a, "") for a in methods[given["method"]]])
-            print(json.dumps({"error": answer.error} if answer.error else answer.payload), flush=True)
-        except (ValueError, KeyError) as e:
-            print(json.dumps({"error": f"bad request: {e}"}), flush=True)
+    Server(config.outputPath).run(sys.stdin, sys.stdout)
 
 
 def main(args: list[str]) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,14 @@ from tokenloom.config import FILE
 
 # What is looked for, and what a new configuration ignores.
 FRAMEWORKS = ["next", "vite", "react"]
-TOKEN_FILES = ["tokens.json", "design-tokens.json", "src/tokens.json", "src/design-tokens.json"]
-TAILWIND_FILES = ["tailwind.config.js", "tailwind.config.ts"]
+#: What tells a feature: a file, a folder (with a slash behind it) or a package that the project depends on.
+SIGNS = {
+    "typescript": (["tsconfig.json"], "typescript"),
+    "tailwind": (["tailwind.config.js", "tailwind.config.ts"], "tailwindcss"),
+    "token_file": (["tokens.json", "design-tokens.json", "src/tokens.json", "src/design-tokens.json"], None),
+    "storybook": ([".storybook/"], "storybook"),
+    "has_src": (["src/"], None),
+}
 IGNORE = ["node_modules", "dist", ".next", "out", "build", "coverage", "**/*.test.*", "**/*.spec.*", "**/*.stories.*"]
 
 SERVER_FILES = [".mcp.json", ".cursor/mcp.json"]
@@ -60,46 +67,46 @@ def read_json(path: str) -> dict | None:
         return None
 
 
+def _project(framework: str, typescript: bool, tailwind: bool, token_file: bool, storybook: bool, has_src: bool) -> Project:
+    endings = ["css", "ts", "tsx"] if typescript else ["css", "js", "jsx"]
+    return Project(framework, typescript, tailwind, token_file, storybook, "./src" if has_src else ".", [f"**/*.{e}" for e in endings], list(IGNORE))
+
+
 def detect(root: str) -> Project:
+    """What SIGNS and FRAMEWORKS say of the project in a folder."""
     package = read_json(os.path.join(root, "package.json")) or {}
-    deps = (package.get("dependencies") or {}) | (package.get("devDependencies") or {})
-    has = lambda *names: any(os.path.exists(os.path.join(root, n)) for n in names)
-    typescript = has("tsconfig.json") or bool(deps.get("typescript"))
-    endings = ["ts", "tsx"] if typescript else ["js", "jsx"]
-    return Project(
-        framework=next((f for f in FRAMEWORKS if deps.get(f)), "unknown"),
-        typescript=typescript,
-        tailwind=bool(deps.get("tailwindcss")) or has(*TAILWIND_FILES),
-        token_file=has(*TOKEN_FILES),
-        storybook=bool(deps.get("storybook")) or has(".storybook"),
-        src_root="./src" if has("src") else ".",
-        patterns=["**/*.css", *(f"**/*.{e}" for e in endings)],
-        ignore=list(IGNORE),
-    )
+    packages = {name for part in ("dependencies", "devDependencies") for name, version in (package.get(part) or {}).items() if version}
+    seen = {sign: wanted in packages or any(os.path.exists(os.path.join(root, n)) for n in names) for sign, (names, wanted) in SIGNS.items()}
+    return _project(next((f for f in FRAMEWORKS if f in packages), "unknown"), **seen)
 
 
 def detect_many(listings: DataFrame) -> DataFrame:
-    """The same for many projects at once: (project, path, content) listings, one row per project."""
-    here = lambda *names: F.max(F.col("path").isin(*names) | F.lit(False))
-    package = F.max(F.when(F.col("path") == "package.json", F.col("content")))
-    found = listings.groupBy("project").agg(
-        package.alias("package"), here("tsconfig.json").alias("ts"), here(*TAILWIND_FILES).alias("tw"), here(*TOKEN_FILES).alias("token_file"),
-        F.max(F.startswith("path", F.lit(".storybook/"))).alias("sb"), F.max(F.startswith("path", F.lit("src/"))).alias("src"),
-    )
+    """The same for many projects at once: (project, path, content) listings, one row per project, in one aggregate."""
+    path = F.col("path")
+    signs = [
+        F.coalesce(F.bool_or(reduce(lambda a, b: a | b, [path.startswith(n) if n.endswith("/") else path == n for n in names])), F.lit(False)).alias(sign)
+        for sign, (names, _) in SIGNS.items()
+    ]
+    found = listings.groupBy("project").agg(F.max(F.when(path == "package.json", F.col("content"))).alias("package"), *signs)
     parsed = F.from_json("package", "dependencies map<string,string>, devDependencies map<string,string>")
-    deps = F.map_concat(F.coalesce(parsed["dependencies"], F.create_map().cast("map<string,string>")), F.map_filter(F.coalesce(parsed["devDependencies"], F.create_map().cast("map<string,string>")), lambda k, v: ~F.coalesce(F.map_contains_key(parsed["dependencies"], k), F.lit(False))))
-    found = found.withColumn("deps", deps)
-    dep = lambda name: F.map_contains_key("deps", name)
-    framework = F.lit("unknown")
-    for name in reversed(FRAMEWORKS):
-        framework = F.when(dep(name), name).otherwise(framework)
-    return found.select("project", framework.alias("framework"), (F.col("ts") | dep("typescript")).alias("typescript"), (F.col("tw") | dep("tailwindcss")).alias("tailwind"), "token_file", (F.col("sb") | dep("storybook")).alias("storybook"), F.when(F.col("src"), "./src").otherwise(".").alias("src_root"))
+    filled = lambda part: F.map_keys(F.map_filter(F.coalesce(parsed[part], F.create_map().cast("map<string,string>")), lambda _, v: v != ""))
+    found = found.withColumn("packages", F.concat(filled("dependencies"), filled("devDependencies")))
+    has = lambda name: F.array_contains("packages", name)
+    framework = F.coalesce(*[F.when(has(name), F.lit(name)) for name in FRAMEWORKS], F.lit("unknown"))
+    flags = [(F.col(sign) | has(wanted) if wanted else F.col(sign)).alias(sign) for sign, (_, wanted) in SIGNS.items() if sign != "has_src"]
+    return found.select("project", framework.alias("framework"), *flags, F.when(F.col("has_src"), "./src").otherwise(".").alias("src_root"))
 
 
 def config_for(project: Project) -> dict:
-    """Figma and Storybook stand there to be filled in only where there are signs of them."""
+    """A configuration; the remote sources stand there switched off, to be filled in. ${NAME} is read from the environment."""
+    found = [name for name, on in ((project.framework, project.framework != "unknown"), ("Tailwind", project.tailwind), ("TypeScript", project.typescript), ("token file", project.token_file), ("Storybook", project.storybook)) if on]
     return {
-        "sources": {"codebase": {"root": project.src_root, "patterns": project.patterns, "ignore": project.ignore}},
+        "detected": found,
+        "sources": {
+            "codebase": {"root": project.src_root, "patterns": project.patterns, "ignore": project.ignore},
+            "figma": {"enabled": False, "token": "${FIGMA_ACCESS_TOKEN}", "fileId": "your-file-id"},
+            "storybook": {"enabled": False, "url": "http://localhost:6006"},
+        },
         "governance": {"sourceOfTruth": "figma" if project.token_file else "codebase", "onConflict": "warn"},
         "output": {"path": "./design.contract.json"},
     }

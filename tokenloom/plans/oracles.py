@@ -38,12 +38,22 @@ ORACLES["css_last_wins"] = f"""with {CSS_FOUND}, named as (select *, {CATEGORY}
 select category, name, last(value order by file, number) as value, last(file order by file, number) as file, last(line order by file, number) as line, first(file order by file, number) as first_file from named group by 1, 2"""
 ORACLES["ts_first_wins"] = f"with {TS_FOUND} select 'colors' as category, name, first(value order by file, number) as value, first(file order by file, number) as file, first(line order by file, number) as line from found group by 2"
 ORACLES["distinct_radius"] = f"with {CSS_FOUND} select file, count(distinct value) as n_values, string_agg(distinct value, '|' order by value) as radius_values from found where {CATEGORY} = 'borderRadius' group by file"
+_MIXED = f"""writes as (select 'css' as kind, 0 as pattern, 'm/' || replace(p_brand, '#', '-') || '-' || {s.BLOCK} || '.css' as file, p_partkey, {s.MIXED_NAME} as name, '#' || {s.HEX6} as value,
+ 1 + row_number() over (partition by p_brand, {s.BLOCK} order by p_partkey) as line from part where p_partkey % 3 = 0
+ union all select 'ts', 1, 'm/' || lower(p_type) || '-' || {s.BLOCK} || '.ts', p_partkey, {s.MIXED_NAME}, '#' || {s.HEX6}, 1 + row_number() over (partition by p_type, {s.BLOCK} order by p_partkey) from part where p_partkey % 3 <> 0),
+ranked as (select *, row_number() over (order by pattern, file, line) as nth from writes)"""
+ORACLES["mixed_fold"] = f"""with {_MIXED}, won as (select name, coalesce(max(case when kind = 'css' then nth end), min(nth)) as best, min(nth) as first from ranked group by name)
+select 'colors' as category, w.name, r.value, r.file, cast(r.line as int) as line, f.file as first_file from won w join ranked r on r.nth = w.best join ranked f on f.nth = w.first"""
+ORACLES["glob_files"] = f"""with paths as ({s.PATHS}), kept as (select file from paths where not starts_with(file, 'node_modules/') and not starts_with(file, 'dist/') and not contains(file, '.test.') and not starts_with(file, '.') and not contains(file, '/.'))
+select 0 as pattern, file from kept where suffix(file, '.css') union all select 1, file from kept where starts_with(file, 'src/') and not contains(substr(file, 5), '/') and (suffix(file, '.ts') or suffix(file, '.tsx'))
+union all select 2, file from kept where starts_with(file, 'src/') and suffix(file, '.ts') union all select 3, file from kept where regexp_matches(file, '^lib/[a-m][^/]*[.]ts$')"""
 _TSX = s.tsx_files("duckdb")
 _EXPORT = m.COMPONENT_EXPORT
 _BASE = "regexp_replace(regexp_extract(file, '([^/]*)$', 1), '\\.[^.]*$', '')"
 ORACLES["component_names"] = f"""select file, case when regexp_matches(content, '{_EXPORT}') then regexp_extract(content, '{_EXPORT}', 1) else {_BASE} end as name,
  case when regexp_matches(content, '{_EXPORT}') then cast(1 + length(split_part(content, 'export', 1)) - length(replace(split_part(content, 'export', 1), chr(10), '')) as int) else 1 end as line
  from ({_TSX}) where regexp_matches(content, '{_EXPORT}') or left({_BASE}, 1) = upper(left({_BASE}, 1))"""
+ORACLES["component_last_wins"] = f"select name, max(file) as file, max_by(line, file) as line, min(file) as first_file from ({ORACLES['component_names']}) as named group by name"
 ORACLES["component_props"] = f"""with bodies as (select file, regexp_extract(content, '{m.PROPS_BODY}', 1) as body from ({_TSX})),
 lists as (select file, regexp_extract_all(body, '{m.PROP}', 1) as n, regexp_extract_all(body, '{m.PROP}', 2) as o, regexp_extract_all(body, '{m.PROP}', 3) as t from bodies),
 rows as (select file, unnest(n) as prop, unnest(o) as mark, unnest(t) as kind from lists)
@@ -64,6 +74,9 @@ titles as (select title, coalesce(string_agg(name, '|' order by p_partkey) filte
 ORACLES["story_groups"] = f"with {_S} select title, name, variants, story_ids, file from titles"
 ORACLES["story_components"] = f"with {_S} select name, max_by(title, first) as title, max_by(file, first) as file, max_by(variants, first) as variants from titles group by name"
 
+ORACLES["manifest_keys"] = f"""select p_brand || '-' || {s.BLOCK} as doc, count(*) as n, count(distinct {s.STORY_TITLE}) as n_titles from part
+ where cast(replace(p_brand, 'Brand#', '') as int) % 3 <> 1 and p_partkey % 7 <> 0 and p_partkey % 19 <> 0 group by 1"""
+
 _R = f"""tok as ({s.SOURCE_TOKENS}),
 base as (select category, name, min_by(value, source_ord) as base, min(source_ord) as base_ord, count(*) as n_sources, min(case when source_ord = 1 then value end) as ours from tok group by 1, 2),
 differ as (select t.*, b.base, b.base_ord from tok t join base b using (category, name) where t.value <> b.base)"""
@@ -97,7 +110,7 @@ even as (select project, count(*) as n, count(distinct step) as k, min(step) as
 select project, 'spacing-4px-base' as id, 'high' as confidence, 'All spacing values are multiples of 4px.' as rule, shown as evidence from facts where n >= 2 and by4
 union all select project, 'spacing-linear-scale', 'medium', 'Spacing grows evenly, by ' || cast(step as bigint) || 'px a step.', shown from even where n >= 3 and k = 1"""
 ORACLES["rule_linear"] = f"""with {_P}, px as (select project, {_PX} as v from ranked where category = 'spacing' and {_PX} is not null), steps as (select project, v - lag(v) over (partition by project order by v) as step from px)
-select project, count(*) as n, count(distinct step) as n_steps from steps group by project"""
+select project, count(*) as n, count(distinct step) as n_steps, count(*) >= 3 and count(distinct step) = 1 as reported from steps group by project"""
 _sem, _des = _any("lower(name)", m.SEMANTIC_WORDS), _any("lower(name)", m.DESCRIPTIVE_WORDS)
 ORACLES["rule_color"] = f"""with {_P}, c as (select * from ranked where category = 'colors'),
 facts as (select project, count(*) filter (where {_sem}) as sem, count(*) filter (where {_des}) as des, count(*) filter (where contains(name, 'hover')) as hover, count(*) filter (where not {_any("name", m.STATE_WORDS)}) as base, count(*) filter (where contains(name, 'dark')) as dark,
@@ -130,9 +143,22 @@ ORACLES["token_lookup"] = f"""with {_R}, won as (select category, name, case whe
 select category, name, value from won order by case category when 'colors' then 0 when 'spacing' then 1 when 'typography' then 2 when 'borderRadius' then 3 when 'shadows' then 4 else 5 end limit 1"""
 ORACLES["component_lookup"] = f"select * from ({ORACLES['reconcile_components']}) as won where name = 'BlueBolt0'"
 _ALL = f"select 'token' as type, name, actionable from ({ORACLES['token_conflicts']}) as a union all select 'component', name, actionable from ({ORACLES['component_conflicts']}) as b"
+_SHOWN = f"select 'token' as type, name, actionable, entries from ({ORACLES['token_conflicts']}) as a union all select 'component', name, actionable, held || '|' || new from ({ORACLES['component_conflicts']}) as b"
+ORACLES["conflict_projection"] = f"select type, name, 'pending' as resolution, actionable, entries, true as has_fix from ({_SHOWN}) as shown"
+ORACLES["context_tokens"] = f"select category, name, value from ({ORACLES['reconcile_tokens']}) as won where category = 'colors'"
+ORACLES["context_summary"] = f"""select 'tokens.' || category as what, n_tokens as n from ({ORACLES['category_counts']}) as counted
+union all select 'components', count(*) from ({ORACLES['reconcile_components']}) as won union all select 'conflicts', count(*) from ({_ALL}) as c union all select 'pending', count(*) from ({_ALL}) as p"""
+ORACLES["contract_parts"] = f"""select 'tokens' as part, count(*) as n from ({ORACLES['reconcile_tokens']}) as t union all select 'components', count(*) from ({ORACLES['reconcile_components']}) as w union all select 'conflicts', count(*) from ({_ALL}) as c"""
+ORACLES["component_summary"] = f"""with counted as (select file, count(distinct prop) as n from ({ORACLES['component_props']}) as props group by file)
+select name, won.file, coalesce(n, 0) as prop_count from ({ORACLES['component_last_wins']}) as won left join counted on counted.file = won.file"""
+ORACLES["mismatch_warning"] = "select o_orderkey, o_orderkey % 7 > 1 and (o_custkey % 4 <> o_orderkey % 4 or o_orderkey % 5 = 0) as mismatch from orders"
+ORACLES["detect_projects"] = f"""with seen as (select project, cast(regexp_extract(project, '#(\\d+)-', 1) as int) as b, bool_or(path = 'package.json') as p, bool_or(path = 'tsconfig.json') as ts, bool_or(path = 'tailwind.config.ts') as tw, bool_or(path = 'src/tokens.json') as token_file,
+ bool_or(path = '.storybook/main.js') as sb, bool_or(starts_with(path, 'src/')) as src from ({s.LISTING}) as listed group by project)
+select project, case when p and b % 6 = 0 then 'next' when p and b % 6 = 1 then 'vite' when p and b % 6 in (2, 3) then 'react' else 'unknown' end as framework, ts or p and b % 6 = 1 as typescript,
+ tw or p and b % 6 = 0 as tailwind, token_file, sb or p and b % 6 = 2 as storybook, case when src then './src' else '.' end as src_root from seen"""
 ORACLES["conflict_filter"] = f"select type, name, actionable from ({_ALL}) as c where type = 'component'"
 ORACLES["conflict_counts"] = f"select count(*) as n, count(*) as pending, count(*) filter (where actionable) as actionable, count(*) filter (where not actionable) as undecided from ({_ALL}) as c"
 _AGE = "cast(floor((epoch_us(timestamp '1998-08-02 00:00:00') - epoch_us(o_orderdate)) / 3600000000) as bigint)"
 _DAYS = f"cast(floor({_AGE} / 24) as bigint)"
 ORACLES["staleness"] = f"select o_orderkey, {_AGE} as age_hours, case when {_AGE} >= 24 then {_DAYS} || case when {_DAYS} = 1 then ' day' else ' days' end end as warning from orders"
-ORACLES["latest_snapshot"] = "select user_id, max(event_id) as event_id, max_by(props, event_id) as props from events where cast(json_extract_string(props, '$.k') as bigint) % 7 <> 0 group by user_id"
+ORACLES["latest_snapshot"] = "select user_id, max(event_id) as event_id, max_by(props, event_id) as props from (select user_id, event_id, case when event_id % 7 = 0 then substr(props, 1, 4) else props end as props from events) as cut where json_valid(props) group by user_id"

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenloom import detect
 from tokenloom import model as m
 from tokenloom.functions.text import key_order, pixels
 from tokenloom.operators import extract, infer, reconcile
 from tokenloom.operators.extract import provenance
+from tokenloom.plans import contract as contracts
 from tokenloom.plans import requests, synth
 from tokenloom.plans.oracles import ORACLES
 from tokenloom.session import table
-from tokenloom.sources import rest
+from tokenloom.sources import codebase, rest
 from tokenloom.streaming.watch import latest_valid
 
 FLAGSHIP = "reconcile_tokens"
@@ -90,6 +92,25 @@ def component_names(spark: SparkSession, d: str) -> DataFrame:
     return extract.component_names(_files(spark, d, "tsx_files")).select("file", "name", "line")
 
 
+@query
+def mixed_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Style sheets and colour literals that write the same names."""
+    won = extract.codebase_tokens(_files(spark, d, "mixed_css").unionByName(_files(spark, d, "mixed_ts")))
+    return won.select("category", "name", "value", F.col("source.file").alias("file"), F.col("source.line").alias("line"), F.col("ord.b").alias("first_file"))
+
+
+@query
+def glob_files(spark: SparkSession, d: str) -> DataFrame:
+    """Listed files by pattern, a file once for each pattern that it matches."""
+    return codebase.select_files(synth.made(spark, d, synth.PATHS), synth.PATTERNS, synth.IGNORED).select("pattern", "file")
+
+
+@query
+def component_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    won = extract.codebase_components(_files(spark, d, "tsx_files"))
+    return won.select("name", F.col("source.file").alias("file"), F.col("source.line").alias("line"), F.col("ord.b").alias("first_file"))
+
+
 @query
 def component_props(spark: SparkSession, d: str) -> DataFrame:
     found = _files(spark, d, "tsx_files").select("file", F.explode(extract.props(F.col("content"))).alias("prop", "p"))
@@ -129,6 +150,12 @@ def story_components(spark: SparkSession, d: str) -> DataFrame:
     return rest.storybook_components(_files(spark, d, "manifest_documents")).select("name", F.col("source.metadata.title").alias("title"), F.col("source.file").alias("file"), _bar("variants").alias("variants"))
 
 
+@query
+def manifest_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Stories of manifests with the old key, the new one or both; an empty new one hides the old."""
+    return rest.stories(_files(spark, d, "keyed_manifests")).groupBy("doc").agg(F.count("*").alias("n"), F.count_distinct("title").alias("n_titles"))
+
+
 # ---- reconciliation
 
 
@@ -220,10 +247,12 @@ def rule_spacing(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rule_linear(spark: SparkSession, d: str) -> DataFrame:
-    """Values and distinct steps between sorted neighbours, from the facts that the rule reads."""
+    """Values and distinct steps between sorted neighbours, and whether the rule is reported."""
     facts = infer.token_facts(_project_tokens(spark, d), ("project",)).filter("size(spacing_px) > 0")
     steps = F.array_distinct(F.zip_with(F.slice("spacing_px", 2, F.size("spacing_px")), F.slice("spacing_px", 1, F.size("spacing_px") - 1), lambda a, b: a - b))
-    return facts.select("project", F.size("spacing_px").cast("long").alias("n"), F.size(steps).cast("long").alias("n_steps"))
+    counted = facts.select("project", F.size("spacing_px").cast("long").alias("n"), F.size(steps).cast("long").alias("n_steps"))
+    reported = _rules(spark, d).filter("id = 'spacing-linear-scale'").select("project", F.lit(True).alias("reported"))
+    return counted.join(reported, "project", "left").select("project", "n", "n_steps", F.coalesce("reported", F.lit(False)).alias("reported"))
 
 
 @query
@@ -276,11 +305,61 @@ def category_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def summary_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Each relation is merged and counted once; every source of a component after its first is a conflict."""
     tokens = reconcile.merge_tokens(_tokens(spark, d), TRUTH).agg(F.count("*").alias("n_tokens"), F.count("conflict").alias("n_token_conflicts"))
-    components = reconcile.merge_components(_components(spark, d), TRUTH).agg(F.count("*").alias("n_components"))
-    conflicts = reconcile.component_conflicts(_components(spark, d), TRUTH).agg(F.count("*").alias("n_component_conflicts"))
+    components = reconcile.merge_components(_components(spark, d), TRUTH).agg(F.count("*").alias("n_components"), F.sum(F.col("n_sources") - 1).alias("n_component_conflicts"))
     one = lambda df: df.withColumn("k", F.lit(1))
-    return one(tokens).join(one(components), "k").join(one(conflicts), "k").select("n_tokens", "n_components", "n_token_conflicts", "n_component_conflicts")
+    return one(tokens).join(one(components), "k").select("n_tokens", "n_components", "n_token_conflicts", "n_component_conflicts")
+
+
+@query
+def context_summary(spark: SparkSession, d: str) -> DataFrame:
+    tokens = reconcile.merge_tokens(_tokens(spark, d), TRUTH)
+    return requests.context_summary(tokens, reconcile.merge_components(_components(spark, d), TRUTH), _conflicts(spark, d))
+
+
+@query
+def context_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return requests.bare_tokens(reconcile.merge_tokens(_tokens(spark, d), TRUTH), "colors")
+
+
+@query
+def component_summary(spark: SparkSession, d: str) -> DataFrame:
+    found = requests.component_summary(extract.codebase_components(_files(spark, d, "tsx_files")))
+    return found.select("name", F.col("source.file").alias("file"), F.col("prop_count").cast("long").alias("prop_count"))
+
+
+@query
+def conflict_projection(spark: SparkSession, d: str) -> DataFrame:
+    found = requests.conflict_projection(_conflicts(spark, d))
+    return found.select("type", "name", "resolution", "actionable", F.array_join(F.transform("sources", _entry), "|").alias("entries"), (F.length("suggestedFix") > 0).alias("has_fix"))
+
+
+@query
+def contract_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each part of a contract that is built from three sources."""
+    tokens, components = _tokens(spark, d), _components(spark, d)
+    of = lambda rows, name: rows.filter(F.col("source_name") == name).drop("source_name", "source_ord")
+    parts = contracts.build([(name, of(tokens, name), of(components, name)) for name in m.ADAPTERS], TRUTH)
+    counted = [parts[part].agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n") for part in ("tokens", "components", "conflicts")]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query
+def mismatch_warning(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts whose source root is not the folder that they stand in."""
+    key = F.col("o_orderkey")
+    made = table(spark, d, "orders").select(
+        "o_orderkey",
+        F.when(key % 7 == 0, F.lit(None)).when(key % 7 == 1, F.lit("")).otherwise(F.concat(F.lit("/p/"), F.col("o_custkey") % 4)).alias("source_root"),
+        F.concat(F.lit("/p/"), key % 4, F.when(key % 5 == 0, F.lit("/out")).otherwise(F.lit("")), F.lit("/c.json")).alias("path"),
+    )
+    return requests.mismatch(made).select("o_orderkey", "mismatch")
+
+
+@query
+def detect_projects(spark: SparkSession, d: str) -> DataFrame:
+    return detect.detect_many(synth.made(spark, d, synth.LISTING))
 
 
 @query
@@ -311,10 +390,10 @@ def staleness(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """The newest valid version of each user's document, as the watcher keeps it."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    versions = table(spark, d, "events").select("user_id", "event_id", "props", F.when(k % 7 != 0, k).alias("parsed"))
-    return latest_valid(versions, "user_id", "event_id", "props", "parsed")
+    """The newest version of each user's document that parses, as the watcher keeps it; every seventh is cut off."""
+    cut = F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
+    versions = table(spark, d, "events").select("user_id", "event_id", cut.alias("props"))
+    return latest_valid(versions.withColumn("parsed", F.try_parse_json("props")), "user_id", "event_id", "props", "parsed")
 
 
 def queries() -> dict:

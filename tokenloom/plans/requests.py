@@ -123,10 +123,41 @@ def _pending(contract: dict) -> int:
 
 
 def category_counts(tokens: DataFrame) -> DataFrame:
-    """Tokens of every category, the five known ones even without a token."""
-    known = tokens.sparkSession.createDataFrame([(c,) for c in m.CATEGORIES], "category string")
-    every = known.unionByName(tokens.select("category").distinct()).distinct()
-    return every.join(tokens.groupBy("category").agg(F.count("*").alias("n")), "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n_tokens"))
+    """Tokens of every category, the five known ones even without a token; the tokens are counted once."""
+    known = tokens.sparkSession.createDataFrame([(c, 0) for c in m.CATEGORIES], "category string, n long")
+    return known.unionByName(tokens.groupBy("category").agg(F.count("*").alias("n"))).groupBy("category").agg(F.sum("n").alias("n_tokens"))
+
+
+def bare_tokens(tokens: DataFrame, category: str = "") -> DataFrame:
+    """Tokens without their provenance, of one category or of all."""
+    found = tokens.filter(F.col("category") == category) if category else tokens
+    return found.select("category", "name", "value")
+
+
+def component_summary(components: DataFrame) -> DataFrame:
+    """Name, source and number of props."""
+    return components.select("name", "source", F.coalesce(F.size("props"), F.lit(0)).alias("prop_count"))
+
+
+def conflict_projection(conflicts: DataFrame) -> DataFrame:
+    """The six fields that are shown of a conflict; a missing flag counts as false."""
+    return conflicts.select("type", "name", "resolution", F.coalesce("actionable", F.lit(False)).alias("actionable"), "suggestedFix", "sources")
+
+
+def context_summary(tokens: DataFrame, components: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(what, n): tokens of every category, components, conflicts and pending ones; each relation is counted once."""
+    counted = conflicts.agg(F.count("*").alias("conflicts"), F.count_if(F.col("resolution") == "pending").alias("pending"))
+    return (
+        category_counts(tokens).select(F.concat(F.lit("tokens."), "category").alias("what"), F.col("n_tokens").alias("n"))
+        .unionByName(components.agg(F.count("*").alias("n")).select(F.lit("components").alias("what"), "n"))
+        .unionByName(counted.unpivot([], ["conflicts", "pending"], "what", "n"))
+    )
+
+
+def mismatch(contracts: DataFrame) -> DataFrame:
+    """Adds `mismatch`: whether `source_root`, unless it is empty or missing, is another folder than that of `path`."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return contracts.withColumn("mismatch", F.coalesce((F.col("source_root") != "") & (F.col("source_root") != folder), F.lit(False)))
 
 
 def find_token(tokens: DataFrame, name: str, category: str = "") -> DataFrame:

@@ -117,6 +117,50 @@ PROJECT_COMPONENTS = f"""select {PROJECT} as project, {PASCAL} || p_partkey as n
  (p_partkey % (1 + {_BN} % 4) = 0) as has_variant, (p_size % 3 = 0) as has_size, (p_partkey % (1 + {_BN} % 3) = 0) as has_disabled from part"""
 
 
+#: Names that style sheets and literals share, so that the fold over both kinds of writes is met.
+MIXED_NAME = f"{CAMEL} || {BLOCK}"
+MIXED_CSS = f"'--' || {MIXED_NAME} || ': #' || {HEX6} || ';'"
+MIXED_TS = f"'  ' || {MIXED_NAME} || ': ''#' || {HEX6} || ''','"
+
+
+def mixed_css(dialect: str) -> str:
+    return f"select 0 as pattern, 'm/' || replace(p_brand, '#', '-') || '-' || {BLOCK} || '.css' as file, ':root {{' || chr(10) || {_joined(MIXED_CSS, dialect)} || chr(10) || '}}' as content from part where p_partkey % 3 = 0 group by p_brand, {BLOCK}"
+
+
+def mixed_ts(dialect: str) -> str:
+    return f"select 1 as pattern, 'm/' || lower(p_type) || '-' || {BLOCK} || '.ts' as file, 'export const c = {{' || chr(10) || {_joined(MIXED_TS, dialect)} || chr(10) || '}}' as content from part where p_partkey % 3 <> 0 group by p_type, {BLOCK}"
+
+
+def keyed_manifests(dialect: str) -> str:
+    """Manifests of which a third have only the old key, a third an empty new one beside the old, a third the new one."""
+    entries = "'{' || " + _joined(STORY, dialect, chr(39) + "," + chr(39)) + " || '}'"
+    old, empty, new = '{"stories":', '{"entries":{},"stories":', '{"stories":{},"entries":'
+    shapes = f"case {_BN} % 3 when 0 then '{old}' when 1 then '{empty}' else '{new}' end"
+    return f"select p_brand || '-' || {BLOCK} as doc, {shapes} || {entries} || '}}' as body from part group by p_brand, {BLOCK}"
+
+
+#: A project's listing with the files that detection looks for; packages of all kinds, a broken one too.
+PACKAGE = f"""case {_BN} % 6
+ when 0 then '{{"dependencies":{{"next":"1","react":"18"}},"devDependencies":{{"tailwindcss":"3"}}}}'
+ when 1 then '{{"devDependencies":{{"vite":"5","typescript":"5"}}}}'
+ when 2 then '{{"dependencies":{{"react":"18","storybook":"8"}}}}'
+ when 3 then '{{"dependencies":{{"vite":"","react":"18"}}}}'
+ when 4 then '{{"dependencies"'
+ else '{{}}' end"""
+LISTING = f"""select {PROJECT} as project,
+ case p_partkey % 8 when 0 then 'package.json' when 1 then case when {_BN} % 2 = 0 then 'tsconfig.json' else 'readme' end
+  when 2 then case when {_BN} % 3 = 0 then 'tailwind.config.ts' else 'a.css' end when 3 then case when {_BN} % 4 = 0 then 'src/tokens.json' else 'x.json' end
+  when 4 then case when {_BN} % 5 = 0 then '.storybook/main.js' else 'b.css' end else case when {_BN} % 3 = 1 then 'lib/' else 'src/' end || {DASHED} || '.ts' end as path,
+ case p_partkey % 8 when 0 then {PACKAGE} else '' end as content from part"""
+
+PATTERNS = ["**/*.css", "src/*.{ts,tsx}", "src/**/*.ts", "lib/[a-m]*.ts"]
+IGNORED = ["node_modules", "**/*.test.*", "dist"]
+#: Paths of all kinds, to be matched by PATTERNS and IGNORED.
+PATHS = f"""select case p_partkey % 9 when 0 then 'src/' || {CAMEL} when 1 then 'src/' || p_brand || '/' || {CAMEL} when 2 then 'node_modules/x/' || {CAMEL} when 3 then 'src/dist/' || {CAMEL}
+ when 4 then 'dist/' || {CAMEL} when 5 then 'lib/' || {CAMEL} when 6 then '.cache/' || {CAMEL} when 7 then {CAMEL} else 'src/a b/' || p_type || '/.' || {CAMEL} end
+ || '-' || p_partkey || case p_size % 5 when 0 then '.css' when 1 then '.ts' when 2 then '.tsx' when 3 then '.test.ts' else '.js' end as file from part"""
+
+
 def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The SQL over the directory's `part` table."""
     doubled = sql.replace("{", "{{").replace("}", "}}")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,11 +51,21 @@ def ignore_regex(pattern: str) -> str:
     return glob_regex(pattern)[:-1] + "(?:/.*)?$"
 
 
+def select_files(files: DataFrame, patterns: list[str], ignore: list[str]) -> DataFrame:
+    """(pattern, ...): the rows whose `file`, a relative path, a pattern matches, once for each such pattern, minus ignored ones."""
+    for pattern in ignore:
+        files = files.filter(~F.col("file").rlike(ignore_regex(pattern)))
+    # a pattern's * does not match names that begin with a dot
+    files = files.filter(~F.col("file").rlike(r"(^|/)\."))
+    matched = F.array_compact(F.array(*[F.when(F.col("file").rlike(glob_regex(p)), F.lit(k)) for k, p in enumerate(patterns)]))
+    return files.select(F.explode(matched.cast("array<int>")).alias("pattern"), *files.columns)
+
+
 def scan_files(spark: SparkSession, source: CodebaseSource) -> DataFrame:
     """(pattern, file, content): every file under root that a pattern matches, once for each such pattern.
 
     Files come in the order of (pattern, path). The listing is narrowed to the patterns' file endings where all have
-    one; texts are read once and shared by all extractors.
+    one; each text is read once for all its patterns.
     """
     root = source.root.rstrip("/")
     reader = spark.read.option("recursiveFileLookup", "true")
@@ -66,10 +75,4 @@ def scan_files(spark: SparkSession, source: CodebaseSource) -> DataFrame:
     raw = reader.text(root, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
     at = F.locate(root.removeprefix("file://") + "/", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
     relative = F.substr(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), at + len(root.removeprefix("file://")) + 1)
-    files = raw.select("content", relative.alias("file"))
-    for pattern in source.ignore:
-        files = files.filter(~F.col("file").rlike(ignore_regex(pattern)))
-    # a pattern's * does not match names that begin with a dot
-    files = files.filter(~F.col("file").rlike(r"(^|/)\."))
-    matched = [files.filter(F.col("file").rlike(glob_regex(p))).select(F.lit(k).alias("pattern"), "file", "content") for k, p in enumerate(source.patterns)]
-    return reduce(lambda a, b: a.unionAll(b), matched) if matched else spark.createDataFrame([], "pattern int, file string, content string")
+    return select_files(raw.select(relative.alias("file"), "content"), source.patterns, source.ignore)
