@@ -2,6 +2,7 @@ import random
 
 import helpers
 import numpy as np
+import pytest
 from tokenloom.llm import suffixdedup as sd
 
 
@@ -55,8 +56,10 @@ def test_stretches_hold_every_window_once_under_one_name():
     assert sorted(seen) == [k for i, j in zip(offsets[:-1], offsets[1:]) for k in range(i, j - sd.LENGTH + 1)]
 
 
-def test_random_documents(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [4096, 0, 3])
+def test_random_documents(spark, monkeypatch, hot):
     monkeypatch.setattr(sd, "RUN_BYTES", 3000)
+    monkeypatch.setattr(sd, "HOT", hot)
     rng = random.Random(5)
     passages = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randint(40, 140))) for _ in range(12)]
     texts = ["".join(rng.choice(passages)[rng.randint(0, 10) :] if rng.random() < 0.5 else "".join(rng.choice("klmnop ") for _ in range(rng.randint(0, 90))) for _ in range(rng.randint(0, 6))) for _ in range(120)]
@@ -75,3 +78,25 @@ def test_awkward_documents(spark):
 def test_only_short_texts(spark):
     texts = ["short", "", "short", "also short"]
     assert result(helpers.docs(spark, texts)) == plain([(k, t.encode()) for k, t in enumerate(texts)])
+
+
+def test_a_line_that_a_third_of_the_documents_share(spark, monkeypatch):
+    """Its borders have other neighbours in each document: no part gathers them all under one name."""
+    monkeypatch.setattr(sd, "RUN_BYTES", 20_000)
+    monkeypatch.setattr(sd, "HOT", 20)
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    line = "This line of some seventy letters stands in every third document of all."
+    texts = [f"{words(4)} {line if k % 3 == 0 else words(9)} {words(5)}" for k in range(900)]
+    df = helpers.docs(spark, texts)
+    assert result(df) == plain([(k, t.encode()) for k, t in enumerate(texts)])
+    sizes = []
+
+    def spied(batches):
+        for _, rows in sd.groups(batches, 1):
+            yield sd.rows_of([(str(len({x for x, *_ in sd.merge([(p[1], p[2], p[3].tobytes()) for p in (sd.unpack(blob, 6) for _, blob in rows)])})), b"")], {"run": sd.pa.string(), "told": sd.pa.binary()})
+
+    monkeypatch.setattr(sd, "_repeats", spied)
+    monkeypatch.setattr(sd, "_cut", lambda batches, folder: (sd.rows_of([(int(r), b"", 0, 0, 0) for r in b.column(0).to_pylist() if r.isdigit()], {"doc_id": sd.pa.int64(), "kept": sd.pa.binary(), "n_bytes": sd.pa.int64(), "n_removed": sd.pa.int64(), "n_spans": sd.pa.int64()}) for b in batches))
+    sizes = [r.doc_id for r in sd.remove_repeats(df).collect()]
+    assert max(sizes) < 100, sorted(sizes)[-5:]

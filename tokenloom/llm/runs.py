@@ -106,6 +106,10 @@ def pack_sorted(values: np.ndarray) -> bytes:
     return np.int64(len(gaps)).tobytes() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[:7]).tobytes())
 
 
+#: Bytes of `pack_sorted` of nothing.
+OF_NONE = len(pack_sorted(np.zeros(0, np.uint64)))
+
+
 def unpack_sorted(blob: bytes) -> np.ndarray:
     n = int(np.frombuffer(blob[:8], np.int64)[0])
     planes = np.zeros((8, n), np.uint8)

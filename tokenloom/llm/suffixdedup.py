@@ -7,7 +7,9 @@ runs, and each run is what one task has read:
    equal names. Neighbouring windows of one name form a stretch; a stretch's suffix, cut after its last window, stands for
    all of them: about every tenth suffix is enough to hold every window of the text.
 2. Names. Each run sends its distinct names once, sorted and as gaps, to the part that the name belongs to; a name that
-   only one document has anywhere repeats nothing, so its suffixes need not travel.
+   only one document has anywhere repeats nothing, so its suffixes need not travel. A name under which more than HOT
+   different suffixes stand, as at the borders of a line that many documents share, is hot: its windows are dealt one by
+   one, by their own hashes. They are asked for first in the same way as names, so that only repeated ones travel.
 3. Exchange. Each run sorts its remaining suffixes, keeps equal ones once with their least and greatest document, and
    sends them to the name's part, front-coded: the length shared with the suffix before, and the rest.
 4. Merge. A part merges its runs with a loser tree that holds, for each run, the length shared with the last suffix put
@@ -18,8 +20,8 @@ runs, and each run is what one task has read:
 6. Each run marks the bytes and cuts them.
 
 Runs are written to the shared folder by the first step and read again by the later ones, so no text is shuffled. A run
-holds about RUN_BYTES of text, or one longer document; no group or part gathers more than one copy of a suffix from each
-run. Null and empty texts lose nothing. Rows without a doc_id, and rows that share a doc_id, take nothing from each other;
+holds about RUN_BYTES of text, or one longer document. No part gathers more than one copy of a suffix or window from each
+run, nor more than HOT different suffixes of a name. Null and empty texts lose nothing. Rows without a doc_id, and rows that share a doc_id, take nothing from each other;
 rows without one neither lose bytes nor make others lose any. Matches never cross documents. Results are judged on the
 input. Names and grouped windows are 64-bit keys; the bytes of grouped windows are compared before a group counts.
 """
@@ -30,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, drop, materialise, releasing, scratch_path, small_batches, whole_number
 from .hashing import mix, prefix_hash, span_hash
-from .runs import NOBODY, columns, cut_runs, groups, pack, pack_sorted, part_of, read_file, rows_of, slices, unpack, unpack_sorted, write_file
+from .runs import NOBODY, OF_NONE, columns, cut_runs, groups, pack, pack_sorted, part_of, read_file, rows_of, slices, unpack, unpack_sorted, write_file
 
 LENGTH = 50
 K = 32
@@ -46,6 +49,12 @@ STRETCH = 64
 NAME_BITS = 48
 #: Bytes of a run's names that a part receives, about.
 PART_BYTES = 1 << 20
+#: Different suffixes of one name, added up over the runs, beyond which its windows go their own ways.
+HOT = 4096
+#: Tasks that read the runs again, at most: a task then has several runs, one after another.
+MOST_TASKS = 20_000
+#: No count of suffixes is over this.
+EVERY = 1 << 62
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,53 +101,113 @@ def _short(names: np.ndarray) -> np.ndarray:
 
 # ---- 1, 2: runs and their names
 
+_NAMES = {"part": pa.int32(), "run": pa.string(), "names": pa.binary(), "many": pa.binary(), "kinds": pa.binary()}
+_NAMES_SCHEMA = "part int, run string, names binary, many binary, kinds binary"
 
-def _run_names(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct short names of the run, sorted, and whether more than one document of the run has each."""
-    found, owners = [], []
-    for lo, hi in blocks(offsets):
-        start, _, name = stretches(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        doc = lo + np.searchsorted(offsets[lo : hi + 1] - offsets[lo], start, "right") - 1
-        found.append(_short(name))
-        owners.append(ids[doc])
-    names = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    names, owner = names[owner != NOBODY], owner[owner != NOBODY]
-    order = np.argsort(names, kind="stable")
-    names, owner = names[order], owner[order]
+
+def _distinct(names: np.ndarray, owner: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names, sorted; whether two documents have each; and how many different `inner` stand under it."""
+    order = np.lexsort((inner, names))
+    names, owner, inner = names[order], owner[order], inner[order]
     head = np.ones(len(names), bool)
     head[1:] = names[1:] != names[:-1]
     heads = np.flatnonzero(head)
     if not len(heads):
-        return names, np.zeros(0, bool)
-    return names[heads], np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
+        return names, np.zeros(0, bool), np.zeros(0, np.uint16)
+    fresh = head.copy()
+    fresh[1:] |= inner[1:] != inner[:-1]
+    return names[heads], np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads), np.minimum(np.add.reduceat(fresh.astype(np.int64), heads), 65535).astype(np.uint16)
+
+
+def _run_names(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The run's distinct short names, whether two of its documents have each, and each name's different suffixes."""
+    found, owners, suffixes = [], [], []
+    for lo, hi in blocks(offsets):
+        here = data[offsets[lo] : offsets[hi]]
+        start, size, name = stretches(here, offsets[lo : hi + 1] - offsets[lo])
+        doc = lo + np.searchsorted(offsets[lo : hi + 1] - offsets[lo], start, "right") - 1
+        keep = ids[doc] != NOBODY
+        found.append(_short(name[keep]))
+        owners.append(ids[doc[keep]])
+        suffixes.append(span_hash(prefix_hash(here), start[keep], start[keep] + size[keep] + LENGTH - 1))
+    if not found:
+        return _distinct(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return _distinct(np.concatenate(found), np.concatenate(owners), np.concatenate(suffixes))
+
+
+def _by_part(parts: int, run: str, names: np.ndarray, many: np.ndarray, kinds: np.ndarray) -> list[tuple]:
+    """A row for each part with the run's sorted names there."""
+    return [
+        (p, run, pack_sorted(names[lo:hi]), np.packbits(many[lo:hi]).tobytes(), zstandard.ZstdCompressor(level=1).compress(kinds[lo:hi].tobytes()))
+        for p, lo, hi in slices(part_of(names, NAME_BITS, parts))
+    ]
 
 
 def _names_by_part(parts: int):
     def names(run: str, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         """One row for the run itself, and one for each part with the run's names there."""
-        found, many = _run_names(ids, data, offsets)
-        rows = [(p, run, pack_sorted(found[lo:hi]), np.packbits(many[lo:hi]).tobytes()) for p, lo, hi in slices(part_of(found, NAME_BITS, parts))]
-        return rows_of([(-1, run, b"", b""), *rows], {"part": pa.int32(), "run": pa.string(), "names": pa.binary(), "many": pa.binary()})
+        return rows_of([(-1, run, b"", b"", b""), *_by_part(parts, run, *_run_names(ids, data, offsets))], _NAMES)
 
     return names
 
 
-def _repeated_names(batches):
-    """Per part: the names that two documents have, back to the runs that hold them."""
-    for _, rows in groups(batches, 1):
-        names = [unpack_sorted(blob) for _, blob, _ in rows]
-        many = [np.unpackbits(np.frombuffer(bits, np.uint8))[: len(x)].astype(bool) for x, (_, _, bits) in zip(names, rows, strict=True)]
-        every = np.sort(np.concatenate(names))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        del every
-        out = []
-        for (run, _, _), own, alone in zip(rows, names, many, strict=True):
-            at = np.minimum(np.searchsorted(twice, own), max(0, len(twice) - 1))
-            shared = alone | (twice[at] == own) if len(twice) else alone
-            if shared.any():
-                out.append((run, pack_sorted(own[shared])))
-        yield rows_of(out, {"run": pa.string(), "names": pa.binary()})
+def _repeated_names(hot: int):
+    def repeated(batches):
+        """Per part: the names that two documents have, back to the runs that hold them, and which of them are hot."""
+        for _, rows in groups(batches, 1):
+            names = [unpack_sorted(blob) for _, blob, _, _ in rows]
+            many = [np.unpackbits(np.frombuffer(bits, np.uint8))[: len(x)].astype(bool) for x, (_, _, bits, _) in zip(names, rows, strict=True)]
+            kinds = [np.frombuffer(zstandard.ZstdDecompressor().decompress(k), np.uint16).astype(np.int64) for _, _, _, k in rows]
+            every = np.concatenate(names)
+            order = np.argsort(every, kind="stable")
+            every, count = every[order], np.concatenate(kinds)[order]
+            heads = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            runs, total = np.diff(np.append(heads, len(every))), np.add.reduceat(count, heads)
+            every = every[heads]
+            del count, order
+            out = []
+            for (run, _, _, _), own, alone in zip(rows, names, many, strict=True):
+                at = np.searchsorted(every, own)
+                shared = alone | (runs[at] > 1)
+                is_hot = shared & (total[at] > hot)
+                if shared.any():
+                    out.append((run, pack_sorted(own[shared & ~is_hot]), pack_sorted(own[is_hot])))
+            yield rows_of(out, {"run": pa.string(), "names": pa.binary(), "hot": pa.binary()})
+
+    return repeated
+
+
+def _union(blobs) -> np.ndarray:
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(b) for b in blobs)]))
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _single(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of stretches one by one: their places and short hashes."""
+    owner = np.repeat(np.arange(len(start)), size)
+    at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    return at, _short(span_hash(prefix_hash(data), at, at + LENGTH)) if len(at) else np.zeros(0, np.uint64)
+
+
+def _hot_windows(batches, folder: str, parts: int):
+    """Per run: its windows under hot names, by part, as names are sent."""
+    for (run,), rows in groups(batches, 1):
+        hot = _union(blob for (blob,) in rows)
+        ids, data, offsets = columns(read_file(folder, f"{run}.parquet"))
+        found, owners = [], []
+        for lo, hi in blocks(offsets):
+            at, here = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
+            start, size, name = stretches(here, at)
+            doc = lo + np.searchsorted(at, start, "right") - 1
+            keep = _among(_short(name), hot) & (ids[doc] != NOBODY)
+            found.append(_single(here, start[keep], size[keep])[1])
+            owners.append(np.repeat(ids[doc[keep]], size[keep]))
+        windows = np.concatenate(found)
+        yield rows_of(_by_part(parts, run, *_distinct(windows, np.concatenate(owners), windows)), _NAMES)
 
 
 # ---- 3: sorted, front-coded suffixes
@@ -162,26 +231,36 @@ def front_code(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
 
 
 def _suffix_runs(batches, folder: str, parts: int):
-    """(part, run, blob): each run's suffixes that may repeat; where they stand is written beside the run."""
+    """(part, run, blob): each run's suffixes and single windows that may repeat; where they stand is written beside the run.
+
+    Rows are (run, names, hot, windows). A part below `parts` has suffixes by name, one above has windows by their hash.
+    """
     for (run,), rows in groups(batches, 1):
-        wanted = np.sort(np.concatenate([unpack_sorted(blob) for (blob,) in rows]))
+        wanted, hot, single = (_union(r[k] for r in rows if r[k]) for k in range(3))
         ids, data, offsets = columns(read_file(folder, f"{run}.parquet"))
-        starts, sizes, shorts, docs = [], [], [], []
+        starts, sizes, shorts, docs, high = [], [], [], [], []
         for lo, hi in blocks(offsets):
-            at = offsets[lo : hi + 1] - offsets[lo]
-            start, size, name = stretches(data[offsets[lo] : offsets[hi]], at)
+            at, here = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
+            start, size, name = stretches(here, at)
             short = _short(name)
-            place = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
             doc = lo + np.searchsorted(at, start, "right") - 1
-            keep = (wanted[place] == short) & (ids[doc] != NOBODY)
-            starts.append(start[keep] + offsets[lo])
-            sizes.append(size[keep])
-            shorts.append(short[keep])
-            docs.append(doc[keep])
+            keep = _among(short, wanted) & (ids[doc] != NOBODY)
+            parted = [(start[keep], size[keep], short[keep], doc[keep])]
+            keep = _among(short, hot) & (ids[doc] != NOBODY)
+            place, window = _single(here, start[keep], size[keep])
+            again = _among(window, single)
+            parted.append((place[again], np.ones(int(again.sum()), np.int64), window[again], np.repeat(doc[keep], size[keep])[again]))
+            for k, (a, b, c, d) in enumerate(parted):
+                starts.append(a + offsets[lo])
+                sizes.append(b)
+                shorts.append(c)
+                docs.append(d)
+                high.append(np.full(len(a), k))
         start, size, short, doc = (np.concatenate(x) for x in (starts, sizes, shorts, docs))
-        order = np.argsort(short, kind="stable")
-        start, size, doc, part = start[order], size[order], doc[order], part_of(short[order], NAME_BITS, parts)
-        del short, order
+        part = part_of(short, NAME_BITS, parts) + parts * np.concatenate(high)
+        order = np.argsort(part, kind="stable")
+        start, size, doc, part = start[order], size[order], doc[order], part[order]
+        del short, order, starts, sizes, shorts, docs, high
         raw = data.tobytes()
         del data
         numbers, places, holders, done = [], [], [], 0
@@ -419,19 +498,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a part gets the names of about a tenth of the bytes, at some 4 bytes each
     parts = max(2 * spark.sparkContext.defaultParallelism, size // (PART_BYTES * 2) + 1)
-    named = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _names_by_part(parts))), "part int, run string, names binary, many binary"), "suffix-names")
+    named = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _names_by_part(parts))), _NAMES_SCHEMA), "suffix-names")
     every = materialise(named.filter("part < 0").select("run", F.lit(None).cast("binary").alias("told")), "suffix-runs-list")
-    by_part = named.filter("part >= 0").repartition("part").sortWithinPartitions("part", "run")
-    repeated = materialise(by_part.mapInArrow(releasing(_repeated_names), "run string, names binary"), "suffix-repeated")
+    # a run is read again as a whole, so runs are dealt to tasks by their number and not by the size of what is said of them
+    tasks = max(1, min(every.count(), MOST_TASKS))
+    again = lambda df: df.repartition(tasks, "run").sortWithinPartitions("run")
+
+    def ask(names: DataFrame, hot: int, name: str) -> DataFrame:
+        """Which of the runs' names two documents have; a written table (run, names, hot)."""
+        by_part = names.repartition("part").sortWithinPartitions("part", "run")
+        return materialise(by_part.mapInArrow(releasing(_repeated_names(hot)), "run string, names binary, hot binary"), name)
+
+    none = F.lit(None).cast("binary")
+    repeated = ask(named.filter("part >= 0"), HOT, "suffix-repeated")
     drop(named)
-    suffixes = repeated.repartition("run").sortWithinPartitions("run").mapInArrow(releasing(lambda b: _suffix_runs(b, folder, parts)), "part int, run string, suffixes binary")
+    hot_runs = again(repeated.select("run", "hot").filter(F.octet_length("hot") > OF_NONE))
+    windows = ask(hot_runs.mapInArrow(releasing(lambda b: _hot_windows(b, folder, parts)), _NAMES_SCHEMA), EVERY, "suffix-windows")
+    wanted = repeated.select("run", "names", "hot", none.alias("windows")).unionByName(windows.select("run", none.alias("names"), none.alias("hot"), F.col("names").alias("windows")))
+    suffixes = again(wanted).mapInArrow(releasing(lambda b: _suffix_runs(b, folder, parts)), "part int, run string, suffixes binary")
     told = suffixes.repartition("part").sortWithinPartitions("part", "run").mapInArrow(releasing(_repeats), "run string, told binary")
-    return told.unionByName(every).repartition("run").sortWithinPartitions("run").mapInArrow(releasing(lambda b: _cut(b, folder)), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return again(told.unionByName(every)).mapInArrow(releasing(lambda b: _cut(b, folder)), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`remove_repeats` with the kept bytes as their SHA-256."""
     found = remove_repeats(docs, id_col, text_col)
     return found.select(F.col("doc_id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
