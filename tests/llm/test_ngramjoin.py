@@ -81,6 +81,7 @@ def corpus(rng, n=150):
 @pytest.mark.parametrize(("group", "run"), [(1000, 1 << 20), (3, 2000)])
 def test_random_documents(spark, monkeypatch, group, run):
     monkeypatch.setattr(nj, "GROUP", group)
+    monkeypatch.setattr(nj, "SIDE", 2 if group == 3 else 250)
     monkeypatch.setattr(nj, "RUN_BYTES", run)
     texts = corpus(random.Random(group))
     assert result(helpers.docs(spark, texts)) == plain(list(enumerate(texts)))
@@ -119,3 +120,10 @@ def test_awkward_documents(spark):
 def test_words_that_are_hard_to_tell_apart(spark):
     texts = helpers.colliding()
     assert result(helpers.docs(spark, texts)) == plain(list(enumerate(texts)))
+
+
+def test_doc_ids_with_several_texts(spark):
+    rng = random.Random(11)
+    texts = [t for t in corpus(rng, 90) if t]
+    rows = [(rng.randrange(50), t) for t in texts] + [(7, texts[3]), (7, texts[4]), (7, "of its own and nobody else has it")]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == plain(rows)

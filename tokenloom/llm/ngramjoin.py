@@ -13,27 +13,31 @@
    as the keys that remain cannot reach the needed overlap. Sets that are already linked are not compared again. A
    centre of more than GROUP members is split into blocks, each with the centre itself.
 5. Links go through connected components. Centres whose members are now one component are done; in the others, members
-   outside the centre's component are compared with all its members, block against block. So all pairs that share a
-   prefix key are compared or already connected.
+   outside the centre's component are compared with all its members, in blocks of sets whose sizes lie near enough to
+   each other. So all pairs that share a prefix key are compared, already connected, or too different in size.
 
 Only counts and row numbers come to the driver.
 
 Null and empty texts and texts without a word have the empty set and link with nothing. A text of fewer words than a
 shingle is one shingle. Rows without a doc_id have a set but link with nothing and have no component. Rows of one doc_id
-share a component. Equality of shingles is that of 62-bit keys.
+that have a shingle share a component, whatever their texts; rows with the empty set are their own. Texts of any length are taken whole; extra columns do not matter. Equality of
+shingles is that of 62-bit keys, made from keys of their words that no two words are known to share.
+
+Joins that may meet a key of very many rows are sort-merge joins, whose skewed parts Spark splits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, look_up, materialise, releasing, scratch_path, small_batches, whole_number
+from .common import blocks, drop, look_up, materialise, releasing, scratch_path, small_batches, whole_number
 from .components import components
 from .hashing import counter, mix, word_keys, word_spans
 from .runs import NOBODY, columns, cut_runs, groups, pack_sorted, part_of, read_file, rows_of, slices, unpack_sorted
@@ -42,6 +46,12 @@ SHINGLE = 5
 PERCENT = 75
 #: Members of a centre that one task compares at most.
 GROUP = 1000
+#: Members of each side of a block where a centre's members are compared across.
+SIDE = 250
+#: Sets of n and m keys, n <= m, may link if n / m reaches the threshold: then their bands are equal or neighbours.
+BAND = math.log(100 / PERCENT)
+#: Numbers from here on stand for sets whose doc_id another set goes by.
+BEYOND = 1 << 62
 #: Bits of a key that travel in step 1. Keys that only seem equal make an order a little worse, no more.
 NAME_BITS = 48
 RUN_BYTES = 16 << 20
@@ -179,15 +189,16 @@ def needed(a: int, b: int) -> int:
 
 
 def _prefixes(batches):
-    """(u, key) of the shared keys in each set's prefix."""
+    """(u, n, key) of the shared keys in each set's prefix."""
     for b in batches:
-        us, keys = [], []
+        us, sizes, keys = [], [], []
         for u, n, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
             mine = np.frombuffer(raw, np.uint64)
             mine = mine[: max(0, prefix_length(n) - (n - len(mine)))]
             us.append(np.full(len(mine), u))
+            sizes.append(np.full(len(mine), n))
             keys.append(mine.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us) if us else [], pa.int64()), pa.array(np.concatenate(keys) if keys else [], pa.int64())], names=["u", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (us, sizes, keys)], names=["u", "n", "key"])
 
 
 class PrefixTree:
@@ -306,9 +317,9 @@ def _link_blocks(batches):
 
 
 def _link_across(batches):
-    """(centre, left, right), side, component, u, n, keys -> links between the sides."""
+    """Keys of a block, then side, component, u, n, keys -> links between the sides."""
     found = []
-    for _, rows in groups(batches, 3):
+    for _, rows in groups(batches, 5):
         sides: tuple[dict, dict] = ({}, {})
         same: dict[int, list[int]] = {}
         for side, component, u, n, k in rows:
@@ -323,6 +334,57 @@ def _linked(dealt: DataFrame, sets: DataFrame, keys: list[str], how) -> DataFram
     return dealt.join(sets.select("u", "n", "keys"), "u").select(*keys, *[c for c in dealt.columns if c not in (*keys, "u")], "u", "n", "keys").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(releasing(how), "u long, v long")
 
 
+def _shared_ids(filled: DataFrame) -> DataFrame | None:
+    """(doc_id, digest, node) of the doc_ids that have several different sets; None if there are none.
+
+    A set goes by the smallest doc_id that has it. Where two sets would go by the same one, one of them keeps it and the
+    others get numbers beyond all doc_ids. All sets of a doc_id are one component.
+    """
+    several = filled.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("doc_id")
+    rows = materialise(filled.join(several, "doc_id").select("doc_id", "digest").distinct(), "shingle-shared-ids")
+    if rows.isEmpty():
+        drop(rows)
+        return None
+    if filled.agg(F.max("doc_id")).first()[0] >= BEYOND:
+        raise ValueError(f"doc_ids must be below {BEYOND} where several texts share one")
+    least = filled.join(rows.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    keeps = least.groupBy("rep").agg(F.min("digest").alias("kept"))
+    other = F.pmod(F.xxhash64("digest"), F.lit(BEYOND)) + F.lit(BEYOND)
+    nodes = least.join(keeps, "rep").select("digest", F.when(F.col("digest") == F.col("kept"), F.col("rep")).otherwise(other).alias("node"))
+    return materialise(rows.join(nodes, "digest").select("doc_id", "digest", "node"), "shingle-shared-ids")
+
+
+def _across(met: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Links of members outside their centre's component with all members of the centre; None where all are inside."""
+    own = met.select("centre", "u", "n").unionByName(met.select("centre", F.col("centre").alias("u"), F.col("centre_n").alias("n")).distinct())
+    members = own.join(found, "u", "left").select("centre", "u", F.floor(F.log("n") / BAND).cast("int").alias("band"), F.coalesce("component", "u").alias("component"))
+    inside = materialise(members, "shingle-members")
+    home = inside.filter("u = centre").select("centre", F.col("component").alias("home"))
+    outside = materialise(look_up(inside, home, "centre", "u").filter("component <> home").select("centre", "u", "band", "component"), "shingle-outside")
+    if outside.isEmpty():
+        drop(inside, outside)
+        return None
+    # a cell holds the outsiders of one band and the members of the same or a neighbouring one, in blocks of SIDE each
+    parts = lambda rows, name: rows.groupBy("centre", "band").agg(F.ceil(F.count("*") / F.lit(SIDE)).cast("int").alias(name))
+    lefts = parts(outside, "lefts")
+    near = lefts.select("centre", "lefts", F.col("band").alias("left_band"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    cells = materialise(near.join(parts(inside, "rights"), ["centre", "band"]).withColumnRenamed("band", "right_band"), "shingle-cells")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pick = lambda n, seed: F.pmod(F.xxhash64("u", F.lit(seed)), F.col(n).cast("long")).cast("int")
+    keys = ["centre", "left_band", "right_band", "left", "right"]
+
+    def dealt(rows: DataFrame, band: str, left: Column, right: Column, side: int) -> DataFrame:
+        rows = rows.select("u", "component", F.struct("centre", F.col("band").alias(band)).alias("cell"))
+        known = cells.select(F.struct("centre", band).alias("cell"), F.col("right_band" if band == "left_band" else "left_band"), "lefts", "rights")
+        return look_up(rows, known, "cell", "u").select("u", "component", "cell.*", "left_band" if band == "right_band" else "right_band", left.alias("left"), "lefts", "rights").select("*", right.alias("right")).select(*keys, F.lit(side).alias("side"), "component", "u")
+
+    left = dealt(outside, "left_band", pick("lefts", 1), spread("rights"), 0)
+    right = dealt(inside, "right_band", spread("lefts"), pick("rights", 2), 1)
+    more = materialise(_linked(left.unionByName(right), sets, keys, _link_across), "shingle-links")
+    drop(inside, outside, cells)
+    return more
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     spark: SparkSession = docs.sparkSession
@@ -334,40 +396,40 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     told = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _tell_keys(parts))), "doc_id long, n long, digest binary, part int, run string, names binary, counts binary"), "shingle-keys")
     shared = told.filter("part is not null").select("part", "run", "names", "counts").repartition("part").sortWithinPartitions("part", "run").mapInArrow(releasing(_classify), "run string, names binary, kinds binary")
     single = shared.repartition("run").sortWithinPartitions("run").mapInArrow(releasing(lambda b: _candidates(b, folder)), "digest binary, rep long, n long, keys binary")
+    summary = told.filter("digest is not null").select("doc_id", "n", "digest")
+    filled = summary.filter("n > 0 and doc_id is not null")
     sets = materialise(single.groupBy("digest").agg(F.min("rep").alias("u"), F.first("n").alias("n"), F.first("keys").alias("keys")), "shingle-sets")
 
-    keyed = sets.select("u", "n", "keys").mapInArrow(releasing(_prefixes), "u long, key long").repartition("key")
-    under = keyed.groupBy("key").agg(F.min("u").alias("centre"), F.count("*").alias("sets")).filter("sets > 1")
-    met = materialise(keyed.join(under, "key").filter("u <> centre").groupBy("centre", "u").agg(F.count("*").alias("common")), "shingle-centres")
+    own = _shared_ids(filled)
+    if own is not None:
+        sets = materialise(sets.join(own.select("digest", "node").distinct(), "digest", "left").withColumn("u", F.coalesce("node", "u")).drop("node"), "shingle-sets")
+
+    keyed = sets.select("u", "n", "keys").mapInArrow(releasing(_prefixes), "u long, n long, key long")
+    under = keyed.groupBy("key").agg(F.min(F.struct("u", "n")).alias("c"), F.count("*").alias("sets")).filter("sets > 1").select("key", F.col("c.u").alias("centre"), F.col("c.n").alias("centre_n"))
+    met = keyed.join(under.hint("merge"), "key").filter("u <> centre").groupBy("centre", "u").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("centre_n").alias("centre_n"))
+    met = materialise(met, "shingle-centres")
 
     best = met.groupBy("u").agg(F.max_by("centre", F.struct("common", -F.col("centre"))).alias("centre"))
     sized = best.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("u"), F.col("blocks").cast("long")).cast("int")
     dealt = look_up(best, sized, "centre", "u").select("centre", block.alias("block"), "u").unionByName(sized.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("centre").alias("u")))
     links = materialise(_linked(dealt, sets, ["centre", "block"], _link_blocks), "shingle-links")
+    if own is not None:
+        least = own.groupBy("doc_id").agg(F.min("node").alias("u"))
+        links = links.unionByName(own.join(least, "doc_id").filter("u <> node").select("u", F.col("node").alias("v")))
     found = components(links)
 
-    # members outside their centre's component meet all members of the centre
-    members = met.select("centre", "u").unionByName(met.select("centre", F.col("centre").alias("u")).distinct())
-    inside = materialise(members.join(found, "u", "left").select("centre", "u", F.coalesce("component", "u").alias("component")), "shingle-members")
-    home = inside.filter("u = centre").select("centre", F.col("component").alias("home"))
-    outside = look_up(inside, home, "centre", "u").filter("component <> home").select("centre", "u", "component")
-    left_parts = outside.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("lefts"))
-    right_parts = look_up(inside, left_parts, "centre", "u").groupBy("centre", "lefts").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("rights"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    pick = lambda n, seed: F.pmod(F.xxhash64("u", F.lit(seed)), F.col(n).cast("long")).cast("int")
-    left = look_up(outside, right_parts, "centre", "u").select("centre", pick("lefts", 1).alias("left"), spread("rights").alias("right"), F.lit(0).alias("side"), "component", "u")
-    right = look_up(inside, right_parts, "centre", "u").select("centre", spread("lefts").alias("left"), pick("rights", 2).alias("right"), F.lit(1).alias("side"), "component", "u")
-    more = materialise(_linked(left.unionByName(right), sets, ["centre", "left", "right"], _link_across), "shingle-links")
-    if not more.isEmpty():
+    more = _across(met, sets, found)
+    if more is not None:
         found = components(found.select("u", F.col("component").alias("v")).unionByName(more))
 
-    # every row finds its class: equal sets by their digest, linked ones by their component
-    summary = told.filter("digest is not null").select("doc_id", "n", "digest")
-    filled = summary.filter("n > 0 and doc_id is not null")
-    linked = sets.select("digest", "u").join(found, "u").select("digest", "component")
-    equal = filled.groupBy("digest").agg(F.min("doc_id").alias("rep")).join(linked, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    named = look_up(filled, equal, "digest", "doc_id")
+    # a row's class is that of the rows with an equal set, by digest; most rows have a set of their own and link with nothing
+    nodes = sets.select("digest", "u")
+    if own is not None:
+        nodes = nodes.unionByName(own.select("digest", F.col("node").alias("u"))).distinct()
+    linked = nodes.join(found, "u").select("digest", "component")
+    equal = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).join(linked, "digest", "left").filter("rows > 1 or component is not null")
+    named = filled.join(equal.select("digest", F.coalesce("component", "rep").alias("component_id")).hint("merge"), "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     rest = summary.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
