@@ -41,3 +41,21 @@ def test_scratch_is_freed(spark):
     common.drop(outer)
     with pytest.raises(Exception, match="[Pp]ath|exist|FAILED_READ"):
         outer.count()
+
+
+def test_settled_keeps_its_table_and_nothing_else(spark, tmp_path):
+    inner = []
+
+    def make():
+        inner.append(common.materialise(spark.range(7), "inner"))
+        return inner[0].filter("id > 2")
+
+    kept = common.settled(spark, "kept", make)
+    assert kept.count() == 4
+    with pytest.raises(Exception, match="[Pp]ath|exist|FAILED_READ"):
+        inner[0].count()
+    # a table that is not scratch is never deleted, whatever its folder is called
+    spark.range(3).write.parquet(f"{tmp_path}/tokenloom/mine")
+    mine = spark.read.parquet(f"{tmp_path}/tokenloom/mine")
+    common.drop(mine, kept)
+    assert mine.count() == 3

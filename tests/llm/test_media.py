@@ -89,3 +89,28 @@ def test_the_digest_reads_stored_tensors(spark, tmp_path):
         mean = ",".join(f"{x:.3f}" for x in mel.mean(axis=0, dtype=float))
         start = f"frames={len(mel)};windows={-(-len(mel) // media.FRAMES)};segments={len(active)};active_s={sum(e - s for s, e in active) * hop_s:.3f};"
         assert all(x.feature.startswith(start) and f";mean={mean};" in x.feature for x in rows if x.doc_id == r.doc_id)
+
+
+def test_log_mel_equals_a_plain_transform():
+    """Sums over samples, one frequency after another, and triangles from their definition."""
+    rng = np.random.default_rng(2)
+    signal = rng.standard_normal(700).astype(np.float32)
+    got = media.log_mel(signal)
+    rate = media.RATE / 2
+    to_mel, from_mel = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [from_mel(to_mel(rate / 2) * k / (media.MELS + 1)) for k in range(media.MELS + 2)]
+    n = np.arange(media.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / (media.FRAME - 1))
+    assert len(got) == -(-(700 - media.FRAME) // media.HOP) + 1
+    for f in range(len(got)):
+        part = np.zeros(media.FRAME)
+        piece = signal[f * media.HOP : f * media.HOP + media.FRAME]
+        part[: len(piece)] = piece
+        power = [abs((part * window * np.exp(-2j * np.pi * k * n / media.FRAME)).sum()) ** 2 for k in range(media.FRAME // 2 + 1)]
+        for m in range(media.MELS):
+            low, top, high = edges[m : m + 3]
+            total = 0.0
+            for k, p in enumerate(power):
+                hz = k * rate / media.FRAME
+                total += p * max(0.0, min((hz - low) / (top - low), (high - hz) / (high - top)))
+            assert abs(got[f, m] - np.log(total + 1e-10)) < 1e-3

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -87,3 +88,50 @@ def test_awkward_documents(spark):
     rows = pii.report(df)
     assert rows.count() == df.count() and rows.filter("doc_id = 2").first().spans == ""
     assert pii.report(helpers.empty(spark)).count() == 0 and pii.sanitise(helpers.empty(spark)).count() == 0
+
+
+def plain_disclosure(rows):
+    """(text, term) -> disclosure of the terms at GENERALISE or more, from all pairs of the corpus, counted in plain loops."""
+    entities, words = {}, {}
+    for t in set(rows):
+        spans = pii.base_spans(t)
+        entities[t] = {n for k, s, e in spans for n in pii.protected(k, t[s:e])}
+        masked = list(t)
+        for _, s, e in spans:
+            masked[s:e] = "\0" * (e - s)
+        # a word that a span cuts counts as covered
+        words[t] = {m.group().lower() for m in re.finditer(r"\w+", t) if "\0" not in masked[m.start() : m.end()]}
+    total, out = len(rows), {}
+    for t in set(rows):
+        for e in entities[t]:
+            n_entity = sum(e in entities[x] for x in rows)
+            for w in words[t]:
+                n = sum(w in set(re.findall(r"\w+", x.lower())) for x in rows)
+                joint = [x for x in rows if e in entities[x] and w in words[x]]
+                pmi, ic = math.log(len(joint) * total / (n_entity * max(n, len(joint)))), math.log(total / n_entity)
+                value = pmi / ic * (1 - 0.5 ** len(set(joint))) if ic > 0 else 0.0
+                if value >= pii.GENERALISE:
+                    out[t, w] = max(out.get((t, w), 0.0), value)
+    return out
+
+
+def test_disclosure_equals_counting_all_pairs(spark):
+    rng = random.Random(12)
+    people = [f"{n}@{d}.example" for n in ("ann", "bob", "cyd", "dee") for d in ("corp", "shop")] + ["10.1.2.3", "10.1.2.4", "10.9.8.7", "+1 974 555 3436", "+1 974 555 0000"]
+    telling = {p: f"tell{k}" for k, p in enumerate(people)}
+    rows = []
+    for _ in range(130):
+        parts = [f"w{rng.randrange(40)}" for _ in range(rng.randint(2, 9))]
+        if rng.random() < 0.4:
+            p = rng.choice(people)
+            parts += [p] + [telling[p]] * (rng.random() < 0.9)
+        rng.shuffle(parts)
+        rows.append(" ".join(parts))
+    rows += rng.choices(rows, k=20)
+    expected = plain_disclosure(rows)
+    docs = helpers.docs(spark, rows)
+    got = {(bytes(r.digest), r.term): r.disclosure for r in pii.disclosing_terms(docs, pii.detect(docs, ("doc_id",))).collect()}
+    digest = lambda t: hashlib.blake2b(t.encode(), digest_size=16).digest()
+    expected = {(digest(t), w): x for (t, w), x in expected.items()}
+    assert len(expected) > 10 and set(got) == set(expected)
+    assert all(abs(got[x] - expected[x]) < 1e-9 for x in got)

@@ -78,14 +78,25 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def drop(*tables: DataFrame | str) -> None:
-    """Delete scratch tables (or folders, by their paths) that no later result reads."""
+    """Delete scratch tables (or folders, by their paths) that no later result reads; anything else stays."""
+    spark = SparkSession.active()
+    made = _SCRATCH.get(spark.sparkContext.applicationId, [])
     for table in tables:
-        spark = SparkSession.active()
         if not isinstance(table, str):
             files = table.inputFiles()[:1]
             table = files[0].rpartition("/")[0] if files else ""
-        if "/tokenloom/" in table:
-            _delete(spark, table)
+        for path in [p for p in made if p.rpartition("/")[2] == table.rpartition("/")[2]]:
+            _delete(spark, path)
+            made.remove(path)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` returns, as a scratch table; the scratch that making it took is deleted."""
+    path = scratch_path(spark, name)
+    with freeing(spark):
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def whole_number(df: DataFrame, column: str) -> Column:

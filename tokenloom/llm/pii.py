@@ -11,8 +11,12 @@ its disclosure, since each further text halves the odds that it is chance. What
 entity (`protected`): the domain of an address, the first numbers of an IP, the issuer of a card, the block of a phone
 number. So a term can also be told by entities that stand in one text each.
 
-Null texts count as empty and have no spans. Repeated rows are counted as rows for frequencies, but as one text.
-Rows are judged by their text alone, so ties and extra columns do not matter; an empty table gives an empty result.
+A term is removed or generalised only in texts that hold an entity which it gives away. In a text without that entity
+there is nothing masked that it could tell; taking it out there too would take ordinary words out of most of the corpus.
+
+Null texts count as empty and have no spans. Repeated rows are counted as rows for frequencies, but as one text. Texts of
+any length are judged whole. Rows are judged by their text alone, so ties and extra columns do not matter; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
