@@ -281,7 +281,10 @@ Member = tuple[int, int, np.ndarray]
 
 
 def link(members: list[Member], others: list[Member] | None = None, same: dict | None = None) -> list[tuple[int, int]]:
-    """Links that connect the members (or members with others) as all pairs within the threshold would; same: names already connected."""
+    """Links that connect the members (or members with others) as all pairs within the threshold would; same: names already connected.
+
+    What is connected comes as a star around its smallest name, which is what components are made of in the end.
+    """
     union, tree, out = _Union(), PrefixTree(), []
     for group in (same or {}).values():
         for x in group[1:]:
@@ -298,7 +301,7 @@ def link(members: list[Member], others: list[Member] | None = None, same: dict |
         tree.add(*member)
     for member in others or []:
         meet(*member)
-    return out
+    return sorted({(x, centre) for pair in out for x in pair if x != (centre := union.find(x))})
 
 
 def _pairs_out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
