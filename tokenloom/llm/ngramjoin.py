@@ -23,13 +23,15 @@ shingle is one shingle. Rows without a doc_id have a set but link with nothing a
 that have a shingle share a component, whatever their texts; rows with the empty set are their own. Texts of any length are taken whole; extra columns do not matter. Equality of
 shingles is that of 62-bit keys, made from keys of their words that no two words are known to share.
 
-Joins that may meet a key of very many rows are sort-merge joins, whose skewed parts Spark splits.
+A prefix key that very many sets share meets a sort-merge join, whose skewed parts Spark splits; rows that many others
+equal are spread by hand.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ GROUP = 1000
 SIDE = 250
 #: Sets of n and m keys, n <= m, may link if n / m reaches the threshold: then their bands are equal or neighbours.
 BAND = math.log(100 / PERCENT)
+#: Rows of one set within a run from which on its rows are spread over SALTS parts to look up their class.
+MANY, SALTS = 8, 32
 #: Numbers from here on stand for sets whose doc_id another set goes by.
 BEYOND = 1 << 62
 #: Bits of a key that travel in step 1. Keys that only seem equal make an order a little worse, no more.
@@ -108,16 +112,17 @@ def _short(keys: np.ndarray) -> np.ndarray:
 
 def _tell_keys(parts: int):
     def tell(run: str, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
-        """A row for each document, and one for each part with the run's keys there and how many of its sets have them."""
-        rows, seen, found = [], set(), []
+        """A row for each document, with the rows of its run that have an equal set, and one for each part with the run's keys there and how many of its sets have them."""
+        docs, copies, found = [], Counter(), []
         for lo, _, keys, at in _blocks(data, offsets):
             fresh = np.zeros(len(keys), bool)
             for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 d = _digest(keys[i:j])
-                rows.append((None if ids[lo + k] == NOBODY else int(ids[lo + k]), j - i, d, None, run, None, None))
-                fresh[i:j] = d not in seen
-                seen.add(d)
+                docs.append((None if ids[lo + k] == NOBODY else int(ids[lo + k]), j - i, d))
+                fresh[i:j] = d not in copies
+                copies[d] += 1
             found.append(_short(keys[fresh]))
+        rows = [(*doc, copies[doc[2]], None, run, None, None) for doc in docs]
         names = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
         head = np.ones(len(names), bool)
         head[1:] = names[1:] != names[:-1]
@@ -125,8 +130,8 @@ def _tell_keys(parts: int):
         count = np.minimum(np.diff(np.append(heads, len(names))), 255).astype(np.uint8)
         names = names[heads]
         for p, lo, hi in slices(part_of(names, NAME_BITS, parts)):
-            rows.append((None, None, None, p, run, pack_sorted(names[lo:hi]), zstandard.ZstdCompressor(level=1).compress(count[lo:hi].tobytes())))
-        return rows_of(rows, {"doc_id": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "part": pa.int32(), "run": pa.string(), "names": pa.binary(), "counts": pa.binary()})
+            rows.append((None, None, None, None, p, run, pack_sorted(names[lo:hi]), zstandard.ZstdCompressor(level=1).compress(count[lo:hi].tobytes())))
+        return rows_of(rows, {"doc_id": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "copies": pa.int32(), "part": pa.int32(), "run": pa.string(), "names": pa.binary(), "counts": pa.binary()})
 
     return tell
 
@@ -189,16 +194,15 @@ def needed(a: int, b: int) -> int:
 
 
 def _prefixes(batches):
-    """(u, n, key) of the shared keys in each set's prefix."""
+    """(u, key) of the shared keys in each set's prefix."""
     for b in batches:
-        us, sizes, keys = [], [], []
+        us, keys = [], []
         for u, n, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
             mine = np.frombuffer(raw, np.uint64)
             mine = mine[: max(0, prefix_length(n) - (n - len(mine)))]
             us.append(np.full(len(mine), u))
-            sizes.append(np.full(len(mine), n))
             keys.append(mine.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (us, sizes, keys)], names=["u", "n", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (us, keys)], names=["u", "key"])
 
 
 class PrefixTree:
@@ -359,8 +363,8 @@ def _shared_ids(filled: DataFrame) -> DataFrame | None:
 
 def _across(met: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame | None:
     """Links of members outside their centre's component with all members of the centre; None where all are inside."""
-    own = met.select("centre", "u", "n").unionByName(met.select("centre", F.col("centre").alias("u"), F.col("centre_n").alias("n")).distinct())
-    members = own.join(found, "u", "left").select("centre", "u", F.floor(F.log("n") / BAND).cast("int").alias("band"), F.coalesce("component", "u").alias("component"))
+    own = met.select("centre", "u").unionByName(met.select("centre", F.col("centre").alias("u")).distinct())
+    members = own.join(sets.select("u", "n"), "u").join(found, "u", "left").select("centre", "u", F.floor(F.log("n") / BAND).cast("int").alias("band"), F.coalesce("component", "u").alias("component"))
     inside = materialise(members, "shingle-members")
     home = inside.filter("u = centre").select("centre", F.col("component").alias("home"))
     outside = materialise(look_up(inside, home, "centre", "u").filter("component <> home").select("centre", "u", "band", "component"), "shingle-outside")
@@ -396,21 +400,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(whole_number(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(2 * spark.sparkContext.defaultParallelism, size // PART_BYTES + 1)
-    told = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _tell_keys(parts))), "doc_id long, n long, digest binary, part int, run string, names binary, counts binary"), "shingle-keys")
+    told = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _tell_keys(parts))), "doc_id long, n long, digest binary, copies int, part int, run string, names binary, counts binary"), "shingle-keys")
     shared = told.filter("part is not null").select("part", "run", "names", "counts").repartition("part").sortWithinPartitions("part", "run").mapInArrow(releasing(_classify), "run string, names binary, kinds binary")
     single = shared.repartition("run").sortWithinPartitions("run").mapInArrow(releasing(lambda b: _candidates(b, folder)), "digest binary, rep long, n long, keys binary")
-    summary = told.filter("digest is not null").select("doc_id", "n", "digest")
+    summary = told.filter("digest is not null").select("doc_id", "n", "digest", "copies")
     filled = summary.filter("n > 0 and doc_id is not null")
     sets = materialise(single.groupBy("digest").agg(F.min("rep").alias("u"), F.first("n").alias("n"), F.first("keys").alias("keys")), "shingle-sets")
 
+    drop(folder)
     own = _shared_ids(filled)
     if own is not None:
         sets = materialise(sets.join(own.select("digest", "node").distinct(), "digest", "left").withColumn("u", F.coalesce("node", "u")).drop("node"), "shingle-sets")
 
-    keyed = sets.select("u", "n", "keys").mapInArrow(releasing(_prefixes), "u long, n long, key long")
-    under = keyed.groupBy("key").agg(F.min(F.struct("u", "n")).alias("c"), F.count("*").alias("sets")).filter("sets > 1").select("key", F.col("c.u").alias("centre"), F.col("c.n").alias("centre_n"))
-    met = keyed.join(under.hint("merge"), "key").filter("u <> centre").groupBy("centre", "u").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("centre_n").alias("centre_n"))
-    met = materialise(met, "shingle-centres")
+    keyed = sets.select("u", "n", "keys").mapInArrow(releasing(_prefixes), "u long, key long")
+    under = keyed.groupBy("key").agg(F.min("u").alias("centre"), F.count("*").alias("sets")).filter("sets > 1").drop("sets")
+    met = materialise(keyed.join(under.hint("merge"), "key").filter("u <> centre").groupBy("centre", "u").agg(F.count("*").alias("common")), "shingle-centres")
 
     best = met.groupBy("u").agg(F.max_by("centre", F.struct("common", -F.col("centre"))).alias("centre"))
     sized = best.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("blocks"))
@@ -423,16 +427,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = components(links)
 
     more = _across(met, sets, found)
+    drop(met)
     if more is not None:
         found = components(found.select("u", F.col("component").alias("v")).unionByName(more))
 
-    # a row's class is that of the rows with an equal set, by digest; most rows have a set of their own and link with nothing
+    # a row's class is that of the rows with an equal set, by digest; most rows have a set of their own and link with nothing.
+    # A digest of many rows has many in some run: only such rows are spread, and only such digests repeated
     nodes = sets.select("digest", "u")
     if own is not None:
         nodes = nodes.unionByName(own.select("digest", F.col("node").alias("u"))).distinct()
     linked = nodes.join(found, "u").select("digest", "component")
     equal = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).join(linked, "digest", "left").filter("rows > 1 or component is not null")
-    named = filled.join(equal.select("digest", F.coalesce("component", "rep").alias("component_id")).hint("merge"), "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    equal = equal.select("digest", F.coalesce("component", "rep").alias("component_id"), F.explode(F.sequence(F.lit(0), F.when(F.col("rows") >= MANY, SALTS - 1).otherwise(0))).alias("salt"))
+    salt = F.when(F.col("copies") >= MANY, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    named = filled.withColumn("salt", salt).join(equal.hint("merge"), ["digest", "salt"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     rest = summary.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
