@@ -261,7 +261,7 @@ def search(index: Index, terms: list[int]) -> list[tuple[int, float]]:
             if pivot + 1 < len(cursors):
                 to = min(to, cursors[pivot + 1][0])
         elif cursors[0][0] == item:
-            share = sum(c[3][c[1]] for c in reached)
+            share = round(sum(c[3][c[1]] for c in reached), 9)  # equal words in another order give equal shares
             if share >= least:
                 found.append((item, share))
             to = item + 1

@@ -33,3 +33,56 @@ parts as (
 texts as (
  select page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) as text from parts)
 select page_id, url, text, cast(length(text) as bigint) as n_chars from texts"""
+
+#: Every 50-byte string of every document, the least document that has it, and what it covers elsewhere.
+SUFFIX_DEDUP = """
+with bytes as (select doc_id, encode(coalesce(text, '')) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+starts as (select doc_id, h, unnest(range(0, n - 49)) as i from bytes where n >= 50),
+strings as materialized (select doc_id, i, h[i + 1:i + 50] as s from starts),
+repeated as (select s, min(doc_id) as least from strings group by s having min(doc_id) < max(doc_id)),
+hits as (select x.doc_id, x.i from strings x join repeated r on r.s = x.s where x.doc_id > r.least),
+marked as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as fresh from hits),
+numbered as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as g from marked),
+spans as (select doc_id, g, min(i) as a, max(i) + 50 as b from numbered group by doc_id, g),
+pieces as (
+ select doc_id, g, coalesce(lag(b) over (partition by doc_id order by g), 0) as p, a as q from spans
+ union all select s.doc_id, max(s.g) + 1, max(s.b), max(t.n) from spans s join bytes t on t.doc_id = s.doc_id group by s.doc_id),
+kept as (select p.doc_id, string_agg(case when q > p then hex(t.h[p + 1:q]) else '' end, '' order by g) as h from pieces p join bytes t on t.doc_id = p.doc_id group by p.doc_id),
+removed as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans from spans group by doc_id)
+select t.doc_id, cast(t.n as bigint) as n_bytes, cast(coalesce(r.n_removed, 0) as bigint) as n_removed, cast(coalesce(r.n_spans, 0) as bigint) as n_spans, sha256(coalesce(unhex(k.h), t.h)) as kept_sha256
+from bytes t left join kept k on k.doc_id = t.doc_id left join removed r on r.doc_id = t.doc_id"""
+
+_WORDS = r"regexp_extract_all(lower({}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+#: Every passage against every item that shares a word with it, by the formula; items of up to 4,096 words.
+BENCHMARK_LEAKS = rf"""
+with items as (
+ select item_id, w, len(w) as n, case when len(w) <= 64 then 64 when len(w) <= 256 then 256 when len(w) <= 1024 then 1024 else 4096 end as stride,
+  list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_WORDS.format("x")}), lambda x: len(x) > 0) as parts
+ from (select item_id, text, {_WORDS.format("text")} as w from benchmark where text is not null) where len(w) > 0),
+split as (
+ select item_id, n, stride, w[1:cut] as question, case when cut = n then w[n:n] else w[cut + 1:n] end as answer
+ from (select *, case when len(parts) > 1 then n - len(parts[-1]) else (2 * n + 2) // 3 end as cut from items)),
+terms as (select item_id, n, stride, word, count(*) as tf from (select item_id, n, stride, unnest(w) as word from items) group by all),
+common as (select word, count(*) as df from terms group by word),
+whole as (select count(*) as items, avg(n) as average from items),
+scores as (
+ select item_id, stride, word, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / average)) as score
+ from terms join common using (word), whole),
+shares as materialized (select *, score / sum(score) over (partition by item_id) as share, sum(score) over (partition by item_id) as own from scores),
+docs as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+passages as materialized (
+ select doc_id, stride, p * stride as first, w[p * stride + 1:(p + 2) * stride] as w
+ from (select doc_id, w, stride, unnest(range(0, greatest(1, (len(w) + stride - 1) // stride - 1))) as p from docs, (select distinct stride from items) as strides)),
+held as (select distinct doc_id, stride, first, unnest(w) as word from passages),
+reached as (
+ select doc_id, stride, first, item_id, round(sum(share), 9) as share, any_value(own) as own
+ from held join shares using (stride, word) group by doc_id, stride, first, item_id having sum(share) >= 0.5 - 1e-9),
+checked as (
+ select r.doc_id, r.item_id, r.first, r.share, r.own,
+  list_distinct(list_transform(range(0, greatest(1, len(question) - 2)), lambda k: array_to_string(question[k + 1:k + 3], ' '))) as asked,
+  list_transform(range(0, greatest(1, len(p.w) - least(3, len(question)) + 1)), lambda k: array_to_string(p.w[k + 1:k + least(3, len(question))], ' ')) as said, list_distinct(answer) as answer, p.w as w
+ from reached r join split s on s.item_id = r.item_id join passages p on p.doc_id = r.doc_id and p.stride = r.stride and p.first = r.first),
+rated as (select *, len(list_intersect(asked, said)) / len(asked) as q, len(list_intersect(answer, w)) / len(answer) as a from checked),
+best as (select *, row_number() over (partition by doc_id, item_id order by share desc, first) as nth from rated where q >= 0.6 and a >= 0.6)
+select doc_id, item_id, round(share, 6) as score, round(share * own, 6) as bm25, round(q, 6) as question_overlap, round(a, 6) as answer_overlap, first as passage_word from best where nth = 1"""
