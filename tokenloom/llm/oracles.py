@@ -86,3 +86,59 @@ checked as (
 rated as (select *, len(list_intersect(asked, said)) / len(asked) as q, len(list_intersect(answer, w)) / len(answer) as a from checked),
 best as (select *, row_number() over (partition by doc_id, item_id order by share desc, first) as nth from rated where q >= 0.6 and a >= 0.6)
 select doc_id, item_id, round(share, 6) as score, round(share * own, 6) as bm25, round(q, 6) as question_overlap, round(a, 6) as answer_overlap, first as passage_word from best where nth = 1"""
+
+_OPEN, _SHUT = "chr(57344)", "chr(57345)"
+
+
+def _placed(rows: str, pattern: str, label: str) -> str:
+    """(doc_id, label, s, e, m) of every match: marked, split there, the pieces' lengths summed up."""
+    return f"""select doc_id, label, s, s + length(m) as e, m from (
+ select doc_id, label, k, split_part(c, {_SHUT}, 1) as m, coalesce(sum(length(replace(c, {_SHUT}, ''))) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as s
+ from (select doc_id, '{label}' as label, unnest(x) as c, generate_subscripts(x, 1) as k from (select doc_id, string_split(regexp_replace(t, '{pattern}', {_OPEN} || '\\0' || {_SHUT}, 'g'), {_OPEN}) as x from {rows}))) where k > 1"""
+
+
+_DETECTORS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+#: All matches of the detectors; then every pair of an entity and a term of one text, counted over the corpus.
+PII_SPANS = rf"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+matched as ({" union all ".join(_placed("docs", pattern, kind) for kind, pattern in _DETECTORS.items())}),
+digits as (select *, regexp_replace(m, '[^0-9]', '', 'g') as d, case label when 'email' then 1 when 'ip' then 2 when 'card' then 3 else 4 end as o from matched),
+base as materialized (
+ select doc_id, label as kind, o, s, e, m, d from digits where case label when 'email' then true
+  when 'ip' then len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(nullif(ltrim(x, '0'), '') as int), 0) > 255)) = 0
+  when 'card' then length(d) between 16 and 19 and list_sum(list_transform(range(1, length(d) + 1), lambda i: case when i % 2 = 1 then cast(substr(d, length(d) - i + 1, 1) as int)
+   else 2 * cast(substr(d, length(d) - i + 1, 1) as int) - case when substr(d, length(d) - i + 1, 1) > '4' then 9 else 0 end end)) % 10 = 0
+  else length(d) between 8 and 15 end),
+named as (
+ select doc_id, unnest(case kind when 'email' then ['email:' || lower(m), 'domain:' || split_part(lower(m), '@', -1)]
+  when 'ip' then ['ip:' || m, 'net:' || array_to_string(string_split(m, '.')[1:3], '.'), 'net:' || array_to_string(string_split(m, '.')[1:2], '.')]
+  when 'card' then ['card:' || d, 'issuer:' || left(d, 6)] else ['phone:' || d, 'block:' || left(d, length(d) - 4), 'block:' || left(d, length(d) - 7)] end) as entity from base),
+held as materialized (select doc_id, t from docs where doc_id in (select doc_id from base)),
+words as materialized (
+ select w.doc_id, w.s, w.e, lower(w.m) as term from ({_placed("held", r"[\p{L}\p{N}_]+", "word")}) w
+ where not exists (select 1 from base b where b.doc_id = w.doc_id and b.s < w.e and b.e > w.s)),
+texts as (select t, min(doc_id) as doc_id, count(*) as n_rows from held group by t),
+entities as (select distinct t, n_rows, entity from texts join named using (doc_id)),
+terms as (select distinct t, term from texts join words using (doc_id)),
+frequent as (select word as term, count(*) as n from (select distinct doc_id, unnest(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+')) as word from docs) group by word),
+known as (select entity, sum(n_rows) as n_entity from entities group by entity),
+joint as (select entity, term, sum(n_rows) as n_joint, count(*) as n_texts from entities join terms using (t) group by entity, term),
+rated as (
+ select entity, term, case when ln(total / n_entity) > 0 then ln(n_joint * total / (n_entity * greatest(n, n_joint))) / ln(total / n_entity) * (1 - power(0.5, n_texts)) else 0 end as disclosure
+ from joint join known using (entity) join frequent using (term), (select count(*) as total from docs)),
+risky as (select t, term, max(disclosure) as disclosure from rated join entities using (entity) join terms using (t, term) where disclosure >= 0.6 group by t, term),
+added as (
+ select h.doc_id, string_agg(case when disclosure >= 0.9 then 'remove' else 'generalise' end || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by s) as spans, count(*) as n
+ from held h join risky using (t) join words w on w.doc_id = h.doc_id and w.term = risky.term group by h.doc_id),
+counted as (
+ select doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
+  string_agg(kind || ':' || cast(s as bigint) || ':' || cast(e as bigint), ',' order by o, s) as spans from base group by doc_id)
+select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(c.spans, '')) as base_sha256,
+ concat_ws(',', c.spans, a.spans) as spans, coalesce(a.n, 0) as n_terms
+from docs d left join counted c on c.doc_id = d.doc_id left join added a on a.doc_id = d.doc_id"""

@@ -81,4 +81,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Of the others no SQL is possible, or none that is fast enough on whole tables; tests hold them against plain versions."""
-    return {"op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op5_benchmark_leaks": oracles.BENCHMARK_LEAKS, "op7_shingle_join": oracles.SHINGLE_JOIN, "op9_main_text": oracles.MAIN_TEXT}
+    return {"op1_pii_spans": oracles.PII_SPANS, "op3_suffix_dedup": oracles.SUFFIX_DEDUP, "op5_benchmark_leaks": oracles.BENCHMARK_LEAKS, "op7_shingle_join": oracles.SHINGLE_JOIN, "op9_main_text": oracles.MAIN_TEXT}
