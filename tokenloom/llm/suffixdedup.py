@@ -49,20 +49,21 @@ STRETCH = 64
 NAME_BITS = 48
 #: Bytes of a run's names that a part receives, about.
 PART_BYTES = 1 << 20
-#: Different suffixes of one name, added up over the runs, beyond which its windows go their own ways.
-HOT = 4096
+#: Different suffixes of one name, added up over the runs, beyond which its windows go their own ways. So many take some
+#: 35 MB of a task; to ask for single windows takes a further pass over the runs that have such a name.
+HOT = 1 << 16
 #: Tasks that read the runs again, at most: a task then has several runs, one after another.
 MOST_TASKS = 20_000
 #: No count of suffixes is over this.
 EVERY = 1 << 62
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, name) of the stretches of all rows, by place in data."""
+def stretches(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, name) of the stretches of all rows, by place in data; prefix: the data's `prefix_hash`, if at hand."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    prefix = prefix_hash(data)
+    prefix = prefix_hash(data) if prefix is None else prefix
     places = np.arange(len(data) - K + 1)
     name = span_hash(prefix, places, places + K)
     # least of the LENGTH - K + 1 hashes from each place on, by doubling
@@ -107,16 +108,26 @@ _NAMES_SCHEMA = "part int, run string, names binary, many binary, kinds binary"
 
 def _distinct(names: np.ndarray, owner: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct names, sorted; whether two documents have each; and how many different `inner` stand under it."""
-    order = np.lexsort((inner, names))
+    order = np.argsort(names, kind="stable")
     names, owner, inner = names[order], owner[order], inner[order]
     head = np.ones(len(names), bool)
     head[1:] = names[1:] != names[:-1]
     heads = np.flatnonzero(head)
     if not len(heads):
         return names, np.zeros(0, bool), np.zeros(0, np.uint16)
-    fresh = head.copy()
-    fresh[1:] |= inner[1:] != inner[:-1]
-    return names[heads], np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads), np.minimum(np.add.reduceat(fresh.astype(np.int64), heads), 65535).astype(np.uint16)
+    # most names stand once in a run: only the others are sorted by what stands under them
+    kinds = np.ones(len(heads), np.int64)
+    size = np.diff(np.append(heads, len(names)))
+    group = np.repeat(np.arange(len(heads)), size)
+    several = np.flatnonzero(size[group] > 1)
+    if len(several):
+        group, under = group[several], inner[several]
+        order = np.lexsort((under, group))
+        group, under = group[order], under[order]
+        fresh = np.ones(len(group), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (under[1:] != under[:-1])
+        kinds = np.maximum(kinds, np.bincount(group[fresh], minlength=len(heads)))
+    return names[heads], np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads), np.minimum(kinds, 65535).astype(np.uint16)
 
 
 def _run_names(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,12 +135,13 @@ def _run_names(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[
     found, owners, suffixes = [], [], []
     for lo, hi in blocks(offsets):
         here = data[offsets[lo] : offsets[hi]]
-        start, size, name = stretches(here, offsets[lo : hi + 1] - offsets[lo])
+        prefix = prefix_hash(here)
+        start, size, name = stretches(here, offsets[lo : hi + 1] - offsets[lo], prefix)
         doc = lo + np.searchsorted(offsets[lo : hi + 1] - offsets[lo], start, "right") - 1
         keep = ids[doc] != NOBODY
         found.append(_short(name[keep]))
         owners.append(ids[doc[keep]])
-        suffixes.append(span_hash(prefix_hash(here), start[keep], start[keep] + size[keep] + LENGTH - 1))
+        suffixes.append(span_hash(prefix, start[keep], start[keep] + size[keep] + LENGTH - 1))
     if not found:
         return _distinct(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     return _distinct(np.concatenate(found), np.concatenate(owners), np.concatenate(suffixes))
@@ -186,11 +198,11 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
-def _single(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of stretches one by one: their places and short hashes."""
+def _single(prefix: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of stretches one by one: their places and short hashes. prefix: the data's `prefix_hash`."""
     owner = np.repeat(np.arange(len(start)), size)
     at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    return at, _short(span_hash(prefix_hash(data), at, at + LENGTH)) if len(at) else np.zeros(0, np.uint64)
+    return at, _short(span_hash(prefix, at, at + LENGTH))
 
 
 def _hot_windows(batches, folder: str, parts: int):
@@ -201,10 +213,11 @@ def _hot_windows(batches, folder: str, parts: int):
         found, owners = [], []
         for lo, hi in blocks(offsets):
             at, here = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
-            start, size, name = stretches(here, at)
+            prefix = prefix_hash(here)
+            start, size, name = stretches(here, at, prefix)
             doc = lo + np.searchsorted(at, start, "right") - 1
             keep = _among(_short(name), hot) & (ids[doc] != NOBODY)
-            found.append(_single(here, start[keep], size[keep])[1])
+            found.append(_single(prefix, start[keep], size[keep])[1])
             owners.append(np.repeat(ids[doc[keep]], size[keep]))
         windows = np.concatenate(found)
         yield rows_of(_by_part(parts, run, *_distinct(windows, np.concatenate(owners), windows)), _NAMES)
@@ -241,13 +254,14 @@ def _suffix_runs(batches, folder: str, parts: int):
         starts, sizes, shorts, docs, high = [], [], [], [], []
         for lo, hi in blocks(offsets):
             at, here = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
-            start, size, name = stretches(here, at)
+            prefix = prefix_hash(here)
+            start, size, name = stretches(here, at, prefix)
             short = _short(name)
             doc = lo + np.searchsorted(at, start, "right") - 1
             keep = _among(short, wanted) & (ids[doc] != NOBODY)
             parted = [(start[keep], size[keep], short[keep], doc[keep])]
             keep = _among(short, hot) & (ids[doc] != NOBODY)
-            place, window = _single(here, start[keep], size[keep])
+            place, window = _single(prefix, start[keep], size[keep])
             again = _among(window, single)
             parted.append((place[again], np.ones(int(again.sum()), np.int64), window[again], np.repeat(doc[keep], size[keep])[again]))
             for k, (a, b, c, d) in enumerate(parted):
