@@ -152,12 +152,22 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         lo = min(hi, n)
 
 
-def look_up(rows: DataFrame, found: DataFrame, key: str, spread_by: str, how: str = "inner", parts: int = 32) -> DataFrame:
+#: A key is hot if it has a thousandth of all rows, and HOT_ROWS at least: so there are a thousand hot keys at most.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def look_up(rows: DataFrame, found: DataFrame, key: str, spread_by: str, how: str = "inner", parts: int = 32, count: str | None = None, total: int = 0) -> DataFrame:
     """rows joined with `found`, which has one row for a key; a key that many rows have is spread over so many parts.
 
     `found` is repeated in each part, the rows are dealt to them by a hash of spread_by. The join is by sorting: the
-    repeated table's size is not what its estimate says, so it must not be broadcast on that.
+    repeated table's size is not what its estimate says, so it must not be broadcast on that. Where `count` names the
+    column of found that has each key's number of rows, of `total`, only hot keys are repeated; those, a bounded number, are broadcast.
     """
-    salted = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int"))
+    copies, spread = F.lit(parts), F.lit(parts)
+    if count is not None:
+        hot = F.broadcast(found.filter(F.col(count) >= max(HOT_ROWS, total // HOT_SHARE)).select(key, F.lit(parts).alias("__parts")))
+        found, rows = found.join(hot, key, "left"), rows.join(hot, key, "left")
+        copies = spread = F.coalesce("__parts", F.lit(1))
+    salted = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__parts")
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(spread_by), spread.cast("long")).cast("int")).drop("__parts")
     return dealt.join(salted.hint("merge"), [key, "__salt"], how).drop("__salt")

@@ -23,6 +23,20 @@ reach as (
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.y as component_id
 from sets s join (select x, min(y) as y from reach group by x) r on r.x = s.doc_id"""
 
+#: All pairs of vectors of finite components; then what is reachable from each vector.
+VECTOR_RANGE_JOIN = """
+with recursive vectors as materialized (
+ select vec_id, cast(embedding as double[]) as v from embeddings
+ where embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: isfinite(x))) and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+found as materialized (
+ select a.vec_id as x, b.vec_id as y from vectors a join vectors b on a.vec_id < b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95),
+links as materialized (select x, y from found union all select y, x from found),
+reach as (select vec_id as x, vec_id as y from embeddings union select r.x, l.y from reach r join links l on l.x = r.y),
+component as (select x, min(y) as component_id from reach group by x),
+counted as (select x, count(*) as n from links group by x)
+select e.vec_id, coalesce(n, 0) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join component c on c.x = e.vec_id left join counted k on k.x = e.vec_id"""
+
 #: The pages of the tables hold their article in one element, its blocks in p and h1, and few kinds of references.
 MAIN_TEXT = r"""
 with articles as (
