@@ -37,6 +37,23 @@ counted as (select x, count(*) as n from links group by x)
 select e.vec_id, coalesce(n, 0) as n_links, component_id, e.vec_id = component_id as kept
 from embeddings e join component c on c.x = e.vec_id left join counted k on k.x = e.vec_id"""
 
+_TERMS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Every document that shares a term with an item, by the formula.
+RANKED_SEARCH = rf"""
+with words as materialized (select doc_id, w, cast(len(w) as bigint) as n from (select doc_id, {_TERMS} as w from documents where text is not null) where len(w) > 0),
+corpus as (select count(*) as docs, cast(sum(n) as bigint) as terms from words),
+asked as materialized (select distinct item_id, unnest({_TERMS}) as term from benchmark where text is not null and item_id is not null),
+held as materialized (
+ select doc_id, term, cast(count(*) as bigint) as tf from (select doc_id, unnest(w) as term from words) semi join asked using (term) group by doc_id, term),
+weights as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) as w from (select term, count(*) as df from held group by term), corpus),
+measures as (select doc_id, 100 - 50 + (50 * n * docs) // terms as m from words, corpus),
+scores as (
+ select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+ from asked join held using (term) join weights using (term) join measures using (doc_id) where doc_id is not null group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as nth from scores where score > 0)
+select item_id, cast(nth as int) as rank, doc_id, score from ranked where nth <= 50"""
+
 #: The pages of the tables hold their article in one element, its blocks in p and h1, and few kinds of references.
 MAIN_TEXT = r"""
 with articles as (
