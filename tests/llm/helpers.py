@@ -1,5 +1,6 @@
 """Awkward documents, shared by the operators' tests."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 LONG = " ".join(f"w{k % 977}" for k in range(60_000))
@@ -37,3 +38,9 @@ def colliding():
     for n in (1024, 2048, 4096):
         out += [f"{w} w x y z" for w in thue_morse(n)]
     return out + [f"{'ab' * k} w x y z" for k in (32, 33, 500, 501)] + [f"{'a' * k} w x y z" for k in (63, 64, 65, 66, 1000)] + ["\x00 w x y z", "\x00\x00 w x y z"]
+
+
+def joined(texts):
+    """The texts' bytes end to end, and their offsets."""
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])

@@ -122,6 +122,29 @@ def test_words_that_are_hard_to_tell_apart(spark):
     assert result(helpers.docs(spark, texts)) == plain(list(enumerate(texts)))
 
 
+def test_shingles_that_share_a_sum_of_known_word_keys(spark):
+    """Made to have equal sums of unseeded word keys; each also with others around them."""
+    texts = ["alphabet umbrella x y z", "kzpabndc 7`u9rwz x y z"]
+    seven = lambda seed: nj.shingle_keys(*helpers.joined(texts), seed)[0].tolist()
+    assert len(set(seven(0))) == len(set(seven(1))) == 2 and set(seven(0)) != set(seven(1))
+    assert result(helpers.docs(spark, texts)) == plain(list(enumerate(texts)))
+
+
+def test_words_of_seven_and_eight_bytes_with_one_key():
+    """Without a seed a word of eight bytes can be made for one of seven; with a seed it has another key."""
+    from tokenloom.llm import hashing
+
+    data, offsets = helpers.joined(["letters "])
+    with np.errstate(over="ignore"):
+        mixed = [hashing.mix(np.array([n], np.uint64) * np.uint64(hashing._STEP)) for n in (7, 8)]
+        other = (int(mixed[0][0]) + int.from_bytes(b"letters", "little") - int(mixed[1][0])) % 2**64
+    data = np.frombuffer(b"letters " + other.to_bytes(8, "little"), np.uint8)
+    starts, ends = np.array([0, 8]), np.array([7, 16])
+    keys = hashing.word_keys(data, starts, ends)
+    assert keys[0] == keys[1]
+    assert all(len(set(hashing.word_keys(data, starts, ends, seed).tolist())) == 2 for seed in (1, 2**62 + 5))
+
+
 def test_doc_ids_with_several_texts(spark):
     rng = random.Random(11)
     texts = [t for t in corpus(rng, 90) if t]

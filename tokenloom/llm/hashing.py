@@ -92,12 +92,16 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
 
 
-def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each word. Words of equal length up to 8 bytes never share a key; longer ones are chained by 8 bytes."""
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit key of each word. Words of equal length up to 8 bytes never share a key; longer ones are chained by 8 bytes.
+
+    Words of different length can share a key. Without a seed such words can be made on purpose: where a key decides a
+    result, either the bytes are compared too or the seed is drawn for the job.
+    """
     size = ends - starts
     eights = _eights(data)
     with np.errstate(over="ignore"):
-        keys = mix(size.astype(np.uint64) * np.uint64(_STEP))
+        keys = mix(size.astype(np.uint64) * np.uint64(_STEP) + np.uint64(seed))
         alive = np.flatnonzero(size <= LONG)
         for p in range(0, LONG, 8):
             alive = alive[size[alive] > p]
@@ -105,7 +109,7 @@ def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
                 break
             keys[alive] = mix(keys[alive] + (eights[starts[alive] + p] & _LOW_BYTES[np.minimum(size[alive] - p, 8)]))
     for k in np.flatnonzero(size > LONG).tolist():
-        keys[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        keys[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return keys
 
 

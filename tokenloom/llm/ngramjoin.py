@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of word-shingle sets by prefix trees, and its connected components.
 
-1. Each text becomes a set of 64-bit keys of its 5-word shingles. Runs of documents are written to the shared folder and
+1. Each text becomes a set of 62-bit keys of its 5-word shingles, hashed by a seed that is drawn for the job. Runs of documents are written to the shared folder and
    tell each part of the key space their distinct keys; parts tell the runs which keys other sets have too, in classes
    of how many. Copies within a run count once.
 2. All sets are ordered alike: keys of one set alone first, then by class, then by value. Two sets that reach the
@@ -21,7 +21,8 @@ Only counts and row numbers come to the driver.
 Null and empty texts and texts without a word have the empty set and link with nothing. A text of fewer words than a
 shingle is one shingle. Rows without a doc_id have a set but link with nothing and have no component. Rows of one doc_id
 that have a shingle share a component, whatever their texts; rows with the empty set are their own. Texts of any length are taken whole; extra columns do not matter. Equality of
-shingles is that of 62-bit keys, made from keys of their words that no two words are known to share.
+shingles is that of their keys: two different ones share one with odds of 1 to 2^62, and since nobody knows the seed
+beforehand, no text can be made to do so. Results do not depend on the seed.
 
 A prefix key that very many sets share meets a sort-merge join, whose skewed parts Spark splits; rows that many others
 equal are spread by hand.
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections import Counter
 
 import numpy as np
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, drop, look_up, materialise, releasing, scratch_path, small_batches, whole_number
 from .components import components
-from .hashing import counter, mix, word_keys, word_spans
+from .hashing import mix, word_keys, word_spans
 from .runs import NOBODY, columns, cut_runs, groups, pack_sorted, part_of, read_file, rows_of, slices, unpack_sorted
 
 SHINGLE = 5
@@ -67,27 +69,25 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_PLACES = counter(SHINGLE, 77) | np.uint64(1)
 
 
-def shingle_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys (below 2^62) of every row end to end, and the rows' offsets in them."""
+def shingle_keys(data: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys (below 2^62) of every row end to end, and the rows' offsets in them; the seed tells no two jobs alike."""
     data = _LOWER[data]
     starts, ends, first = word_spans(data, offsets, _SPACE)
-    words = word_keys(data, starts, ends)
+    words = word_keys(data, starts, ends, seed)
     counts = np.diff(first)
     sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
     row = np.repeat(np.arange(len(counts)), sizes)
     before = np.cumsum(sizes) - sizes
     at = first[:-1][row] + np.arange(len(row)) - before[row]
     padded = np.concatenate((words, np.zeros(SHINGLE, np.uint64)))
-    keys = np.zeros(len(row), np.uint64)
-    short = counts[row] < SHINGLE
+    length = np.minimum(counts[row], SHINGLE)
     with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            part = padded[at + k]
-            keys += np.where(short & (k >= counts[row]), np.uint64(0), part) * _PLACES[k]
-        keys = mix(keys + np.where(short, counts[row], SHINGLE).astype(np.uint64)) >> np.uint64(2)
+        keys = mix(length.astype(np.uint64) + np.uint64(seed))
+        for k in range(SHINGLE):  # each word scrambles what stands before it, so places and words can't make up for one another
+            keys = np.where(k < length, mix(keys + padded[at + k]), keys)
+    keys >>= np.uint64(2)
     order = np.lexsort((keys, row))
     keys, row = keys[order], row[order]
     fresh = np.ones(len(keys), bool)
@@ -96,10 +96,10 @@ def shingle_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return keys, np.searchsorted(row, np.arange(len(counts) + 1))
 
 
-def _blocks(data: np.ndarray, offsets: np.ndarray):
+def _blocks(data: np.ndarray, offsets: np.ndarray, seed: int):
     """(first row, end row, keys, offsets) of about a MB of text each."""
     for lo, hi in blocks(offsets):
-        yield lo, hi, *shingle_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield lo, hi, *shingle_keys(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], seed)
 
 
 def _digest(keys: np.ndarray) -> bytes:
@@ -110,11 +110,11 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return keys >> np.uint64(62 - NAME_BITS)
 
 
-def _tell_keys(parts: int):
+def _tell_keys(parts: int, seed: int):
     def tell(run: str, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         """A row for each document, with the rows of its run that have an equal set, and one for each part with the run's keys there and how many of its sets have them."""
         docs, copies, found = [], Counter(), []
-        for lo, _, keys, at in _blocks(data, offsets):
+        for lo, _, keys, at in _blocks(data, offsets, seed):
             fresh = np.zeros(len(keys), bool)
             for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                 d = _digest(keys[i:j])
@@ -158,14 +158,14 @@ def _classify(batches):
         yield rows_of(out, {"run": pa.string(), "names": pa.binary(), "kinds": pa.binary()})
 
 
-def _candidates(batches, folder: str):
+def _candidates(batches, folder: str, seed: int):
     """(digest, rep, n, keys): each run's sets that may link, once each, with their shared keys in the common order."""
     for (run,), rows in groups(batches, 1):
         parts = sorted(((unpack_sorted(n), np.frombuffer(zstandard.ZstdDecompressor().decompress(k), np.uint8)) for n, k in rows), key=lambda x: int(x[0][0]))
         shared, kinds = np.concatenate([n for n, _ in parts]), np.concatenate([k for _, k in parts]).astype(np.uint64)
         ids, data, offsets = columns(read_file(folder, f"{run}.parquet"))
         found: dict[bytes, tuple[int, int, bytes]] = {}
-        for lo, _, keys, at in _blocks(data, offsets):
+        for lo, _, keys, at in _blocks(data, offsets, seed):
             short = _short(keys)
             place = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
             hit = shared[place] == short
@@ -400,9 +400,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(whole_number(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(2 * spark.sparkContext.defaultParallelism, size // PART_BYTES + 1)
-    told = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _tell_keys(parts))), "doc_id long, n long, digest binary, copies int, part int, run string, names binary, counts binary"), "shingle-keys")
+    tasks, seed = int(max(2 * spark.sparkContext.defaultParallelism, size // RUN_BYTES + 1)), secrets.randbits(63)
+    told = materialise(rows.mapInArrow(releasing(lambda b: cut_runs(b, folder, RUN_BYTES, _tell_keys(parts, seed))), "doc_id long, n long, digest binary, copies int, part int, run string, names binary, counts binary"), "shingle-keys")
     shared = told.filter("part is not null").select("part", "run", "names", "counts").repartition("part").sortWithinPartitions("part", "run").mapInArrow(releasing(_classify), "run string, names binary, kinds binary")
-    single = shared.repartition("run").sortWithinPartitions("run").mapInArrow(releasing(lambda b: _candidates(b, folder)), "digest binary, rep long, n long, keys binary")
+    single = shared.repartition(tasks, "run").sortWithinPartitions("run").mapInArrow(releasing(lambda b: _candidates(b, folder, seed)), "digest binary, rep long, n long, keys binary")
     summary = told.filter("digest is not null").select("doc_id", "n", "digest", "copies")
     filled = summary.filter("n > 0 and doc_id is not null")
     sets = materialise(single.groupBy("digest").agg(F.min("rep").alias("u"), F.first("n").alias("n"), F.first("keys").alias("keys")), "shingle-sets")

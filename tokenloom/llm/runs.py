@@ -53,14 +53,18 @@ def rows_of(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 def cut_runs(batches, folder: str, size: int, tell: Callable[[str, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Write the rows (doc_id, text) as runs of about `size` bytes of text; what `tell` says of each run."""
-    part, number = TaskContext.get().partitionId(), 0
+    """Write the rows (doc_id, text) as runs of about `size` bytes of text; what `tell` says of each run.
+
+    A run's name has the attempt in it, and the rows carry the name: rows of one attempt never meet the files of another,
+    whose runs may be cut elsewhere if its input came in another order.
+    """
+    part, number = f"{TaskContext.get().partitionId():07d}-{TaskContext.get().taskAttemptId()}", 0
     waiting: list[pa.RecordBatch] = []
     held = 0
 
     def finish() -> pa.RecordBatch:
         nonlocal number, waiting, held
-        run = f"{part:07d}-{number:04d}"
+        run = f"{part}-{number:04d}"
         table = pa.Table.from_batches(waiting)
         number, waiting, held = number + 1, [], 0
         write_file(folder, f"{run}.parquet", table)
