@@ -4,6 +4,7 @@ import random
 import re
 
 import helpers
+import pytest
 from tokenloom.llm import pii
 
 
@@ -106,7 +107,7 @@ def plain_disclosure(rows):
         for e in entities[t]:
             n_entity = sum(e in entities[x] for x in rows)
             for w in words[t]:
-                n = sum(w in set(re.findall(r"\w+", x.lower())) for x in rows)
+                n = sum(w in {y.lower() for y in re.findall(r"\w+", x)} for x in rows)
                 joint = [x for x in rows if e in entities[x] and w in words[x]]
                 pmi, ic = math.log(len(joint) * total / (n_entity * max(n, len(joint)))), math.log(total / n_entity)
                 value = pmi / ic * (1 - 0.5 ** len(set(joint))) if ic > 0 else 0.0
@@ -127,7 +128,7 @@ def test_disclosure_equals_counting_all_pairs(spark):
             parts += [p] + [telling[p]] * (rng.random() < 0.9)
         rng.shuffle(parts)
         rows.append(" ".join(parts))
-    rows += rng.choices(rows, k=20)
+    rows += rng.choices(rows, k=20) + [f"İzmir w{k} ann@corp.example x" for k in range(5)] + ["w1 İZMİR"]
     expected = plain_disclosure(rows)
     docs = helpers.docs(spark, rows)
     got = {(bytes(r.digest), r.term): r.disclosure for r in pii.disclosing_terms(docs, pii.detect(docs, ("doc_id",))).collect()}
@@ -135,3 +136,23 @@ def test_disclosure_equals_counting_all_pairs(spark):
     expected = {(digest(t), w): x for (t, w), x in expected.items()}
     assert len(expected) > 10 and set(got) == set(expected)
     assert all(abs(got[x] - expected[x]) < 1e-9 for x in got)
+
+
+def test_terms_whose_lower_case_has_other_letters(spark):
+    texts = [f"{'İzmir' if k < 5 else 'Zanzibar'} trip number{k} {'ann' if k < 5 else 'bob'}@corp{k // 5}.example" for k in range(10)] + [f"other words here {k}" for k in range(90)]
+    out = {r.doc_id: r.text for r in pii.sanitise(helpers.docs(spark, texts)).collect()}
+    assert all("İzmir" not in out[k] and "Zanzibar" not in out[k] and "[REMOVED]" in out[k] for k in range(10)), out[0]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 50])
+def test_a_page_of_many_entities(spark, monkeypatch, most):
+    """Entities of one text can't reach the threshold with any term, so they make no pairs; many shared ones are split."""
+    monkeypatch.setattr(pii, "PAIRS", most)
+    made = []
+    monkeypatch.setattr(pii, "materialise", lambda df, name, keep=pii.materialise: made.append((name, out := keep(df, name))) or out)
+    page = " ".join([f"n{k}@h{k}.example" for k in range(400)] + [f"word{k}" for k in range(3000)])
+    shared = [" ".join([f"s{k}@t.example" for k in range(8)] + [f"tell{k}" for k in range(5)] + [f"lone{j}"]) for j in range(3)]
+    docs = helpers.docs(spark, [page, *shared, *[f"plain text {k}" for k in range(40)]])
+    found = pii.disclosing_terms(docs, pii.detect(docs, ("doc_id",))).collect()
+    assert {r.term for r in found} == {f"tell{k}" for k in range(5)} and all(r.rows == 1 for r in found)
+    assert dict(made)["pii-pairs"].count() < 10_000

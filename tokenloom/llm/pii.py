@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, releasing, small_batches, texts
+from .common import look_up, materialise, releasing, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE = 0.6
-#: Parts over which the rows of one text are spread while its terms are looked up.
-SALTS = 32
+#: Pairs of entities and terms that one task makes of a text, about; a text of more is split by its entities.
+PAIRS = 1_000_000
 REMOVE = 0.9
 #: Bits of the fixed-size filter that holds the candidate terms while all documents are counted.
 FILTER_BITS = 1 << 25
@@ -111,6 +111,11 @@ def protected(kind: str, value: str) -> list[str]:
     return [name, *[f"{k}:{p}" for k, p in parts if p]]
 
 
+def _terms(text: str) -> set[str]:
+    """The distinct terms of a whole text. Words are found first and lower-cased then, since lower case can change letters into others."""
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
 def _words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of the words outside all base spans."""
     covered = sorted((s, e) for _, s, e in spans)
@@ -179,7 +184,7 @@ def _term_counts(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataF
         for b in batches:
             counts: dict[str, int] = {}
             for t in texts(b, text_col):
-                for w in set(_WORD.findall(t.lower())):
+                for w in _terms(t):
                     hit = seen.get(w)
                     if hit is None:
                         if len(seen) > 500_000:
@@ -195,27 +200,35 @@ def _term_counts(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataF
 
 
 def disclosing_terms(docs: DataFrame, detected: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, term, disclosure): for each text with an entity, its terms at GENERALISE or more."""
+    """(digest, rows, term, disclosure): for each text with an entity, its terms at GENERALISE or more, and the text's rows."""
     total = docs.count()
     distinct = materialise(detected.filter(F.size("entities") > 0).groupBy("digest").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"), F.first("words").alias("words")), "pii-texts")
-    entities = distinct.select(F.explode("entities").alias("entity"), "digest", "rows")
-    entity_n = materialise(entities.groupBy("entity").agg(F.sum("rows").alias("n_entity")), "pii-entities")
+    entities = distinct.select(F.explode("entities").alias("entity"), "digest", "rows", F.size("words").alias("words"))
+    entity_n = materialise(entities.groupBy("entity").agg(F.sum("rows").alias("n_entity"), F.count("*").alias("t_entity")), "pii-entities")
     terms = distinct.select(F.explode("words").alias("term"), "digest", "rows")
-    # PMI is at most log(total / n) and the share of the evidence at most 1 - 2^-n: terms beyond reach of the most
-    # frequent entity, and then pairs beyond reach, are left out before they are counted
-    most = entity_n.agg(F.max("n_entity")).first()[0] or 1
-    reach = lambda n_entity: F.log(F.lit(float(max(total, 1))) / F.col("n")) * (1 - F.pow(F.lit(0.5), "n")) >= (GENERALISE - 1e-9) * F.log(F.lit(float(max(total, 2))) / n_entity)
-    term_n = materialise(_term_counts(docs, terms.select("term").distinct(), text_col).filter(reach(F.lit(float(most)))), "pii-terms")
+    # PMI is at most log(total / n) and a pair's texts at most those of the entity and the n of the term, so its evidence is
+    # at most 1 - 2^-that: what is beyond reach so is left out before it is counted. That takes all entities of one text
+    def reach(n_entity, texts, n):
+        return F.log(F.lit(float(max(total, 1))) / n) * (1 - F.pow(F.lit(0.5), F.least(n, texts))) >= (GENERALISE - 1e-9) * F.log(F.lit(float(max(total, 2))) / n_entity)
+
+    known = entity_n.filter(F.log(F.lit(float(max(total, 1)))) * (1 - F.pow(F.lit(0.5), "t_entity")) >= (GENERALISE - 1e-9) * F.log(F.lit(float(max(total, 2))) / F.col("n_entity")))
+    most, texts = known.agg(F.max("n_entity"), F.max("t_entity")).first()
+    counted = entities.drop("rows").join(known.hint("merge"), "entity")
+    # texts with an entity left, and into how many tasks their pairs are split
+    split = materialise(counted.groupBy("digest").agg(F.ceil(F.count("*") * F.first("words") / F.lit(PAIRS)).cast("int").alias("tasks")), "pii-split")
+    terms = terms.join(split.hint("merge"), "digest")
+    term_n = materialise(_term_counts(docs, terms.select("term").distinct(), text_col).filter(reach(F.lit(float(most or 1)), F.lit(float(texts or 1)), F.col("n"))), "pii-terms")
     # the entities, far fewer than the terms, take their counts along, so pairs are not shuffled for them
-    counted = entities.drop("rows").join(entity_n.hint("merge"), "entity")
-    pairs = terms.join(term_n.hint("merge"), "term").join(counted.hint("merge"), "digest").filter(reach(F.col("n_entity")))
+    left = terms.join(term_n.hint("merge"), "term").withColumn("task", F.explode(F.sequence(F.lit(1), F.greatest("tasks", F.lit(1)))))
+    right = counted.drop("words").join(split.hint("merge"), "digest").withColumn("task", (F.pmod(F.xxhash64("entity"), F.greatest("tasks", F.lit(1)).cast("long")) + 1).cast("int"))
+    pairs = left.drop("tasks").join(right.drop("tasks").hint("merge"), ["digest", "task"]).filter(reach(F.col("n_entity"), F.col("t_entity"), F.col("n")))
     pairs = materialise(pairs.select("entity", "term", "digest", "rows", "n", "n_entity"), "pii-pairs")
     joint = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("n_joint"), F.count("*").alias("texts"), F.first("n").alias("n"), F.first("n_entity").alias("n_entity"))
     pmi = F.log(F.col("n_joint") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.greatest("n", "n_joint")))
     ic = F.log(F.lit(float(max(total, 2))) / F.col("n_entity"))
     rated = joint.select("entity", "term", F.when(ic > 0, pmi / ic * (1 - F.pow(F.lit(0.5), "texts"))).otherwise(F.lit(0.0)).alias("disclosure"))
     risky = rated.filter(F.col("disclosure") >= GENERALISE)
-    return pairs.select("entity", "term", "digest").join(risky.hint("merge"), ["entity", "term"]).groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure"))
+    return pairs.select("entity", "term", "digest", "rows").join(risky.hint("merge"), ["entity", "term"]).groupBy("digest", "term").agg(F.max("disclosure").alias("disclosure"), F.first("rows").alias("rows"))
 
 
 def _located(names: list[str]):
@@ -239,12 +252,11 @@ def analyse(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> D
     """The kept columns with `text` (where there is a base span), `spans` and `terms`: the spans that the method adds."""
     detected = materialise(detect(docs, keep, text_col), "pii-detected")
     kind = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    found = disclosing_terms(docs, detected, text_col).groupBy("digest").agg(F.collect_list(F.struct("term", kind.alias("kind"))).alias("risky"))
-    # rows without a span have nothing to look up; copies of one text are spread over SALTS parts
+    found = disclosing_terms(docs, detected, text_col).groupBy("digest").agg(F.collect_list(F.struct("term", kind.alias("kind"))).alias("risky"), F.first("rows").alias("rows"))
+    # rows without a span have nothing to look up; copies of a text that many rows have are spread
     empty = F.array().cast("array<struct<kind:string,s:int,e:int>>")
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = detected.filter(F.col("digest").isNotNull()).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    looked_up = rows.join(salted.hint("merge"), ["digest", "salt"], "left").select(*keep, "text", "spans", "risky")
+    rows = detected.filter(F.col("digest").isNotNull()).withColumn("spread", F.monotonically_increasing_id())
+    looked_up = look_up(rows, found, "digest", "spread", "left", count="rows", total=detected.count()).select(*keep, "text", "spans", "risky")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in detected.select(*keep).schema.fields] + ["text string, spans array<struct<kind:string,s:int,e:int>>, terms array<struct<kind:string,s:int,e:int>>"])
     located = looked_up.mapInArrow(_located(list(keep)), schema)
     return located.unionByName(detected.filter(F.col("digest").isNull()).select(*keep, "text", "spans", empty.alias("terms")))
