@@ -100,3 +100,12 @@ def test_a_line_that_a_third_of_the_documents_share(spark, monkeypatch):
     monkeypatch.setattr(sd, "_cut", lambda batches, folder: (sd.rows_of([(int(r), b"", 0, 0, 0) for r in b.column(0).to_pylist() if r.isdigit()], {"doc_id": sd.pa.int64(), "kept": sd.pa.binary(), "n_bytes": sd.pa.int64(), "n_removed": sd.pa.int64(), "n_spans": sd.pa.int64()}) for b in batches))
     sizes = [r.doc_id for r in sd.remove_repeats(df).collect()]
     assert max(sizes) < 100, sorted(sizes)[-5:]
+
+
+def test_a_name_that_is_hot_in_one_run():
+    n = 200_000
+    names, _, kinds = sd._distinct(np.full(n, 7, np.uint64), np.arange(n), np.arange(n).astype(np.uint64))
+    assert names.tolist() == [7] and kinds.tolist() == [n] and n > sd.HOT
+    blob = sd._by_part(1, "r", names, np.array([True]), kinds)[0]
+    told = next(iter(sd._repeated_names(sd.HOT)([sd.rows_of([blob], sd._NAMES)])))
+    assert sd.unpack_sorted(told.column("hot")[0].as_py()).tolist() == [7] and not len(sd.unpack_sorted(told.column("names")[0].as_py()))

@@ -114,7 +114,7 @@ def _distinct(names: np.ndarray, owner: np.ndarray, inner: np.ndarray) -> tuple[
     head[1:] = names[1:] != names[:-1]
     heads = np.flatnonzero(head)
     if not len(heads):
-        return names, np.zeros(0, bool), np.zeros(0, np.uint16)
+        return names, np.zeros(0, bool), np.zeros(0, np.uint32)
     # most names stand once in a run: only the others are sorted by what stands under them
     kinds = np.ones(len(heads), np.int64)
     size = np.diff(np.append(heads, len(names)))
@@ -127,7 +127,7 @@ def _distinct(names: np.ndarray, owner: np.ndarray, inner: np.ndarray) -> tuple[
         fresh = np.ones(len(group), bool)
         fresh[1:] = (group[1:] != group[:-1]) | (under[1:] != under[:-1])
         kinds = np.maximum(kinds, np.bincount(group[fresh], minlength=len(heads)))
-    return names[heads], np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads), np.minimum(kinds, 65535).astype(np.uint16)
+    return names[heads], np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads), np.minimum(kinds, (1 << 32) - 1).astype(np.uint32)
 
 
 def _run_names(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def _repeated_names(hot: int):
         for _, rows in groups(batches, 1):
             names = [unpack_sorted(blob) for _, blob, _, _ in rows]
             many = [np.unpackbits(np.frombuffer(bits, np.uint8))[: len(x)].astype(bool) for x, (_, _, bits, _) in zip(names, rows, strict=True)]
-            kinds = [np.frombuffer(zstandard.ZstdDecompressor().decompress(k), np.uint16).astype(np.int64) for _, _, _, k in rows]
+            kinds = [np.frombuffer(zstandard.ZstdDecompressor().decompress(k), np.uint32).astype(np.int64) for _, _, _, k in rows]
             every = np.concatenate(names)
             order = np.argsort(every, kind="stable")
             every, count = every[order], np.concatenate(kinds)[order]
