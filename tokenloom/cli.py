@@ -10,6 +10,7 @@ from tokenloom.config import load_config
 from tokenloom.plans import contract as contracts
 from tokenloom.server import Server
 from tokenloom.session import get_spark
+from tokenloom.streaming.watch import Watcher, publish, versions_of
 
 USAGE = """usage:
   tokenloom init  [dir]     look at the project and write a configuration
@@ -25,14 +26,22 @@ def build(config_path: str | None = None) -> dict:
     parts = contracts.build(sources, config.sourceOfTruth)
     document = contracts.assemble(parts, [n for n, _, _ in sources], os.path.dirname(path), path)
     contracts.save(document, config.outputPath)
+    publish(document, versions_of(config.outputPath))
     print(contracts.report(document, failed, contracts.source_counts(sources)))
     return document
 
 
 def serve(config_path: str | None = None) -> None:
-    """Answer the tool protocol over standard input and output until the input ends."""
+    """Answer the tool protocol over standard input and output until the input ends; each build's contract takes the last one's place."""
     config = load_config(config_path)
-    Server(config.outputPath).run(sys.stdin, sys.stdout)
+    server = Server(config.outputPath, watched=True)
+    folder = versions_of(config.outputPath)
+    watcher = Watcher(get_spark("tokenloom-serve"), folder, f"{folder}/.followed", server.take, "100 milliseconds")
+    try:
+        watcher.start()
+        server.run(sys.stdin, sys.stdout)
+    finally:
+        watcher.stop()
 
 
 def main(args: list[str]) -> int:

@@ -162,3 +162,9 @@ _AGE = "cast(floor((epoch_us(timestamp '1998-08-02 00:00:00') - epoch_us(o_order
 _DAYS = f"cast(floor({_AGE} / 24) as bigint)"
 ORACLES["staleness"] = f"select o_orderkey, {_AGE} as age_hours, case when {_AGE} >= 24 then {_DAYS} || case when {_DAYS} = 1 then ' day' else ' days' end end as warning from orders"
 ORACLES["latest_snapshot"] = "select user_id, max(event_id) as event_id, max_by(props, event_id) as props from (select user_id, event_id, case when event_id % 7 = 0 then substr(props, 1, 4) else props end as props from events) as cut where json_valid(props) group by user_id"
+ORACLES["last_good_stream"] = ORACLES["latest_snapshot"]
+ORACLES["reload_bursts"] = """
+with marked as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 4 hours then 0 else 1 end as fresh from events where ts is not null),
+numbered as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as burst from marked)
+select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as first_change, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last_change, count(*) as n_changes, strftime(max(ts) + interval 4 hours, '%Y-%m-%d %H:%M:%S.%f') as reload_at
+from numbered group by user_id, burst"""

@@ -13,8 +13,10 @@ from tokenloom.operators.extract import provenance
 from tokenloom.plans import contract as contracts
 from tokenloom.plans import requests, synth
 from tokenloom.plans.oracles import ORACLES
-from tokenloom.session import table
+from tokenloom.session import scratch_folder, table
 from tokenloom.sources import codebase, rest
+from tokenloom.streaming.reload import bursts
+from tokenloom.streaming.snapshot import Snapshot
 from tokenloom.streaming.watch import latest_valid
 
 FLAGSHIP = "reconcile_tokens"
@@ -391,9 +393,33 @@ def staleness(spark: SparkSession, d: str) -> DataFrame:
 @query
 def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """The newest version of each user's document that parses, as the watcher keeps it; every seventh is cut off."""
+    return latest_valid(_versions(spark, d).withColumn("parsed", F.try_parse_json("props")), "user_id", "event_id", "props", "parsed")
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of each user's document, every seventh cut off."""
     cut = F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))
-    versions = table(spark, d, "events").select("user_id", "event_id", cut.alias("props"))
-    return latest_valid(versions.withColumn("parsed", F.try_parse_json("props")), "user_id", "event_id", "props", "parsed")
+    return table(spark, d, "events").select("user_id", "event_id", cut.alias("props"))
+
+
+@query
+def last_good_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same kept by a stream: the versions come in batches, newer ones first in some, and each takes the table a step on."""
+    folder = scratch_folder(spark, "last-good")
+    versions = _versions(spark, d)
+    versions.repartition(3, "event_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(versions.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    kept = Snapshot(spark, f"{folder}/table", versions.schema, 8)
+    kept.follow(stream.withColumn("parsed", F.try_parse_json("props")), "parsed", f"{folder}/checkpoint", once=True).awaitTermination()
+    return kept.read()
+
+
+@query
+def reload_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's bursts of events, at most four hours apart, and when the reload after each is due."""
+    found = bursts(table(spark, d, "events"), "user_id", "ts", "4 hours")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return found.select("user_id", shown("first_change"), shown("last_change"), "n_changes", shown("reload_at"))
 
 
 def queries() -> dict:

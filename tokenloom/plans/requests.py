@@ -34,17 +34,22 @@ class Requests:
     def _none(self) -> Answer:
         return Answer(error=f"There is no contract at {self.path}. Build one first.")
 
+    def _again(self) -> str:
+        return f"Build again{' with ' + self.contract['configPath'] if self.contract.get('configPath') else ''}."
+
+    def mismatch(self) -> str | None:
+        """Where the contract comes from, if that is not the folder that it stands in."""
+        root, here = self.contract.get("sourceRoot"), os.path.dirname(os.path.abspath(self.path))
+        return f"Mismatch: the contract was built for {root}, not for {here}. {self._again()}" if root and root != here else None
+
     def warnings(self, now: datetime) -> list[str]:
         """Whether the contract stems from another project, and whether it is a day old or more."""
-        out, c = [], self.contract
-        again = f"Build again{' with ' + c['configPath'] if c.get('configPath') else ''}."
-        here = os.path.dirname(os.path.abspath(self.path))
-        if c.get("sourceRoot") and c["sourceRoot"] != here:
-            out.append(f"Mismatch: the contract was built for {c['sourceRoot']}, not for {here}. {again}")
+        c = self.contract
+        out = [found] if (found := self.mismatch()) else []
         hours = age_hours(c["generatedAt"], now)
         if hours >= m.STALE_HOURS:
             days = hours // 24
-            out.append(f"Stale: the contract is {days} day{'' if days == 1 else 's'} old. {again}")
+            out.append(f"Stale: the contract is {days} day{'' if days == 1 else 's'} old. {self._again()}")
         return out
 
     def design_context(self, category: str = "", token_category: str = "", now: datetime | None = None) -> Answer:

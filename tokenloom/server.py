@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from typing import TextIO
 
 from tokenloom import model as m
@@ -30,19 +31,39 @@ class Error(Exception):
 
 
 class Server:
-    """Answers over the contract in a file; a rewritten file counts from the next request on, a broken one does not."""
+    """Answers over a contract.
 
-    def __init__(self, path: str) -> None:
-        self.path, self.stamp = path, None
+    A watched server looks at the file once, at its start: after that a watcher hands each new contract to `take`, and what
+    is being answered goes on with the old one. Without a watcher the file is looked at before each answer.
+    """
+
+    def __init__(self, path: str, told: TextIO | None = None, watched: bool = False) -> None:
         self.requests = Requests(None, path)
+        self.told, self.watched, self.stamp = told or sys.stderr, watched, None
+        self.load()
+
+    def load(self) -> None:
+        """The contract that is in the file, if it was rewritten; a missing or broken one changes nothing."""
+        path = self.requests.path
+        stamp = os.stat(path).st_mtime_ns if os.path.exists(path) else None
+        if stamp == self.stamp:
+            return
+        self.stamp = stamp
+        found = contracts.load(path, None)
+        if found is not None:
+            self.take(found)
+        elif os.path.exists(path):
+            print(f"tokenloom: the contract at {path} is not JSON", file=self.told)
 
-    def _follow(self) -> None:
-        stamp = os.stat(self.path).st_mtime_ns if os.path.exists(self.path) else None
-        if stamp != self.stamp:
-            self.requests.contract, self.stamp = contracts.load(self.path, self.requests.contract), stamp
+    def take(self, contract: dict) -> None:
+        """Answer from this contract from now on; one that was built for another project is told about."""
+        self.requests.contract = contract
+        if mismatch := self.requests.mismatch():
+            print(f"tokenloom: {mismatch}", file=self.told)
 
     def call(self, tool: str, given: dict) -> Answer:
-        self._follow()
+        if not self.watched:
+            self.load()
         r = self.requests
         calls = {"get_design_context": r.design_context, "get_token": r.token, "get_component": r.component, "get_conflicts": r.conflicts, "get_inferred_rules": r.inferred_rules}
         if tool not in TOOLS:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,11 @@ def get_spark(app: str = "tokenloom", cpus: int | None = None, **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names; where that is unset, a temporary one for a session on one machine, else an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{shared.rstrip('/')}/tokenloom/{name}-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix=f"tokenloom-{name}-")
