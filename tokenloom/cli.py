@@ -24,9 +24,9 @@ def build(config_path: str | None = None) -> dict:
     spark = get_spark("tokenloom-build")
     sources, failed = contracts.scan(spark, config)
     parts = contracts.build(sources, config.sourceOfTruth)
-    document = contracts.assemble(parts, [n for n, _, _ in sources], os.path.dirname(path), path)
-    contracts.save(document, config.outputPath)
-    publish(document, versions_of(config.outputPath))
+    contracts.write(parts, [n for n, _, _ in sources], os.path.dirname(path), path, config.outputPath)
+    publish(config.outputPath, versions_of(config.outputPath))
+    document = contracts.load(config.outputPath)
     print(contracts.report(document, failed, contracts.source_counts(sources)))
     return document
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenloom import model as m
 from tokenloom.functions.text import key_order
 from tokenloom.operators import extract, infer, reconcile
-from tokenloom.sources import codebase, rest
+from tokenloom.sources import codebase, document, rest
 
 
 def now_text(now: datetime | None = None) -> str:
@@ -79,14 +79,21 @@ def assemble(parts: dict[str, DataFrame], sources: list[str], source_root: str,
     for r in parts["tokens"].orderBy("at").collect():
         tokens.setdefault(r["category"], {})[r["name"]] = {"name": r["name"], "value": r["value"], "source": _plain(r["source"])}
     components = {}
-    for r in parts["components"].orderBy("at").collect():
+    # a collected map has no order, its entries have
+    for r in parts["components"].orderBy("at").withColumn("props", F.map_entries("props")).collect():
         one = {"name": r["name"], "source": _plain(r["source"])}
-        components[r["name"]] = one | ({"variants": list(r["variants"])} if r["variants"] is not None else {}) | {"props": _plain(r["props"] or {})}
+        components[r["name"]] = one | ({"variants": list(r["variants"])} if r["variants"] is not None else {}) | {"props": {p["key"]: _plain(p["value"]) for p in r["props"] or []}}
     conflicts = [{"type": r["type"], "name": r["name"], "sources": _plain(r["sources"]), "resolution": r["resolution"], "suggestedFix": r["suggestedFix"], "actionable": r["actionable"]} for r in parts["conflicts"].orderBy("ord").collect()]
     rules = [{k: _plain(r[k]) for k in ("id", "category", "rule", "confidence", "evidence")} for r in parts["rules"].orderBy("ord").collect()]
     return {"version": m.CONTRACT_VERSION, "generatedAt": now, "sources": sources, "sourceRoot": source_root, "configPath": config_path, "tokens": tokens, "components": components, "conflicts": conflicts, "inferredRules": {"generatedAt": now, "rules": rules}}
 
 
+def write(parts: dict[str, DataFrame], sources: list[str], source_root: str, config_path: str, path: str, now: str | None = None) -> None:
+    """The same document, byte for byte, written to its file by the executors; nothing of it is collected."""
+    head = {"version": m.CONTRACT_VERSION, "generatedAt": now or now_text(), "sources": sources, "sourceRoot": source_root, "configPath": config_path}
+    document.write(parts["tokens"].sparkSession, parts, head, os.path.abspath(path) if "://" not in path else path)
+
+
 def save(contract: dict, path: str) -> None:
     """One JSON file, two spaces deep; it appears whole, so a reader never sees half of it."""
     part = f"{path}.{os.getpid()}.part"

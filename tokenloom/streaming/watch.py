@@ -9,6 +9,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import shutil
 import threading
 from collections.abc import Callable
 
@@ -27,12 +28,16 @@ def versions_of(path: str) -> str:
     return f"{path}.versions"
 
 
-def publish(contract: dict, folder: str) -> str:
-    """Write the next version; the oldest beyond KEPT go."""
+def publish(contract: dict | str, folder: str) -> str:
+    """Write the next version, of a contract or of the file that holds one; the oldest beyond KEPT go."""
     os.makedirs(folder, exist_ok=True)
     done = sorted(f for f in os.listdir(folder) if f.startswith("v") and f.endswith(".json"))
     path = f"{folder}/v{int(done[-1].split('.')[0][1:]) + 1 if done else 1:012d}.json"
-    contracts.save(contract, path)
+    if isinstance(contract, str):
+        shutil.copyfile(contract, f"{path}.part")
+        os.replace(f"{path}.part", path)
+    else:
+        contracts.save(contract, path)
     for old in done[: -(KEPT - 1)]:
         os.remove(f"{folder}/{old}")
     return path
