@@ -1,13 +1,17 @@
 """Design-tool and catalogue documents (FIXTURES.md, G5, G6), file scans and REST readers over a local server."""
 
 import json
+import re
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pyarrow.fs as pafs
 import pytest
+from pyspark.sql.datasource import EqualTo, StringStartsWith
 
-from tokenloom.model import CodebaseSource
-from tokenloom.sources import codebase, rest
+from tokenloom.model import CodebaseSource, Config, FigmaSource, StorybookSource
+from tokenloom.plans import contract as contracts
+from tokenloom.sources import codebase, listing, rest
 
 
 def docs(spark, *bodies):
@@ -71,6 +75,76 @@ def test_scan_files(spark, tmp_path):
     assert codebase.scan_files(spark, source).filter("file = 'a.css'").first().content == "/* src/a.css */\nline two"
 
 
+PROJECT = ["a.css", "src/b.css", "src/deep/er/c.ts", "src/deep/.git/x.css", "src/deep/node_modules/p/q/x.css", "node_modules/p/x.css", "lib/one/d.ts", "lib/one/two/d.ts", "docs/guide/e.css", "dist/f.css", ".cache/g.css", "src/h.test.ts", "src/a b+c%20/ü.css"]
+CASES = [
+    (["**/*.css"], ["node_modules", "**/node_modules", "dist"], {"", "src", "src/deep", "src/deep/er", "lib", "lib/one", "lib/one/two", "docs", "docs/guide", "src/a b+c%20"}),
+    (["src/*.css", "lib/*/*.ts"], [], {"", "src", "lib", "lib/one"}),
+    (["{src,lib}/**/*.ts", "*.css"], ["**/*.test.*", "src/deep"], {"", "src", "lib", "lib/one", "lib/one/two", "src/a b+c%20"}),
+    (["{src/deep,docs}/**"], [], None),
+    (["src/**c.ts", "li**d.ts", "**er/*.ts"], [], None),
+]
+
+
+@pytest.mark.parametrize(("patterns", "ignore", "want"), CASES)
+def test_folders_that_can_hold_nothing_are_not_listed(spark, tmp_path, monkeypatch, patterns, ignore, want):
+    for name in PROJECT:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    fs, listed = pafs.LocalFileSystem(), []
+    list_ = lambda f: listed.append(f) or listing.children(fs, str(tmp_path), f)
+    rule = listing.Rule(patterns, ignore)
+    for enough in (None, 2):
+        listed.clear()
+        files, waiting = listing.walk(rule, list_, [""], enough)
+        files += listing.walk(rule, list_, waiting)[0]
+        assert want is None or set(listed) == want
+        assert len(listed) == len(set(listed))
+        plain = [f for f in PROJECT if not re.search(r"(^|/)\.", f) and any(re.match(listing.glob_regex(p), f) for p in patterns) and not any(re.match(listing.ignore_regex(p), f) for p in ignore)]
+        assert sorted(files) == sorted(plain)
+    source = CodebaseSource(str(tmp_path), patterns, ignore)
+    by_source = lambda df: sorted((r.pattern, r.file, r.content) for r in codebase.select_files(df, patterns, ignore).collect())
+    got = sorted((r.pattern, r.file, r.content) for r in codebase.scan_files(spark, source).collect())
+    assert got == by_source(codebase._by_spark(spark, source)) and {f for _, f, _ in got} == set(plain)
+
+
+def test_filters_reach_the_listing(spark, tmp_path):
+    for name in PROJECT:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    found = codebase.scan_files(spark, CodebaseSource(str(tmp_path), ["**/*.css", "**/*.ts"], []))
+    every = spark.createDataFrame(found.collect(), found.schema)
+    for condition in ("file = 'src/b.css'", "file in ('a.css', 'lib/one/d.ts', 'dist/f.css')", "startswith(file, 'lib/o')", "startswith(file, 'src/') and file = 'a.css'", "file like '%er/c%'"):
+        want = every.filter(condition).collect()
+        assert sorted(r.file for r in found.filter(condition).collect()) == sorted(r.file for r in want)
+    reader = listing.FilesReader({"root": str(tmp_path), "patterns": '["**/*"]', "ignore": "[]"})
+    assert list(reader.pushFilters([EqualTo(("file",), "lib/one/d.ts"), EqualTo(("content",), "x"), StringStartsWith(("file",), "lib")])) == [EqualTo(("content",), "x")]
+    fs, base, rule = reader._open()
+    listed = []
+    assert listing.walk(rule, lambda f: listed.append(f) or listing.children(fs, base, f), [""])[0] == ["lib/one/d.ts"] and listed == ["", "lib", "lib/one"]
+
+
+@pytest.mark.parametrize("body", ['{"meta":', "<html>not json", "null", '{"a": NaN}', ""])
+def test_an_answer_that_is_not_json_is_a_failed_source(spark, tmp_path, body):
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self.send_response(404 if self.path == "/index.json" else 200)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *_):
+            pass
+
+    http = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{http.server_port}"
+    try:
+        config = Config(None, FigmaSource("t", "F", url), StorybookSource(url), "codebase", str(tmp_path / "o.json"))
+        found, failed = contracts.scan(spark, config)
+    finally:
+        http.shutdown()
+    assert not found and len(failed) == 2 and all("JSON document" in f for f in failed)
+
+
 @pytest.fixture
 def server():
     class Handler(BaseHTTPRequestHandler):

@@ -2,53 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.model import CodebaseSource
-
-
-def glob_regex(pattern: str) -> str:
-    """A regular expression for a relative path: ** crosses folders, * and ? do not, {a,b} chooses, [..] is a class."""
-    out, k = [], 0
-    depth = 0
-    while k < len(pattern):
-        c = pattern[k]
-        if pattern.startswith("**/", k):
-            out.append("(?:[^/]+/)*")
-            k += 3
-            continue
-        if pattern.startswith("**", k):
-            out.append(".*")
-            k += 2
-            continue
-        if c == "*":
-            out.append("[^/]*")
-        elif c == "?":
-            out.append("[^/]")
-        elif c == "{":
-            out.append("(?:")
-            depth += 1
-        elif c == "}" and depth:
-            out.append(")")
-            depth -= 1
-        elif c == "," and depth:
-            out.append("|")
-        elif c == "[" and "]" in pattern[k + 2 :]:
-            end = pattern.index("]", k + 2)
-            out.append("[" + pattern[k + 1 : end].replace("!", "^", 1).replace("\\", "\\\\") + "]")
-            k = end
-        else:
-            out.append(re.escape(c))
-        k += 1
-    return "^" + "".join(out) + "$"
-
-
-def ignore_regex(pattern: str) -> str:
-    """An ignored path and, for a folder's name, all below it."""
-    return glob_regex(pattern)[:-1] + "(?:/.*)?$"
+from tokenloom.sources import listing
+from tokenloom.sources.globs import glob_regex, ignore_regex
 
 
 def select_files(files: DataFrame, patterns: list[str], ignore: list[str]) -> DataFrame:
@@ -61,12 +23,8 @@ def select_files(files: DataFrame, patterns: list[str], ignore: list[str]) -> Da
     return files.select(F.explode(matched.cast("array<int>")).alias("pattern"), *files.columns)
 
 
-def scan_files(spark: SparkSession, source: CodebaseSource) -> DataFrame:
-    """(pattern, file, content): every file under root that a pattern matches, once for each such pattern.
-
-    Files come in the order of (pattern, path). The listing is narrowed to the patterns' file endings where all have
-    one; each text is read once for all its patterns.
-    """
+def _by_spark(spark: SparkSession, source: CodebaseSource) -> DataFrame:
+    """(file, content) by Spark's own listing of the whole root, for stores that the data source does not reach."""
     root = source.root.rstrip("/")
     reader = spark.read.option("recursiveFileLookup", "true")
     endings = {p.rsplit("/", 1)[-1] for p in source.patterns}
@@ -75,4 +33,19 @@ def scan_files(spark: SparkSession, source: CodebaseSource) -> DataFrame:
     raw = reader.text(root, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
     at = F.locate(root.removeprefix("file://") + "/", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
     relative = F.substr(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), at + len(root.removeprefix("file://")) + 1)
-    return select_files(raw.select(relative.alias("file"), "content"), source.patterns, source.ignore)
+    return raw.select(relative.alias("file"), "content")
+
+
+def scan_files(spark: SparkSession, source: CodebaseSource) -> DataFrame:
+    """(pattern, file, content): every file under root that a pattern matches, once for each such pattern.
+
+    Files come in the order of (pattern, path). Folders that can't hold any are not listed; each text is read once for
+    all its patterns.
+    """
+    if re.match(r"(?!file:|hdfs:|s3:|gs:)\w+:", source.root):
+        found = _by_spark(spark, source)
+    else:
+        spark.dataSource.register(listing.ProjectFiles)
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        found = spark.read.format(listing.FORMAT).options(root=source.root, patterns=json.dumps(source.patterns), ignore=json.dumps(source.ignore)).load()
+    return select_files(found, source.patterns, source.ignore)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import urllib.error
 import urllib.request
 
@@ -33,12 +34,28 @@ class _Get(DataSourceReader):
         yield (what["name"], _first_answer(what["urls"], what.get("headers", {}), what["failure"], what.get("fallback", False)))
 
 
+def _document(text: str, url: str) -> str:
+    """The text, if it is JSON other than null; else an error: a source that answers with something else has failed, it isn't empty."""
+
+    def no(name: str):
+        raise ValueError(f"{name} is not JSON")
+
+    try:
+        if json.loads(text, parse_constant=no) is not None:
+            return text
+        reason = "null"
+    except ValueError as e:
+        reason = str(e)
+    raise RuntimeError(f"{url} did not answer with a JSON document: {reason}")
+
+
 def _first_answer(urls: list[str], headers: dict, failure: str, fallback: bool) -> str:
-    """The first good answer's text. Without fallback a bad status is an error with its status, text and body."""
+    """The first good answer's text, a JSON document. Without fallback a bad status is an error with its status, text and body."""
     for url in urls:
         try:
             with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=TIMEOUT_S) as answer:
-                return answer.read().decode("utf-8")
+                text = answer.read().decode("utf-8", "replace")
+            return _document(text, url)
         except urllib.error.HTTPError as e:
             if not fallback:
                 body = e.read().decode("utf-8", "replace")
