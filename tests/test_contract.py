@@ -154,6 +154,7 @@ def test_detection_of_one_and_of_many_agree(spark, tmp_path):
         "plain": {},
         "next": {"package.json": '{"dependencies":{"next":"1","react":"2"},"devDependencies":{"tailwindcss":"3"}}', "src/a.ts": "", "tsconfig.json": ""},
         "broken": {"package.json": "{", "tailwind.config.ts": "", ".storybook/main.js": "", "src/tokens.json": "{}"},
+        "overridden": {"package.json": '{"dependencies":{"vite":"5","react":"18"},"devDependencies":{"vite":""}}', "tsconfig.json": ""},
         "unset": {"package.json": '{"dependencies":{"vite":"","react":"2"},"devDependencies":{"typescript":"5","storybook":"8"}}'},
     }
     for name, files in projects.items():
@@ -164,4 +165,5 @@ def test_detection_of_one_and_of_many_agree(spark, tmp_path):
     rows = [(n, f, t) for n, files in projects.items() for f, t in (files or {"readme": ""}).items()]
     for r in detect.detect_many(spark.createDataFrame(rows, "project string, path string, content string")).collect():
         one = detect.detect(str(tmp_path / r.project))
-        assert all(getattr(one, c) == r[c] for c in ("framework", "typescript", "tailwind", "token_file", "storybook", "src_root")), r
+        assert all(getattr(one, c) == r[c] for c in ("framework", "typescript", "tailwind", "token_file", "storybook", "src_root", "patterns", "ignore")), r
+        assert r.project != "overridden" or r.framework == "react"

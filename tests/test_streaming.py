@@ -88,7 +88,7 @@ def test_any_split_into_batches_gives_the_same_table(spark, tmp_path, batches):
     table = Snapshot(spark, f"file://{tmp_path}/table", SCHEMA, 3)
     assert read(table) == []
     table.follow(stream, "parsed", str(tmp_path / "cp"), once=True).awaitTermination()
-    assert read(table) == plain_latest(rows) and len(table.heads()) == min(3, batches)
+    assert read(table) == plain_latest(rows) and len(table.heads.numbers()) == min(3, batches)
     # a restart goes on where the checkpoint says
     more = [("a", 100, '{"v":100}'), ("new", 1, "{}"), ("b", 101, "{")]
     spark.createDataFrame(more, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -102,11 +102,11 @@ def test_a_batch_that_comes_again(spark, tmp_path):
     batch = lambda *rows: spark.createDataFrame(list(rows), SCHEMA).withColumn("ok", F.when(F.col("body") != "{", F.lit(True)))
     one, two = batch(("a", 1, "x"), ("b", 5, "y")), batch(("a", 2, "z"), ("c", 1, "{"))
     table.upsert(one, 0)
-    table._publish, keep = lambda *_: (_ for _ in ()).throw(OSError("crash")), table._publish
+    table.heads.publish, keep = lambda *_: (_ for _ in ()).throw(OSError("crash")), table.heads.publish
     with pytest.raises(OSError, match="crash"):
         table.upsert(two, 1)
     assert read(table) == [("a", 1, "x"), ("b", 5, "y")]  # half a batch shows nothing
-    table._publish = keep
+    table.heads.publish = keep
     for _ in range(2):
         table.upsert(two, 1)
         assert read(table) == [("a", 2, "z"), ("b", 5, "y")]
@@ -114,7 +114,7 @@ def test_a_batch_that_comes_again(spark, tmp_path):
         table.upsert(batch(("a", n + 1, f"n{n}")), n)
         table.upsert(one, 0)
     assert read(table) == [("a", 7, "n6"), ("b", 5, "y")]
-    assert table.heads() == [4, 5, 6] and len(table._names("states")) <= 4
+    assert table.heads.numbers() == [4, 5, 6] and len(table.heads.names("states")) <= 4
     table.upsert(batch(), 7)
     assert read(table) == [("a", 7, "n6"), ("b", 5, "y")]
 

@@ -67,21 +67,26 @@ def read_json(path: str) -> dict | None:
         return None
 
 
+TYPED, UNTYPED = ["css", "ts", "tsx"], ["css", "js", "jsx"]
+
+
 def _project(framework: str, typescript: bool, tailwind: bool, token_file: bool, storybook: bool, has_src: bool) -> Project:
-    endings = ["css", "ts", "tsx"] if typescript else ["css", "js", "jsx"]
+    endings = TYPED if typescript else UNTYPED
     return Project(framework, typescript, tailwind, token_file, storybook, "./src" if has_src else ".", [f"**/*.{e}" for e in endings], list(IGNORE))
 
 
 def detect(root: str) -> Project:
     """What SIGNS and FRAMEWORKS say of the project in a folder."""
     package = read_json(os.path.join(root, "package.json")) or {}
-    packages = {name for part in ("dependencies", "devDependencies") for name, version in (package.get(part) or {}).items() if version}
+    # the development ones take the others' place, also with an empty version, which then counts as none
+    merged = (package.get("dependencies") or {}) | (package.get("devDependencies") or {})
+    packages = {name for name, version in merged.items() if version}
     seen = {sign: wanted in packages or any(os.path.exists(os.path.join(root, n)) for n in names) for sign, (names, wanted) in SIGNS.items()}
     return _project(next((f for f in FRAMEWORKS if f in packages), "unknown"), **seen)
 
 
 def detect_many(listings: DataFrame) -> DataFrame:
-    """The same for many projects at once: (project, path, content) listings, one row per project, in one aggregate."""
+    """The same for many projects at once: (project, path, content) listings, one row per project, in one aggregate; patterns and ignored names too."""
     path = F.col("path")
     signs = [
         F.coalesce(F.bool_or(reduce(lambda a, b: a | b, [path.startswith(n) if n.endswith("/") else path == n for n in names])), F.lit(False)).alias(sign)
@@ -89,12 +94,27 @@ def detect_many(listings: DataFrame) -> DataFrame:
     ]
     found = listings.groupBy("project").agg(F.max(F.when(path == "package.json", F.col("content"))).alias("package"), *signs)
     parsed = F.from_json("package", "dependencies map<string,string>, devDependencies map<string,string>")
-    filled = lambda part: F.map_keys(F.map_filter(F.coalesce(parsed[part], F.create_map().cast("map<string,string>")), lambda _, v: v != ""))
-    found = found.withColumn("packages", F.concat(filled("dependencies"), filled("devDependencies")))
+    given = lambda part: F.coalesce(parsed[part], F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(given("dependencies"), lambda k, _: ~F.map_contains_key(given("devDependencies"), k))
+    found = found.withColumn("packages", F.map_keys(F.map_filter(F.map_concat(kept, given("devDependencies")), lambda _, v: v != "")))
     has = lambda name: F.array_contains("packages", name)
     framework = F.coalesce(*[F.when(has(name), F.lit(name)) for name in FRAMEWORKS], F.lit("unknown"))
     flags = [(F.col(sign) | has(wanted) if wanted else F.col(sign)).alias(sign) for sign, (_, wanted) in SIGNS.items() if sign != "has_src"]
-    return found.select("project", framework.alias("framework"), *flags, F.when(F.col("has_src"), "./src").otherwise(".").alias("src_root"))
+    patterns = lambda endings: F.array(*[F.lit(f"**/*.{e}") for e in endings])
+    lists = [F.when(F.col("typescript_seen"), patterns(TYPED)).otherwise(patterns(UNTYPED)).alias("patterns"), F.array(*map(F.lit, IGNORE)).alias("ignore")]
+    found = found.withColumn("typescript_seen", F.col("typescript") | (has(SIGNS["typescript"][1]) if SIGNS["typescript"][1] else F.lit(False)))
+    return found.select("project", framework.alias("framework"), *flags, F.when(F.col("has_src"), "./src").otherwise(".").alias("src_root"), *lists)
+
+
+def insert_absent(settings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(project, name, value, added): every setting as it was, and each wanted one that its project has no setting of that name for.
+
+    A setting without a value is one all the same. Of several wanted values of one name the smallest is taken.
+    """
+    keys = ["project", "name"]
+    one = wanted.groupBy(*keys).agg(F.min("value").alias("value"))
+    missing = one.join(settings.select(*keys), keys, "left_anti")
+    return settings.select(*keys, "value", F.lit(False).alias("added")).unionByName(missing.select(*keys, "value", F.lit(True).alias("added")))
 
 
 def config_for(project: Project) -> dict:

@@ -154,8 +154,9 @@ select name, won.file, coalesce(n, 0) as prop_count from ({ORACLES['component_la
 ORACLES["mismatch_warning"] = "select o_orderkey, o_orderkey % 7 > 1 and (o_custkey % 4 <> o_orderkey % 4 or o_orderkey % 5 = 0) as mismatch from orders"
 ORACLES["detect_projects"] = f"""with seen as (select project, cast(regexp_extract(project, '#(\\d+)-', 1) as int) as b, bool_or(path = 'package.json') as p, bool_or(path = 'tsconfig.json') as ts, bool_or(path = 'tailwind.config.ts') as tw, bool_or(path = 'src/tokens.json') as token_file,
  bool_or(path = '.storybook/main.js') as sb, bool_or(starts_with(path, 'src/')) as src from ({s.LISTING}) as listed group by project)
-select project, case when p and b % 6 = 0 then 'next' when p and b % 6 = 1 then 'vite' when p and b % 6 in (2, 3) then 'react' else 'unknown' end as framework, ts or p and b % 6 = 1 as typescript,
- tw or p and b % 6 = 0 as tailwind, token_file, sb or p and b % 6 = 2 as storybook, case when src then './src' else '.' end as src_root from seen"""
+select project, case when p and b % 7 in (0, 5) then 'next' when p and b % 7 = 1 then 'vite' when p and b % 7 in (2, 3) then 'react' else 'unknown' end as framework, ts or p and b % 7 = 1 as typescript,
+ tw or p and b % 7 = 0 as tailwind, token_file, sb or p and b % 7 = 2 as storybook, case when src then './src' else '.' end as src_root,
+ case when ts or p and b % 7 = 1 then '**/*.css|**/*.ts|**/*.tsx' else '**/*.css|**/*.js|**/*.jsx' end as patterns, 'node_modules|dist|.next|out|build|coverage|**/*.test.*|**/*.spec.*|**/*.stories.*' as ignored from seen"""
 ORACLES["conflict_filter"] = f"select type, name, actionable from ({_ALL}) as c where type = 'component'"
 ORACLES["conflict_counts"] = f"select count(*) as n, count(*) as pending, count(*) filter (where actionable) as actionable, count(*) filter (where not actionable) as undecided from ({_ALL}) as c"
 _AGE = "cast(floor((epoch_us(timestamp '1998-08-02 00:00:00') - epoch_us(o_orderdate)) / 3600000000) as bigint)"
@@ -168,3 +169,8 @@ with marked as (select user_id, ts, case when ts - lag(ts) over (partition by us
 numbered as (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as burst from marked)
 select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as first_change, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last_change, count(*) as n_changes, strftime(max(ts) + interval 4 hours, '%Y-%m-%d %H:%M:%S.%f') as reload_at
 from numbered group by user_id, burst"""
+ORACLES["published_token"] = ORACLES["token_lookup"]
+ORACLES["published_component"] = ORACLES["component_lookup"]
+ORACLES["settings_insert"] = f"""with settings as ({s.SETTINGS}), wanted as (select project, name, min(value) as value from ({s.WANTED}) as w group by project, name)
+select project, name, value, false as added from settings
+union all select project, name, value, true from wanted as w where not exists (select 1 from settings as x where x.project = w.project and x.name = w.name)"""

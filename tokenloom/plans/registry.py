@@ -13,6 +13,7 @@ from tokenloom.operators.extract import provenance
 from tokenloom.plans import contract as contracts
 from tokenloom.plans import requests, synth
 from tokenloom.plans.oracles import ORACLES
+from tokenloom.plans.published import Published, find_token
 from tokenloom.session import scratch_folder, table
 from tokenloom.sources import codebase, rest
 from tokenloom.streaming.reload import bursts
@@ -250,9 +251,10 @@ def rule_spacing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rule_linear(spark: SparkSession, d: str) -> DataFrame:
     """Values and distinct steps between sorted neighbours, and whether the rule is reported."""
-    facts = infer.token_facts(_project_tokens(spark, d), ("project",)).filter("size(spacing_px) > 0")
-    steps = F.array_distinct(F.zip_with(F.slice("spacing_px", 2, F.size("spacing_px")), F.slice("spacing_px", 1, F.size("spacing_px") - 1), lambda a, b: a - b))
-    counted = facts.select("project", F.size("spacing_px").cast("long").alias("n"), F.size(steps).cast("long").alias("n_steps"))
+    tokens = _project_tokens(spark, d)
+    steps = infer.spacing_steps(tokens, ("project",)).groupBy("project").agg(F.count_distinct("step").alias("n_steps"))
+    facts = infer.token_facts(tokens, ("project",)).filter("spacing_n > 0")
+    counted = facts.join(steps, "project", "left").select("project", F.col("spacing_n").alias("n"), F.coalesce("n_steps", F.lit(0).cast("long")).alias("n_steps"))
     reported = _rules(spark, d).filter("id = 'spacing-linear-scale'").select("project", F.lit(True).alias("reported"))
     return counted.join(reported, "project", "left").select("project", "n", "n_steps", F.coalesce("reported", F.lit(False)).alias("reported"))
 
@@ -361,7 +363,8 @@ def mismatch_warning(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def detect_projects(spark: SparkSession, d: str) -> DataFrame:
-    return detect.detect_many(synth.made(spark, d, synth.LISTING))
+    found = detect.detect_many(synth.made(spark, d, synth.LISTING))
+    return found.withColumns({"patterns": _bar("patterns"), "ignored": _bar("ignore")}).drop("ignore")
 
 
 @query
@@ -396,6 +399,27 @@ def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return latest_valid(_versions(spark, d).withColumn("parsed", F.try_parse_json("props")), "user_id", "event_id", "props", "parsed")
 
 
+@query
+def published_token(spark: SparkSession, d: str) -> DataFrame:
+    """A token by its name, from a published version that is sorted by name."""
+    tokens = Published(spark, scratch_folder(spark, "tokens"))
+    tokens.publish(reconcile.in_order(reconcile.merge_tokens(_tokens(spark, d), TRUTH)).select("name", "category", "value", "at"))
+    return find_token(tokens, "blue-0").select("category", "name", "value")
+
+
+@query
+def published_component(spark: SparkSession, d: str) -> DataFrame:
+    components = Published(spark, scratch_folder(spark, "components"))
+    components.publish(reconcile_components(spark, d))
+    return components.find("BlueBolt0")
+
+
+@query
+def settings_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of every project, with what was wanted and wasn't there."""
+    return detect.insert_absent(synth.made(spark, d, synth.SETTINGS), synth.made(spark, d, synth.WANTED))
+
+
 def _versions(spark: SparkSession, d: str) -> DataFrame:
     """Versions of each user's document, every seventh cut off."""
     cut = F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 4)).otherwise(F.col("props"))

@@ -140,12 +140,13 @@ def keyed_manifests(dialect: str) -> str:
 
 
 #: A project's listing with the files that detection looks for; packages of all kinds, a broken one too.
-PACKAGE = f"""case {_BN} % 6
+PACKAGE = f"""case {_BN} % 7
  when 0 then '{{"dependencies":{{"next":"1","react":"18"}},"devDependencies":{{"tailwindcss":"3"}}}}'
  when 1 then '{{"devDependencies":{{"vite":"5","typescript":"5"}}}}'
  when 2 then '{{"dependencies":{{"react":"18","storybook":"8"}}}}'
  when 3 then '{{"dependencies":{{"vite":"","react":"18"}}}}'
  when 4 then '{{"dependencies"'
+ when 5 then '{{"dependencies":{{"vite":"5","react":"18"}},"devDependencies":{{"vite":"","next":"14"}}}}'
  else '{{}}' end"""
 LISTING = f"""select {PROJECT} as project,
  case p_partkey % 8 when 0 then 'package.json' when 1 then case when {_BN} % 2 = 0 then 'tsconfig.json' else 'readme' end
@@ -153,6 +154,11 @@ LISTING = f"""select {PROJECT} as project,
   when 4 then case when {_BN} % 5 = 0 then '.storybook/main.js' else 'b.css' end else case when {_BN} % 3 = 1 then 'lib/' else 'src/' end || {DASHED} || '.ts' end as path,
  case p_partkey % 8 when 0 then {PACKAGE} else '' end as content from part"""
 
+#: Settings that projects have, some twice and some without a value, and those that all should have.
+SETTINGS = f"""select {PROJECT} as project, case p_partkey % 4 when 0 then 'server' when 1 then 'guide' when 2 then 'own-' || p_size % 3 else '' end as name,
+ case when p_partkey % 5 = 0 then null else 'kept-' || p_partkey end as value from part where p_partkey % 3 <> 0"""
+WANTED = f"""select {PROJECT} as project, case p_partkey % 3 when 0 then 'server' when 1 then 'guide' else 'skill' end as name, 'new-' || p_partkey as value from part"""
+
 PATTERNS = ["**/*.css", "src/*.{ts,tsx}", "src/**/*.ts", "lib/[a-m]*.ts"]
 IGNORED = ["node_modules", "**/*.test.*", "dist"]
 #: Paths of all kinds, to be matched by PATTERNS and IGNORED.

@@ -10,18 +10,15 @@ The state is the table: nothing else is kept between batches, and a bucket is al
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tokenloom.streaming.heads import Heads
 from tokenloom.streaming.watch import latest_valid
 
 BUCKETS = 64
-#: Heads that stay, and with them the states that they name; a reader has as long to finish as it takes to write so many.
-HEADS = 3
 
 
 class Snapshot:
@@ -32,25 +29,11 @@ class Snapshot:
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.key, self.version, self.body = self.schema.names
-        self._files = spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
-
-    def _names(self, *parts: str) -> list[str]:
-        at = self._path(*parts)
-        return sorted(f.getPath().getName() for f in self._files.listStatus(at)) if self._files.exists(at) else []
-
-    def heads(self) -> list[int]:
-        """Numbers of the batches that are whole, in order."""
-        return [int(n.removesuffix(".json")) for n in self._names("heads") if n.endswith(".json") and not n.startswith(".")]
+        self.heads = Heads(spark, self.folder)
 
     def _head(self, number: int | None) -> dict[int, int]:
         """The batch that wrote each bucket's state."""
-        if number is None:
-            return {}
-        text = self.spark.read.text(f"{self.folder}/heads/{number:012d}.json", wholetext=True).first()[0]
-        return {int(k): v for k, v in json.loads(text).items()}
+        return {} if number is None else {int(k): v for k, v in self.heads.read(number).items()}
 
     def _rows(self, head: dict[int, int], buckets: set[int] | None = None) -> DataFrame:
         paths = [f"{self.folder}/states/{batch:012d}/bucket={b}" for b, batch in sorted(head.items()) if buckets is None or b in buckets]
@@ -58,11 +41,11 @@ class Snapshot:
 
     def read(self) -> DataFrame:
         """The table as of the newest whole batch."""
-        return self._rows(self._head(max(self.heads(), default=None)))
+        return self._rows(self._head(max(self.heads.numbers(), default=None)))
 
     def upsert(self, batch: DataFrame, number: int) -> None:
         """Take in a batch of (key, version, body, ok); rows whose `ok` is null, or without a key, change nothing."""
-        done = self.heads()
+        done = self.heads.numbers()
         if number in done:
             return
         head = self._head(max((n for n in done if n < number), default=None))
@@ -77,28 +60,8 @@ class Snapshot:
                 after.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/states/{number:012d}")
         finally:
             new.unpersist()
-        self._publish(number, head | dict.fromkeys(touched, number))
-        self._tidy()
-
-    def _publish(self, number: int, head: dict[int, int]) -> None:
-        """The head appears whole, by its name."""
-        part, final = self._path("heads", f".{number:012d}.part"), self._path("heads", f"{number:012d}.json")
-        out = self._files.create(part, True)
-        out.write(bytearray(json.dumps(head).encode()))
-        out.close()
-        if not self._files.rename(part, final):
-            raise OSError(f"no head could be written: {final}")
-
-    def _tidy(self) -> None:
-        """Delete heads beyond HEADS and the states that no other names."""
-        done = self.heads()
-        kept = done[-HEADS:]
-        named = {batch for n in kept for batch in self._head(n).values()}
-        for n in done[:-HEADS]:
-            self._files.delete(self._path("heads", f"{n:012d}.json"), False)
-        for name in self._names("states"):
-            if int(name) not in named and int(name) < kept[-1]:
-                self._files.delete(self._path("states", name), True)
+        self.heads.publish(number, head | dict.fromkeys(touched, number))
+        self.heads.tidy(lambda known, _: set(known.values()))
 
     def follow(self, versions: DataFrame, ok: str, checkpoint: str, once: bool = False, interval: str = "1 second") -> StreamingQuery:
         """Keep the table up to date with a stream of versions; `ok` names the column that is null in broken ones."""
