@@ -174,3 +174,13 @@ ORACLES["published_component"] = ORACLES["component_lookup"]
 ORACLES["settings_insert"] = f"""with settings as ({s.SETTINGS}), wanted as (select project, name, min(value) as value from ({s.WANTED}) as w group by project, name)
 select project, name, value, false as added from settings
 union all select project, name, value, true from wanted as w where not exists (select 1 from settings as x where x.project = w.project and x.name = w.name)"""
+_DETAIL = {
+    "tokens": f"select 'tokens' as part, category, name, value as shown from ({ORACLES['reconcile_tokens']}) as t",
+    "components": f"select 'components' as part, '' as category, name, '0' as shown from ({ORACLES['reconcile_components']}) as c",
+    "conflicts": f"select 'conflicts' as part, type as category, name, 'pending' as shown from ({_ALL}) as a",
+}
+ORACLES["context_detail"] = " union all ".join(_DETAIL.values())
+ORACLES["context_parts"] = f"{_DETAIL['components']} union all {_DETAIL['conflicts']} union all {_DETAIL['tokens']} where category = 'spacing'"
+ORACLES["contract_content"] = f"""select 'token' as part, category || '.' || name as name, source || ':' || value as says from ({ORACLES['reconcile_tokens']}) as t
+union all select 'component', name, adapter || ':' || coalesce(file, 'none') from ({ORACLES['reconcile_components']}) as c
+union all select type || ' conflict', name, entries || ' ' || cast(actionable as varchar) from ({ORACLES['conflict_projection']}) as a"""

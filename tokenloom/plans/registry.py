@@ -342,13 +342,43 @@ def conflict_projection(spark: SparkSession, d: str) -> DataFrame:
 @query
 def contract_parts(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each part of a contract that is built from three sources."""
-    tokens, components = _tokens(spark, d), _components(spark, d)
-    of = lambda rows, name: rows.filter(F.col("source_name") == name).drop("source_name", "source_ord")
-    parts = contracts.build([(name, of(tokens, name), of(components, name)) for name in m.ADAPTERS], TRUTH)
+    parts = _built(spark, d)
     counted = [parts[part].agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "n") for part in ("tokens", "components", "conflicts")]
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
+@query
+def context_detail(spark: SparkSession, d: str) -> DataFrame:
+    """All that a request for every part lists: tokens, components and conflicts."""
+    tokens = reconcile.merge_tokens(_tokens(spark, d), TRUTH)
+    return requests.context_detail(tokens, reconcile.merge_components(_components(spark, d), TRUTH), _conflicts(spark, d))
+
+
+@query
+def context_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same by part: components alone, conflicts alone, and the tokens of one category."""
+    given = reconcile.merge_tokens(_tokens(spark, d), TRUTH), reconcile.merge_components(_components(spark, d), TRUTH), _conflicts(spark, d)
+    ask = lambda *what: requests.context_detail(*given, *what)
+    return ask("components").unionByName(ask("conflicts")).unionByName(ask("tokens", "spacing")).unionByName(ask("unknown"))
+
+
+def _built(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The parts of a contract that is built from three sources."""
+    tokens, components = _tokens(spark, d), _components(spark, d)
+    of = lambda rows, name: rows.filter(F.col("source_name") == name).drop("source_name", "source_ord")
+    return contracts.build([(name, of(tokens, name), of(components, name)) for name in m.ADAPTERS], TRUTH)
+
+
+@query
+def contract_content(spark: SparkSession, d: str) -> DataFrame:
+    """What each part of the contract says: tokens with value and source, components with theirs, conflicts with their entries."""
+    parts = _built(spark, d)
+    tokens = parts["tokens"].select(F.lit("token").alias("part"), F.concat("category", F.lit("."), "name").alias("name"), F.concat(F.col("source.adapter"), F.lit(":"), "value").alias("says"))
+    components = parts["components"].select(F.lit("component").alias("part"), "name", F.concat(F.col("source.adapter"), F.lit(":"), F.coalesce("source.file", F.lit("none"))).alias("says"))
+    conflicts = parts["conflicts"].select(F.concat("type", F.lit(" conflict")).alias("part"), "name", F.concat(F.array_join(F.transform("sources", _entry), "|"), F.lit(" "), F.col("actionable").cast("string")).alias("says"))
+    return tokens.unionByName(components).unionByName(conflicts)
+
+
 @query
 def mismatch_warning(spark: SparkSession, d: str) -> DataFrame:
     """Contracts whose source root is not the folder that they stand in."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,6 +160,20 @@ def context_summary(tokens: DataFrame, components: DataFrame, conflicts: DataFra
     )
 
 
+def context_detail(tokens: DataFrame, components: DataFrame, conflicts: DataFrame, category: str = "all", token_category: str = "") -> DataFrame:
+    """(part, category, name, shown) of what a request for details lists: a token's value, a component's number of props, a conflict's resolution.
+
+    category: tokens, components, conflicts or all; anything else lists nothing. token_category narrows the tokens.
+    """
+    parts = {
+        "tokens": bare_tokens(tokens, token_category).select("category", "name", F.col("value").alias("shown")),
+        "components": component_summary(components).select(F.lit("").alias("category"), "name", F.col("prop_count").cast("string").alias("shown")),
+        "conflicts": conflict_projection(conflicts).select(F.col("type").alias("category"), "name", F.col("resolution").alias("shown")),
+    }
+    wanted = [rows.select(F.lit(part).alias("part"), "*") for part, rows in parts.items() if category in (part, "all")]
+    return reduce(DataFrame.unionByName, wanted) if wanted else tokens.limit(0).select(F.lit("").alias("part"), "category", "name", F.col("value").alias("shown"))
+
+
 def mismatch(contracts: DataFrame) -> DataFrame:
     """Adds `mismatch`: whether `source_root`, unless it is empty or missing, is another folder than that of `path`."""
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
