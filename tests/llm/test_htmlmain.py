@@ -115,3 +115,31 @@ def test_pages(spark):
     by = {r.page_id: r.text for r in got}
     assert by[1] == by[None] == PARA and by[2] == by[3] == "" and by[5].count("\n\n") == 2999
     assert hm.extract(df.limit(0)).count() == 0
+
+
+def test_controls_in_a_sentence_are_words_of_it():
+    assert hm.main_text(f"<article><p>Use <label>here</label> and <button>there</button>.</p><p>{PARA}</p></article>") == f"Use here and there.\n\n{PARA}"
+    assert hm.main_text(f"<article><p>{PARA}</p><button>Share</button><form><p>Your <label>name</label></p></form><label>Name</label></article>") == PARA
+
+
+def test_teasers_beside_the_article_are_not_text():
+    other = f"<h2>Other</h2><p>{PARA} {PARA} {PARA}</p>"
+    assert hm.main_text(f"{WRAPPED}<section class='more'><article><h2>More</h2><p>Read this too.</p></article></section>") == f"Title\n\n{PARA}\n\nShort."
+    assert hm.main_text(f"<article>{other}</article><article>{other}<p>Shorter.</p></article>").count("Other") == 2
+
+
+def decided(page, weights=hm.FIXED):
+    """(text, label by the sign of the score, label by the cut) of each block."""
+    read = hm.read(page)
+    return [(b.text, z > 0, kept) for b, z, kept in zip(read.found, hm.scores(read, weights), hm.label(read, weights), strict=True)]
+
+
+def test_the_cut_decides_where_a_block_is_unsure():
+    lines = decided(f"<div><p>{PARA}</p><p>{PARA}</p><div>Onwards</div><p>{PARA}</p><p>{PARA}</p></div>")
+    assert lines[2] == ("Onwards", False, True) and all(kept for *_, kept in lines)
+    links = "".join(f"<li><a href=/{k}>Link number {k}</a></li>" for k in range(4))
+    lines = decided(f"<ul>{links}<li>More on this</li>{links}</ul>", np.array([-1.0, 1.1, -3.5, 0.8, 0.0, 0.0]))
+    assert lines[4] == ("More on this", True, False) and not any(kept for *_, kept in lines)
+    # within an article: a line of links alone is let go, one between paragraphs stays
+    lines = decided(f"<article><p>{PARA}</p><p><a href=1>See the whole table</a></p><p>{PARA}</p></article>")
+    assert [kept for *_, kept in lines] == [True, True, True] and not lines[1][1]

@@ -16,7 +16,9 @@ that holds most of the article is one too. Comments are never wrappers.
 
 White space within a block becomes one space; blocks are joined by an empty line. Null and empty pages give an empty
 text. Unclosed elements, truncated tags and references are read as far as they go. Repeated rows give equal texts. Pages
-of any length are read whole, in time linear in length and depth; extra columns do not matter.
+of any length are read whole, in time linear in length and depth; extra columns do not matter, and an empty table gives an
+empty result. Labels and buttons within a sentence are its words, elsewhere they are controls. An article much shorter than the
+main one is a teaser.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption button label".split()
 )
 CLOSES_P = BLOCK - {"button", "label", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
+#: Controls that are words of a sentence where they stand in one.
+CONTROLS = frozenset(("button", "label"))
 #: Elements that the next one of their kind ends, unless a list or table has begun between.
 ENDS_ITSELF = frozenset("li dt dd tr td th option a".split())
 LISTS = ("ul", "ol", "dl", "table")
@@ -67,11 +71,13 @@ TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 dd figcaption li td".s
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SMOOTH, SIBLING = 1.2, 0.6
 #: What a block's place says, in log-odds: in or outside an article, in something that may be or surely is boilerplate.
-ARTICLE, DOUBTFUL, MARKED = 4.0, 2.5, 12.0
+ARTICLE, DOUBTFUL, MARKED = 2.5, 2.5, 12.0
 #: The most that the model of a block's text says.
 MOST = 3.0
 #: Share of the words (outside links) that makes a marked element a wrapper: of a page without an article, of an article in a form.
 WHOLE, MOSTLY = 0.8, 0.6
+#: Share of the main article's words that another article of the page must have to count as text too.
+BESIDE = 0.5
 FIT_PAGES, FIT_BLOCKS = 400, 100
 #: Without pages to learn from: for FEATURES.
 FIXED = np.array([-1.0, 1.1, -3.5, 0.8, 0.0, 0.0])
@@ -94,7 +100,7 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         # by element; 0 stands for the page
-        self.tag, self.parent, self.mark = [""], [0], [0]
+        self.tag, self.parent, self.mark, self.block = [""], [0], [0], [False]
         self.is_comment, self.is_article = [False], [False]
         self.owner, self.level = [0], [0]  # nearest block element, block elements above and including it
         self.stack: list[int] = [0]
@@ -120,7 +126,7 @@ class _Page(HTMLParser):
         while len(self.stack) > k:
             node = self.stack[-1]
             tag = self.tag[node]
-            if tag in BLOCK and not flushed:
+            if self.block[node] and not flushed:
                 # all that is popped ends here: its text belongs where it was read
                 self.flush()
                 flushed = True
@@ -135,7 +141,8 @@ class _Page(HTMLParser):
             self._pop_to(k)
         elif tag in ENDS_ITSELF and (k := self._at(tag)) and k > max(map(self._at, LISTS)):
             self._pop_to(k)
-        if tag in BLOCK:
+        block = tag in BLOCK and not (tag in CONTROLS and self.tag[self.owner[self.stack[-1]]] in TEXT_TAGS)
+        if block:
             self.flush()
         if tag == "br":
             self.parts.append(" ")
@@ -146,12 +153,13 @@ class _Page(HTMLParser):
         self.tag.append(tag)
         self.parent.append(above)
         article = tag in ("article", "main") or given.get("role") in ("main", "article") or given.get("itemprop") == "articleBody"
-        mark, comment = self._mark(tag, given, article)
+        self.block.append(block)
+        mark, comment = self._mark(tag if block or tag not in CONTROLS else "span", given, article)
         self.mark.append(mark)
         self.is_comment.append(comment)
         self.is_article.append(article)
-        self.owner.append(node if tag in BLOCK else self.owner[above])
-        self.level.append(self.level[above] + (tag in BLOCK))
+        self.owner.append(node if block else self.owner[above])
+        self.level.append(self.level[above] + block)
         self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(node)
         self.silent += tag in SILENT
@@ -223,9 +231,12 @@ def places(page: _Page) -> tuple[list[int], list[bool], bool]:
     comment, inside = page.is_comment[:], [False] * n
     for k in range(1, n):
         comment[k] = comment[k] or comment[page.parent[k]]
-        inside[k] = page.is_article[k] or inside[page.parent[k]]
     every = [k for k in range(n) if page.is_article[k] and plain[k]]
     main = max((k for k in every if not comment[k]), key=lambda k: (plain[k], -k), default=max(every, key=lambda k: (plain[k], -k), default=0))
+    # other articles count as the page's if they are of some length beside the main one; shorter ones are teasers
+    large = [page.is_article[k] and (k == main or plain[k] >= BESIDE * plain[main]) for k in range(n)]
+    for k in range(1, n):
+        inside[k] = large[k] or inside[page.parent[k]]
     wrapper = [False] * n
     k = main
     while k:
