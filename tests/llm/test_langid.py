@@ -1,3 +1,4 @@
+import math
 import os
 import tracemalloc
 import zlib
@@ -62,3 +63,36 @@ def test_awkward_documents(spark):
     none = df.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.predict(none, langid.fit(none)).collect()} == {"und"}
     assert langid.predict(helpers.empty(spark), langid.fit(helpers.empty(spark))).count() == 0
+
+
+def plain_prediction(net, text):
+    """Language and score by loops: every window, filter and place on its own."""
+    raw = text.encode()
+    totals, size = [0.0] * len(net.languages), len(raw)
+    for lo in range(0, size, langid.WINDOW):
+        window = raw[lo : lo + langid.WINDOW]
+        padded = window + bytes(langid.WINDOW - len(window))
+        hidden = []
+        for w in langid.WIDTHS:
+            for f in range(langid.FILTERS):
+                top = max(sum(float(net.filters[w][k][padded[p + k]][f]) for k in range(w)) for p in range(langid.WINDOW - w + 1))
+                hidden.append(max(0.0, top + float(net.bias[len(hidden)])))
+        z = [sum(h * float(net.weight[k][c]) for k, h in enumerate(hidden)) + float(net.offset[c]) for c in range(len(net.languages))]
+        norm = max(z) + math.log(sum(math.exp(x - max(z)) for x in z))
+        totals = [t + (x - norm) * len(window) for t, x in zip(totals, z, strict=True)]
+    mean = [t / size for t in totals]
+    best = mean.index(max(mean))
+    return net.languages[best], math.exp(mean[best]) / sum(map(math.exp, mean))
+
+
+def test_a_whole_text_by_loops(spark):
+    said = {"de": "der Hund lief durch den Wald und fand einen Stock ", "en": "the dog ran through the wood and found a stick ", "es": "el perro corría por el bosque y halló un palo "}
+    rng = np.random.default_rng(4)
+    learn = [(k, lang, " ".join(rng.permutation(said[lang].split() * 6))) for k, lang in enumerate(sorted(said) * 30)]
+    net = langid.fit(spark.createDataFrame(learn, "doc_id long, lang string, text string"))
+    texts = [said["de"] * 14, said["en"], said["es"] * 9 + said["en"] * 3, "ñ", "x" * 257]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(helpers.docs(spark, texts), net).collect()}
+    for k, text in enumerate(texts):
+        lang, score = plain_prediction(net, text)
+        assert got[k][0] == lang and abs(got[k][1] - score) < 1e-3, (k, got[k], lang, score)
+    assert got[0][0] == "de" and got[1][0] == "en" and got[2][0] == "es"

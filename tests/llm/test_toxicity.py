@@ -1,5 +1,7 @@
+import math
 import os
 import random
+import re
 
 import helpers
 import numpy as np
@@ -95,3 +97,91 @@ def test_awkward_documents(spark):
     out = toxicity.reject(df, labels.limit(0))
     assert out.columns == df.columns and out.count() == df.count()
     assert toxicity.score(helpers.empty(spark), labels).count() == 0
+
+
+def plain_features(text, lexicon):
+    """Each of FEATURES by its description, word by word."""
+    words, lower = text.split(), text.lower().split()
+    n = len(words)
+    if not n:
+        return [0.0] * len(toxicity.FEATURES)
+    bare = [w.strip("\"'“”‘’«»()[]{}<>,;:.?!…|%&*#$") for w in lower]
+    hit = [b in toxicity.LEXICON for b in bare]
+    masked = [not h and not b.isalpha() and len(b) > 2 and b.translate(toxicity.SUBSTITUTES) in toxicity.LEXICON for b, h in zip(bare, hit, strict=True)]
+    you = [k for k, b in enumerate(bare) if b in toxicity.SECOND_PERSON]
+    bad = [k for k in range(n) if hit[k] or masked[k]]
+    near = sum(any(abs(a - k) <= toxicity.NEAR for a in you) for k in bad)
+    whole = [lexicon.get(b) for b in bare]
+    stem = [lexicon.get(f"{b[: toxicity.STEM]}~") if len(b) > toxicity.STEM else None for b in bare]
+
+    def learned(values):
+        found = {w: v for w, v in zip(lower, values, strict=True) if v is not None}
+        return [float(sum(v is not None for v in values)), sum(v is not None for v in values) / n, sum(found.values()), max(found.values(), default=0.0)]
+
+    size = len(text)
+    return [
+        math.log(1 + n), float(sum(hit)), sum(hit) / n, len({w for w, h in zip(lower, hit, strict=True) if h}) / n, float(sum(masked)), sum(masked) / n, near / n, len(you) / n,
+        sum("A" <= c <= "Z" for c in text) / size, sum(w.isupper() for w in words) / n, sum(not (c.isalnum() or c.isspace() or c == "_") for c in text) / size, text.count("!") / size,
+        len(re.findall(r"[a-zA-Z][0-9@$*#][a-zA-Z0-9@$*#]*[a-zA-Z]|\b(?:[a-zA-Z][.\-_*]){2,}[a-zA-Z]\b", text)) / n, 1 - len(set(lower)) / n, size / n, *learned(whole), *learned(stem),
+    ]
+
+
+def plain_score(text, model):
+    """The score of a text: its features, each tree walked by its cuts, and the line between the calibrated points."""
+    trees, scale, lexicon = model
+    x = plain_features(text, lexicon)
+    total = trees.base
+    for on, cut, value in trees.trees:
+        node = 0
+        while node < len(on):
+            edges = trees.edges[on[node]]
+            node = 2 * node + 1 + bool(cut[node] < len(edges) and edges[cut[node]] < x[on[node]])
+        total += value[node - len(on)]
+    at, p = scale.at.tolist(), scale.value.tolist()
+    if total <= at[0]:
+        return p[0]
+    k = max(i for i, a in enumerate(at) if a <= total)
+    return p[k] if k + 1 == len(at) else p[k] + (p[k + 1] - p[k]) * (total - at[k]) / (at[k + 1] - at[k])
+
+
+def plain_isotonic(score, y):
+    """Non-decreasing values by their definition: at each point the greatest over the left ends of the least mean over the right ends."""
+    at = sorted(set(score))
+    means = lambda a, b: sum(v for s, v in zip(score, y, strict=True) if at[a] <= s <= at[b]) / sum(at[a] <= s <= at[b] for s in score)
+    return at, [max(min(means(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+
+
+def test_whole_scores_by_loops(spark):
+    rng = random.Random(9)
+    bad, good = ["zorg", "blarghed", "idiot", "st0pid", "1diot", "you", "du", "SHUT-UP", "f.o.o.l", "blarghing"], ["tree", "Hill", "water", "stone", "walked", "über", "you", "(sun)"]
+    rows = [(k, " ".join(rng.choice(bad if k % 3 == 0 and rng.random() < 0.4 else good) + rng.choice(["", "!", ",", ""]) for _ in range(rng.randint(1, 30)))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model[2] and len(model[0].trees) == model[0].rounds
+    texts = [t for _, t in rows[:120]] + ["", "you idiot, you 1diot! " * 40, helpers.LONG[:3000]]
+    for text, p in zip(texts, toxicity.rate(texts, model).tolist(), strict=True):
+        assert np.allclose(toxicity.features(text, model[2]), plain_features(text, model[2]), atol=1e-12), text
+        assert abs(p - plain_score(text, model)) < 1e-9, text
+
+
+def test_isotonic_by_its_definition():
+    rng = random.Random(5)
+    for _ in range(30):
+        score = [rng.randint(0, 12) for _ in range(rng.randint(1, 30))]
+        y = [float(rng.random() < s / 15) for s in score]
+        at, values = plain_isotonic(score, y)
+        got = Isotonic().fit(np.array(score, float), np.array(y))
+        pools = [[v, [a]] for v, a in zip(values, at, strict=True)]
+        merged = []
+        for v, (a,) in pools:
+            if merged and abs(merged[-1][0] - v) < 1e-12:
+                merged[-1][1].append(a)
+            else:
+                merged.append([v, [a]])
+        want, least = [], 0.0
+        for v, members in merged:
+            w = sum(s in members for s in score)
+            least = max(least, (v * w + 0.5) / (w + 1))
+            want.append((members[0], least))
+        assert np.allclose(got.at, [a for a, _ in want]) and np.allclose(got.value, [v for _, v in want])

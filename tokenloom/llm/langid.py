@@ -7,7 +7,8 @@ prediction is the language with the largest sum of log-probabilities over its wi
 The network is trained on at most PER_LANGUAGE windows of each language, from labelled documents outside the held-out
 fold (those of smallest hash). Null texts and texts without a letter are `und` with score 0, so are all texts if there
 is no labelled text. Repeated rows get equal predictions and count once in training; ties go to the first language in
-alphabetical order. Texts of any length are read whole, some windows at a time; extra columns do not matter.
+alphabetical order. Texts of any length are read whole, some windows at a time; extra columns do not matter; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

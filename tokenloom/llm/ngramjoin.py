@@ -20,7 +20,8 @@ Only counts and row numbers come to the driver.
 
 Null and empty texts and texts without a word have the empty set and link with nothing. A text of fewer words than a
 shingle is one shingle. Rows without a doc_id have a set but link with nothing and have no component. Rows of one doc_id
-that have a shingle share a component, whatever their texts; rows with the empty set are their own. Texts of any length are taken whole; extra columns do not matter. Equality of
+that have a shingle share a component, whatever their texts; rows with the empty set are their own. Texts of any length are taken whole; extra columns do not
+matter, and an empty table gives an empty result. Equality of
 shingles is that of their keys: two different ones share one with odds of 1 to 2^62, and since nobody knows the seed
 beforehand, no text can be made to do so. Results do not depend on the seed.
 

@@ -10,7 +10,7 @@ segmentation depends on nothing else, wherever and however often it is computed.
 A model with log-probabilities (unigram) uses them; a merge-rank model gets log p = -log(rank + SHIFT) up to a constant.
 Null and empty texts have no pieces. Texts need not be valid in any way: bytes without a piece fall back. A null row key
 counts as 0. Equal rows get equal segmentations. Every text is decoded again; one that did not come back would end the
-job. Texts of any length are segmented whole; extra columns do not matter.
+job. Texts of any length are segmented whole; extra columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ footer of fixed size.
 
 Keys are the 8 bytes of the signed identifier, shifted so that byte order is number order; a null identifier is the
 empty key, which sorts first. Repeated identifiers are kept side by side, in the order of their texts. Values are ids of
-2 bytes each while the vocabulary allows, else 4. Null and empty texts have only the end id.
+2 bytes each while the vocabulary allows, else 4. Null and empty texts have only the end id. Texts of any length
+are encoded whole; an empty table has no shard, and extra columns do not matter.
 """
 
 from __future__ import annotations

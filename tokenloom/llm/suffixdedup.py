@@ -23,7 +23,8 @@ Runs are written to the shared folder by the first step and read again by the la
 holds about RUN_BYTES of text, or one longer document. No part gathers more than one copy of a suffix or window from each
 run, nor more than HOT different suffixes of a name. Null and empty texts lose nothing. Rows without a doc_id, and rows that share a doc_id, take nothing from each other;
 rows without one neither lose bytes nor make others lose any. Matches never cross documents. Results are judged on the
-input. Names and grouped windows are 64-bit keys; the bytes of grouped windows are compared before a group counts.
+input. Names and grouped windows are 64-bit keys; the bytes of grouped windows are compared before a group counts. An
+empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations

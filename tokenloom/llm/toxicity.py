@@ -10,7 +10,8 @@ than clean documents of the sample; the trees see each sampled document through
 sample, so they do not trust it beyond what holds on unseen rows. Fold 1 only calibrates. A doc_id with several labels
 has their maximum. Null and empty texts have all features 0 and get the score of that point. Without labels of both
 classes every score is the share of toxic labels, or 0 without labels. Repeated rows get equal scores; of rows that share a
-doc_id the least text is learned from. Texts of any length are read whole, one after another; extra columns do not matter.
+doc_id the least text is learned from. Texts of any length are read whole, one after another; extra columns do not matter; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
