@@ -79,7 +79,7 @@ def test_nothing(spark):
 def test_steps_are_those_of_one_sorted_list(spark, monkeypatch, most):
     monkeypatch.setattr(infer, "RANGE", most)
     rng = random.Random(most)
-    projects = {f"p{k}": [rng.choice([0.1, 0.2, 0.3, 4, 8, 12, -3.5, 1000]) * rng.randint(0, 9) for _ in range(n)] for k, n in enumerate([0, 1, 2, 2, 5, 30, 60])}
+    projects = {f"p{k}": [rng.choice([0.1, 0.2, 0.3, 4, 8, 12, 3.5, 1000]) * rng.randint(0, 9) for _ in range(n)] for k, n in enumerate([0, 1, 2, 2, 5, 30, 60])}
     rows = [(p, "spacing", f"s{k}", f"{v}px", k) for p, vs in projects.items() for k, v in enumerate(vs)] + [("p0", "colors", "x", "1px", 0)]
     tokens = spark.createDataFrame(rows, "project string, category string, name string, value string, at int")
     got = {}
@@ -96,6 +96,6 @@ def test_evidence_is_gathered_for_rules_that_hold(spark, monkeypatch):
     """Every font is listed by the rule on monospace fonts if it holds; the rule on one typeface lists one."""
     asked = []
     monkeypatch.setattr(infer, "_with_evidence", lambda holding, rows, *a, keep=infer._with_evidence: asked.append(sorted(r.id for r in holding.select("id").collect())) or keep(holding, rows, *a))
-    got = rules(spark, [("typography", f"font-{k}", "Inter") for k in range(30)] + [("borderRadius", f"r{k}", "4px") for k in range(20)])
+    got = rules(spark, [("typography", f"font-{k}", "Inter") for k in range(30)] + [("borderRadius", f"r-{k}", "4px") for k in range(20)])
     assert set(got) == {"border-radius-uniform", "naming-kebab-case"} == set(asked[0]) and asked[1] == []
     assert len(got["border-radius-uniform"].evidence) == 20 and len(got["naming-kebab-case"].evidence) == 4
